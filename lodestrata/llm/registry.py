@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import token_files
+from lodestrata.llm import decontaminate, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_decontaminate": decontaminate.op4,
         "op3_token_files": token_files.op3,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_decontaminate": decontaminate.OP4_SQL,
+    }
