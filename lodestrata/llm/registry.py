@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import decontaminate, token_files
+from lodestrata.llm import decontaminate, packing, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_decontaminate": decontaminate.op4,
+        "op7_pack": packing.op7,
         "op3_token_files": token_files.op3,
     }
 
