@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import decontaminate, packing, token_files
+from lodestrata.llm import decontaminate, packing, secrets, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_decontaminate": decontaminate.op4,
         "op7_pack": packing.op7,
+        "op9_secrets": secrets.op9,
         "op3_token_files": token_files.op3,
     }
 
@@ -20,4 +21,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_decontaminate": decontaminate.OP4_SQL,
+        "op9_secrets": secrets.OP9_SQL,
     }
