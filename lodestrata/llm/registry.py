@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import decontaminate, packing, secrets, token_files
+from lodestrata.llm import chat, decontaminate, packing, secrets, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_decontaminate": decontaminate.op4,
         "op7_pack": packing.op7,
         "op9_secrets": secrets.op9,
+        "op5_chat": chat.op5,
         "op3_token_files": token_files.op3,
     }
 
@@ -21,5 +22,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_decontaminate": decontaminate.OP4_SQL,
+        "op5_chat": chat.OP5_SQL,
         "op9_secrets": secrets.OP9_SQL,
     }
