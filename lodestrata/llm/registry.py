@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import chat, decontaminate, packing, secrets, token_files
+from lodestrata.llm import chat, decontaminate, packing, secrets, token_files, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_pack": packing.op7,
         "op9_secrets": secrets.op9,
         "op5_chat": chat.op5,
+        "op6_urls": urls.op6,
         "op3_token_files": token_files.op3,
     }
 
