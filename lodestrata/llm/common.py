@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import tempfile
 import uuid
@@ -89,6 +90,12 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+@functools.lru_cache(maxsize=1)
+def word_hashes() -> WordHashes:
+    """The worker's own, kept between tasks."""
+    return WordHashes(500_000)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finalizer that spreads every input bit over the word (the public splitmix64 constants)."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrata.llm.common import slices, text_bytes, written
-from lodestrata.llm.token_ids import WordTokens, vocabulary
+from lodestrata.llm.token_ids import vocabulary, word_tokens
 from lodestrata.session import table
 
 CAPACITY = 2048
@@ -77,7 +77,7 @@ def cut(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_
     def pieces(batches):
         from pyspark import TaskContext
 
-        part, tokens, end = TaskContext.get().partitionId(), WordTokens(path), struct.pack("<I", end_id)
+        part, tokens, end = TaskContext.get().partitionId(), word_tokens(path), struct.pack("<I", end_id)
         seen = np.zeros(capacity + 1, np.int64)
         for batch in slices(batches):
             rows: list[list] = [[] for _ in range(7)]
@@ -140,7 +140,7 @@ def sequences(docs: DataFrame, placement: DataFrame, path: str | None = None, ca
     path = path or vocabulary()
 
     def encode(batches):
-        tokens, end = WordTokens(path), struct.pack("<I", end_id)
+        tokens, end = word_tokens(path), struct.pack("<I", end_id)
         for batch in slices(batches):
             out = [[], [], []]
             for doc, text in zip(batch.column("doc_id").to_pylist(), text_bytes(batch), strict=True):

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrata.llm.common import filesystem, scratch, slices, text_bytes, written
-from lodestrata.llm.token_ids import WordTokens, vocabulary
+from lodestrata.llm.token_ids import vocabulary, word_tokens
 from lodestrata.session import table
 
 FRAME_BYTES = 1 << 20
@@ -138,7 +138,7 @@ def write_shards(docs: DataFrame, folder: str, path: str | None = None, end_id:
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, tokens, end = TaskContext.get().partitionId(), WordTokens(path), struct.pack("<I", end_id)
+        shard, tokens, end = TaskContext.get().partitionId(), word_tokens(path), struct.pack("<I", end_id)
         fs, at = filesystem(folder)
         fs.create_dir(at, recursive=True)
         name, part, docs_n, writer, out = f"{at}/shard-{shard:06d}.tok", f"{at}/.{uuid.uuid4().hex}", 0, None, None

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
 import numpy as np
@@ -25,7 +26,7 @@ class WordTokens(dict):
     special token, goes through the whole tokenizer. Up to `limit` words and parts are remembered.
     """
 
-    def __init__(self, path: str, limit: int = 150_000):
+    def __init__(self, path: str, limit: int = 500_000):
         super().__init__()
         import regex
         from tokenizers import Tokenizer
@@ -60,3 +61,9 @@ class WordTokens(dict):
     def encode(self, text: bytes) -> bytes:
         """All ids of a text as little-endian unsigned 32-bit bytes."""
         return b"".join(map(self.__getitem__, text.split()))
+
+
+@functools.lru_cache(maxsize=1)
+def word_tokens(path: str) -> WordTokens:
+    """The worker's own: Spark keeps Python workers between tasks, and with them what words they remember."""
+    return WordTokens(path)
