@@ -54,13 +54,13 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same rows in steps of at most SLICE_ROWS rows and, but for a single long row, SLICE_BYTES bytes."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in steps of at most so many rows and, but for a single long row, so many bytes."""
     for batch in batches:
         at = 0
         while at < batch.num_rows:
-            n = min(SLICE_ROWS, batch.num_rows - at)
-            while n > 1 and batch.slice(at, n).get_total_buffer_size() > 0 and batch.slice(at, n).nbytes > SLICE_BYTES:
+            n = min(rows, batch.num_rows - at)
+            while n > 1 and batch.slice(at, n).nbytes > size:
                 n = (n + 1) // 2
             yield batch.slice(at, n)
             at += n

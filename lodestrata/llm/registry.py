@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import chat, decontaminate, packing, secrets, token_files, urls
+from lodestrata.llm import chat, decontaminate, ngram_join, packing, secrets, token_files, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_secrets": secrets.op9,
         "op5_chat": chat.op5,
         "op6_urls": urls.op6,
+        "op2_ngram_join": ngram_join.op2,
         "op3_token_files": token_files.op3,
     }
 
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_decontaminate": decontaminate.OP4_SQL,
+        "op2_ngram_join": ngram_join.OP2_SQL,
         "op5_chat": chat.OP5_SQL,
         "op9_secrets": secrets.OP9_SQL,
     }
