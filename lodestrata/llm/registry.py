@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import chat, decontaminate, ngram_join, packing, secrets, token_files, toxicity, urls
+from lodestrata.llm import chat, decontaminate, ngram_join, packing, quality, secrets, token_files, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_urls": urls.op6,
         "op2_ngram_join": ngram_join.op2,
         "op1_toxicity": toxicity.op1,
+        "op8_quality": quality.op8,
         "op3_token_files": token_files.op3,
     }
 
