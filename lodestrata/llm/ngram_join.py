@@ -24,7 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import mix, runs_of, slices, text_bytes, word_hashes, written
+from lodestrata.llm.common import mix, runs_of, shuffles, slices, text_bytes, word_hashes, written
+from lodestrata.llm.dealing import DEALT, by_part, dealt_batch, packed
+from lodestrata.llm.dealing import shared as shared_keys
 from lodestrata.llm.graph import components
 from lodestrata.session import table
 
@@ -82,14 +84,9 @@ def fingerprint(hashes: np.ndarray) -> tuple[int, int]:
 
 
 DOC = ["valid", "doc_id", "mark", "n", "fp1", "fp2", "full0", "full1"]
-DEALT = "part int, kind int, a binary, c binary"
 TOLD = "kind int, doc_id long, mark long, n long, fp1 long, fp2 long, full0 long, full1 long, key long, df long, band long"
 
 
-def shuffles(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
 def deal(docs: DataFrame, n_parts: int) -> DataFrame:
     """Per batch and part: the batch's document rows (kind 0) and sketch words with their sets (kind 1)."""
 
@@ -115,28 +112,11 @@ def deal(docs: DataFrame, n_parts: int) -> DataFrame:
                         bandof.append(np.full(len(e), band, np.int32))
                 mark = xxhash.xxh64_intdigest(data, 42)
                 rows.append((doc is not None, doc or 0, mark - (1 << 64) if mark >> 63 else mark, len(h), *fp, *full))
-            out = [[], [], [], []]
-            cell = lambda *x: [c.append(v) for c, v in zip(out, x, strict=True)]
-            if rows:
-                cell(turn % n_parts, 0, np.array(rows, np.int64).tobytes(), b"")
-                turn += 1
+            out = [(turn % n_parts, 0, np.array(rows, np.int64).tobytes(), b"")] if rows else []
+            turn += 1
             if keys:
-                k, o, b = np.concatenate(keys), np.concatenate(owners), np.concatenate(bandof)
-                part = (k % np.uint64(n_parts)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                k, o, b, part = k[order], o[order], b[order], part[order]
-                edges = np.searchsorted(part, np.arange(n_parts + 1))
-                for p in range(n_parts):
-                    lo, hi = edges[p], edges[p + 1]
-                    if hi > lo:
-                        own, bb = o[lo:hi], b[lo:hi]
-                        # a set's words stand together: one header for each run
-                        first = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (bb[1:] != bb[:-1])])
-                        head = np.empty(len(first), [("fp", "<i8"), ("band", "<u4"), ("n", "<u4")])
-                        head["fp"], head["band"], head["n"] = own[first], bb[first], np.diff(np.r_[first, hi - lo])
-                        cell(p, 1, head.tobytes(), k[lo:hi].view(np.uint8).reshape(-1, 8)[:, :7].tobytes())
-            kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["part", "kind", "a", "c"])
+                out += [(p, 1, a, c) for p, a, c in packed(np.concatenate(keys), np.concatenate(owners), np.concatenate(bandof), n_parts)]
+            yield dealt_batch(out)
 
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return source.mapInArrow(run, DEALT)
@@ -151,51 +131,15 @@ def tell(dealt: DataFrame) -> DataFrame:
         return pa.record_batch([full.get(c, pa.nulls(n, pa.int64())) for c in names], names)
 
     def run(batches):
-        for part, rows in by_part(batches):
-            for a, _ in rows[0]:
+        for plain, keyed in by_part(batches):
+            for a in plain:
                 m = np.frombuffer(a, np.int64).reshape(-1, len(DOC))
                 cols = {name: pa.array(m[:, i]) for i, name in enumerate(DOC) if i}
                 cols["doc_id"] = pa.array(m[:, 1], mask=m[:, 0] == 0)
                 yield emit(0, cols, len(m))
-            rows = rows[1]
-            if not rows:
-                continue
-            heads = np.concatenate([np.frombuffer(a, [("fp", "<i8"), ("band", "<u4"), ("n", "<u4")]) for a, _ in rows])
-            raw = np.frombuffer(b"".join(c for _, c in rows), np.uint8).reshape(-1, 7)
-            keys = np.zeros((len(raw), 8), np.uint8)
-            keys[:, :7] = raw
-            del rows, raw
-            keys = keys.view(np.int64).ravel()
-            fps, band = np.repeat(heads["fp"], heads["n"]), np.repeat(heads["band"], heads["n"])
-            order = np.argsort(keys, kind="stable")
-            keys = keys[order]
-            near = np.zeros(len(keys), bool)  # only words that occur again go on
-            same = keys[1:] == keys[:-1]
-            near[1:] |= same
-            near[:-1] |= same
-            keys, fps, band = keys[near], fps[order][near], band[order][near]
-            order = np.lexsort((fps, keys))
-            keys, fps, band = keys[order], fps[order], band[order]
-            first = np.ones(len(keys), bool)
-            first[1:] = (keys[1:] != keys[:-1]) | (fps[1:] != fps[:-1])
-            keys, fps, band = keys[first], fps[first], band[first]
-            _, at, df = np.unique(keys, return_inverse=True, return_counts=True)
-            df = df[at] if len(keys) else np.empty(0, np.int64)
-            keep = df > 1
-            cols = {"fp1": pa.array(fps[keep]), "key": pa.array(keys[keep]), "df": pa.array(df[keep].astype(np.int64)), "band": pa.array(band[keep].astype(np.int64))}
-            yield emit(1, cols, int(keep.sum()))
-
-    def by_part(batches):
-        now, rows = None, ([], [])
-        for batch in batches:
-            for part, kind, a, c in zip(*(batch.column(x).to_pylist() for x in ("part", "kind", "a", "c")), strict=True):
-                if part != now and now is not None:
-                    yield now, rows
-                    rows = ([], [])
-                now = part
-                rows[kind].append((a, c))
-        if now is not None:
-            yield now, rows
+            if keyed:
+                fps, band, keys, df = shared_keys(keyed)
+                yield emit(1, {"fp1": pa.array(fps), "key": pa.array(keys), "df": pa.array(df), "band": pa.array(band)}, len(keys))
 
     return dealt.repartition(shuffles(dealt.sparkSession), "part").sortWithinPartitions("part").mapInArrow(run, TOLD)
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import chat, decontaminate, ngram_join, packing, quality, secrets, token_files, toxicity, urls
+from lodestrata.llm import chat, decontaminate, ngram_join, packing, quality, secrets, substring_dedup, token_files, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_ngram_join": ngram_join.op2,
         "op1_toxicity": toxicity.op1,
         "op8_quality": quality.op8,
+        "op10_substring_dedup": substring_dedup.op10,
         "op3_token_files": token_files.op3,
     }
 
@@ -26,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_decontaminate": decontaminate.OP4_SQL,
+        "op10_substring_dedup": substring_dedup.OP10_SQL,
         "op2_ngram_join": ngram_join.OP2_SQL,
         "op5_chat": chat.OP5_SQL,
         "op9_secrets": secrets.OP9_SQL,
