@@ -12,12 +12,13 @@ are merged by document.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestrata.llm.common import ALNUM, slices, text_bytes
 from lodestrata.session import table
@@ -83,10 +84,10 @@ def blocks(benchmark: DataFrame, max_windows: int = MAX_WINDOWS) -> Iterator[lis
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, max_windows: int = MAX_WINDOWS) -> DataFrame:
-    """doc_id, text, n_words, n_hit, items (sorted strings) and character spans of each document.
+    """row (all columns of docs), text, n_words, n_hit, items (sorted strings) and character spans of each document.
 
     Null and empty texts have no words. Each row counts as a document, also where ids repeat or are null.
-    Items without an id or text hold no window; with an empty benchmark nothing is hit. Other columns of docs don't matter.
+    Items without an id or text hold no window; with an empty benchmark nothing is hit. Other columns of docs, whatever their names, are only carried.
     """
     out, spark = None, docs.sparkSession
     for held in blocks(benchmark, max_windows):
@@ -103,11 +104,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, max_windows: int = MAX_WINDOW
                     for column, v in zip(rows, (len(words), sum(b - a for a, b in spans), sorted(items), [{"start": a, "stop": b} for a, b in original_spans(text or "", spans)]), strict=True):
                         column.append(v)
                 kinds = (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))
-                yield pa.record_batch([batch.column("doc_id"), batch.column("text"), *(pa.array(c, k) for c, k in zip(rows, kinds, strict=True))], ["doc_id", "text", "n_words", "n_hit", "items", "spans"])
+                yield pa.record_batch([batch.column("row"), batch.column("text"), *(pa.array(c, k) for c, k in zip(rows, kinds, strict=True))], ["row", "text", "n_words", "n_hit", "items", "spans"])
 
         if out is None:
-            source = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-            out = source.mapInArrow(scan, "doc_id long, text string, n_words long, n_hit long, items array<string>, spans array<struct<start:long,stop:long>>")
+            source = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
+            more = T.StructType.fromDDL("n_words long, n_hit long, items array<string>, spans array<struct<start:long,stop:long>>")
+            out = source.mapInArrow(scan, T.StructType([*source.schema.fields, *more.fields]))
         else:
             out = _again(out, known)
     return out
@@ -139,10 +141,15 @@ def _again(before: DataFrame, known) -> DataFrame:
     return before.mapInArrow(scan, before.schema)
 
 
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """docs without those in which a benchmark window occurs."""
+    return matches(docs, benchmark).where("n_hit = 0").select("row.*")
+
+
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole `documents` against whole `benchmark`."""
     found = matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.selectExpr("doc_id", "n_words", "n_hit", "cast(size(items) as long) n_items", "sha2(array_join(items, ','), 256) items_sha256", "n_hit > 0 contaminated")
+    return found.selectExpr("row.doc_id", "n_words", "n_hit", "cast(size(items) as long) n_items", "sha2(array_join(items, ','), 256) items_sha256", "n_hit > 0 contaminated")
 
 
 WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

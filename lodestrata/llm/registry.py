@@ -10,17 +10,20 @@ from lodestrata.llm import chat, decontaminate, ngram_join, packing, quality, se
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    import corpus_pipeline
+
     return {
+        "op1_toxicity": toxicity.op1,
+        "op2_ngram_join": ngram_join.op2,
+        "op3_token_files": token_files.op3,
         "op4_decontaminate": decontaminate.op4,
-        "op7_pack": packing.op7,
-        "op9_secrets": secrets.op9,
         "op5_chat": chat.op5,
         "op6_urls": urls.op6,
-        "op2_ngram_join": ngram_join.op2,
-        "op1_toxicity": toxicity.op1,
+        "op7_pack": packing.op7,
         "op8_quality": quality.op8,
+        "op9_secrets": secrets.op9,
         "op10_substring_dedup": substring_dedup.op10,
-        "op3_token_files": token_files.op3,
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -231,30 +231,33 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple
 
 
 def scored(docs: DataFrame, net: Net | None, limits: dict) -> DataFrame:
-    """docs with score and rejected (score at or over its language's threshold) as more columns.
+    """row (all columns of docs), score and rejected (score at or over its language's threshold) of each row.
 
-    Null and empty texts are scored like a text without words; without a net every score is 0.
+    Null and empty texts are scored like a text without words; without a net every score is 0. Every row is
+    scored by itself, so repeated rows and ids, null ids and further columns make no difference.
     """
     known = docs.sparkSession.sparkContext.broadcast(net)
-    kept = [c for c in docs.columns if c not in ("score", "rejected")]
 
     def run(batches):
         model = known.value
         for batch in slices(batches):
-            raw = batch.column(batch.schema.get_field_index("text")).cast(pa.string()).to_pylist()
+            raw = batch.column("text").to_pylist()
             s = model.scores([words_of(x) for x in raw]) if model and raw else np.zeros(len(raw))
-            langs = batch.column(batch.schema.get_field_index("lang")).to_pylist() if "lang" in batch.schema.names else [None] * len(raw)
-            cut = np.array([limits.get(x, limits[""]) for x in langs])
-            yield pa.record_batch([*batch.columns, pa.array(s, pa.float64()), pa.array(s >= cut, pa.bool_())], [*batch.schema.names, "score", "rejected"])
+            cut = np.array([limits.get(x, limits[""]) for x in batch.column("lang").to_pylist()])
+            yield pa.record_batch([batch.column("row"), pa.array(s, pa.float64()), pa.array(s >= cut, pa.bool_())], ["row", "score", "rejected"])
 
-    source = docs.select(*kept)
-    shape = T.StructType([*source.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
-    return source.mapInArrow(run, shape)
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    source = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"), lang.alias("lang"))
+    return source.mapInArrow(run, T.StructType([source.schema["row"], T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]))
+
+
+def cleared(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs without those that a net trained on their labels rejects."""
+    return scored(docs, *fit(docs, labels)).where("NOT rejected").select("row.*")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of `documents`, by a net that learned outside the held-out third."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    net, limits = fit(docs, table(spark, sf_dir, "labels"))
-    out = scored(docs, net, limits)
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    out = scored(docs, *fit(docs, table(spark, sf_dir, "labels")))
+    return out.select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
