@@ -9,9 +9,11 @@ with a Jaccard similarity of at least 3/4 differ in at most D = (|A| + |B|) / 7
    how many different sets each of its words occurs. Sets that hold more than D words of their own have no
    partner and are done; those are nearly all.
 2. Others join on their D + 1 rarest words (pigeonhole: two sets that agree in k - D parts share one of those).
-   Small buckets give all their pairs; large ones link each member to the first and the next, and after those
-   are verified, pairs of members still apart, of which only sketches within the bound go on.
-3. Pairs are verified on whole sets; components are built from the links.
+   Small buckets give all their pairs; large ones link each member to the first and the one before. Of the
+   pairs only those go on whose fine sketches (a bit of parity for each of many parts) differ in D bits at most.
+3. Pairs are verified on whole sets; components are built from the links. In large buckets that hold several
+   components, all members of different ones are then compared by their fine sketches: first a forest of the
+   pairs within the bound is verified, then every such pair that is still apart.
 
 Equal sets are one class from the start and never make pairs. Sets of fewer than SMALL shingles use one part
 a shingle. Hash collisions add candidates at most; a set's identity is a 128-bit fingerprint.
@@ -68,6 +70,13 @@ def sketch(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     return words, full
 
 
+def parities(hashes: np.ndarray, band: int) -> np.ndarray:
+    """One bit for each of many parts: whether it holds an odd number of shingles. As 64-bit words."""
+    bits = 8 * max(band, 2 * SMALL)
+    at = (mix(hashes ^ SALT) >> np.uint64(32)) * np.uint64(bits) >> np.uint64(32)
+    return np.packbits((np.bincount(at.astype(np.int64), minlength=bits) & 1).astype(bool)).view(np.uint64)
+
+
 def elements(hashes: np.ndarray, band: int, parts: int) -> np.ndarray:
     """A 64-bit key for each part's word that is not empty; equal words of different parts or bands differ."""
     if not parts:
@@ -157,44 +166,66 @@ def rarest(shared: DataFrame, sets: DataFrame) -> DataFrame:
     lists = lists.join(sets.select("fp1", "n", "full0", "full1"), "fp1").withColumns({"most": d, "alone": full - F.size("held")})
     lists = lists.where(F.col("alone") <= F.col("most"))
     lists = lists.withColumn("first", F.slice(F.array_sort("held"), F.lit(1), F.greatest(F.col("most") + 1 - F.col("alone"), F.lit(0)).cast("int")))
-    return lists.select("fp1", "band", F.explode("first.key").alias("key"))
+    return lists.select("fp1", "band", "n", F.explode("first.key").alias("key"))
+
+
+def own_band(n: int) -> int:
+    return 0 if n < SMALL else 1 << (n.bit_length() - 1)
 
 
 def pairs_of(rows: DataFrame) -> DataFrame:
-    """Candidate pairs (a < b) of rows (key, band, fp1): all of a small bucket; of a large one each member with the first and the one before."""
+    """Candidate pairs (a, b, band) of rows (key, band, fp1, n): all of a small bucket; of a large one each member with
+    the first and the one before. Pairs whose sizes rule a link out, or that meet in another band, are left out."""
 
     def run(batches):
-        now, held, n = None, [], 0
+        now, held, count = None, [], 0
         for batch in batches:
-            out = [[], []]
-            for key, band, fp in zip(*(batch.column(c).to_pylist() for c in ("key", "band", "fp1")), strict=True):
+            out = [[], [], []]
+            for key, band, fp, n in zip(*(batch.column(c).to_pylist() for c in ("key", "band", "fp1", "n")), strict=True):
                 if (key, band) != now:
-                    now, held, n = (key, band), [], 0
-                elif fp == held[-1]:
-                    continue
-                partners = held if n < BUCKET else (held[0], held[-1])
-                for other in dict.fromkeys(partners):
-                    out[0].append(other)
-                    out[1].append(fp)
-                n += 1
-                held.append(fp)
-                if n > BUCKET:  # the first and the last are enough from here on
+                    now, held, count = (key, band), [], 0
+                partners = held if count < BUCKET else (held[0], held[-1])
+                if own_band(n) == band:  # in order of n, so n is the larger of each pair
+                    for m, other in dict.fromkeys(partners):
+                        if 4 * m >= 3 * n and fp != other:
+                            out[0].append(min(fp, other))
+                            out[1].append(max(fp, other))
+                            out[2].append(band)
+                count += 1
+                held.append((n, fp))
+                if count > BUCKET:  # the first and the last are enough from here on
                     held = [held[0], held[-1]]
-            yield pa.record_batch([pa.array(c, pa.int64()) for c in out], ["a", "b"])
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in out], ["a", "b", "band"])
 
-    dealt = rows.repartition(shuffles(rows.sparkSession), "key", "band").sortWithinPartitions("key", "band", "fp1")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    dealt = rows.repartition(shuffles(rows.sparkSession), "key", "band").sortWithinPartitions("key", "band", "n", "fp1")
+    return dealt.mapInArrow(run, "a long, b long, band long").distinct()
+
+
+def near_pairs(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Those of pairs (a, b, band) whose sketches (fp1, n, band, words) differ in no more bits than linked sets can."""
+
+    def run(batches):
+        for batch in slices(batches):
+            keep = []
+            for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("n", "m", "wa", "wb")), strict=True):
+                apart = np.bitwise_count(np.frombuffer(x, np.uint64) ^ np.frombuffer(y, np.uint64)).sum()
+                keep.append(bool(apart <= (n + m) // 7))
+            yield pa.record_batch([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    one = sketches.select(F.col("fp1").alias("a"), "band", "n", F.col("words").alias("wa"))
+    two = sketches.select(F.col("fp1").alias("b"), "band", F.col("n").alias("m"), F.col("words").alias("wb"))
+    return pairs.join(one, ["a", "band"]).join(two, ["b", "band"]).select("a", "b", "n", "m", "wa", "wb").mapInArrow(run, "a long, b long")
 
 
 def token_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """fp1, n, tokens (sorted hashes) and for each of its bands a sketch of 16-bit words, of the sets wanted (doc_id, mark)."""
+    """fp1, n, tokens (sorted hashes) and for each of its bands a fine sketch, of the sets wanted (doc_id, mark)."""
 
     def run(batches):
         for batch in slices(batches):
             out = [[], [], [], []]
             for data in text_bytes(batch):
                 h = shingles(data)
-                sketches = [{"band": band, "words": sketch(h, parts or 2 * SMALL)[0].astype("<u2").tobytes()} for band, parts, _ in bands(len(h))]
+                sketches = [{"band": band, "words": parities(h, band).tobytes()} for band, _, _ in bands(len(h))]
                 for column, v in zip(out, (fingerprint(h)[0], len(h), h.tobytes(), sketches), strict=True):
                     column.append(v)
             kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct([("band", pa.int64()), ("words", pa.binary())])))
@@ -224,22 +255,31 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def pairs_apart(rows: DataFrame) -> DataFrame:
-    """Pairs of different components within buckets of rows (key, band, fp1, n, comp, words) whose sketches keep the bound."""
+def pairs_apart(rows: DataFrame, forest: bool) -> DataFrame:
+    """Pairs of different components within buckets of rows (key, band, fp1, n, comp, words) whose sketches keep the bound.
+
+    With forest, only pairs that join what the bucket's earlier ones left apart.
+    """
 
     def run(batches):
-        for group in grouped(batches):
+        for band, group in grouped(batches):
             fp, n, comp = (np.array(group[i], np.int64) for i in range(3))
-            words = np.frombuffer(b"".join(group[3]), np.uint16).reshape(len(fp), -1)
-            names, at, counts = np.unique(comp, return_inverse=True, return_counts=True)
+            words = np.frombuffer(b"".join(group[3]), np.uint64).reshape(len(fp), -1)
+            _, at, counts = np.unique(comp, return_inverse=True, return_counts=True)
             main = at == counts.argmax()
+            out = [[], []]
             for i in np.flatnonzero(~main):
-                others = np.flatnonzero((at != at[i]) & (main | (np.arange(len(fp)) > i)) & (4 * np.minimum(n, n[i]) >= 3 * np.maximum(n, n[i])))
+                fits = (4 * np.minimum(n, n[i]) >= 3 * np.maximum(n, n[i])) & (np.maximum(n, n[i]) >= band)
+                others = np.flatnonzero((at != at[i]) & (main | (np.arange(len(fp)) > i)) & fits)
                 for lo in range(0, len(others), 4096):
                     part = others[lo : lo + 4096]
-                    near = part[(words[part] != words[i]).sum(axis=1) <= (n[part] + n[i]) // 7]
-                    if len(near):
-                        yield pa.record_batch([pa.array(np.minimum(fp[near], fp[i])), pa.array(np.maximum(fp[near], fp[i]))], ["a", "b"])
+                    for j in part[np.bitwise_count(words[part] ^ words[i]).sum(axis=1) <= (n[part] + n[i]) // 7].tolist():
+                        if at[j] != at[i]:
+                            out[0].append(min(fp[j], fp[i]))
+                            out[1].append(max(fp[j], fp[i]))
+                            if forest:
+                                at[at == at[i]] = at[j]
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in out], ["a", "b"])
 
     def grouped(batches):
         now, group = None, None
@@ -247,12 +287,12 @@ def pairs_apart(rows: DataFrame) -> DataFrame:
             for key, band, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "band", "fp1", "n", "comp", "words")), strict=True):
                 if (key, band) != now:
                     if group:
-                        yield group
+                        yield now[1], group
                     now, group = (key, band), [[], [], [], []]
                 for column, v in zip(group, row, strict=True):
                     column.append(v)
         if group:
-            yield group
+            yield now[1], group
 
     dealt = rows.repartition(shuffles(rows.sparkSession), "key", "band").sortWithinPartitions("key", "band", "fp1")
     return dealt.mapInArrow(run, "a long, b long").distinct()
@@ -276,20 +316,22 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sizes = written(rare.groupBy("key", "band").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
     members = rare.join(sizes, ["key", "band"])
     pairs = written(pairs_of(members), "pairs")
-    wanted = pairs.select(F.col("a").alias("fp1")).union(members.select("fp1")).distinct()
+    in_large = members.where(F.col("size") > BUCKET).select("fp1")
+    wanted = pairs.select(F.col("a").alias("fp1")).union(pairs.select("b")).union(in_large).distinct()
     wanted = written(sets.join(wanted, "fp1", "left_semi").select("first.doc_id", "first.mark"), "wanted")
     tokens = written(token_sets(docs, wanted), "tokens")
-    links = written(verified(pairs, tokens), "links")
-    labels = components(links)
-    large = members.where(F.col("size") > BUCKET).select("key", "band", "fp1").join(labels.withColumnRenamed("node", "fp1"), "fp1", "left").withColumn("comp", F.coalesce("comp", "fp1"))
-    apart = large.groupBy("key", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "band")
     sketches = tokens.select("fp1", "n", F.explode("sketches").alias("s")).select("fp1", "n", F.col("s.band").alias("band"), F.col("s.words").alias("words"))
-    large = large.join(apart, ["key", "band"]).join(sketches, ["fp1", "band"]).select("key", "band", "fp1", "n", "comp", "words")
-    more = written(pairs_apart(large), "apart")
-    if not more.isEmpty():
-        late = written(verified(more.join(pairs, ["a", "b"], "left_anti"), tokens), "late")
+    links = written(verified(near_pairs(pairs, sketches), tokens), "links")
+    labels = components(links)
+    large = members.where(F.col("size") > BUCKET).select("key", "band", "fp1")
+    for forest in (True, False):
+        now = large.join(labels.withColumnRenamed("node", "fp1"), "fp1", "left").withColumn("comp", F.coalesce("comp", "fp1"))
+        apart = now.groupBy("key", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "band")
+        now = now.join(apart, ["key", "band"]).join(sketches, ["fp1", "band"]).select("key", "band", "fp1", "n", "comp", "words")
+        late = written(verified(pairs_apart(now, forest), tokens), "late")
         if not late.isEmpty():
-            labels = components(links.union(late))
+            links = links.union(late)
+            labels = components(links)
     known = sets.join(labels.select(F.col("node").alias("fp1"), "comp"), "fp1", "left").withColumn("comp", F.coalesce("comp", "fp1"))
     # copies of one set and sets linked: the smallest member of each class
     best = known.groupBy("comp").agg(F.min("first").alias("best"))
