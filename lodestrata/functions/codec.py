@@ -1,0 +1,123 @@
+"""Byte codecs of the binary formats, without Spark: integers, compressed blobs, key material."""
+
+from __future__ import annotations
+
+import hashlib
+
+
+class FormatError(ValueError):
+    """The bytes are not what the format says."""
+
+
+#: Extra bytes of an encoded integer -> how many value bits its lead byte holds. There is no seven-byte form.
+LEAD_BITS = {0: 6, 1: 5, 2: 4, 3: 3, 4: 2, 5: 1, 6: 0, 8: 0}
+
+
+def decode_int(data: bytes, at: int) -> tuple[int, int]:
+    """(value, next place). The top bit is a sign; set bits below it count the extra bytes."""
+    lead = data[at]
+    body, ones = lead & 0x7F, 0
+    while ones < 7 and body & (0x40 >> ones):
+        ones += 1
+    extra = 8 if ones == 7 else ones
+    end = at + 1 + extra
+    if end > len(data):
+        raise IndexError("an encoded integer runs past the end")
+    value = (body & ((1 << LEAD_BITS[extra]) - 1)) << (8 * extra) | int.from_bytes(data[at + 1 : end], "big")
+    return (-value if lead & 0x80 else value), end
+
+
+def encode_int(value: int) -> bytes:
+    """The narrowest form of a value."""
+    size, sign = abs(value), 0x80 if value < 0 else 0
+    for extra, bits in LEAD_BITS.items():
+        if size < 1 << (bits + 8 * extra):
+            prefix = 0x7F if extra == 8 else (0x7F << (7 - extra)) & 0x7F
+            return bytes([sign | prefix | size >> (8 * extra)]) + (size & ((1 << (8 * extra)) - 1)).to_bytes(extra, "big")
+    raise FormatError(f"{value} does not fit into 64 bits")
+
+
+def decode_varint(data: bytes, at: int) -> tuple[int, int]:
+    """Big-endian base 128; a set high bit means that more follows."""
+    value = 0
+    while True:
+        byte = data[at]
+        at += 1
+        value = value << 7 | byte & 0x7F
+        if byte < 0x80:
+            return value, at
+
+
+def encode_varint(value: int) -> bytes:
+    groups = [value & 0x7F]
+    while value := value >> 7:
+        groups.append(value & 0x7F | 0x80)
+    return bytes(reversed(groups))
+
+
+def inflate(blob: bytes, size: int | None = None) -> bytes:
+    """Expands a blob: its first byte is the escape; escape 0 is that byte itself, escape (length, distance) a copy."""
+    if not blob:
+        raise FormatError("empty compressed blob")
+    escape, out, at = blob[:1], bytearray(), 1
+    while at < len(blob):
+        mark = blob.find(escape, at)
+        if mark < 0 or mark + 1 >= len(blob):
+            out += blob[at : mark if mark >= 0 else None]
+            break
+        out += blob[at:mark]
+        if blob[mark + 1] == 0:
+            out += escape
+            at = mark + 2
+            continue
+        length, at = decode_varint(blob, mark + 1)
+        distance, at = decode_varint(blob, at)
+        if not 0 < distance <= len(out):
+            raise FormatError(f"distance {distance} is out of range")
+        # a copy that overlaps its own output repeats the last `distance` bytes
+        piece = bytes(out[-distance:])
+        out += (piece * (length // distance + 1))[:length] if length > distance else piece[:length]
+    if size is not None and len(out) != size:
+        raise FormatError(f"{len(out)} bytes came out, {size} were declared")
+    return bytes(out)
+
+
+def rarest_byte(data: bytes) -> int:
+    """The least frequent byte, the smallest of several."""
+    return min(range(256), key=lambda b: (data.count(b), b))
+
+
+def deflate(data: bytes, window: int = 1 << 16, least: int = 4, most: int = 4096) -> bytes:
+    """A greedy compressor for `inflate`: the newest earlier place of each 4-byte string is tried."""
+    escape = rarest_byte(data)
+    out, last, at = bytearray([escape]), {}, 0
+    while at < len(data):
+        key = data[at : at + least]
+        there = last.get(key) if len(key) == least else None
+        length = 0
+        if there is not None and at - there <= window:
+            while length < most and at + length < len(data) and data[there + length] == data[at + length]:
+                length += 1
+        if length >= least:
+            out += bytes([escape]) + encode_varint(length) + encode_varint(at - there)
+        else:
+            out += data[at : at + 1] + (b"\0" if data[at] == escape else b"")
+            length = 1
+        for i in range(at, min(at + length, len(data) - least + 1)):
+            last[data[i : i + least]] = i
+        at += length
+    return bytes(out)
+
+
+def key_material(seed: int) -> bytes:
+    """32 bytes by a small recurrence from a seed."""
+    out, value = [], seed
+    for _ in range(32):
+        value = 3 * value
+        value = 5 if value >= 0x80 else value or 0x0D
+        out.append(value)
+    return bytes(out)
+
+
+def key_of_seed(seed: int) -> bytes:
+    return hashlib.sha256(key_material(seed)).digest()
