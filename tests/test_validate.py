@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from test_module import OPS, modules, sample, tables  # noqa: F401
 
 from lodestrata import cli
-from lodestrata.functions.strings import candidates, fresh_by_harvester
+from lodestrata.functions.strings import candidates, fresh_by_harvester, string_decrypt, string_encrypt, string_key
 from lodestrata.operators.validate import STAGES, report, stages
 from lodestrata.sources import module
 
@@ -40,3 +40,11 @@ def test_commands(tmp_path, capsys, spark):
     assert cli.main(["validate", *at]) == 1
     assert cli.main(["opcodes", str(tmp_path / "absent"), "x"]) == 2
     assert F is not None
+
+
+def test_strings_come_back(spark):
+    df = spark.createDataFrame([(bytearray(b"hello \xff" * k), bytearray(p)) for k in (0, 1, 2, 3) for p in (b"key", b"key\0rest", b"other")], "d binary, p binary")
+    out = df.select("d", "p", string_encrypt(F.col("d"), string_key(F.col("p"))).alias("e"))
+    rows = out.select("d", string_decrypt(F.col("e"), string_key(F.col("p"))).alias("same"), string_decrypt(F.col("e"), string_key(F.lit(bytearray(b"key")))).alias("key"), "p").collect()
+    for r in rows:
+        assert r.same == (r.d or None) and (r.key == (r.d or None)) == (r.p != b"other" or not r.d)
