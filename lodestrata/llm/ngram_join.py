@@ -33,6 +33,8 @@ from lodestrata.llm.graph import components
 from lodestrata.session import table
 
 WIDTH, SMALL, BUCKET = 5, 64, 8
+#: Sets wanted up to this many (two numbers each, under 100 MB) go to the texts; beyond it both sides are shuffled.
+BROADCAST_ROWS = 1_000_000
 SALT = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -162,7 +164,8 @@ def rarest(shared: DataFrame, sets: DataFrame) -> DataFrame:
     most = F.when(is_own, F.greatest(F.least(wide, own), n)).otherwise(wide)
     d = F.floor((n + most) / 7)
     full = F.when(is_own, F.col("full0")).otherwise(F.col("full1"))
-    lists = shared.groupBy("fp1", "band").agg(F.collect_list(F.struct("df", "key")).alias("held"))
+    # dealt out by set once: the lists and the join with sets both keep to it
+    lists = shared.repartition(shuffles(shared.sparkSession), "fp1").groupBy("fp1", "band").agg(F.collect_list(F.struct("df", "key")).alias("held"))
     lists = lists.join(sets.select("fp1", "n", "full0", "full1"), "fp1").withColumns({"most": d, "alone": full - F.size("held")})
     lists = lists.where(F.col("alone") <= F.col("most"))
     lists = lists.withColumn("first", F.slice(F.array_sort("held"), F.lit(1), F.greatest(F.col("most") + 1 - F.col("alone"), F.lit(0)).cast("int")))
@@ -233,7 +236,9 @@ def token_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     source = source.withColumn("mark", F.xxhash64(F.coalesce("text", F.lit(""))))
+    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     wanted = wanted.select(F.col("doc_id").alias("_d"), F.col("mark").alias("_m"))
+    wanted = F.broadcast(wanted) if few else wanted
     own = source.join(wanted, source.doc_id.eqNullSafe(wanted._d) & (source.mark == wanted._m), "left_semi")
     return own.select("text").mapInArrow(run, "fp1 long, n long, tokens binary, sketches array<struct<band:long,words:binary>>").dropDuplicates(["fp1"])
 
@@ -314,7 +319,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = told.where("kind = 1").select("fp1", "key", "df", "band")
     rare = written(rarest(shared, sets), "rare")
     sizes = written(rare.groupBy("key", "band").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
-    members = rare.join(sizes, ["key", "band"])
+    members = written(rare.join(sizes, ["key", "band"]), "members")
     pairs = written(pairs_of(members), "pairs")
     in_large = members.where(F.col("size") > BUCKET).select("fp1")
     wanted = pairs.select(F.col("a").alias("fp1")).union(pairs.select("b")).union(in_large).distinct()
