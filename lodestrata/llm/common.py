@@ -12,6 +12,7 @@ from urllib.parse import urlparse
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows that one step of a worker handles together; bounds memory where texts are long.
 SLICE_ROWS = 512
@@ -44,6 +45,18 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+#: A table of so many rows of a few numbers is under 100 MB in a join.
+SMALL_ROWS = 1_000_000
+
+
+def small_or_shuffled(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """df for the other side of a join with texts: broadcast if it has at most so many rows, else both sides are shuffled.
+
+    df should be a written table, for its rows are counted (no further than the bound).
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def shuffles(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -26,15 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import mix, runs_of, shuffles, slices, text_bytes, word_hashes, written
+from lodestrata.llm.common import mix, runs_of, shuffles, slices, small_or_shuffled, text_bytes, word_hashes, written
 from lodestrata.llm.dealing import DEALT, by_part, dealt_batch, packed
 from lodestrata.llm.dealing import shared as shared_keys
 from lodestrata.llm.graph import components
 from lodestrata.session import table
 
 WIDTH, SMALL, BUCKET = 5, 64, 8
-#: Sets wanted up to this many (two numbers each, under 100 MB) go to the texts; beyond it both sides are shuffled.
-BROADCAST_ROWS = 1_000_000
 SALT = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -236,9 +234,8 @@ def token_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     source = source.withColumn("mark", F.xxhash64(F.coalesce("text", F.lit(""))))
-    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     wanted = wanted.select(F.col("doc_id").alias("_d"), F.col("mark").alias("_m"))
-    wanted = F.broadcast(wanted) if few else wanted
+    wanted = small_or_shuffled(wanted)
     own = source.join(wanted, source.doc_id.eqNullSafe(wanted._d) & (source.mark == wanted._m), "left_semi")
     return own.select("text").mapInArrow(run, "fp1 long, n long, tokens binary, sketches array<struct<band:long,words:binary>>").dropDuplicates(["fp1"])
 
@@ -358,7 +355,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     found = joined(docs).select("doc_id", "mark", "best").where("best IS NOT NULL")
     own = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("mark") == F.col("best.mark"))
     found = written(found.withColumn("own", own), "found")
-    gone = found.where("NOT own").select(F.col("doc_id").alias("_d"), F.col("mark").alias("_m")).distinct()
+    gone = small_or_shuffled(written(found.where("NOT own").select(F.col("doc_id").alias("_d"), F.col("mark").alias("_m")).distinct(), "gone"))
     marked = docs.withColumn("_mark", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     left = marked.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_mark") == F.col("_m")), "left_anti")
     twice = written(found.where("own").groupBy("doc_id", "mark").agg(F.count("*").alias("c")).where("c > 1"), "twice")

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import written
+from lodestrata.llm.common import small_or_shuffled, written
 from lodestrata.session import table
 
 MAX_OWNERS = 2
@@ -108,6 +108,9 @@ def redacted(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """docs with every span's text replaced by mask; the columns stay, n_chars follows the text."""
     _, lists = found(docs)
     lists = lists.where(F.size("spans") > 0).select(F.col("doc_id").alias("_d"), F.col("mark").alias("_m"), F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"))).alias("_spans"))
+    lists = written(lists, "lists")
+    if (lists.agg(F.max(F.size("_spans"))).head()[0] or 0) <= 64:  # else a row may be large
+        lists = small_or_shuffled(lists, 100_000)
     marked = docs.withColumn("_mark", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     both = marked.join(lists, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_mark") == F.col("_m")), "left")
     # overlapping spans are replaced once: each keeps what the furthest stop before it left over
