@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -47,8 +48,13 @@ def anchors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     span = WINDOW - RUN + 1
     if len(runs) < span:
         return runs, np.empty(0, np.int64)
-    view = np.lib.stride_tricks.sliding_window_view(runs, span)
-    return runs, view.argmin(axis=1) + np.arange(len(view))
+    n = len(runs) - span + 1
+    least, at = runs[:n].copy(), np.zeros(n, np.int64)
+    for j in range(1, span):
+        less = runs[j : n + j] < least
+        at[less] = j
+        np.copyto(least, runs[j : n + j], where=less)
+    return runs, at + np.arange(n)
 
 
 def deal(docs: DataFrame, n_parts: int) -> DataFrame:
@@ -66,7 +72,7 @@ def deal(docs: DataFrame, n_parts: int) -> DataFrame:
                 if doc is not None and len(words) >= WINDOW and mark not in seen:
                     seen.add(mark)
                     runs, at = anchors(word_hashes().of(words))
-                    keys.append(np.unique(runs[np.unique(at)]))
+                    keys.append(runs[at[np.r_[True, at[1:] != at[:-1]]]])  # places never go back
                     owners.append(np.full(len(keys[-1]), mark, np.int64))
             rows = [(turn % n_parts, 0, np.array(plain, PLAIN).tobytes(), b"")] if plain else []
             turn += 1
@@ -158,8 +164,11 @@ def suffixes(near: DataFrame, long: list[set[int]]) -> DataFrame:
             doc, sub, pos, alone, upto = doc[order], sub[order], pos[order], alone[:, order], upto[:, order]
             first = np.r_[True, upto[2][1:] != upto[2][:-1]] if len(doc) else np.empty(0, bool)
             least = doc[np.flatnonzero(first)][np.cumsum(first) - 1] if len(doc) else doc
+            settled = doc > least
             g = np.where(np.isin(upto[0], known.value[0]), np.where(np.isin(upto[1], known.value[1]), upto[2], upto[1]), upto[0])
-            cols = [doc > least, g, alone[1], alone[2], doc, sub, pos.astype(np.int32)]
+            # what is settled only passes through, so it is dealt out by document
+            g = np.where(settled, mix(doc.view(np.uint64)).view(np.int64), g)
+            cols = [settled, g, alone[1], alone[2], doc, sub, pos.astype(np.int32)]
             yield pa.record_batch([pa.array(c) for c in cols], ["settled", "g", "s2", "s3", "doc_id", "sub", "pos"])
 
     return near.select("doc_id", "sub", "text", "keys").mapInArrow(run, SUFFIX)
@@ -188,7 +197,7 @@ class Subtree:
 
 
 def earlier(rows: DataFrame) -> DataFrame:
-    """doc_id, sub and pos of suffixes of rows (g, s2, s3, doc_id, sub, pos) whose window starts in a smaller document."""
+    """doc_id, sub and pos of suffixes of rows (settled, g, s2, s3, doc_id, sub, pos) whose window starts in a smaller document."""
 
     def run(batches):
         held: list[list[np.ndarray]] = []
@@ -200,6 +209,9 @@ def earlier(rows: DataFrame) -> DataFrame:
         # groups lie side by side: several small ones are one tree whose first step is g, so g joins s2
         n = 0
         for batch in batches:
+            settled = batch.column("settled")
+            yield batch.filter(settled).select(["doc_id", "sub", "pos"])
+            batch = batch.filter(pc.invert(settled))
             g, s2, s3, *leaf = (batch.column(c).to_numpy() for c in ("g", "s2", "s3", "doc_id", "sub", "pos"))
             if not len(g):
                 continue
@@ -243,8 +255,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     near = source.join(wanted, (F.col("doc_id") == F.col("_d")) & (F.col("mark") == F.col("_m"))).select("doc_id", "mark", "sub", "text", "keys")
     near = written(near.dropDuplicates(["doc_id", "mark"]), "near")
     found = suffixes(near, crowded(near))
-    again = found.where("settled").select("doc_id", "sub", "pos").union(earlier(found.where("NOT settled").select("g", "s2", "s3", "doc_id", "sub", "pos")))
-    places = again.groupBy("doc_id", "sub").agg(F.collect_list("pos").alias("places"))
+    places = earlier(found).groupBy("doc_id", "sub").agg(F.collect_list("pos").alias("places"))
     changed = _cut(near.join(places, ["doc_id", "sub"]))
     out = rows.join(texts, ["mark", "size"], "left").join(changed.withColumnsRenamed({"doc_id": "_d", "mark": "_m"}), (F.col("doc_id") == F.col("_d")) & (F.col("mark") == F.col("_m")), "left")
     copy = (F.col("doc_id") > F.col("first")) & (F.col("n_words") >= WINDOW)
