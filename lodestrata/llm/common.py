@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 #: Rows that one step of a worker handles together; bounds memory where texts are long.
 SLICE_ROWS = 512
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 #: Bytes that are not word bytes of `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` become blanks, A-Z lower case.
 ALNUM = bytes(
@@ -107,10 +107,26 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+_in_use: list = []
+
+
+def sole(cache):
+    """cache, after emptying the one used before: a worker remembers words for one operator at a time."""
+    if not _in_use or _in_use[0] is not cache:
+        for other in _in_use:
+            other.clear()
+        _in_use[:] = [cache]
+    return cache
+
+
 @functools.lru_cache(maxsize=1)
+def _word_hashes() -> WordHashes:
+    return WordHashes(300_000)
+
+
 def word_hashes() -> WordHashes:
     """The worker's own, kept between tasks."""
-    return WordHashes(500_000)
+    return sole(_word_hashes())
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -103,7 +103,7 @@ def deal(docs: DataFrame, n_parts: int) -> DataFrame:
         import xxhash
 
         turn = 0
-        for batch in slices(batches, 4096, 16 << 20):
+        for batch in slices(batches, 1024, 4 << 20):
             rows, seen, keys, owners, bandof = [], set(), [], [], []
             for doc, data in zip(batch.column("doc_id").to_pylist(), text_bytes(batch), strict=True):
                 h = shingles(data)

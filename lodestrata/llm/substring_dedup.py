@@ -64,7 +64,7 @@ def deal(docs: DataFrame, n_parts: int) -> DataFrame:
         import xxhash
 
         turn = 0
-        for batch in slices(batches, 4096, 16 << 20):
+        for batch in slices(batches, 1024, 4 << 20):
             plain, seen, keys, owners = [], set(), [], []
             for doc, data in zip(batch.column("doc_id").to_pylist(), text_bytes(batch), strict=True):
                 words, mark = data.split(), signed(xxhash.xxh64_intdigest(data, 42))
@@ -148,7 +148,7 @@ def suffixes(near: DataFrame, long: list[set[int]]) -> DataFrame:
     known = near.sparkSession.sparkContext.broadcast([np.array(sorted(x), np.int64) for x in long])
 
     def run(batches):
-        for batch in slices(batches, 2048, 8 << 20):
+        for batch in slices(batches, 1024, 4 << 20):
             docs, subs, places, alone, upto = [], [], [], [], []
             for doc, sub, data, keys in zip(batch.column("doc_id").to_pylist(), batch.column("sub").to_pylist(), text_bytes(batch), batch.column("keys").to_pylist(), strict=True):
                 p, a, u = live(data, keys)

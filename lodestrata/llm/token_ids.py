@@ -7,6 +7,8 @@ import re
 
 import numpy as np
 
+from lodestrata.llm.common import sole
+
 #: Words of these characters alone take the short way: nothing in them is changed by NFC, and lower-casing is per character.
 PLAIN = re.compile(rb"(?:[!-~]|\xc2[\xa1-\xbf]|\xc3[\x80-\xbf])+\Z")
 
@@ -39,6 +41,10 @@ class WordTokens(dict):
         rest = [b for b in range(256) if b not in shown]
         self.shown = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
+    def clear(self) -> None:
+        super().clear()
+        self.parts.clear()
+
     def part(self, text: str) -> bytes:
         ids = self.parts.get(text)
         if ids is None:
@@ -50,7 +56,7 @@ class WordTokens(dict):
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= self.limit:
-            self.clear()
+            super().clear()
         if PLAIN.match(word) and b"<|" not in word:
             ids = b"".join(map(self.part, self.pattern.findall(word.decode().lower())))
         else:
@@ -64,6 +70,10 @@ class WordTokens(dict):
 
 
 @functools.lru_cache(maxsize=1)
+def _word_tokens(path: str) -> WordTokens:
+    return WordTokens(path)
+
+
 def word_tokens(path: str) -> WordTokens:
     """The worker's own: Spark keeps Python workers between tasks, and with them what words they remember."""
-    return WordTokens(path)
+    return sole(_word_tokens(path))
