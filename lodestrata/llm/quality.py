@@ -4,12 +4,16 @@ Counts become a vector of logarithms of rates. For each language and source a mi
 is found by concentration steps: from medians and median deviations, the share H of rows nearest to the estimate
 gives the next mean and covariance. Each step is two aggregations over all rows (an exact percentile of
 rounded distances, then sums), both combined before the shuffle, so a group may be of any size. Rows whose squared
-Mahalanobis distance, scaled to the group's median, is beyond LIMIT are rejected. Groups of fewer than LEAST
-rows are pooled by language, and what is still too small with all the rest.
+Mahalanobis distance is beyond the group's own bound are rejected: from its median and upper quartile over all rows,
+which up to a quarter of junk cannot move far, the exponential tail of a chi-squared variable is carried on to where CHANCE
+rows of the group are to be expected. Groups of fewer than LEAST rows are pooled by language, and what is still too
+small with all the rest.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,9 +24,8 @@ from lodestrata.session import table
 
 WINDOW, H, STEPS, LEAST = 8, 0.75, 4, 200
 MIN_WORDS, MAX_REPEAT = 20, 30
-#: Bound of the scaled squared distance; the scale is the median over that of a chi-squared variable with 6 degrees.
-#: Rates of texts have far longer tails than a normal variable's: labelled good texts reach 496, labelled junk lies mostly beyond 600.
-LIMIT, MEDIAN = 550.0, 5.348
+#: Distances are scaled by their median over that of a chi-squared variable with 6 degrees. CHANCE: expected false rejections in a group.
+MEDIAN, CHANCE = 5.348, 0.01
 NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_lines")
 P = 6
 #: Variances are at least this: most texts of a group may have the very same rate.
@@ -126,8 +129,8 @@ def _estimates(sums: DataFrame) -> DataFrame:
     return sums.mapInArrow(run, "g string, mu array<double>, prec array<double>")
 
 
-def estimates(rows: DataFrame) -> DataFrame:
-    """g, mu, prec and scale of every group of rows (g, x0..)."""
+def estimates(rows: DataFrame, chance: float = CHANCE) -> DataFrame:
+    """g, mu, prec, scale and bound of every group of rows (g, x0..)."""
     rounded = lambda c: F.round(c, 2)  # noqa: E731  the exact percentile keeps a count of each distinct value
     mid = written(rows.groupBy("g").agg(F.array(*(F.percentile(rounded(F.col(f"x{i}")), F.lit(0.5)) for i in range(P))).alias("mu")), "mid")
     off = rows.join(mid, "g").groupBy("g").agg(F.first("mu").alias("mu"), F.array(*(F.percentile(rounded(F.abs(F.col(f"x{i}") - F.get("mu", F.lit(i)))), F.lit(0.5)) for i in range(P))).alias("mad"))
@@ -141,11 +144,12 @@ def estimates(rows: DataFrame) -> DataFrame:
         sums = core.groupBy("g").agg(F.count("*").alias("n"), F.array(*(F.sum(f"x{i}") for i in range(P))).alias("s"), F.array(*(F.sum(F.col(f"x{i}") * F.col(f"x{j}")) for i in range(P) for j in range(i + 1))).alias("q"))
         now = written(_estimates(sums), "estimates")
     near = rows.join(now, "g").select("g", _distance().alias("d2")).withColumn("level", level)
-    scale = near.groupBy("g").agg((F.exp(F.percentile("level", F.lit(0.5))) / MEDIAN).alias("scale"))
-    return now.join(scale, "g")
+    own = near.groupBy("g").agg(F.count("*").alias("n"), *(F.exp(F.percentile("level", F.lit(q))).alias(c) for q, c in ((0.5, "half"), (0.75, "upper"))))
+    bound = (F.col("half") + (F.col("upper") - F.col("half")) / math.log(2) * F.log(F.col("n") / (2 * chance))) / F.col("scale")
+    return now.join(own.withColumn("scale", F.greatest(F.col("half") / MEDIAN, F.lit(1e-9))).select("g", "scale", bound.alias("bound")), "g")
 
 
-def judged(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
+def judged(docs: DataFrame, chance: float = CHANCE) -> DataFrame:
     """doc_id, NAMES, base_failed, distance (scaled and squared) and kept of each row of docs.
 
     Every row counts and comes back, also where ids repeat or are null. Rows that fail the base rule take no
@@ -154,9 +158,9 @@ def judged(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
     rows = written(counted(docs).withColumn("base_failed", failed), "counts")
     rows = _groups(rows).select("*", *(x.alias(f"x{i}") for i, x in enumerate(vector())))
-    known = written(estimates(rows.where("NOT base_failed")), "mcd")
-    out = rows.join(known, "g", "left").withColumn("distance", _distance() / F.greatest("scale", F.lit(1e-9)))
-    kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= limit, F.lit(True))
+    known = written(estimates(rows.where("NOT base_failed"), chance), "mcd")
+    out = rows.join(known, "g", "left").withColumn("distance", _distance() / F.col("scale"))
+    kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= F.col("bound"), F.lit(True))
     return out.select("doc_id", *NAMES, "base_failed", "distance", kept.alias("kept"))
 
 

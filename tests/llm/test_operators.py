@@ -376,6 +376,32 @@ def test_quality_counts_and_outliers(spark, docs, rows, odd, none):
     assert quality.judged(odd).count() == 6 and quality.judged(none).count() == 0
 
 
+def prose(rng, lines=20):
+    """Short lines with a capital each; no run of 8 words comes twice."""
+    return ["".join(rng.choices("abcdefg", k=rng.randint(2, 8))).capitalize() + "".join(" " + "".join(rng.choices("abcdefg", k=rng.randint(2, 8))) for _ in range(rng.randint(3, 5))) for _ in range(rng.randint(lines // 2, lines * 2))]
+
+
+def junk_kinds(rng):
+    """A text for each statistic alone, in two doses."""
+    out = {}
+    for dose in (0.7, 1.0):
+        t = prose(rng)
+        some = lambda f, t=t, dose=dose: "\n".join(" ".join(f(w) if i < dose * 10 else w for i, w in enumerate(x.split(" "))) if rng.random() < dose else x for x in t)
+        out |= {("capitals", dose): some(str.upper), ("symbols", dose): some(lambda w: w + "#$"), ("long words", dose): some(lambda w: w * 5)}
+        out["repeated lines", dose] = "\n".join(x for y in zip(t[: int(4 + dose * 8)], [t[0]] * 99, strict=False) for x in y)
+    return out
+
+
+def test_quality_bound_is_each_groups_own(spark):
+    rng = random.Random(3)
+    clean = [(i, "\n".join(prose(rng)), "en", f"s{i % 2}", 0) for i in range(1200)]
+    kinds = [(k, t) for _ in range(5) for k, t in junk_kinds(rng).items()]
+    made = clean + [(5000 + i, t, "en", f"s{i % 2}", 0) for i, (_, t) in enumerate(kinds)]
+    kept = {r.doc_id for r in quality.judged(spark.createDataFrame(made, DOCS)).where("kept").collect()}
+    assert len(kept & {*range(1200)}) >= 1198
+    assert not [k for i, (k, _) in enumerate(kinds) if 5000 + i in kept]
+
+
 def brute_spans(t):
     t, out = t or "", []
     a = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
