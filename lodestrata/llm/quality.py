@@ -2,7 +2,8 @@
 
 Counts become a vector of logarithms of rates. For each language and source a minimum-covariance-determinant estimate
 is found by concentration steps: from medians and median deviations, the share H of rows nearest to the estimate
-gives the next mean and covariance. Each step is two aggregations over all rows (an exact percentile of
+gives the next mean and covariance, until no group's determinant falls any more; each group keeps its least. A variance is at least that
+of rounding to whole counts in the group's middle text, which matters only for statistics that hardly vary in the core. Each step is two aggregations over all rows (an exact percentile of
 rounded distances, then sums), both combined before the shuffle, so a group may be of any size. Rows whose squared
 Mahalanobis distance is beyond the group's own bound are rejected: from its median and upper quartile over all rows,
 which up to a quarter of junk cannot move far, the exponential tail of a chi-squared variable is carried on to where CHANCE
@@ -22,14 +23,14 @@ from pyspark.sql import functions as F
 from lodestrata.llm.common import runs_of, slices, text_bytes, word_hashes, written
 from lodestrata.session import table
 
-WINDOW, H, STEPS, LEAST = 8, 0.75, 4, 200
+WINDOW, H, LEAST = 8, 0.75, 200
 MIN_WORDS, MAX_REPEAT = 20, 30
 #: Distances are scaled by their median over that of a chi-squared variable with 6 degrees. CHANCE: expected false rejections in a group.
 MEDIAN, CHANCE = 5.348, 0.01
 NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_lines")
 P = 6
-#: Variances are at least this: most texts of a group may have the very same rate.
-FLOOR = 0.05
+#: A group is at rest when the logarithm of its determinant falls by no more than this.
+REST = 1e-3
 
 
 def counts(data: bytes) -> tuple[int, ...]:
@@ -88,6 +89,13 @@ def vector() -> list[Column]:
     ]
 
 
+def _floors(n: Column, chars: Column, lines: Column) -> Column:
+    """Variance of each statistic when its count is rounded (a twelfth of the squared step), in a text of n words, chars and lines."""
+    n, chars, lines = n + 1.0, chars + 1.0, lines + 1.0
+    steps = [4 / chars, F.log1p(200 / chars), F.log1p(20 / lines), F.log1p(20 * WINDOW / n), F.log1p(20 / chars), 0.5 / n]
+    return F.array(*(x * x / 12 for x in steps))
+
+
 def _groups(rows: DataFrame) -> DataFrame:
     """rows with g: the language and source, the language, or nothing, whichever has LEAST usable rows first."""
     fine = F.concat_ws("\x01", F.lit("s"), F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit("")))
@@ -110,43 +118,50 @@ def _distance() -> Column:
 
 
 def _estimates(sums: DataFrame) -> DataFrame:
-    """g, mu and prec from sums: g, n, s (sums) and q (sums of products, lower triangle)."""
+    """g, mu, prec, det (logarithm of the determinant) and floor from sums: g, n, s (sums), q (sums of products, lower triangle) and floor."""
 
     def run(batches):
         for b in batches:
-            mus, precs = [], []
-            for n, s, q in zip(*(b.column(c).to_pylist() for c in ("n", "s", "q")), strict=True):
+            mus, precs, dets = [], [], []
+            for n, s, q, floor in zip(*(b.column(c).to_pylist() for c in ("n", "s", "q", "floor")), strict=True):
                 mu = np.array(s) / n
                 cov = np.zeros((P, P))
                 cov[np.tril_indices(P)] = np.array(q) / n
                 cov = cov + np.tril(cov, -1).T - np.outer(mu, mu)
-                cov += np.diag(np.maximum(FLOOR - np.diag(cov), 0) + 1e-3)
+                cov += np.diag(np.maximum(floor - np.diag(cov), 0) + 0.01 * np.array(floor))  # a little more, so that it can be inverted
                 mus.append(mu.tolist())
                 precs.append(np.linalg.inv(cov).ravel().tolist())
+                dets.append(float(np.linalg.slogdet(cov)[1]))
             kind = pa.list_(pa.float64())
-            yield pa.record_batch([b.column("g"), pa.array(mus, kind), pa.array(precs, kind)], ["g", "mu", "prec"])
+            yield pa.record_batch([b.column("g"), pa.array(mus, kind), pa.array(precs, kind), pa.array(dets, pa.float64()), b.column("floor")], ["g", "mu", "prec", "det", "floor"])
 
-    return sums.mapInArrow(run, "g string, mu array<double>, prec array<double>")
+    return sums.mapInArrow(run, "g string, mu array<double>, prec array<double>, det double, floor array<double>")
 
 
 def estimates(rows: DataFrame, chance: float = CHANCE) -> DataFrame:
     """g, mu, prec, scale and bound of every group of rows (g, x0..)."""
     rounded = lambda c: F.round(c, 2)  # noqa: E731  the exact percentile keeps a count of each distinct value
-    mid = written(rows.groupBy("g").agg(F.array(*(F.percentile(rounded(F.col(f"x{i}")), F.lit(0.5)) for i in range(P))).alias("mu")), "mid")
-    off = rows.join(mid, "g").groupBy("g").agg(F.first("mu").alias("mu"), F.array(*(F.percentile(rounded(F.abs(F.col(f"x{i}") - F.get("mu", F.lit(i)))), F.lit(0.5)) for i in range(P))).alias("mad"))
-    unit = [F.when(F.lit(i == j), 1 / F.greatest((1.4826 * F.get("mad", F.lit(i))) ** 2, F.lit(FLOOR))).otherwise(0.0) for i in range(P) for j in range(P)]
-    now = written(off.select("g", "mu", F.array(*unit).alias("prec")), "estimates")
+    half = lambda c: F.percentile(c, F.lit(0.5))
+    mid = written(rows.groupBy("g").agg(F.array(*(half(rounded(F.col(f"x{i}"))) for i in range(P))).alias("mu"), _floors(*map(half, ("n_words", "word_chars", "n_lines"))).alias("floor")), "mid")
+    off = rows.join(mid, "g").groupBy("g").agg(F.first("mu").alias("mu"), F.first("floor").alias("floor"), F.array(*(half(rounded(F.abs(F.col(f"x{i}") - F.get("mu", F.lit(i))))) for i in range(P))).alias("mad"))
+    unit = [F.when(F.lit(i == j), 1 / F.greatest((1.4826 * F.get("mad", F.lit(i))) ** 2, F.get("floor", F.lit(i)))).otherwise(0.0) for i in range(P) for j in range(P)]
+    now = written(off.select("g", "mu", F.array(*unit).alias("prec"), F.lit(float("inf")).alias("det"), "floor"), "estimates")
     level = F.round(F.log(F.col("d2") + 1e-6), 2)
-    for _ in range(STEPS):
-        near = rows.join(now, "g").select("g", *(f"x{i}" for i in range(P)), _distance().alias("d2")).withColumn("level", level)
+    falls = True
+    while falls:  # ends: a determinant only falls, by REST at least, and floors bound it
+        near = rows.join(now, "g").select("g", "floor", *(f"x{i}" for i in range(P)), _distance().alias("d2")).withColumn("level", level)
         cut = near.groupBy("g").agg(F.percentile("level", F.lit(H)).alias("cut"))
         core = near.join(cut, "g").where(F.col("level") <= F.col("cut"))
-        sums = core.groupBy("g").agg(F.count("*").alias("n"), F.array(*(F.sum(f"x{i}") for i in range(P))).alias("s"), F.array(*(F.sum(F.col(f"x{i}") * F.col(f"x{j}")) for i in range(P) for j in range(i + 1))).alias("q"))
-        now = written(_estimates(sums), "estimates")
+        sums = core.groupBy("g").agg(F.count("*").alias("n"), F.array(*(F.sum(f"x{i}") for i in range(P))).alias("s"), F.array(*(F.sum(F.col(f"x{i}") * F.col(f"x{j}")) for i in range(P) for j in range(i + 1))).alias("q"), F.first("floor").alias("floor"))
+        new = _estimates(sums).select("g", F.struct("mu", "prec", "det", "floor").alias("new"))
+        both = now.join(new, "g").withColumn("falls", F.col("new.det") < F.col("det") - REST)
+        now = written(both.select("g", "falls", *(F.when(F.col("falls"), F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in ("mu", "prec", "det", "floor"))), "estimates")
+        falls = bool(now.agg(F.max("falls")).head()[0])
+        now = now.drop("falls")
     near = rows.join(now, "g").select("g", _distance().alias("d2")).withColumn("level", level)
     own = near.groupBy("g").agg(F.count("*").alias("n"), *(F.exp(F.percentile("level", F.lit(q))).alias(c) for q, c in ((0.5, "half"), (0.75, "upper"))))
     bound = (F.col("half") + (F.col("upper") - F.col("half")) / math.log(2) * F.log(F.col("n") / (2 * chance))) / F.col("scale")
-    return now.join(own.withColumn("scale", F.greatest(F.col("half") / MEDIAN, F.lit(1e-9))).select("g", "scale", bound.alias("bound")), "g")
+    return now.select("g", "mu", "prec").join(own.withColumn("scale", F.greatest(F.col("half") / MEDIAN, F.lit(1e-9))).select("g", "scale", bound.alias("bound")), "g")
 
 
 def judged(docs: DataFrame, chance: float = CHANCE) -> DataFrame:

@@ -402,6 +402,29 @@ def test_quality_bound_is_each_groups_own(spark):
     assert not [k for i, (k, _) in enumerate(kinds) if 5000 + i in kept]
 
 
+def test_quality_estimates_are_at_rest_and_keep_small_variances(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(0, 1, (900, 6)) * [0.12, 0, 0, 0, 0.06, 0.4] + [6.4, 0, 0, 0, 0.3, 2.8]
+    x[:, 4] += (x[:, 0] - 6.4) * 0.3
+    x[:180] += rng.normal(0, 1, (180, 6)) * [1, 1, 1, 1, 0.5, 1] + [1, 2, 0, 0, 0.5, 0]
+    named = [f"x{i}" for i in range(6)]
+    df = spark.createDataFrame([("a", *map(float, r), 264, 1365, 7) for r in x], "g string, " + ", ".join(f"{c} double" for c in named) + ", n_words long, word_chars long, n_lines long")
+    got = quality.estimates(df).head()
+    floor = np.array([4 / 1366, np.log1p(200 / 1366), np.log1p(20 / 8), np.log1p(160 / 265), np.log1p(20 / 1366), 0.5 / 265]) ** 2 / 12
+    mu = np.median(x, axis=0)
+    cov = np.diag(np.maximum((1.4826 * np.median(np.abs(x - mu), axis=0)) ** 2, floor))
+    for _ in range(100):
+        d2 = np.einsum("ij,jk,ik->i", x - mu, np.linalg.inv(cov), x - mu)
+        core = x[d2 <= np.quantile(d2, 0.75)]
+        mu, cov = core.mean(axis=0), np.cov(core.T, bias=True)
+        cov += np.diag(np.maximum(floor - np.diag(cov), 0) + 0.01 * floor)
+    found = np.linalg.inv(np.array(got.prec).reshape(6, 6))
+    assert np.abs(np.array(got.mu) - mu).max() < 0.02 and np.diag(cov)[4] < 0.01
+    assert np.allclose(np.diag(found), np.diag(cov), rtol=0.1) and abs(np.linalg.slogdet(found)[1] - np.linalg.slogdet(cov)[1]) < 0.1
+
+
 def brute_spans(t):
     t, out = t or "", []
     a = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
