@@ -5,8 +5,9 @@ of several widths run over all words of a text; the maximum of each over the tex
 into one logistic unit. Embeddings start from the log-odds of their features among training texts and all weights are then
 trained together by Adam; only the words under a maximum get a gradient.
 
-Training takes at most MAX_TRAIN labelled documents (those whose hashed ids come first), a documented bound; a
-fifth of them only calibrates the rejection threshold of each language. Every document is scored whole: long texts in
+Training takes at most MAX_TRAIN labelled documents (those whose hashed ids come first, without a fifth of them), a documented
+bound. All labelled documents outside the held-out third that did not train calibrate the rejection threshold of each
+language, by histograms of their scores. Every document is scored whole: long texts in
 steps that overlap by the widest filter. lang, source, ids and labels are no inputs of a score.
 """
 
@@ -20,12 +21,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestrata.llm.common import ALNUM, slices
+from lodestrata.llm.common import ALNUM, slices, written
 from lodestrata.session import table
 
 MAX_TRAIN, BUCKETS, DIM, WIDTHS, FILTERS = 6000, 1 << 16, 16, (1, 2, 3), 8
 EPOCHS, STEPS, BATCH, RATE, SEED = 3, 120, 128, 0.01, 7
 MARGIN = max(WIDTHS) - 1
+#: Bins of the histograms of scores.
+BINS = 10_000
 #: Words that are convolved at once.
 STEP = 60_000
 
@@ -177,57 +180,73 @@ def train(texts: list[list[bytes]], labels: np.ndarray, seed: int = SEED) -> Net
     return net
 
 
-def thresholds(scores: np.ndarray, labels: np.ndarray, langs: list, least: int = 20) -> dict:
-    """For each language the score with the best F1 on calibrating rows; '' for languages with fewer than least of either label."""
+def _best(bins: list[int], good: list[int], bad: list[int]) -> float:
+    """The score with the best F1, between two bins that hold rows; bins descend."""
+    hit, n = np.cumsum(bad), np.cumsum(np.add(good, bad))
+    i = int((2 * hit / (n + max(1, hit[-1]))).argmax())
+    low = (bins[i] + bins[i + 1] + 1) / 2 if i + 1 < len(bins) else bins[i]
+    return min(0.9, max(0.3, low / BINS))
 
-    def best(s, y):
-        order = np.argsort(-s, kind="stable")
-        s, y = s[order], y[order]
-        hit = np.cumsum(y)
-        f1 = 2 * hit / (np.arange(1, len(y) + 1) + max(1, y.sum()))
-        f1[:-1][s[:-1] == s[1:]] = -1  # a threshold stands between different scores
-        i = int(f1.argmax())
-        return float(s[i] + (s[i + 1] if i + 1 < len(s) else s[i])) / 2
 
-    both = lambda y: 0 < y.sum() < len(y)
-    out = {"": min(0.9, max(0.3, best(scores, labels))) if both(labels) else 0.7}
-    for lang in sorted({x for x in langs if x is not None}):
-        own = np.array([x == lang for x in langs])
-        if min(labels[own].sum(), (1 - labels[own]).sum()) >= least:
-            out[lang] = min(0.9, max(0.3, best(scores[own], labels[own])))
-    return out
+def thresholds(rows: DataFrame, least: int = 20) -> dict:
+    """For each language the score with the best F1 over rows (lang, score, toxic); '' for languages with fewer than least of either label.
+
+    Only histograms of BINS scores reach the driver, of languages with enough rows and of all rows together.
+    """
+    bins = F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).cast("int").alias("bin")
+    per = written(rows.groupBy("lang", bins).agg(F.sum(1 - F.col("toxic")).alias("good"), F.sum("toxic").alias("bad")), "histogram")
+    enough = per.groupBy("lang").agg(F.sum("good").alias("_g"), F.sum("bad").alias("_b")).where((F.col("_g") >= least) & (F.col("_b") >= least) & F.col("lang").isNotNull())
+    own = per.join(enough.select("lang"), "lang").select("lang", "bin", "good", "bad")
+    total = per.groupBy("bin").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).select(F.lit(None).cast("string").alias("lang"), "bin", "good", "bad")
+    held: dict = {}
+    for r in sorted(own.unionByName(total).collect(), key=lambda r: -r.bin):
+        held.setdefault("" if r.lang is None else ("lang", r.lang), []).append(r)
+    cut = {k: _best(*zip(*((r.bin, r.good, r.bad) for r in v), strict=True)) for k, v in held.items() if 0 < sum(r.bad for r in v) and 0 < sum(r.good for r in v)}
+    return {"": cut.pop("", 0.7)} | {k[1]: t for k, t in cut.items() if k[1]}
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple[Net | None, dict]:
-    """The net and the thresholds by language, from labelled rows outside the held-out third."""
+def _known(labels: DataFrame) -> DataFrame:
+    """doc_id and toxic of labelled ids outside the held-out third."""
     use = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(~held_out(F.col("doc_id")))
-    use = use.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
-    # a sort key of its own, so that which rows are taken does not depend on their order; at most max_train rows
-    use = use.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
+    return use.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
+
+
+def _with_lang(docs: DataFrame) -> DataFrame:
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), lang.alias("lang"))
-    texts, ys, langs, cal = [], [], [], []
-    for r in source.join(F.broadcast(use), "doc_id").toLocalIterator():
-        texts.append((r.doc_id, zlib.crc32((r.text or "").encode()), words_of(r.text), r.toxic, r.lang))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), lang.alias("lang"))
+
+
+def learned(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple[Net | None, list[int]]:
+    """The net, and the ids it was trained on: labelled rows outside the held-out third, at most max_train ids."""
+    # a sort key of its own, so that which rows are taken does not depend on their order
+    use = _known(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
+    texts = []
+    for r in _with_lang(docs).join(F.broadcast(use), "doc_id").toLocalIterator():
+        texts.append((r.doc_id, zlib.crc32((r.text or "").encode()), words_of(r.text), r.toxic))
         if len(texts) >= 2 * max_train:  # repeated ids can't make the sample unbounded
             break
-    texts.sort(key=lambda x: x[:2])
-    for doc, _, w, y, lang_ in texts:
-        ys.append(y)
-        langs.append(lang_)
-        cal.append(zlib.crc32(b"c%d" % doc) % 5 == 0)
-    y, cal = np.array(ys, np.int64), np.array(cal, bool)
-    words = [t[2] for t in texts]
-    learn = [i for i in range(len(y)) if not cal[i]]
-    if len({*y[learn].tolist()} if learn else ()) < 2:
+    texts = sorted((t for t in texts if zlib.crc32(b"c%d" % t[0]) % 5), key=lambda x: x[:2])  # a fifth only calibrates
+    y = np.array([t[3] for t in texts], np.int64)
+    if len({*y.tolist()}) < 2:
+        return None, []
+    return train([t[2] for t in texts], y), sorted({t[0] for t in texts})
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple[Net | None, dict]:
+    """The net and the thresholds by language, these from all labelled rows outside the held-out third that did not train."""
+    net, ids = learned(docs, labels, max_train)
+    if net is None:
         return None, {"": 0.7}
-    net = train([words[i] for i in learn], y[learn])
-    own = np.flatnonzero(cal)
-    return net, thresholds(net.scores([words[i] for i in own]), y[own], [langs[i] for i in own]) if len(own) else {"": 0.7}
+    trained = docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long")
+    rest = _known(labels).join(F.broadcast(trained), "doc_id", "left_anti")
+    # scores are joined with labels, not texts: no text is shuffled
+    source = _with_lang(docs).where("doc_id IS NOT NULL").where(~held_out(F.col("doc_id")))
+    scores = scored(source.join(F.broadcast(trained), "doc_id", "left_anti"), net, {"": 1.0}).select("row.doc_id", "row.lang", "score")
+    return net, thresholds(scores.join(rest, "doc_id"))
 
 
 def scored(docs: DataFrame, net: Net | None, limits: dict) -> DataFrame:
@@ -259,5 +278,6 @@ def cleared(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of `documents`, by a net that learned outside the held-out third."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    out = scored(docs, *fit(docs, table(spark, sf_dir, "labels")))
+    net, _ = learned(docs, table(spark, sf_dir, "labels"))
+    out = scored(docs, net, {"": 0.7})
     return out.select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))

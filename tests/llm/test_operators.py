@@ -86,6 +86,25 @@ def test_toxicity_learns_what_it_has_not_seen(spark):
     assert kept.columns == df.columns and 600 <= kept.count() <= 700
 
 
+def test_toxicity_thresholds_come_from_all_labels(spark, monkeypatch):
+    rng = random.Random(8)
+    plain = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(200)]
+    rows = [(i, " ".join(rng.choices(plain, k=20) + ["vilest"] * (i % 4 == 0)), ["en", "de", "fr", None][i // 4 % 4], "s", None) for i in range(2400)]
+    df = spark.createDataFrame(rows, DOCS)
+    known = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(2400)], "doc_id long, quality int, toxic int")
+    seen, real = [], toxicity.thresholds
+    monkeypatch.setattr(toxicity, "thresholds", lambda x, *a: seen.extend(x.collect()) or real(x, *a))
+    net, limits = toxicity.fit(df, known, max_train=200)
+    assert {"", "en", "de", "fr"} == set(limits)
+    open_ = [i for i in range(2400) if zlib.crc32(str(i).encode()) % 3 != 1]
+    _, trained = toxicity.learned(df, known, max_train=200)
+    assert 0 < len(trained) < 200 and sorted(r.doc_id for r in seen) == sorted({*open_} - {*trained})
+    for lang, cut in limits.items():
+        own = [(r.score, r.toxic) for r in seen if lang in ("", r.lang)]
+        f1 = lambda t, own=own: 2 * sum(y for s, y in own if s >= t) / (sum(s >= t for s, _ in own) + sum(y for _, y in own))
+        assert f1(cut) >= max(f1(0.3 + i * 0.01) for i in range(61)) - 0.005
+
+
 def test_toxicity_scores_do_not_depend_on_steps(monkeypatch):
     net = toxicity.Net()
     texts = [toxicity.words_of(t) for _, t, *_ in corpus(3, 20)]
