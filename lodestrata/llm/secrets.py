@@ -2,8 +2,8 @@
 
 Patterns give each text's base spans and, beside them, bare candidates: long tokens that mix digits with
 letters of both cases. The hash of every candidate and base value is aggregated over the corpus by distinct repositories (documents) and
-owners (sources). A value that more than MAX_OWNERS owners carry is a widely copied example; one that few
-carry looks live. Bare candidates that look live and overlap no base span become spans of kind `owned`.
+owners (sources). A value that more than MAX_OWNERS owners or more than MAX_REPOSITORIES documents carry is a widely
+copied example; one that few carry looks live. Bare candidates that look live and overlap no base span become spans of kind `owned`.
 
 Places come from the gaps between matches (lengths of what the same pattern splits off), summed by a
 window per document and kind. A document is known by doc_id and a hash of its text, so repeated rows share
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from lodestrata.llm.common import small_or_shuffled, written
 from lodestrata.session import table
 
-MAX_OWNERS = 2
+MAX_OWNERS, MAX_REPOSITORIES = 2, 10
 # fixed values: the kinds in the order in which they are listed, and the patterns of the base spans
 KINDS = ("assign", "access", "hex", "owned")
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -75,12 +75,12 @@ def ownership(spans: DataFrame) -> DataFrame:
     return by_owner.groupBy("hash").agg(F.sum("_n").alias("n_repositories"), F.count("*").alias("n_owners"))
 
 
-def found(docs: DataFrame, owner: str = "source", max_owners: int = MAX_OWNERS) -> tuple[DataFrame, DataFrame]:
+def found(docs: DataFrame, owner: str = "source", max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> tuple[DataFrame, DataFrame]:
     """The scanned rows, and per document its spans in order: array of (start, kind, stop, live)."""
     scanned = written(scan(docs, owner), "scanned")
     spans = written(spans_of(scanned), "spans")
     known = ownership(spans)
-    judged = spans.join(known.select("hash", (F.col("n_owners") <= max_owners).alias("live")), "hash")
+    judged = spans.join(known.select("hash", ((F.col("n_owners") <= max_owners) & (F.col("n_repositories") <= max_repositories)).alias("live")), "hash")
     lists = judged.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "stop", "live"))).alias("all"))
     base = F.filter("all", lambda x: x["kind"] < 3)
     lists = lists.withColumn("base", base)

@@ -477,6 +477,17 @@ def test_secrets(spark, odd, none):
     assert secrets.report(odd).count() == 6 and secrets.report(none).count() == 0
 
 
+def test_secrets_copied_through_one_owner_are_not_live(spark):
+    hot, own, edge = "aB3" + "dEf4" * 6, "zY9" + "wXv8" * 6, "kL5" + "mNo6" * 6
+    rows = [(i, f"text {i} {hot} end", "en", "hot", 0) for i in range(300)] + [(900, f"mine {own} here", "en", "hot", 0)]
+    rows += [(1000 + i, f"some {i % 10} {edge}", "en", f"s{i % 2}", 0) for i in range(10)]
+    df = spark.createDataFrame(rows, DOCS)
+    got = {r.doc_id: r.spans for r in secrets.report(df).collect()}
+    assert {d for d, x in got.items() if x} == {900, *range(1000, 1010)} and got[900] == "owned:5:32"
+    masked = {r.doc_id: r.text for r in secrets.redacted(df).collect()}
+    assert masked[900] == "mine [SECRET] here" and all(masked[i] == f"text {i} {hot} end" for i in range(300))
+
+
 def brute_dedup(rows):
     words = {d: WORD.findall(t or "") for d, t, *_ in rows}
     least = {}
