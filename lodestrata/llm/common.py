@@ -25,26 +25,52 @@ ALNUM = bytes(
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only where all run in one process it may be unset."""
     have = spark.conf.get("spark.checkpoint.dir", None)
     if not have:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         have = f"file://{tempfile.mkdtemp(prefix='lodestrata-')}"
         spark.sparkContext.setCheckpointDir(have)
         spark.conf.set("spark.checkpoint.dir", have)
     return have.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def scratch(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a table in the shared folder: computed once, and still there when an executor is lost."""
+def written(df: DataFrame, what: str, instead: list[str] | None = None) -> DataFrame:
+    """df as a table in the shared folder: computed once, and still there when an executor is lost.
+
+    instead holds the place of a table that the new one replaces and that nothing else reads: it goes, and the new place stands there.
+    """
     at = scratch(df.sparkSession, what)
     df.write.parquet(at)
+    if instead is not None:
+        delete(df.sparkSession, instead)
+        instead[:] = [at]
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def delete(spark: SparkSession, places: list[str]) -> None:
+    """Deletes tables of `written`, in any file system that Spark reaches."""
+    for at in list(places):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        if at in _made:
+            _made.remove(at)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all that `written` has left behind, for when every result has been read."""
+    delete(spark, _made)
+
+
 #: A table of so many rows of a few numbers is under 100 MB in a join.
 SMALL_ROWS = 1_000_000
 

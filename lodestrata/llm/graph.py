@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import written
+from lodestrata.llm.common import delete, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -14,14 +14,17 @@ def components(links: DataFrame) -> DataFrame:
     Each round gives a node the smallest label around it and then its label's label, so chains shrink by
     half. Every round's labels are a written table. Without links there are no rows.
     """
-    edges = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
-    labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "labels")
+    held: list[str] = []
+    ends: list[str] = []
+    edges = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges", ends)
+    labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "labels", held)
     while True:
         near = edges.join(labels, edges.b == labels.node).groupBy(F.col("a").alias("_n")).agg(F.min("comp").alias("_c"))
         step = labels.join(near, labels.node == near._n).select("node", F.least("comp", "_c").alias("_l"), F.col("comp").alias("old"))
         over = step.select(F.col("node").alias("_t"), F.col("_l").alias("_tl"))
-        nxt = written(step.join(over, step._l == over._t, "left").select("node", F.least("_l", F.coalesce("_tl", "_l")).alias("comp"), "old"), "labels")
+        nxt = written(step.join(over, step._l == over._t, "left").select("node", F.least("_l", F.coalesce("_tl", "_l")).alias("comp"), "old"), "labels", held)
         done = nxt.where("comp <> old").isEmpty()
         labels = nxt.select("node", "comp")
         if done:
+            delete(edges.sparkSession, ends)
             return labels

@@ -9,30 +9,37 @@ with a Jaccard similarity of at least 3/4 differ in at most D = (|A| + |B|) / 7
    how many different sets each of its words occurs. Sets that hold more than D words of their own have no
    partner and are done; those are nearly all.
 2. Others join on their D + 1 rarest words (pigeonhole: two sets that agree in k - D parts share one of those).
-   Small buckets give all their pairs; large ones link each member to the first and the one before. Of the
+   Small buckets give all their pairs; large ones link each member to the smallest and to the one before in its block. Of the
    pairs only those go on whose fine sketches (a bit of parity for each of many parts) differ in D bits at most.
 3. Pairs are verified on whole sets; components are built from the links. In large buckets that hold several
-   components, all members of different ones are then compared by their fine sketches: first a forest of the
-   pairs within the bound is verified, then every such pair that is still apart.
+   components, members of different ones are then compared by their fine sketches, a bounded pair of blocks in each task. Few
+   compatible pairs are listed and verified by joins; where there are many, the whole sets come to the pair of blocks,
+   which verifies until its components are joined or all their pairs are seen. So no task and no table holds a bucket's pairs.
 
 Equal sets are one class from the start and never make pairs. Sets of fewer than SMALL shingles use one part
-a shingle. Hash collisions add candidates at most; a set's identity is a 128-bit fingerprint.
+a shingle. Hash collisions of words add
+candidates at most; a set's identity is a 128-bit fingerprint, of which links carry 64 bits.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import islice
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm.common import mix, runs_of, shuffles, slices, small_or_shuffled, text_bytes, word_hashes, written
-from lodestrata.llm.dealing import DEALT, by_part, dealt_batch, packed
-from lodestrata.llm.dealing import shared as shared_keys
+from lodestrata.llm.dealing import DEALT, PLAIN, dealt_batch, packed
+from lodestrata.llm.dealing import told as told_keys
 from lodestrata.llm.graph import components
 from lodestrata.session import table
 
 WIDTH, SMALL, BUCKET = 5, 64, 8
+#: Rows and shingles of a block of a large bucket, and compatible pairs a row of which a pair of blocks lists.
+BLOCK, WEIGHT, MOST = 512, 1 << 19, 16
 SALT = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -121,10 +128,10 @@ def deal(docs: DataFrame, n_parts: int) -> DataFrame:
                         bandof.append(np.full(len(e), band, np.int32))
                 mark = xxhash.xxh64_intdigest(data, 42)
                 rows.append((doc is not None, doc or 0, mark - (1 << 64) if mark >> 63 else mark, len(h), *fp, *full))
-            out = [(turn % n_parts, 0, np.array(rows, np.int64).tobytes(), b"")] if rows else []
+            out = [(turn % n_parts, PLAIN, np.array(rows, np.int64).tobytes(), b"")] if rows else []
             turn += 1
             if keys:
-                out += [(p, 1, a, c) for p, a, c in packed(np.concatenate(keys), np.concatenate(owners), np.concatenate(bandof), n_parts)]
+                out += packed(np.concatenate(keys), np.concatenate(owners), np.concatenate(bandof), n_parts)
             yield dealt_batch(out)
 
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -140,14 +147,14 @@ def tell(dealt: DataFrame) -> DataFrame:
         return pa.record_batch([full.get(c, pa.nulls(n, pa.int64())) for c in names], names)
 
     def run(batches):
-        for plain, keyed in by_part(batches):
-            for a in plain:
-                m = np.frombuffer(a, np.int64).reshape(-1, len(DOC))
+        for x in told_keys(batches):
+            if isinstance(x, bytes):
+                m = np.frombuffer(x, np.int64).reshape(-1, len(DOC))
                 cols = {name: pa.array(m[:, i]) for i, name in enumerate(DOC) if i}
                 cols["doc_id"] = pa.array(m[:, 1], mask=m[:, 0] == 0)
                 yield emit(0, cols, len(m))
-            if keyed:
-                fps, band, keys, df = shared_keys(keyed)
+            else:
+                fps, band, keys, df = x
                 yield emit(1, {"fp1": pa.array(fps), "key": pa.array(keys), "df": pa.array(df), "band": pa.array(band)}, len(keys))
 
     return dealt.repartition(shuffles(dealt.sparkSession), "part").sortWithinPartitions("part").mapInArrow(run, TOLD)
@@ -163,7 +170,7 @@ def rarest(shared: DataFrame, sets: DataFrame) -> DataFrame:
     d = F.floor((n + most) / 7)
     full = F.when(is_own, F.col("full0")).otherwise(F.col("full1"))
     # dealt out by set once: the lists and the join with sets both keep to it
-    lists = shared.repartition(shuffles(shared.sparkSession), "fp1").groupBy("fp1", "band").agg(F.collect_list(F.struct("df", "key")).alias("held"))
+    lists = shared.repartition(shuffles(shared.sparkSession), "fp1").groupBy("fp1", "band").agg(F.collect_set(F.struct("df", "key")).alias("held"))
     lists = lists.join(sets.select("fp1", "n", "full0", "full1"), "fp1").withColumns({"most": d, "alone": full - F.size("held")})
     lists = lists.where(F.col("alone") <= F.col("most"))
     lists = lists.withColumn("first", F.slice(F.array_sort("held"), F.lit(1), F.greatest(F.col("most") + 1 - F.col("alone"), F.lit(0)).cast("int")))
@@ -175,31 +182,31 @@ def own_band(n: int) -> int:
 
 
 def pairs_of(rows: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b, band) of rows (key, band, fp1, n): all of a small bucket; of a large one each member with
-    the first and the one before. Pairs whose sizes rule a link out, or that meet in another band, are left out."""
+    """Candidate pairs (a, b, band) of rows (key, band, block, size, lead, fp1, n): all of a small bucket; of a large one each
+    member with the bucket's smallest and with the one before in its block. Pairs whose sizes rule a link out, or that
+    meet in another band, are left out."""
 
     def run(batches):
-        now, held, count = None, [], 0
+        now, held = None, []
         for batch in batches:
             out = [[], [], []]
-            for key, band, fp, n in zip(*(batch.column(c).to_pylist() for c in ("key", "band", "fp1", "n")), strict=True):
-                if (key, band) != now:
-                    now, held, count = (key, band), [], 0
-                partners = held if count < BUCKET else (held[0], held[-1])
+            for key, band, block, size, lead, fp, n in zip(*(batch.column(c).to_pylist() for c in ("key", "band", "block", "size", "lead", "fp1", "n")), strict=True):
+                if (key, band, block) != now:
+                    now, held = (key, band, block), []
+                partners = held if size <= BUCKET else [(lead["n"], lead["fp1"]), *held[-1:]]
                 if own_band(n) == band:  # in order of n, so n is the larger of each pair
                     for m, other in dict.fromkeys(partners):
                         if 4 * m >= 3 * n and fp != other:
                             out[0].append(min(fp, other))
                             out[1].append(max(fp, other))
                             out[2].append(band)
-                count += 1
+                if size > BUCKET:  # the last is enough
+                    held.clear()
                 held.append((n, fp))
-                if count > BUCKET:  # the first and the last are enough from here on
-                    held = [held[0], held[-1]]
             yield pa.record_batch([pa.array(c, pa.int64()) for c in out], ["a", "b", "band"])
 
-    dealt = rows.repartition(shuffles(rows.sparkSession), "key", "band").sortWithinPartitions("key", "band", "n", "fp1")
-    return dealt.mapInArrow(run, "a long, b long, band long").distinct()
+    dealt = rows.repartition(shuffles(rows.sparkSession), "key", "band", "block").sortWithinPartitions("key", "band", "block", "n", "fp1")
+    return dealt.select("key", "band", "block", "size", "lead", "fp1", "n").mapInArrow(run, "a long, b long, band long").distinct()
 
 
 def near_pairs(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -240,6 +247,12 @@ def token_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return own.select("text").mapInArrow(run, "fp1 long, n long, tokens binary, sketches array<struct<band:long,words:binary>>").dropDuplicates(["fp1"])
 
 
+def linked(one: bytes, two: bytes) -> bool:
+    x, y = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)
+    both = len(np.intersect1d(x, y, assume_unique=True)) if 4 * min(len(x), len(y)) >= 3 * max(len(x), len(y)) else 0
+    return 100 * both >= 75 * (len(x) + len(y) - both)
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of pairs (a, b) whose whole sets have a Jaccard similarity of at least 3/4."""
 
@@ -247,9 +260,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for batch in slices(batches):
             keep = []
             for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True)) if 4 * min(len(x), len(y)) >= 3 * max(len(x), len(y)) else 0
-                keep.append(100 * both >= 75 * (len(x) + len(y) - both))
+                keep.append(linked(x, y))
             yield pa.record_batch([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     tokens = sets.select("fp1", "tokens")
@@ -257,47 +268,103 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def pairs_apart(rows: DataFrame, forest: bool) -> DataFrame:
-    """Pairs of different components within buckets of rows (key, band, fp1, n, comp, words) whose sketches keep the bound.
+def blocks_apart(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of large buckets that hold several components, once for each pair (p, q) of blocks to be compared.
 
-    With forest, only pairs that join what the bucket's earlier ones left apart.
+    The bucket's largest component needs no comparison with itself: its blocks only meet those of all others, which also
+    meet each other. Blocks are cut by rows and shingles, so that no pair of them is large.
     """
+    large = members.where(F.col("size") > BUCKET).select("key", "band", "fp1", "n")
+    now = large.join(labels.withColumnRenamed("node", "fp1"), "fp1", "left").withColumn("comp", F.coalesce("comp", "fp1"))
+    each = now.groupBy("key", "band", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
+    tops = each.groupBy("key", "band").agg(F.max(F.struct("c", "w", "comp")).alias("top"), F.sum("c").alias("c"), F.sum("w").alias("w"), F.count("*").alias("k")).where("k > 1")
+    blocks = lambda c, w: F.ceil(F.greatest(c / BLOCK, w / WEIGHT))
+    one = blocks(F.col("c"), F.col("w")) == 1
+    tops = tops.select("key", "band", F.when(~one, F.col("top.comp")).alias("main"), F.when(one, 1).otherwise(blocks(F.col("c") - F.col("top.c"), F.col("w") - F.col("top.w"))).alias("minor"), F.when(one, 0).otherwise(blocks(F.col("top.c"), F.col("top.w"))).alias("major"))
+    now = now.join(small_or_shuffled(written(tops, "tops")), ["key", "band"])
+    is_main = F.coalesce(F.col("comp") == F.col("main"), F.lit(False))
+    own = F.when(is_main, F.col("minor") + F.pmod(F.xxhash64("fp1"), "major")).otherwise(F.pmod(F.xxhash64("fp1"), "minor"))
+    others = F.sequence(F.lit(0).cast("long"), F.when(is_main, F.col("minor")).otherwise(F.col("minor") + F.col("major")) - 1)
+    now = now.withColumn("block", own).withColumn("other", F.explode(others))
+    return now.select("key", "band", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "fp1", "n", "comp")
+
+
+class Apart:
+    """Two blocks of a bucket: pairs of different components whose sketches keep the bound."""
+
+    def __init__(self, band: int, p: int, q: int, rows: list[tuple]):
+        blocks, self.fp, self.n, comp = (np.array(c, np.int64) for c in zip(*(r[:4] for r in rows), strict=True))
+        self.words = np.frombuffer(b"".join(r[4] for r in rows), np.uint64).reshape(len(rows), -1)
+        self.band, self.mine, self.theirs = band, np.flatnonzero(blocks == p), np.flatnonzero(blocks == q)
+        self.same, (_, self.at) = p == q, np.unique(comp, return_inverse=True)
+
+    def pairs(self) -> Iterator[tuple[int, int]]:
+        """Each pair is still apart when it is given; `join` tells that it no longer is."""
+        for i in self.mine.tolist():
+            n, m = self.n[self.theirs], self.n[i]
+            fits = (4 * np.minimum(n, m) >= 3 * np.maximum(n, m)) & (np.maximum(n, m) >= self.band) & (self.at[self.theirs] != self.at[i])
+            others = self.theirs[fits & (self.theirs > i) if self.same else fits]
+            near = np.bitwise_count(self.words[others] ^ self.words[i]).sum(axis=1) <= (self.n[others] + m) // 7
+            for j in others[near].tolist():
+                if self.at[j] != self.at[i]:
+                    yield i, j
+
+    def join(self, i: int, j: int) -> None:
+        self.at[self.at == self.at[i]] = self.at[j]
+
+
+def grouped(batches, columns: tuple[str, ...]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """(key, band, p, q) and the rows of columns of each, from rows sorted by it."""
+    now, rows = None, []
+    for batch in batches:
+        for key, band, p, q, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "band", "p", "q", *columns)), strict=True):
+            if (key, band, p, q) != now:
+                if rows:
+                    yield now, rows
+                now, rows = (key, band, p, q), []
+            rows.append(tuple(row))
+    if rows:
+        yield now, rows
+
+
+def _by_blocks(rows: DataFrame) -> DataFrame:
+    by = ("key", "band", "p", "q")
+    return rows.repartition(shuffles(rows.sparkSession), *by).sortWithinPartitions(*by, "fp1")
+
+
+def pairs_apart(blocks: DataFrame, sketches: DataFrame, most: int) -> DataFrame:
+    """Pairs (a, b) still apart whose sketches keep the bound; of a pair of blocks with more than `most` a row only its key, band, p and q."""
 
     def run(batches):
-        for band, group in grouped(batches):
-            fp, n, comp = (np.array(group[i], np.int64) for i in range(3))
-            words = np.frombuffer(b"".join(group[3]), np.uint64).reshape(len(fp), -1)
-            _, at, counts = np.unique(comp, return_inverse=True, return_counts=True)
-            main = at == counts.argmax()
-            out = [[], []]
-            for i in np.flatnonzero(~main):
-                fits = (4 * np.minimum(n, n[i]) >= 3 * np.maximum(n, n[i])) & (np.maximum(n, n[i]) >= band)
-                others = np.flatnonzero((at != at[i]) & (main | (np.arange(len(fp)) > i)) & fits)
-                for lo in range(0, len(others), 4096):
-                    part = others[lo : lo + 4096]
-                    for j in part[np.bitwise_count(words[part] ^ words[i]).sum(axis=1) <= (n[part] + n[i]) // 7].tolist():
-                        if at[j] != at[i]:
-                            out[0].append(min(fp[j], fp[i]))
-                            out[1].append(max(fp[j], fp[i]))
-                            if forest:
-                                at[at == at[i]] = at[j]
-            yield pa.record_batch([pa.array(c, pa.int64()) for c in out], ["a", "b"])
+        for (key, band, p, q), rows in grouped(batches, ("block", "fp1", "n", "comp", "words")):
+            apart = Apart(band, p, q, rows)
+            found = list(islice(apart.pairs(), most * len(rows) + 1))
+            if len(found) > most * len(rows):
+                yield pa.record_batch([pa.array([x], pa.int64()) for x in (None, None, key, band, p, q)], ["a", "b", "key", "band", "p", "q"])
+            elif found:
+                i, j = apart.fp[np.array(found)].T
+                cols = [pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j)), *[pa.nulls(len(i), pa.int64())] * 4]
+                yield pa.record_batch(cols, ["a", "b", "key", "band", "p", "q"])
 
-    def grouped(batches):
-        now, group = None, None
-        for batch in batches:
-            for key, band, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "band", "fp1", "n", "comp", "words")), strict=True):
-                if (key, band) != now:
-                    if group:
-                        yield now[1], group
-                    now, group = (key, band), [[], [], [], []]
-                for column, v in zip(group, row, strict=True):
-                    column.append(v)
-        if group:
-            yield now[1], group
+    rows = blocks.join(sketches.select("fp1", "band", "words"), ["fp1", "band"])
+    return _by_blocks(rows).select("key", "band", "p", "q", "block", "fp1", "n", "comp", "words").mapInArrow(run, "a long, b long, key long, band long, p long, q long")
+
+
+def links_apart(blocks: DataFrame, sketches: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Links (a, b) within pairs of blocks, verified where they are found: a forest of what was apart, so one row a member at most."""
+
+    def run(batches):
+        for (_, band, p, q), rows in grouped(batches, ("block", "fp1", "n", "comp", "words", "tokens")):
+            apart, out = Apart(band, p, q, rows), [[], []]
+            for i, j in apart.pairs():
+                if linked(rows[i][5], rows[j][5]):
+                    apart.join(i, j)
+                    out[0].append(min(rows[i][1], rows[j][1]))
+                    out[1].append(max(rows[i][1], rows[j][1]))
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in out], ["a", "b"])
 
-    dealt = rows.repartition(shuffles(rows.sparkSession), "key", "band").sortWithinPartitions("key", "band", "fp1")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    rows = blocks.join(sketches.select("fp1", "band", "words"), ["fp1", "band"]).join(tokens.select("fp1", "tokens"), "fp1")
+    return _by_blocks(rows).select("key", "band", "p", "q", "block", "fp1", "n", "comp", "words", "tokens").mapInArrow(run, "a long, b long")
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -315,8 +382,9 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sets = written(sets, "sets")
     shared = told.where("kind = 1").select("fp1", "key", "df", "band")
     rare = written(rarest(shared, sets), "rare")
-    sizes = written(rare.groupBy("key", "band").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
-    members = written(rare.join(sizes, ["key", "band"]), "members")
+    sizes = rare.groupBy("key", "band").agg(F.count("*").alias("size"), F.min(F.struct("n", "fp1")).alias("lead")).where("size > 1")
+    block = F.when(F.col("size") > BLOCK, F.pmod(F.xxhash64("fp1"), F.ceil(F.col("size") / BLOCK))).otherwise(F.lit(0).cast("long"))
+    members = written(rare.join(written(sizes, "sizes"), ["key", "band"]).withColumn("block", block), "members")
     pairs = written(pairs_of(members), "pairs")
     in_large = members.where(F.col("size") > BUCKET).select("fp1")
     wanted = pairs.select(F.col("a").alias("fp1")).union(pairs.select("b")).union(in_large).distinct()
@@ -325,15 +393,14 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sketches = tokens.select("fp1", "n", F.explode("sketches").alias("s")).select("fp1", "n", F.col("s.band").alias("band"), F.col("s.words").alias("words"))
     links = written(verified(near_pairs(pairs, sketches), tokens), "links")
     labels = components(links)
-    large = members.where(F.col("size") > BUCKET).select("key", "band", "fp1")
-    for forest in (True, False):
-        now = large.join(labels.withColumnRenamed("node", "fp1"), "fp1", "left").withColumn("comp", F.coalesce("comp", "fp1"))
-        apart = now.groupBy("key", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "band")
-        now = now.join(apart, ["key", "band"]).join(sketches, ["fp1", "band"]).select("key", "band", "fp1", "n", "comp", "words")
-        late = written(verified(pairs_apart(now, forest), tokens), "late")
+    blocks = written(blocks_apart(members, labels), "blocks")
+    if not blocks.isEmpty():
+        apart = written(pairs_apart(blocks, sketches, MOST), "apart")
+        late = verified(apart.where("a IS NOT NULL").select("a", "b").distinct(), tokens)
+        many = small_or_shuffled(written(apart.where("a IS NULL").select("key", "band", "p", "q"), "many"))
+        late = written(late.union(links_apart(blocks.join(many, ["key", "band", "p", "q"]), sketches, tokens)), "late")
         if not late.isEmpty():
-            links = links.union(late)
-            labels = components(links)
+            labels = components(links.union(late))
     known = sets.join(labels.select(F.col("node").alias("fp1"), "comp"), "fp1", "left").withColumn("comp", F.coalesce("comp", "fp1"))
     # copies of one set and sets linked: the smallest member of each class
     best = known.groupBy("comp").agg(F.min("first").alias("best"))
@@ -350,18 +417,23 @@ def joined(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs without all but the first member (smallest doc_id, then hash of text) of each class; texts without shingles stay.
 
-    Of rows with the same id and the same text one stays.
+    Of rows with the same id and the same text one stays: the first by its columns as JSON. Null ids are last of a class.
+    Columns may have any names; without rows there is no row.
     """
     found = joined(docs).select("doc_id", "mark", "best").where("best IS NOT NULL")
     own = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("mark") == F.col("best.mark"))
     found = written(found.withColumn("own", own), "found")
-    gone = small_or_shuffled(written(found.where("NOT own").select(F.col("doc_id").alias("_d"), F.col("mark").alias("_m")).distinct(), "gone"))
-    marked = docs.withColumn("_mark", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    left = marked.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_mark") == F.col("_m")), "left_anti")
-    twice = written(found.where("own").groupBy("doc_id", "mark").agg(F.count("*").alias("c")).where("c > 1"), "twice")
+    key = lambda df, d, m: df.select(F.col("doc_id").alias(d), F.col("mark").alias(m))
+    gone = small_or_shuffled(written(key(found.where("NOT own"), "_d", "_m").distinct(), "gone"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("mark"))
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("mark") == F.col("_m"))
+    left = rows.join(gone, same, "left_anti")
+    twice = written(key(found.where("own"), "_d", "_m").groupBy("_d", "_m").agg(F.count("*").alias("c")).where("c > 1").drop("c"), "twice")
     if not twice.isEmpty():
-        left = left.dropDuplicates(["doc_id", "_mark"])
-    return left.select(*docs.columns)
+        twice = small_or_shuffled(twice)
+        one = left.join(twice, same, "left_semi").groupBy("doc_id", "mark").agg(F.min_by("row", F.to_json("row")).alias("row"))
+        left = left.join(twice, same, "left_anti").select("row").unionByName(one.select("row"))
+    return left.select("row.*")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,17 +1,18 @@
 """Substring dedup by prefix-partitioned suffix trees over words.
 
-A suffix is a word position; what matters of it are its first WINDOW words, so trees are cut off at that depth. Leaves
-under one node of that depth are equal windows, and every word of a window that also starts in a document
-with a smaller id is removed.
-
-1. Suffixes that cannot repeat are left out first. In every window the 6-word run with the smallest hash is its
-   anchor, which equal windows have in common; anchors are dealt out by value, and only those that
-   different texts share go on, with the windows around them. Equal texts are one: all but the smallest id lose every word.
-2. The suffixes left are split by variable-length prefixes: 4 words, 8 where a 4-word prefix has too many suffixes for
-   a group, the whole window where 8 have. The tables of such prefixes are bounded by the share of all suffixes that they hold.
-   Within a batch, only the smallest document's leaf of a window travels; the others are settled at once.
-3. Each group is sorted into a suffix array, neighbours' common depths (in steps of 4, 8 and WINDOW words) give the
-   internal nodes, and the deepest nodes tell which leaves repeat an earlier document.
+1. Suffixes that cannot repeat are left out first. In every window of 13 words the 6-word run with the smallest hash is its
+   anchor, which equal windows have in common; anchors are dealt out by value, and only windows around anchors that
+   different texts share go on. Texts of equal words are one: all but the smallest id lose every word.
+2. Of those, the trees hold the suffixes that start at anchors (a sparse suffix tree: every window has one). A suffix travels
+   once, with the words that its windows reach to the left and to the right. The prefix that picks its group is the anchor;
+   an anchor that too many texts share is taken longer, to whole windows, and these are dealt out in several
+   parts first, where all but those of the smallest document are settled. Within a batch, suffixes that repeat a
+   smaller document's word for word are settled at once.
+3. A group's suffixes are sorted by their words: a suffix array and the depths that neighbours have in common, in words, are its
+   tree, and a second one holds the words to the left. A node of either tree is a run of leaves. A window with `a` words before
+   its anchor lies below the right tree's node of depth 13 - a and the left one's of depth a; it is removed where
+   leaves of that pair of nodes are in a smaller document.
+4. `repeats` follows nodes down to maximal repeats of any length.
 """
 
 from __future__ import annotations
@@ -21,21 +22,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm.common import mix, runs_of, shuffles, slices, text_bytes, word_hashes, written
-from lodestrata.llm.dealing import DEALT, by_part, dealt_batch, packed, shared
+from lodestrata.llm.dealing import DEALT, HOT, KEYS, LOW, PLAIN, dealt_batch, dealt_rows, packed, split, told
 from lodestrata.session import table
 
 WINDOW, RUN = 13, 6
-STEPS = (4, 8, WINDOW)
-#: Suffixes of a group at most, about 100 MB in a worker; a prefix of more is taken longer.
-GROUP = 1 << 20
-#: A prefix is long only if it has at least this share of all suffixes, so a table of them has at most 1 / SHARE rows.
-SHARE = 1e-5
-PLAIN = np.dtype([("valid", "<i8"), ("doc_id", "<i8"), ("mark", "<i8"), ("size", "<i8"), ("n", "<i8"), ("sha", "S64")])
+BEFORE = WINDOW - RUN
+#: Suffixes for which a task of step 3 is made; its memory is about 300 bytes a suffix.
+GROUP = 1 << 18
+#: Parts in which the windows of a common anchor are settled first.
+SALTS = 64
+#: Set on the keys of anchors that too many texts share.
+LONG = 1 << 60
+MARK = np.dtype([("valid", "<i8"), ("doc_id", "<i8"), ("mark", "<i8"), ("own", "<i8"), ("n", "<i8"), ("sha", "S64")])
+#: A suffix: its document, place of its first window, number of windows, words before its anchor in the first.
+LEAF = np.dtype([("doc", "<i8"), ("own", "<i8"), ("start", "<i4"), ("n", "u1"), ("lead", "u1")])
+SPAN = np.dtype([("doc", "<i8"), ("own", "<i8"), ("start", "<i4"), ("n", "<i4")])
+#: Bytes of a word's hash that travel.
+WORD = 6
+#: Kind of dealt rows with windows of common anchors; they meet a second time.
+AGAIN = KEYS + 1
 
 
 def signed(x: int) -> int:
@@ -58,7 +67,7 @@ def anchors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def deal(docs: DataFrame, n_parts: int) -> DataFrame:
-    """Document rows (kind 0) and the anchors of each text (kind 1)."""
+    """Document rows and the anchors of each text, dealt out."""
 
     def run(batches):
         import xxhash
@@ -67,29 +76,31 @@ def deal(docs: DataFrame, n_parts: int) -> DataFrame:
         for batch in slices(batches, 1024, 4 << 20):
             plain, seen, keys, owners = [], set(), [], []
             for doc, data in zip(batch.column("doc_id").to_pylist(), text_bytes(batch), strict=True):
-                words, mark = data.split(), signed(xxhash.xxh64_intdigest(data, 42))
-                plain.append((doc is not None, doc or 0, mark, len(data), len(words), hashlib.sha256(b" ".join(words)).hexdigest().encode()))
-                if doc is not None and len(words) >= WINDOW and mark not in seen:
-                    seen.add(mark)
+                words = data.split()
+                digest = hashlib.sha256(b" ".join(words))
+                own = int.from_bytes(digest.digest()[:8], "little", signed=True)
+                plain.append((doc is not None, doc or 0, signed(xxhash.xxh64_intdigest(data, 42)), own, len(words), digest.hexdigest().encode()))
+                if doc is not None and len(words) >= WINDOW and own not in seen:
+                    seen.add(own)
                     runs, at = anchors(word_hashes().of(words))
-                    keys.append(runs[at[np.r_[True, at[1:] != at[:-1]]]])  # places never go back
-                    owners.append(np.full(len(keys[-1]), mark, np.int64))
-            rows = [(turn % n_parts, 0, np.array(plain, PLAIN).tobytes(), b"")] if plain else []
+                    keys.append(np.unique(runs[at[np.r_[True, at[1:] != at[:-1]]]] & LOW))  # places never go back
+                    owners.append(np.full(len(keys[-1]), own, np.int64))
+            rows = [(turn % n_parts, PLAIN, np.array(plain, MARK).tobytes(), b"")] if plain else []
             turn += 1
             if keys:
                 k, o = np.concatenate(keys), np.concatenate(owners)
-                rows += [(p, 1, a, c) for p, a, c in packed(k, o, np.zeros(len(k), np.uint32), n_parts)]
+                rows += packed(k, o, np.zeros(len(k), np.uint32), n_parts)
             yield dealt_batch(rows)
 
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return source.mapInArrow(run, DEALT)
 
 
-TOLD = "kind int, doc_id long, mark long, size long, n_words long, sha string, key long"
+TOLD = "kind int, doc_id long, mark long, own long, n_words long, sha string, key long"
 
 
 def tell(dealt: DataFrame) -> DataFrame:
-    """Document rows (kind 0), and which text (mark) holds which shared anchor (kind 1)."""
+    """Document rows (kind 0), and which text (own) holds which shared anchor (kind 1); LONG is set on common ones."""
 
     def emit(kind: int, n: int, **cols) -> pa.RecordBatch:
         names = [x.split() for x in TOLD.split(", ")]
@@ -97,168 +108,243 @@ def tell(dealt: DataFrame) -> DataFrame:
         return pa.record_batch([full.get(c, pa.nulls(n, pa.string() if t == "string" else pa.int64())) for c, t in names], [c for c, _ in names])
 
     def run(batches):
-        for plain, keyed in by_part(batches):
-            for a in plain:
-                m = np.frombuffer(a, PLAIN)
-                yield emit(0, len(m), doc_id=pa.array(m["doc_id"].copy(), mask=m["valid"] == 0), mark=pa.array(m["mark"].copy()), size=pa.array(m["size"].copy()), n_words=pa.array(m["n"].copy()), sha=pa.array([x.decode() for x in m["sha"].tolist()], pa.string()))
-            if keyed:
-                owners, _, keys, _ = shared(keyed)
-                yield emit(1, len(keys), mark=pa.array(owners), key=pa.array(keys))
+        for x in told(batches):
+            if isinstance(x, bytes):
+                m = np.frombuffer(x, MARK)
+                numbers = {c: pa.array(m[k].copy()) for c, k in (("mark", "mark"), ("own", "own"), ("n_words", "n"))}
+                yield emit(0, len(m), doc_id=pa.array(m["doc_id"].copy(), mask=m["valid"] == 0), sha=pa.array([s.decode() for s in m["sha"].tolist()], pa.string()), **numbers)
+            else:
+                owners, _, keys, n = x
+                yield emit(1, len(keys), own=pa.array(owners), key=pa.array(np.where(n >= HOT, keys | LONG, keys)))
 
     return dealt.repartition(shuffles(dealt.sparkSession), "part").sortWithinPartitions("part").mapInArrow(run, TOLD)
 
 
-def live(data: bytes, keys: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The places of windows around shared anchors, and for each step the hash of the words that it adds, and of all up to it."""
-    hashes = word_hashes().of(data.split())
-    runs, at = anchors(hashes)
-    hit = np.isin((runs & np.uint64((1 << 56) - 1)).astype(np.int64), np.array(keys, np.int64))
-    places = np.flatnonzero(hit[at]) if len(at) else np.empty(0, np.int64)
-    alone, upto, lo = np.empty((3, len(places)), np.uint64), np.empty((3, len(places)), np.uint64), 0
-    for i, hi in enumerate(STEPS):
-        own = runs_of(hashes[lo:], hi - lo)[places] if len(places) else np.empty(0, np.uint64)
-        alone[i] = own
-        upto[i] = own if not i else mix(upto[i - 1] + np.uint64(0x9E3779B97F4A7C15) * own)
-        lo = hi
-    return places, alone, upto
+def taken(words: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """words[at[i] : at[i] + n[i]] for every i, one after another."""
+    ends = np.cumsum(n)
+    return words[np.repeat(at - ends + n, n) + np.arange(ends[-1] if len(n) else 0)]
 
 
-def crowded(near: DataFrame, group: int = GROUP) -> list[set[int]]:
-    """The 4-word and the 8-word prefixes with too many suffixes for a group; at most 1 / SHARE of each."""
+def leaf_rows(kind: int, leaves: np.ndarray, words: np.ndarray, prefix: np.ndarray, n_parts: int) -> Iterator[tuple[int, int, bytes, bytes]]:
+    """Packed rows of leaves and the words of each (n + WINDOW - 1 of them, one after another), dealt out by prefix."""
+    n = leaves["n"].astype(np.int64) + WINDOW - 1
+    ends = np.cumsum(n)
+    for p, i in split((prefix % np.uint64(n_parts)).astype(np.int64), n_parts):
+        yield p, kind, leaves[i].tobytes(), taken(words, ends[i] - n[i], n[i]).view(np.uint8).reshape(-1, 8)[:, :WORD].tobytes()
 
-    def run(batches):
-        for batch in slices(batches):
-            held = [live(d, k)[2][:2] for d, k in zip(text_bytes(batch), batch.column("keys").to_pylist(), strict=True)]
-            for i in range(2):
-                keys, n = np.unique(np.concatenate([x[i] for x in held]), return_counts=True) if held else (np.empty(0, np.uint64), np.empty(0))
-                yield pa.record_batch([pa.array(np.full(len(keys), i, np.int32)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["step", "key", "n"])
 
-    counts = near.select("text", "keys").mapInArrow(run, "step int, key long, n long").groupBy("step", "key").agg(F.sum("n").alias("n"))
-    counts = written(counts.where("n > 1"), "prefixes")
-    total = counts.where("step = 0").agg(F.sum("n")).head()[0] or 0
-    rows = counts.where(F.col("n") > max(group, total * SHARE)).select("step", "key").collect()
-    return [{r["key"] for r in rows if r["step"] == i} for i in range(2)]
+def span_row(part: int, spans: np.ndarray) -> list[tuple[int, int, bytes, bytes]]:
+    return [(part, PLAIN, spans.tobytes(), b"")] if len(spans) else []
 
 
-SUFFIX = "settled boolean, g long, s2 long, s3 long, doc_id long, sub int, pos int"
+def spans_of(leaves: np.ndarray) -> np.ndarray:
+    out = np.empty(len(leaves), SPAN)
+    for c in ("doc", "own", "start", "n"):
+        out[c] = leaves[c]
+    return out
 
 
-def suffixes(near: DataFrame, long: list[set[int]]) -> DataFrame:
-    """Suffixes with their group g and the later steps' hashes; settled ones repeat a smaller document of their batch."""
-    known = near.sparkSession.sparkContext.broadcast([np.array(sorted(x), np.int64) for x in long])
+def leaves_of(doc: int, own: int, hashes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The text's leaves, a hash of the prefix of each, whether its anchor is common, and a hash of all that it carries."""
+    runs, at = anchors(hashes)
+    low = (runs & LOW).astype(np.int64)
+    live = np.flatnonzero(np.isin(low, keys & (LONG - 1))[at]) if len(at) else at
+    out = np.empty(len(live), LEAF)
+    if not len(live):
+        return out, np.empty(0, np.uint64), np.empty(0, bool), np.empty(0, np.uint64)
+    place, whole = at[live], runs_of(hashes, WINDOW)
+    long = np.isin(low, keys[keys >= LONG] & (LONG - 1))[place]
+    first = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | long[1:]])
+    n, live, place, long = np.diff(np.r_[first, len(live)]), live[first], place[first], long[first]
+    out = out[: len(first)]
+    out["doc"], out["own"], out["start"], out["n"], out["lead"] = doc, own, live, n, place - live
+    return out, np.where(long, whole[live], runs[place]), long, mix(whole[live] + np.uint64(0x9E3779B97F4A7C15) * whole[live + n - 1] + n.astype(np.uint64))
+
+
+def suffixes(near: DataFrame, n_parts: int) -> DataFrame:
+    """Leaves dealt out by their group (kind KEYS), and spans that repeat a smaller document of their batch (PLAIN)."""
 
     def run(batches):
+        from pyspark import TaskContext
+
+        turn = TaskContext.get().partitionId()
+        salt = np.uint64(1 + turn % SALTS)
         for batch in slices(batches, 1024, 4 << 20):
-            docs, subs, places, alone, upto = [], [], [], [], []
-            for doc, sub, data, keys in zip(batch.column("doc_id").to_pylist(), batch.column("sub").to_pylist(), text_bytes(batch), batch.column("keys").to_pylist(), strict=True):
-                p, a, u = live(data, keys)
-                docs.append(np.full(len(p), doc, np.int64))
-                subs.append(np.full(len(p), sub, np.int32))
-                places.append(p)
-                alone.append(a)
-                upto.append(u)
-            if not docs:
+            held, base, side = [], 0, []
+            for doc, own, data, keys in zip(batch.column("doc_id").to_pylist(), batch.column("own").to_pylist(), text_bytes(batch), batch.column("keys").to_pylist(), strict=True):
+                hashes = word_hashes().of(data.split())
+                leaves, prefix, long, same = leaves_of(doc, own, hashes, np.array(keys, np.int64))
+                held.append((leaves, prefix, long, same, leaves["start"] + np.int64(base)))
+                side.append(hashes)
+                base += len(hashes)
+            if not held:
                 continue
-            doc, sub, pos, alone, upto = np.concatenate(docs), np.concatenate(subs), np.concatenate(places), np.concatenate(alone, axis=1).view(np.int64), np.concatenate(upto, axis=1).view(np.int64)
-            order = np.lexsort((doc, upto[2]))
-            doc, sub, pos, alone, upto = doc[order], sub[order], pos[order], alone[:, order], upto[:, order]
-            first = np.r_[True, upto[2][1:] != upto[2][:-1]] if len(doc) else np.empty(0, bool)
-            least = doc[np.flatnonzero(first)][np.cumsum(first) - 1] if len(doc) else doc
-            settled = doc > least
-            g = np.where(np.isin(upto[0], known.value[0]), np.where(np.isin(upto[1], known.value[1]), upto[2], upto[1]), upto[0])
-            # what is settled only passes through, so it is dealt out by document
-            g = np.where(settled, mix(doc.view(np.uint64)).view(np.int64), g)
-            cols = [settled, g, alone[1], alone[2], doc, sub, pos.astype(np.int32)]
-            yield pa.record_batch([pa.array(c) for c in cols], ["settled", "g", "s2", "s3", "doc_id", "sub", "pos"])
+            leaves, prefix, long, same, at = (np.concatenate([h[i] for h in held]) for i in range(5))
+            order = np.lexsort((leaves["doc"], same))
+            s, doc = same[order], leaves["doc"][order]
+            first = np.r_[True, s[1:] != s[:-1]] if len(s) else np.empty(0, bool)
+            again = np.empty(len(s), bool)
+            again[order] = doc > doc[first][np.cumsum(first) - 1] if len(s) else False
+            turn += 1
+            rows = span_row(turn % n_parts, spans_of(leaves[again]))
+            prefix = np.where(long, mix(prefix + salt), prefix)
+            for kind, pick in ((KEYS, ~again & ~long), (AGAIN, ~again & long)):
+                i = np.flatnonzero(pick)
+                words = taken(np.concatenate(side), at[i], leaves["n"][i].astype(np.int64) + WINDOW - 1)
+                rows += leaf_rows(kind, leaves[i], words, prefix[i], n_parts)
+            yield dealt_batch(rows)
 
-    return near.select("doc_id", "sub", "text", "keys").mapInArrow(run, SUFFIX)
+    return near.select("doc_id", "own", "text", "keys").mapInArrow(run, DEALT)
 
 
-class Subtree:
-    """The suffix tree of one group, as suffix array and depths common to neighbours."""
+def ordered(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows of words, and how many words neighbours have in common."""
+    order = np.lexsort(words.T[::-1])
+    s = words[order]
+    same = s[1:] == s[:-1]
+    return order, np.where(same.all(axis=1), words.shape[1], same.argmin(axis=1))
 
-    def __init__(self, s2: np.ndarray, s3: np.ndarray, doc: np.ndarray, sub: np.ndarray, pos: np.ndarray):
-        order = np.lexsort((pos, doc, s3, s2))
-        self.s2, self.s3, self.doc, self.sub, self.pos = s2[order], s3[order], doc[order], sub[order], pos[order]
-        same2 = self.s2[1:] == self.s2[:-1]
-        self.common = np.where(same2, np.where(self.s3[1:] == self.s3[:-1], STEPS[2], STEPS[1]), STEPS[0])
 
-    def nodes(self, depth: int = WINDOW) -> Iterator[tuple[int, int]]:
-        """Leaves [from, to) of each internal node of at least so many words."""
-        edges = np.flatnonzero(np.r_[True, self.common < depth, True])
-        return ((lo, hi) for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True) if hi - lo > 1)
+class Subtree:
+    """The suffix trees of some groups as sorted leaves with the depths, in words, that neighbours have in common.
 
-    def repeats(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """doc, sub and pos of leaves whose node also has a leaf of a smaller document."""
-        first = np.r_[True, self.common < WINDOW]
-        least = self.doc[np.flatnonzero(first)][np.cumsum(first) - 1]
-        again = self.doc > least
-        return self.doc[again], self.sub[again], self.pos[again]
+    The right tree holds the words from the anchor on, the left one those before it, the nearest first.
+    """
 
+    def __init__(self, leaves: np.ndarray, words: np.ndarray):
+        n, lead = leaves["n"].astype(np.int64) + WINDOW - 1, leaves["lead"].astype(np.int64)
+        at = np.cumsum(n) - n + lead
+        self.leaves, side = leaves, np.append(words, np.uint64(0))
+        right, left = np.arange(WINDOW), np.arange(1, BEFORE + 1)
+        right = side[np.where(right < (n - lead)[:, None], at[:, None] + right, len(words))]
+        left = side[np.where(left <= lead[:, None], at[:, None] - left, len(words))]
+        self.trees = {"right": ordered(right), "left": ordered(left)}
+
+    def nodes(self, tree: str, depth: int) -> np.ndarray:
+        """The node of at least so many words above each leaf, as the rank of its first leaf; depth 0 is the root."""
+        order, common = self.trees[tree]
+        first = np.r_[True, common < depth] if len(order) else np.empty(0, bool)
+        out = np.empty(len(order), np.int64)
+        out[order] = np.flatnonzero(first)[np.cumsum(first) - 1] if len(order) else 0
+        return out
+
+    def windows(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each number of words before the anchor: the leaves with such a window, its number there, and its pair of nodes."""
+        last = self.leaves["lead"].astype(np.int64)
+        least = last - self.leaves["n"] + 1
+        for a in range(BEFORE + 1):
+            i = np.flatnonzero((least <= a) & (a <= last))
+            if len(i):
+                pair = self.nodes("right", WINDOW - a)[i] * len(last) + self.nodes("left", a)[i]
+                yield i, last[i] - a, pair
+
+    def removed(self) -> np.ndarray:
+        """Which windows of each leaf have one of a smaller document under their nodes; a column for each window."""
+        gone, docs = np.zeros((len(self.leaves), BEFORE + 1), bool), self.leaves["doc"]
+        for i, number, pair in self.windows():
+            order = np.lexsort((docs[i], pair))
+            p, d = pair[order], docs[i][order]
+            first = np.r_[True, p[1:] != p[:-1]]
+            gone[i[order], number[order]] = d > d[first][np.cumsum(first) - 1]
+        return gone
+
+    def spans(self, gone: np.ndarray) -> np.ndarray:
+        """SPAN rows of the windows that are gone, neighbours together."""
+        edges = np.diff(np.pad(gone, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+        (leaf, lo), (_, hi) = np.nonzero(edges == 1), np.nonzero(edges == -1)
+        out = spans_of(self.leaves[leaf])
+        out["start"] += lo.astype(np.int32)
+        out["n"] = hi - lo
+        return out
+
+
+def read_leaves(rows: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(b"".join(c for _, c in rows), np.uint8).reshape(-1, WORD)
+    words = np.zeros((len(raw), 8), np.uint8)
+    words[:, :WORD] = raw
+    return np.concatenate([np.frombuffer(a, LEAF) for a, _ in rows]), words.view(np.uint64).ravel()
+
+
+def settled(dealt: DataFrame, n_parts: int) -> DataFrame:
+    """Of dealt leaves: spans that repeat a smaller document (PLAIN), and common windows that did not in their part, dealt out anew (AGAIN)."""
+
+    def trees(held: dict[int, list]) -> Iterator[tuple[int, int, bytes, bytes]]:
+        for kind, rows in held.items():
+            if rows:
+                leaves, words = read_leaves(rows)
+                tree = Subtree(leaves, words)
+                gone = tree.removed()
+                yield from span_row(0, tree.spans(gone))
+                if kind == AGAIN:
+                    left = np.flatnonzero(~gone[:, 0])  # one window a leaf
+                    own = taken(words, left * WINDOW, np.full(len(left), WINDOW))
+                    whole = runs_of(own, WINDOW)[::WINDOW]
+                    yield from leaf_rows(KEYS, leaves[left], own, whole, n_parts)
 
-def earlier(rows: DataFrame) -> DataFrame:
-    """doc_id, sub and pos of suffixes of rows (settled, g, s2, s3, doc_id, sub, pos) whose window starts in a smaller document."""
+    def run(batches):
+        now, held = None, {KEYS: [], AGAIN: []}
+        for part, kind, a, c in dealt_rows(batches):
+            if part != now:
+                if now is not None:
+                    yield dealt_batch(list(trees(held)))
+                now, held = part, {KEYS: [], AGAIN: []}
+            if kind == PLAIN:
+                yield dealt_batch([(0, PLAIN, a, b"")])
+            else:
+                held[kind].append((a, c))
+        if now is not None:
+            yield dealt_batch(list(trees(held)))
+
+    return dealt.repartition(shuffles(dealt.sparkSession), "part").sortWithinPartitions("part").mapInArrow(run, DEALT)
+
+
+def earlier(near: DataFrame, n_leaves: int) -> DataFrame:
+    """doc_id, own, start and n of runs of windows (n of them from start) that also start in a smaller document."""
+    spark = near.sparkSession
+    n_parts = max(shuffles(spark), -(-n_leaves // GROUP))
+    found = written(settled(suffixes(near, n_parts), n_parts), "found")
+    rest = found.where(F.col("kind") != PLAIN)
+    if not rest.isEmpty():
+        found = found.where(F.col("kind") == PLAIN).unionByName(settled(rest, n_parts))
 
     def run(batches):
-        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            for a in batch.column("a").to_pylist():
+                m = np.frombuffer(a, SPAN)
+                yield pa.record_batch([pa.array(m[c].copy()) for c in ("doc", "own", "start", "n")], ["doc_id", "own", "start", "n"])
 
-        def tree():
-            found = Subtree(*(np.concatenate([h[i] for h in held]) for i in range(1, 6))).repeats()
-            return pa.record_batch([pa.array(c) for c in found], ["doc_id", "sub", "pos"])
+    return found.where(F.col("kind") == PLAIN).select("a").mapInArrow(run, "doc_id long, own long, start int, n int")
 
-        # groups lie side by side: several small ones are one tree whose first step is g, so g joins s2
-        n = 0
-        for batch in batches:
-            settled = batch.column("settled")
-            yield batch.filter(settled).select(["doc_id", "sub", "pos"])
-            batch = batch.filter(pc.invert(settled))
-            g, s2, s3, *leaf = (batch.column(c).to_numpy() for c in ("g", "s2", "s3", "doc_id", "sub", "pos"))
-            if not len(g):
-                continue
-            both = mix(g.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15) * s2.view(np.uint64)).view(np.int64)
-            if held and n >= GROUP // 4:
-                # cut where a group ends
-                last = held[-1][0][-1]
-                cut = int(np.argmax(g != last)) if (g != last).any() else len(g)
-                if cut:
-                    held.append([x[:cut] for x in (g, both, s3, *leaf)])
-                    n += cut
-                if cut < len(g):
-                    yield tree()
-                    held, n = [], 0
-                g, both, s3, *leaf = (x[cut:] for x in (g, both, s3, *leaf))
-            if len(g):
-                held.append([g, both, s3, *leaf])
-                n += len(g)
-        if held:
-            yield tree()
-
-    dealt = rows.repartition(shuffles(rows.sparkSession), "g").sortWithinPartitions("g")
-    return dealt.mapInArrow(run, "doc_id long, sub int, pos int")
+
+def shared_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """Document rows; of each text its smallest document (first, own); the texts that share anchors with others (doc_id, own, text, keys); and about how many leaves they have."""
+    kinds = written(tell(deal(docs, 3 * shuffles(docs.sparkSession))), "told")
+    rows = kinds.where("kind = 0").select("doc_id", "mark", "own", "n_words", "sha")
+    shared = kinds.where("kind = 1").select("own", "key")
+    texts = rows.where("doc_id IS NOT NULL").groupBy("sha").agg(F.min(F.struct("doc_id", "mark")).alias("first"), F.first("own").alias("own"))
+    lists = shared.groupBy("own").agg(F.collect_set("key").alias("keys"))
+    wanted = texts.join(lists, "own").select(F.col("first.doc_id").alias("_d"), F.col("first.mark").alias("_m"), "own", "keys")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    source = source.withColumn("mark", F.xxhash64(F.coalesce("text", F.lit(""))))
+    near = source.join(wanted, (F.col("doc_id") == F.col("_d")) & (F.col("mark") == F.col("_m"))).select("doc_id", "mark", "own", "text", "keys")
+    near = written(near.dropDuplicates(["doc_id", "mark"]).drop("mark"), "near")
+    return rows, texts.select(F.col("first.doc_id").alias("_d"), F.col("own").alias("_o")), near, shared.count()
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and removed (word spans) of each row of docs.
 
     Null texts have no words. Rows with a null doc_id are neither earlier nor later than any: they stay whole. Rows
-    that repeat an id are each judged against smaller ids alone.
+    that repeat an id are each judged against smaller ids alone. Without rows there is no row.
     """
-    told = written(tell(deal(docs, 3 * shuffles(docs.sparkSession))), "told")
-    rows = told.where("kind = 0").select("doc_id", "mark", "size", "n_words", "sha")
-    texts = rows.where("doc_id IS NOT NULL").groupBy("mark", "size").agg(F.min("doc_id").alias("first"))
-    lists = told.where("kind = 1").groupBy("mark").agg(F.collect_list("key").alias("keys"))
-    # sub tells texts of one id apart
-    sub = (F.row_number().over(Window.partitionBy("first").orderBy("mark")) - 1).alias("sub")
-    wanted = texts.join(lists, "mark").select(F.col("first").alias("_d"), F.col("mark").alias("_m"), sub, "keys")
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    source = source.withColumn("mark", F.xxhash64(F.coalesce("text", F.lit(""))))
-    near = source.join(wanted, (F.col("doc_id") == F.col("_d")) & (F.col("mark") == F.col("_m"))).select("doc_id", "mark", "sub", "text", "keys")
-    near = written(near.dropDuplicates(["doc_id", "mark"]), "near")
-    found = suffixes(near, crowded(near))
-    places = earlier(found).groupBy("doc_id", "sub").agg(F.collect_list("pos").alias("places"))
-    changed = _cut(near.join(places, ["doc_id", "sub"]))
-    out = rows.join(texts, ["mark", "size"], "left").join(changed.withColumnsRenamed({"doc_id": "_d", "mark": "_m"}), (F.col("doc_id") == F.col("_d")) & (F.col("mark") == F.col("_m")), "left")
-    copy = (F.col("doc_id") > F.col("first")) & (F.col("n_words") >= WINDOW)
+    rows, firsts, near, n_leaves = shared_texts(docs)
+    places = earlier(near, n_leaves).groupBy("doc_id", "own").agg(F.collect_list(F.struct("start", "n")).alias("places"))
+    changed = _cut(near.join(places, ["doc_id", "own"])).withColumnsRenamed({"doc_id": "_cd", "own": "_co"})
+    firsts = firsts.join(changed, (F.col("_d") == F.col("_cd")) & (F.col("_o") == F.col("_co")), "left")
+    # by document, not by text: copies of one text, however many, are rows of many keys
+    out = rows.join(firsts, (F.col("doc_id") == F.col("_d")) & (F.col("own") == F.col("_o")), "left")
+    copy = F.col("doc_id").isNotNull() & F.col("_d").isNull() & (F.col("n_words") >= WINDOW)
     none = F.array().cast("array<struct<start:int,stop:int>>")
     every = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("stop")))
     return out.select(
@@ -271,26 +357,27 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
 
 def _cut(rows: DataFrame) -> DataFrame:
-    """doc_id, mark, n_removed, kept (hash of the words left) and removed spans."""
+    """doc_id, own, n_removed, kept (hash of the words left) and removed spans."""
 
     def run(batches):
         for batch in slices(batches):
             out: list[list] = [[], [], []]
-            for data, places in zip(text_bytes(batch), batch.column("places").to_pylist(), strict=True):
+            for data, places in zip(text_bytes(batch), batch.column("places"), strict=True):
                 words = data.split()
+                at, n = (places.values.field(c).to_numpy().astype(np.int64) for c in ("start", "n"))
                 cover = np.zeros(len(words) + WINDOW + 1, np.int64)
-                at = np.array(places, np.int64)
                 np.add.at(cover, at, 1)
-                np.add.at(cover, at + WINDOW, -1)
+                np.add.at(cover, at + n + WINDOW - 1, -1)
                 gone = np.cumsum(cover)[: len(words)] > 0
-                edges = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(np.int8)))
+                edges = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(np.int8))).reshape(-1, 2).tolist()
                 out[0].append(int(gone.sum()))
-                out[1].append(hashlib.sha256(b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])).hexdigest())
-                out[2].append([{"start": a, "stop": b} for a, b in edges.reshape(-1, 2).tolist()])
+                kept = [words[a:b] for a, b in zip([0, *(b for _, b in edges)], [*(a for a, _ in edges), len(words)], strict=True)]
+                out[1].append(hashlib.sha256(b" ".join([w for piece in kept for w in piece])).hexdigest())
+                out[2].append([{"start": a, "stop": b} for a, b in edges])
             kinds = (pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))
-            yield pa.record_batch([batch.column("doc_id"), batch.column("mark"), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], ["doc_id", "mark", "n_removed", "kept", "removed"])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("own"), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], ["doc_id", "own", "n_removed", "kept", "removed"])
 
-    return rows.select("doc_id", "mark", "text", "places").mapInArrow(run, "doc_id long, mark long, n_removed long, kept string, removed array<struct<start:int,stop:int>>")
+    return rows.select("doc_id", "own", "text", "places").mapInArrow(run, "doc_id long, own long, n_removed long, kept string, removed array<struct<start:int,stop:int>>")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

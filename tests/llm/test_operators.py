@@ -170,6 +170,88 @@ def test_ngram_join_large_groups(spark):
     assert got == want and len(set(want.values())) > 31
 
 
+def test_ngram_join_one_bucket_of_thousands(spark):
+    """Near copies of one text: every batch has common words, and each bucket holds nearly all rows."""
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(100)]
+    rows = []
+    for i in range(20000):
+        w = list(base)
+        w[rng.randrange(100)] = f"e{i}"
+        rows.append((i + 5, " ".join(w), None, None, None))
+    rows += [(3, " ".join(base[:60]), None, None, None), (4, " ".join(base[:70]), None, None, None)]
+    got = {r.doc_id: r.component_id for r in ngram_join.joined(spark.createDataFrame(rows, DOCS)).collect()}
+    assert {got[d] for d in range(5, 20005)} == {5} and got[3] == 3 and got[4] == (3 if 56 * 100 >= 75 * 66 else 4)
+
+
+@pytest.mark.parametrize("most", [ngram_join.MOST, 0])
+def test_ngram_join_templates_just_not_linked(spark, most, monkeypatch):
+    """One large bucket of sets whose sketches nearly agree and which are not linked, with some that are; in many blocks, by lists of pairs and by whole sets."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 24)
+    monkeypatch.setattr(ngram_join, "MOST", most)
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(base + [f"o{i}_{k}" for k in range(rng.choice([9, 10, 10, 11, 11]))]), None, None, None) for i in range(150)]
+    rows += [(200 + i, rows[rng.randrange(150)][1] + f" z{i}" * rng.randint(1, 3), None, None, None) for i in range(60)]
+    want = smallest_reachable(shingle_sets(rows))
+    got = {r.doc_id: r.component_id for r in ngram_join.joined(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == want and len(set(want.values())) > 40
+
+
+def test_blocks_of_a_bucket_are_small(spark):
+    members = spark.range(6000).selectExpr("1L key", "64L band", "id * 7919 fp1", "70L n", "6000L size")
+    labels = spark.createDataFrame([], "node long, comp long")
+    made = ngram_join.blocks_apart(members, labels)
+    sizes = [r["count"] for r in made.groupBy("key", "band", "p", "q").count().collect()]
+    assert max(sizes) <= 2.6 * ngram_join.BLOCK and len(sizes) >= 66
+    one = spark.range(6000).selectExpr("id * 7919 node", "CASE WHEN id < 5900 THEN 0L ELSE id END comp")
+    made = written(ngram_join.blocks_apart(members, one), "blocks")
+    assert made.count() < 2 * 6000  # the large component is not compared with itself
+
+
+def test_common_keys_are_told_alike():
+    import numpy as np
+
+    from lodestrata.llm import dealing
+
+    rng, owned = random.Random(2), defaultdict(set)
+    rows = []
+    for batch in range(12):
+        keys, owners = [], []
+        for o in range(100):
+            own = rng.sample(range(1, 400), 5) + ([1000] if batch % 3 == 0 else []) + ([1001] if o < 2 else []) + [5000 + 1000 * batch + o]
+            owner = 100 * (batch % 9) + o  # some owners come in two batches
+            own = sorted(own)
+            keys += own
+            owners += [owner] * len(own)
+            for k in own:
+                owned[k].add(owner)
+        rows += dealing.packed(np.array(keys, np.uint64), np.array(owners, np.int64), np.full(len(keys), 7, np.uint32), 3)
+    rows.sort(key=lambda r: r[0])
+    got = defaultdict(set)
+    for owners, bands, keys, n in dealing.told([dealing.dealt_batch(rows)]):
+        assert set(bands.tolist()) <= {7}
+        for o, k, x in zip(owners.tolist(), keys.tolist(), n.tolist(), strict=True):
+            got[k].add((o, x))
+    assert {k: {o for o, _ in v} for k, v in got.items()} == {k: v for k, v in owned.items() if len(v) > 1}
+    assert all(len({x for _, x in v}) == 1 for v in got.values()) and {x for _, x in got[1000]} == {dealing.HOT} and {x for _, x in got[1001]} == {18}
+
+
+def test_common_keys_are_let_go(monkeypatch):
+    import numpy as np
+
+    from lodestrata.llm import dealing
+
+    monkeypatch.setattr(dealing, "HELD", 50)
+    monkeypatch.setattr(dealing, "HOT", 20)
+    rows = [r for o in range(300) for r in dealing.packed(np.array([9, 100 + o % 150, 1000 + o], np.uint64), np.full(3, o, np.int64), np.zeros(3, np.uint32), 1)]
+    got = Counter()
+    for owners, _, keys, n in dealing.told([dealing.dealt_batch(rows)]):
+        for o, k, x in zip(owners.tolist(), keys.tolist(), n.tolist(), strict=True):
+            got[o, k, x] += 1
+    assert set(got) == {(o, 9, 20) for o in range(300)} | {(o, 100 + o % 150, 2) for o in range(300)} and set(got.values()) == {1}
+
+
 def test_sketches_bound_differences():
     import numpy as np
 
@@ -502,9 +584,9 @@ def brute_dedup(rows):
     return out
 
 
-@pytest.mark.parametrize("group", [substring_dedup.GROUP, 3])
+@pytest.mark.parametrize("group", [substring_dedup.GROUP, 50])
 def test_substring_dedup(docs, rows, odd, none, group, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "crowded", lambda near, own=substring_dedup.crowded: own(near, group))
+    monkeypatch.setattr(substring_dedup, "GROUP", group)
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.deduplicated(docs).collect()}
     assert got == brute_dedup(rows)
     out = [(r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.deduplicated(odd).collect()]
@@ -512,6 +594,20 @@ def test_substring_dedup(docs, rows, odd, none, group, monkeypatch):
     assert substring_dedup.deduplicated(none).count() == 0
 
 
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_substring_dedup_of_a_common_passage(spark, partitions):
+    """More than LOCAL texts of a batch share a passage, so its windows meet twice; the rest of each text differs."""
+    rng = random.Random(partitions)
+    passage = [f"p{i}" for i in range(25)]
+    rows = []
+    for i in rng.sample(range(1000), 400):
+        w = [f"x{rng.randrange(9000)}" for _ in range(rng.randint(0, 30))]
+        own = passage[rng.choice([0, 0, 0, 4]) : rng.choice([25, 25, 16])]
+        rows.append((i, " ".join([*w, *own, *w[:9], *(own if i % 5 == 0 else [])])))
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(partitions)).collect()}
+    assert got == brute_dedup(rows) and sum(n for _, n, _ in got.values()) > 5000
+
+
 def test_repeated_ids_are_judged_apart(spark):
     w = [f"w{i}" for i in range(40)]
     rows = [(1, " ".join(w[:20])), (2, " ".join(["a", "b", *w[3:20]])), (2, " ".join(w[:14] + [f"c{i}" for i in range(30)]))]
@@ -519,13 +615,33 @@ def test_repeated_ids_are_judged_apart(spark):
     assert got == [(1, 20, 0, ()), (2, 19, 17, ((2, 19),)), (2, 44, 14, ((0, 14),))]
 
 
-def test_nodes_are_the_deep_repeats():
+def test_nodes_of_the_trees_are_those_of_the_words():
     import numpy as np
 
-    s2, s3 = np.array([1, 1, 2, 1, 2]), np.array([5, 5, 6, 7, 6])
-    tree = substring_dedup.Subtree(s2, s3, np.array([4, 2, 9, 1, 9]), np.zeros(5, np.int32), np.arange(5))
-    assert [hi - lo for lo, hi in tree.nodes()] == [2, 2] and [hi - lo for lo, hi in tree.nodes(8)] == [3, 2]
-    assert [x.tolist() for x in tree.repeats()] == [[4], [0], [0]]
+    rng = random.Random(3)
+    leaves, words = [], []
+    for i in range(300):
+        lead, n = rng.randint(0, 7), 1
+        n = rng.randint(1, lead + 1)
+        leaves.append((i % 40, 5, 10 * i, n, lead))
+        words.append([rng.randint(1, 2) if k % 3 == 0 else 1 for k in range(n + 12)])
+    made = np.array(leaves, substring_dedup.LEAF)
+    tree = substring_dedup.Subtree(made, np.array([x for w in words for x in w], np.uint64))
+    for tree_, depth in (("right", 6), ("right", 9), ("right", 13), ("left", 3), ("left", 7), ("left", 0)):
+        node, by = tree.nodes(tree_, depth), defaultdict(set)
+        for i, ((*_, lead), w) in enumerate(zip(leaves, words, strict=True)):
+            side = w[lead : lead + depth] if tree_ == "right" else w[:lead][::-1][:depth]
+            if len(side) == depth:
+                by[tuple(side)].add(int(node[i]))
+        assert all(len(v) == 1 for v in by.values()) and len(set().union(*by.values())) == len(by)
+    least: dict = {}
+    for (doc, *_, n, lead), w in zip(leaves, words, strict=True):
+        for j in range(n):
+            least[lead - j, tuple(w[j : j + 13])] = min(doc, least.get((lead - j, tuple(w[j : j + 13])), doc))
+    gone = tree.removed()
+    for i, ((doc, *_, n, lead), w) in enumerate(zip(leaves, words, strict=True)):
+        assert [bool(gone[i, j]) for j in range(8)] == [j < n and doc > least[lead - j, tuple(w[j : j + 13])] for j in range(8)]
+    assert sum(int(x["n"]) for x in tree.spans(gone)) == gone.sum()
 
 
 def test_pipeline_stages_keep_the_columns(spark):
