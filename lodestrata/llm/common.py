@@ -87,6 +87,12 @@ def shuffles(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def by_part(df: DataFrame, *order: str) -> DataFrame:
+    """df with each part's rows together, and parts of the column `part` dealt out evenly: by their number, not by its hash."""
+    n = shuffles(df.sparkSession)
+    return df.repartitionById(n, F.pmod("part", F.lit(n)).cast("int")).sortWithinPartitions("part", *order)
+
+
 def filesystem(uri: str):
     """The pyarrow file system of a URI, and the path in it."""
     from pyarrow import fs

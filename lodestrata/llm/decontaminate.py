@@ -6,8 +6,8 @@ whole, as a sequence of word numbers. A document is scanned once, and each hit m
 numbers to characters of the original text.
 
 The automaton is built from the benchmark alone and is broadcast, so its size is checked: beyond
-MAX_WINDOWS windows the items are taken in blocks, each with an automaton and a scan of its own, whose hits
-are merged by document.
+MAX_WINDOWS windows the items are taken in blocks, each with an automaton and a scan of its own, one after
+another; hits are merged by document.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestrata.llm.common import ALNUM, slices, text_bytes
+from lodestrata.llm.common import ALNUM, slices, text_bytes, written
 from lodestrata.session import table
 
 WINDOW = 10
@@ -30,15 +30,14 @@ WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 
 
 class Matcher:
-    """The automaton of some items' windows; `scan` gives hit words and items of a word list."""
+    """The automaton of the windows of some items' words; `scan` gives hit words and items of a word list."""
 
-    def __init__(self, items: list[tuple], width: int = WINDOW):
+    def __init__(self, items: list[tuple[object, list[bytes]]], width: int = WINDOW):
         import ahocorasick
 
         self.numbers: dict[bytes, int] = {}
         windows: dict[tuple, set] = {}
-        for item, text in items:
-            words = (text or "").encode().translate(ALNUM).split()
+        for item, words in items:
             ids = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in words]
             for i in range(max(1, len(ids) - width + 1) if ids else 0):
                 windows.setdefault(tuple(ids[i : i + width]), set()).add(str(item))
@@ -70,16 +69,22 @@ def original_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, i
     return [(places[a][0], places[b - 1][1]) for a, b in spans]
 
 
-def blocks(benchmark: DataFrame, max_windows: int = MAX_WINDOWS) -> Iterator[list[tuple]]:
-    """The items, so many at a time that their windows keep the bound; read from the driver without holding them all."""
-    held, n = [], 0
-    for r in benchmark.where("item_id IS NOT NULL").select("item_id", "text").toLocalIterator():
-        size = max(1, len((r.text or "").split()))
-        if held and n + size > max_windows:
-            yield held
-            held, n = [], 0
-        held.append((r.item_id, r.text))
-        n += size
+def blocks(benchmark: DataFrame, max_windows: int = MAX_WINDOWS, width: int = WINDOW) -> Iterator[list[tuple]]:
+    """Items and their words, so many at a time that their windows keep the bound; the driver holds one such block.
+
+    An item of more windows comes in pieces that overlap by a window less a word.
+    """
+    held, room = [], max_windows
+    for r in benchmark.where("item_id IS NOT NULL").select("item_id", F.col("text").cast("string").alias("text")).toLocalIterator():
+        words = (r.text or "").encode().translate(ALNUM).split()
+        at, n = 0, max(1, len(words) - width + 1) if words else 0
+        while at < n:
+            take = min(room, n - at)
+            held.append((r.item_id, words[at : at + take + width - 1]))
+            at, room = at + take, room - take
+            if not room:
+                yield held
+                held, room = [], max_windows
     yield held
 
 
@@ -110,8 +115,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, max_windows: int = MAX_WINDOW
             source = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
             more = T.StructType.fromDDL("n_words long, n_hit long, items array<string>, spans array<struct<start:long,stop:long>>")
             out = source.mapInArrow(scan, T.StructType([*source.schema.fields, *more.fields]))
-        else:
-            out = _again(out, known)
+        elif held:
+            out = _again(written(out, "hits"), known)  # one automaton at a time in a worker
     return out
 
 
@@ -142,7 +147,10 @@ def _again(before: DataFrame, known) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those in which a benchmark window occurs."""
+    """docs without those in which a benchmark window occurs.
+
+    Null and empty texts stay, repeated rows are judged alike, and with an empty benchmark every row stays.
+    """
     return matches(docs, benchmark).where("n_hit = 0").select("row.*")
 
 

@@ -12,9 +12,10 @@ with a Jaccard similarity of at least 3/4 differ in at most D = (|A| + |B|) / 7
    Small buckets give all their pairs; large ones link each member to the smallest and to the one before in its block. Of the
    pairs only those go on whose fine sketches (a bit of parity for each of many parts) differ in D bits at most.
 3. Pairs are verified on whole sets; components are built from the links. In large buckets that hold several
-   components, members of different ones are then compared by their fine sketches, a bounded pair of blocks in each task. Few
-   compatible pairs are listed and verified by joins; where there are many, the whole sets come to the pair of blocks,
-   which verifies until its components are joined or all their pairs are seen. So no task and no table holds a bucket's pairs.
+   components, members of different ones are then compared by their fine sketches, a bounded pair of blocks in each task: first
+   a forest of compatible pairs is verified, then those of what is still apart. Few such pairs are listed; where there are more
+   than rows, the whole sets come to the pair of blocks, which verifies until its components are joined or all their
+   pairs are seen. So no task and no table holds a bucket's pairs.
 
 Equal sets are one class from the start and never make pairs. Sets of fewer than SMALL shingles use one part
 a shingle. Hash collisions of words add
@@ -31,15 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import mix, runs_of, shuffles, slices, small_or_shuffled, text_bytes, word_hashes, written
+from lodestrata.llm.common import by_part, mix, runs_of, shuffles, slices, small_or_shuffled, text_bytes, word_hashes, written
 from lodestrata.llm.dealing import DEALT, PLAIN, dealt_batch, packed
 from lodestrata.llm.dealing import told as told_keys
 from lodestrata.llm.graph import components
 from lodestrata.session import table
 
 WIDTH, SMALL, BUCKET = 5, 64, 8
-#: Rows and shingles of a block of a large bucket, and compatible pairs a row of which a pair of blocks lists.
-BLOCK, WEIGHT, MOST = 512, 1 << 19, 16
+#: Rows and shingles of a block of a large bucket, and compatible pairs a row that a pair of blocks lists at most.
+BLOCK, WEIGHT, MOST = 512, 1 << 19, 1
 SALT = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -157,7 +158,7 @@ def tell(dealt: DataFrame) -> DataFrame:
                 fps, band, keys, df = x
                 yield emit(1, {"fp1": pa.array(fps), "key": pa.array(keys), "df": pa.array(df), "band": pa.array(band)}, len(keys))
 
-    return dealt.repartition(shuffles(dealt.sparkSession), "part").sortWithinPartitions("part").mapInArrow(run, TOLD)
+    return by_part(dealt).mapInArrow(run, TOLD)
 
 
 def rarest(shared: DataFrame, sets: DataFrame) -> DataFrame:
@@ -332,14 +333,23 @@ def _by_blocks(rows: DataFrame) -> DataFrame:
     return rows.repartition(shuffles(rows.sparkSession), *by).sortWithinPartitions(*by, "fp1")
 
 
-def pairs_apart(blocks: DataFrame, sketches: DataFrame, most: int) -> DataFrame:
-    """Pairs (a, b) still apart whose sketches keep the bound; of a pair of blocks with more than `most` a row only its key, band, p and q."""
+def pairs_apart(blocks: DataFrame, sketches: DataFrame, most: int | None = None) -> DataFrame:
+    """Pairs (a, b) still apart whose sketches keep the bound; of a pair of blocks with more than `most` a row only its key, band, p and q.
+
+    Without most, a forest of such pairs: those that would join what the ones before leave apart.
+    """
 
     def run(batches):
         for (key, band, p, q), rows in grouped(batches, ("block", "fp1", "n", "comp", "words")):
             apart = Apart(band, p, q, rows)
-            found = list(islice(apart.pairs(), most * len(rows) + 1))
-            if len(found) > most * len(rows):
+            if most is None:
+                found = []
+                for i, j in apart.pairs():
+                    apart.join(i, j)
+                    found.append((i, j))
+            else:
+                found = list(islice(apart.pairs(), most * len(rows) + 1))
+            if most is not None and len(found) > most * len(rows):
                 yield pa.record_batch([pa.array([x], pa.int64()) for x in (None, None, key, band, p, q)], ["a", "b", "key", "band", "p", "q"])
             elif found:
                 i, j = apart.fp[np.array(found)].T
@@ -393,14 +403,19 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sketches = tokens.select("fp1", "n", F.explode("sketches").alias("s")).select("fp1", "n", F.col("s.band").alias("band"), F.col("s.words").alias("words"))
     links = written(verified(near_pairs(pairs, sketches), tokens), "links")
     labels = components(links)
-    blocks = written(blocks_apart(members, labels), "blocks")
-    if not blocks.isEmpty():
-        apart = written(pairs_apart(blocks, sketches, MOST), "apart")
+    for whole in (False, True):
+        blocks = written(blocks_apart(members, labels), "blocks")
+        if blocks.isEmpty():
+            break
+        apart = written(pairs_apart(blocks, sketches, MOST if whole else None), "apart")
         late = verified(apart.where("a IS NOT NULL").select("a", "b").distinct(), tokens)
-        many = small_or_shuffled(written(apart.where("a IS NULL").select("key", "band", "p", "q"), "many"))
-        late = written(late.union(links_apart(blocks.join(many, ["key", "band", "p", "q"]), sketches, tokens)), "late")
+        if whole:
+            many = small_or_shuffled(written(apart.where("a IS NULL").select("key", "band", "p", "q"), "many"))
+            late = late.union(links_apart(blocks.join(many, ["key", "band", "p", "q"]), sketches, tokens))
+        late = written(late, "late")
         if not late.isEmpty():
-            labels = components(links.union(late))
+            links = links.union(late)
+            labels = components(links)
     known = sets.join(labels.select(F.col("node").alias("fp1"), "comp"), "fp1", "left").withColumn("comp", F.coalesce("comp", "fp1"))
     # copies of one set and sets linked: the smallest member of each class
     best = known.groupBy("comp").agg(F.min("first").alias("best"))

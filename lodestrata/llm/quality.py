@@ -1,10 +1,13 @@
 """Quality rules: base counts of a text, and robust multivariate outliers among texts of a language and source.
 
 Counts become a vector of logarithms of rates. For each language and source a minimum-covariance-determinant estimate
-is found by concentration steps: from medians and median deviations, the share H of rows nearest to the estimate
-gives the next mean and covariance, until no group's determinant falls any more; each group keeps its least. A variance is at least that
+is found by concentration steps, in which the share H of rows nearest to an estimate gives the next mean and covariance. There are
+three starts, all around the medians and scaled by median deviations: without correlations, with those of hyperbolic tangents,
+and with those of spatial signs. After FIRST steps the start of the least determinant goes on until no group's determinant falls
+any more; each group keeps its least. A variance is at least that
 of rounding to whole counts in the group's middle text, which matters only for statistics that hardly vary in the core. Each step is two aggregations over all rows (an exact percentile of
-rounded distances, then sums), both combined before the shuffle, so a group may be of any size. Rows whose squared
+rounded distances, then sums), both combined before the shuffle, and rows meet their group's numbers by a broadcast, that of a bounded
+number of large groups if there are too many, so a group may be of any size. Rows whose squared
 Mahalanobis distance is beyond the group's own bound are rejected: from its median and upper quartile over all rows,
 which up to a quarter of junk cannot move far, the exponential tail of a chi-squared variable is carried on to where CHANCE
 rows of the group are to be expected. Groups of fewer than LEAST rows are pooled by language, and what is still too
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import runs_of, slices, text_bytes, word_hashes, written
+from lodestrata.llm.common import SMALL_ROWS, runs_of, slices, text_bytes, word_hashes, written
 from lodestrata.session import table
 
 WINDOW, H, LEAST = 8, 0.75, 200
@@ -31,6 +34,10 @@ NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 P = 6
 #: A group is at rest when the logarithm of its determinant falls by no more than this.
 REST = 1e-3
+#: Steps of every start, before the best goes on.
+FIRST = 2
+#: A group with more than this share of all rows is hot; there are at most 1 / HOT of them.
+HOT = 1e-3
 
 
 def counts(data: bytes) -> tuple[int, ...]:
@@ -96,15 +103,28 @@ def _floors(n: Column, chars: Column, lines: Column) -> Column:
     return F.array(*(x * x / 12 for x in steps))
 
 
+def on_group(rows: DataFrame, groups: DataFrame, by: str = "g", how: str = "inner", small: int = SMALL_ROWS) -> DataFrame:
+    """rows with the columns of groups (a written table of by, hot and more): by a broadcast if groups are few, else of the hot ones alone.
+
+    So no hot group's rows are dealt out by the group. A group is hot or not in all its rows of groups.
+    """
+    if groups.limit(small + 1).count() <= small:
+        return rows.join(F.broadcast(groups), by, how)
+    hot = rows.join(F.broadcast(groups.where("hot").select(by).distinct()), by, "left_semi").join(F.broadcast(groups.where("hot")), by)
+    cold = rows.join(F.broadcast(groups.where("hot").select(by).distinct()), by, "left_anti").join(groups.where("NOT hot"), by, how)
+    return hot.unionByName(cold)
+
+
 def _groups(rows: DataFrame) -> DataFrame:
     """rows with g: the language and source, the language, or nothing, whichever has LEAST usable rows first."""
     fine = F.concat_ws("\x01", F.lit("s"), F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit("")))
     rows = rows.withColumns({"_s": fine, "_l": F.concat_ws("\x01", F.lit("l"), F.coalesce("lang", F.lit("")))})
-    sizes = rows.where("NOT base_failed").groupBy("_s", "_l").agg(F.count("*").alias("n"))
+    sizes = written(rows.where("NOT base_failed").groupBy("_s", "_l").agg(F.count("*").alias("n")), "sizes")
+    total = sizes.agg(F.sum("n")).head()[0] or 0
     pooled = sizes.where(F.col("n") < LEAST).groupBy("_l").agg(F.sum("n").alias("m"))
     g = F.when(F.col("n") >= LEAST, F.col("_s")).when(F.col("m") >= LEAST, F.col("_l")).otherwise("")
-    names = sizes.join(pooled, "_l", "left").select("_s", g.alias("g"))
-    return rows.join(names, "_s", "left").withColumn("g", F.coalesce("g", F.lit(""))).drop("_s", "_l")
+    names = sizes.join(pooled, "_l", "left").select("_s", g.alias("g"), (F.col("n") > total * HOT).alias("hot"))
+    return on_group(rows, written(names, "names"), "_s", "left").withColumn("g", F.coalesce("g", F.lit(""))).drop("_s", "_l", "hot")
 
 
 def _distance() -> Column:
@@ -117,51 +137,108 @@ def _distance() -> Column:
     return total
 
 
-def _estimates(sums: DataFrame) -> DataFrame:
-    """g, mu, prec, det (logarithm of the determinant) and floor from sums: g, n, s (sums), q (sums of products, lower triangle) and floor."""
+NOW = "g string, start int, hot boolean, mu array<double>, prec array<double>, det double, floor array<double>"
+
+
+def _rows(df: DataFrame, one) -> DataFrame:
+    """A NOW row for each dictionary that `one` makes of a row of df."""
 
     def run(batches):
-        for b in batches:
-            mus, precs, dets = [], [], []
-            for n, s, q, floor in zip(*(b.column(c).to_pylist() for c in ("n", "s", "q", "floor")), strict=True):
-                mu = np.array(s) / n
-                cov = np.zeros((P, P))
-                cov[np.tril_indices(P)] = np.array(q) / n
-                cov = cov + np.tril(cov, -1).T - np.outer(mu, mu)
-                cov += np.diag(np.maximum(floor - np.diag(cov), 0) + 0.01 * np.array(floor))  # a little more, so that it can be inverted
-                mus.append(mu.tolist())
-                precs.append(np.linalg.inv(cov).ravel().tolist())
-                dets.append(float(np.linalg.slogdet(cov)[1]))
-            kind = pa.list_(pa.float64())
-            yield pa.record_batch([b.column("g"), pa.array(mus, kind), pa.array(precs, kind), pa.array(dets, pa.float64()), b.column("floor")], ["g", "mu", "prec", "det", "floor"])
-
-    return sums.mapInArrow(run, "g string, mu array<double>, prec array<double>, det double, floor array<double>")
+        names = [c.split()[0] for c in NOW.split(", ")]
+        many = pa.list_(pa.float64())
+        kinds = (pa.string(), pa.int32(), pa.bool_(), many, many, pa.float64(), many)
+        for batch in batches:
+            made = [x for r in batch.to_pylist() for x in one(r)]
+            yield pa.record_batch([pa.array([x[c] for x in made], k) for c, k in zip(names, kinds, strict=True)], names)
+
+    return df.mapInArrow(run, NOW)
+
+
+def _symmetric(lower: list[float]) -> np.ndarray:
+    out = np.zeros((P, P))
+    out[np.tril_indices(P)] = lower
+    return out + np.tril(out, -1).T
+
+
+def _estimate(r: dict) -> list[dict]:
+    """The estimate of sums: n, s (sums), q (sums of products, lower triangle), and floor. det is the determinant's logarithm."""
+    mu, floor = np.array(r["s"]) / r["n"], np.array(r["floor"])
+    cov = _symmetric(r["q"]) / r["n"] - np.outer(mu, mu)
+    cov += np.diag(np.maximum(floor - np.diag(cov), 0) + 0.01 * floor)  # a little more, so that it can be inverted
+    return [r | {"mu": mu.tolist(), "prec": np.linalg.inv(cov).ravel().tolist(), "det": float(np.linalg.slogdet(cov)[1])}]
+
+
+def _starts(r: dict) -> list[dict]:
+    """Three starts of a group, of its medians mu, scales sd, and sums of tangents t, their products tt and those of signs kk."""
+    sd, mean = np.array(r["sd"]), np.array(r["t"]) / r["n"]
+    out = []
+    for scatter in (np.eye(P), _symmetric(r["tt"]) / r["n"] - np.outer(mean, mean), _symmetric(r["kk"]) / r["n"]):
+        size = np.sqrt(np.maximum(np.diag(scatter), 1e-12))
+        correlation = scatter / np.outer(size, size)
+        correlation = 0.95 * np.where(np.eye(P) > 0, 1.0, correlation) + 0.05 * np.eye(P)  # so that it can be inverted
+        out.append(r | {"start": len(out), "prec": np.linalg.inv(correlation * np.outer(sd, sd)).ravel().tolist(), "det": float("inf")})
+    return out
+
+
+_X = [f"x{i}" for i in range(P)]
+_ROUNDED = 2  # the exact percentile keeps a count of each distinct value
+
+
+def _sums(one: list[Column]) -> Column:
+    return F.array(*map(F.sum, one))
+
+
+def _products(one: list[Column]) -> Column:
+    return F.array(*(F.sum(one[i] * one[j]) for i in range(P) for j in range(i + 1)))
+
+
+def _level(d2: Column) -> Column:
+    return F.round(F.log(d2 + 1e-6), 2)
+
+
+def _step(rows: DataFrame, now: DataFrame, held: list[str]) -> DataFrame:
+    """now after a concentration step of each group and start, with `falls`: whether its determinant fell."""
+    by = ["g", "start"]
+    cut = on_group(rows, now).groupBy(*by).agg(F.percentile(_level(_distance()), F.lit(H)).alias("cut"))
+    near = written(now.join(cut, by), "cut")
+    core = on_group(rows, near).where(_level(_distance()) <= F.col("cut"))
+    x = [F.col(c) for c in _X]
+    sums = core.groupBy(*by).agg(F.count("*").alias("n"), _sums(x).alias("s"), _products(x).alias("q"), F.first("floor").alias("floor"), F.first("hot").alias("hot"))
+    new = _rows(sums, _estimate).select(*by, F.struct("mu", "prec", "det").alias("new"))
+    both = near.drop("cut").join(new, by).withColumn("falls", F.col("new.det") < F.col("det") - REST)
+    picked = {c: F.when(F.col("falls"), F.col(f"new.{c}")).otherwise(F.col(c)) for c in ("mu", "prec", "det")}
+    return written(both.withColumns(picked).drop("new"), "estimates", held)
 
 
 def estimates(rows: DataFrame, chance: float = CHANCE) -> DataFrame:
-    """g, mu, prec, scale and bound of every group of rows (g, x0..)."""
-    rounded = lambda c: F.round(c, 2)  # noqa: E731  the exact percentile keeps a count of each distinct value
+    """g, hot, mu, prec, scale and bound of every group of rows (a written table: g, x0.., n_words, word_chars, n_lines)."""
     half = lambda c: F.percentile(c, F.lit(0.5))
-    mid = written(rows.groupBy("g").agg(F.array(*(half(rounded(F.col(f"x{i}"))) for i in range(P))).alias("mu"), _floors(*map(half, ("n_words", "word_chars", "n_lines"))).alias("floor")), "mid")
-    off = rows.join(mid, "g").groupBy("g").agg(F.first("mu").alias("mu"), F.first("floor").alias("floor"), F.array(*(half(rounded(F.abs(F.col(f"x{i}") - F.get("mu", F.lit(i))))) for i in range(P))).alias("mad"))
-    unit = [F.when(F.lit(i == j), 1 / F.greatest((1.4826 * F.get("mad", F.lit(i))) ** 2, F.get("floor", F.lit(i)))).otherwise(0.0) for i in range(P) for j in range(P)]
-    now = written(off.select("g", "mu", F.array(*unit).alias("prec"), F.lit(float("inf")).alias("det"), "floor"), "estimates")
-    level = F.round(F.log(F.col("d2") + 1e-6), 2)
+    total = rows.count()
+    middles = F.array(*(half(F.round(c, _ROUNDED)) for c in _X)).alias("mu")
+    mid = rows.groupBy("g").agg(middles, _floors(*map(half, ("n_words", "word_chars", "n_lines"))).alias("floor"), (F.count("*") > total * HOT).alias("hot"))
+    mid = written(mid, "mid")
+    off = [F.col(c) - F.get("mu", F.lit(i)) for i, c in enumerate(_X)]
+    spread = on_group(rows, mid).groupBy("g").agg(F.array(*(half(F.round(F.abs(x), _ROUNDED)) for x in off)).alias("mad"))
+    sd = F.transform(F.arrays_zip("mad", "floor"), lambda x: F.sqrt(F.greatest((1.4826 * x["mad"]) ** 2, x["floor"])))
+    mid = written(mid.join(spread, "g").withColumn("sd", sd).drop("mad"), "spread")
+    z = on_group(rows, mid).withColumns({f"z{i}": x / F.get("sd", F.lit(i)) for i, x in enumerate(off)})
+    z = z.withColumn("norm", F.sqrt(sum((F.col(f"z{i}") ** 2 for i in range(P)), F.lit(1e-12))))
+    t, k = [F.tanh(f"z{i}") for i in range(P)], [F.col(f"z{i}") / F.col("norm") for i in range(P)]
+    sums = z.groupBy("g").agg(F.count("*").alias("n"), _sums(t).alias("t"), _products(t).alias("tt"), _products(k).alias("kk"))
+    held: list[str] = []
+    now = written(_rows(mid.join(sums, "g"), _starts), "estimates", held)
+    for _ in range(FIRST):
+        now = _step(rows, now, held).drop("falls")
+    best = now.groupBy("g").agg(F.min_by(F.struct(*(c for c in now.columns if c != "g")), F.struct("det", "start")).alias("b"))
+    now = written(best.select("g", "b.*"), "estimates", held)
     falls = True
     while falls:  # ends: a determinant only falls, by REST at least, and floors bound it
-        near = rows.join(now, "g").select("g", "floor", *(f"x{i}" for i in range(P)), _distance().alias("d2")).withColumn("level", level)
-        cut = near.groupBy("g").agg(F.percentile("level", F.lit(H)).alias("cut"))
-        core = near.join(cut, "g").where(F.col("level") <= F.col("cut"))
-        sums = core.groupBy("g").agg(F.count("*").alias("n"), F.array(*(F.sum(f"x{i}") for i in range(P))).alias("s"), F.array(*(F.sum(F.col(f"x{i}") * F.col(f"x{j}")) for i in range(P) for j in range(i + 1))).alias("q"), F.first("floor").alias("floor"))
-        new = _estimates(sums).select("g", F.struct("mu", "prec", "det", "floor").alias("new"))
-        both = now.join(new, "g").withColumn("falls", F.col("new.det") < F.col("det") - REST)
-        now = written(both.select("g", "falls", *(F.when(F.col("falls"), F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in ("mu", "prec", "det", "floor"))), "estimates")
+        now = _step(rows, now, held)
         falls = bool(now.agg(F.max("falls")).head()[0])
         now = now.drop("falls")
-    near = rows.join(now, "g").select("g", _distance().alias("d2")).withColumn("level", level)
-    own = near.groupBy("g").agg(F.count("*").alias("n"), *(F.exp(F.percentile("level", F.lit(q))).alias(c) for q, c in ((0.5, "half"), (0.75, "upper"))))
+    own = on_group(rows, now).groupBy("g").agg(F.count("*").alias("n"), *(F.exp(F.percentile(_level(_distance()), F.lit(q))).alias(c) for q, c in ((0.5, "half"), (0.75, "upper"))))
     bound = (F.col("half") + (F.col("upper") - F.col("half")) / math.log(2) * F.log(F.col("n") / (2 * chance))) / F.col("scale")
-    return now.select("g", "mu", "prec").join(own.withColumn("scale", F.greatest(F.col("half") / MEDIAN, F.lit(1e-9))).select("g", "scale", bound.alias("bound")), "g")
+    return now.select("g", "hot", "mu", "prec").join(own.withColumn("scale", F.greatest(F.col("half") / MEDIAN, F.lit(1e-9))).select("g", "scale", bound.alias("bound")), "g")
 
 
 def judged(docs: DataFrame, chance: float = CHANCE) -> DataFrame:
@@ -171,10 +248,10 @@ def judged(docs: DataFrame, chance: float = CHANCE) -> DataFrame:
     part in the estimates. With too few rows for any estimate nothing is rejected but by the base rule.
     """
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
-    rows = written(counted(docs).withColumn("base_failed", failed), "counts")
-    rows = _groups(rows).select("*", *(x.alias(f"x{i}") for i, x in enumerate(vector())))
+    rows = _groups(written(counted(docs).withColumn("base_failed", failed), "counts"))
+    rows = written(rows.select("doc_id", *NAMES, "base_failed", "g", *(x.alias(f"x{i}") for i, x in enumerate(vector()))), "vectors")
     known = written(estimates(rows.where("NOT base_failed"), chance), "mcd")
-    out = rows.join(known, "g", "left").withColumn("distance", _distance() / F.col("scale"))
+    out = on_group(rows, known, how="left").withColumn("distance", _distance() / F.col("scale"))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= F.col("bound"), F.lit(True))
     return out.select("doc_id", *NAMES, "base_failed", "distance", kept.alias("kept"))
 

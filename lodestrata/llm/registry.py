@@ -33,5 +33,6 @@ def oracle_sql() -> dict[str, str]:
         "op10_substring_dedup": substring_dedup.OP10_SQL,
         "op2_ngram_join": ngram_join.OP2_SQL,
         "op5_chat": chat.OP5_SQL,
+        "op6_urls": urls.OP6_SQL,
         "op9_secrets": secrets.OP9_SQL,
     }

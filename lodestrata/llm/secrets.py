@@ -19,6 +19,8 @@ from lodestrata.llm.common import small_or_shuffled, written
 from lodestrata.session import table
 
 MAX_OWNERS, MAX_REPOSITORIES = 2, 10
+#: Values in more documents than this are left out by a list of their own.
+WIDELY = 1000
 # fixed values: the kinds in the order in which they are listed, and the patterns of the base spans
 KINDS = ("assign", "access", "hex", "owned")
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -76,16 +78,21 @@ def ownership(spans: DataFrame) -> DataFrame:
 
 
 def found(docs: DataFrame, owner: str = "source", max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> tuple[DataFrame, DataFrame]:
-    """The scanned rows, and per document its spans in order: array of (start, kind, stop, live)."""
+    """The scanned rows, and per document its spans in order: arrays base and spans of (start, kind, stop).
+
+    Only bare candidates need a verdict. Rows of widely copied values are left out before any are dealt out by value, so that
+    no value's rows meet in one task.
+    """
     scanned = written(scan(docs, owner), "scanned")
     spans = written(spans_of(scanned), "spans")
-    known = ownership(spans)
-    judged = spans.join(known.select("hash", ((F.col("n_owners") <= max_owners) & (F.col("n_repositories") <= max_repositories)).alias("live")), "hash")
-    lists = judged.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "stop", "live"))).alias("all"))
-    base = F.filter("all", lambda x: x["kind"] < 3)
-    lists = lists.withColumn("base", base)
+    copied = written(ownership(spans).where((F.col("n_owners") > max_owners) | (F.col("n_repositories") > max_repositories)), "copied")
+    widely = small_or_shuffled(written(copied.where(F.col("n_repositories") > WIDELY).select("hash"), "widely"))
+    live = spans.where("kind = 3").join(widely, "hash", "left_anti").join(copied.select("hash"), "hash", "left_anti")
+    every = spans.where("kind < 3").unionByName(live)
+    lists = every.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "stop"))).alias("all"))
+    lists = lists.withColumn("base", F.filter("all", lambda x: x["kind"] < 3))
     apart = lambda x: ~F.exists("base", lambda y: (y["start"] < x["stop"]) & (y["stop"] > x["start"]))
-    lists = lists.withColumn("spans", F.filter("all", lambda x: (x["kind"] < 3) | (x["live"] & apart(x)))).drop("all")
+    lists = lists.withColumn("spans", F.filter("all", lambda x: (x["kind"] < 3) | apart(x))).drop("all")
     return scanned, lists
 
 
@@ -98,28 +105,44 @@ def report(docs: DataFrame) -> DataFrame:
     scanned, lists = found(docs)
     lists = lists.withColumnsRenamed({"doc_id": "_d", "mark": "_m"})
     both = scanned.select("doc_id", "mark").join(lists, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("mark") == F.col("_m")), "left")
-    none = F.array().cast("array<struct<start:bigint,kind:int,stop:bigint,live:boolean>>")
+    none = F.array().cast("array<struct<start:bigint,kind:int,stop:bigint>>")
     both = both.withColumns({c: F.coalesce(F.col(c), none) for c in ("base", "spans")})
     count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
     return both.select("doc_id", *map(count, range(3)), F.sha2(_shown("base"), 256).alias("base_sha256"), _shown("spans").alias("spans"))
 
 
 def redacted(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
-    """docs with every span's text replaced by mask; the columns stay, n_chars follows the text."""
+    """docs with every span's text replaced by mask; the columns stay, whatever their names, and n_chars follows the text.
+
+    Rows without spans come back as they are, null texts too; repeated rows are masked alike; without rows there is no row.
+    """
     _, lists = found(docs)
-    lists = lists.where(F.size("spans") > 0).select(F.col("doc_id").alias("_d"), F.col("mark").alias("_m"), F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"))).alias("_spans"))
-    lists = written(lists, "lists")
-    if (lists.agg(F.max(F.size("_spans"))).head()[0] or 0) <= 64:  # else a row may be large
+    each = lists.where(F.size("spans") > 0).select("doc_id", "mark", F.explode("spans").alias("s")).select("doc_id", "mark", "s.start", "s.stop")
+    lists = written(_runs(each).withColumnsRenamed({"doc_id": "_d", "mark": "_m"}), "lists")
+    if (lists.agg(F.max(F.size("runs"))).head()[0] or 0) <= 64:  # else a row may be large
         lists = small_or_shuffled(lists, 100_000)
-    marked = docs.withColumn("_mark", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    both = marked.join(lists, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_mark") == F.col("_m")), "left")
-    # overlapping spans are replaced once: each keeps what the furthest stop before it left over
-    step = lambda acc, x: F.struct(F.concat(acc["text"], F.when(x["start"] >= acc["at"], F.concat(F.substring("text", acc["at"].cast("int") + 1, (x["start"] - acc["at"]).cast("int")), F.lit(mask))).otherwise("")).alias("text"), F.greatest(acc["at"], x["stop"]).alias("at"))
-    rest = lambda acc: F.concat(acc["text"], F.substring("text", acc["at"].cast("int") + 1, F.lit(2147483647)))
-    cut = F.aggregate("_spans", F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at")), step, rest)
-    out = both.withColumn("_new", F.when(F.col("_spans").isNotNull(), cut).otherwise(F.col("text")))
-    new = [F.col("_new").alias("text") if c == "text" else F.when(F.col("_spans").isNotNull(), F.length("_new")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return out.select(*new)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    marked = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("_doc"), text.alias("_text"), F.xxhash64(text).alias("_mark"))
+    both = marked.join(lists, F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_mark") == F.col("_m")), "left")
+    both = both.withColumn("_wide", F.when(F.col("runs").isNotNull(), F.encode("_text", "UTF-32")))
+    # places count code points, of which this form has four bytes each: a piece is found without reading what is before it
+    piece = lambda at, n: F.decode(F.substring("_wide", (4 * at + 1).cast("int"), (4 * n).cast("int")), "UTF-32")
+    kept = F.concat(F.transform("runs", lambda x: piece(x["start"] - x["gap"], x["gap"])), F.array(piece(F.element_at("runs", -1)["stop"], F.octet_length("_wide"))))
+    both = both.withColumn("_new", F.when(F.col("runs").isNotNull(), F.array_join(kept, mask)))
+    row, hit = lambda c: F.col("row").getField(c), F.col("_new").isNotNull()
+    new = {"text": lambda c: F.coalesce("_new", row(c)), "n_chars": lambda c: F.when(hit, F.length("_new")).otherwise(row(c)).cast(docs.schema[c].dataType)}
+    return both.select(*(new.get(c, row)(c).alias(c) for c in docs.columns))
+
+
+def _runs(spans: DataFrame) -> DataFrame:
+    """doc_id, mark and runs of overlapping spans in order: start, stop and the gap before each."""
+    own = Window.partitionBy("doc_id", "mark")
+    before = F.max("stop").over(own.orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1))
+    rows = spans.withColumn("_new", F.coalesce((F.col("start") >= before).cast("int"), F.lit(1)))
+    rows = rows.withColumn("_run", F.sum("_new").over(own.orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.groupBy("doc_id", "mark", "_run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    rows = rows.withColumn("gap", F.col("start") - F.lag("stop", 1, 0).over(own.orderBy("_run")))
+    return rows.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "gap"))).alias("runs"))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@
    once, with the words that its windows reach to the left and to the right. The prefix that picks its group is the anchor;
    an anchor that too many texts share is taken longer, to whole windows, and these are dealt out in several
    parts first, where all but those of the smallest document are settled. Within a batch, suffixes that repeat a
-   smaller document's word for word are settled at once.
+   smaller document's word for word are settled at once, and of those that a text itself repeats one goes on for all.
 3. A group's suffixes are sorted by their words: a suffix array and the depths that neighbours have in common, in words, are its
    tree, and a second one holds the words to the left. A node of either tree is a run of leaves. A window with `a` words before
    its anchor lies below the right tree's node of depth 13 - a and the left one's of depth a; it is removed where
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import mix, runs_of, shuffles, slices, text_bytes, word_hashes, written
+from lodestrata.llm.common import by_part, mix, runs_of, shuffles, slices, text_bytes, word_hashes, written
 from lodestrata.llm.dealing import DEALT, HOT, KEYS, LOW, PLAIN, dealt_batch, dealt_rows, packed, split, told
 from lodestrata.session import table
 
@@ -38,9 +38,10 @@ SALTS = 64
 #: Set on the keys of anchors that too many texts share.
 LONG = 1 << 60
 MARK = np.dtype([("valid", "<i8"), ("doc_id", "<i8"), ("mark", "<i8"), ("own", "<i8"), ("n", "<i8"), ("sha", "S64")])
-#: A suffix: its document, place of its first window, number of windows, words before its anchor in the first.
-LEAF = np.dtype([("doc", "<i8"), ("own", "<i8"), ("start", "<i4"), ("n", "u1"), ("lead", "u1")])
-SPAN = np.dtype([("doc", "<i8"), ("own", "<i8"), ("start", "<i4"), ("n", "<i4")])
+#: A suffix: its document, place of its first window, number of windows, words before its anchor in the first, and whether
+#: it stands for others of the same words in the text.
+LEAF = np.dtype([("doc", "<i8"), ("own", "<i8"), ("start", "<i4"), ("n", "u1"), ("lead", "u1"), ("more", "u1")])
+SPAN = np.dtype([("doc", "<i8"), ("own", "<i8"), ("start", "<i4"), ("n", "<i4"), ("more", "u1")])
 #: Bytes of a word's hash that travel.
 WORD = 6
 #: Kind of dealt rows with windows of common anchors; they meet a second time.
@@ -117,7 +118,7 @@ def tell(dealt: DataFrame) -> DataFrame:
                 owners, _, keys, n = x
                 yield emit(1, len(keys), own=pa.array(owners), key=pa.array(np.where(n >= HOT, keys | LONG, keys)))
 
-    return dealt.repartition(shuffles(dealt.sparkSession), "part").sortWithinPartitions("part").mapInArrow(run, TOLD)
+    return by_part(dealt).mapInArrow(run, TOLD)
 
 
 def taken(words: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -140,7 +141,7 @@ def span_row(part: int, spans: np.ndarray) -> list[tuple[int, int, bytes, bytes]
 
 def spans_of(leaves: np.ndarray) -> np.ndarray:
     out = np.empty(len(leaves), SPAN)
-    for c in ("doc", "own", "start", "n"):
+    for c in SPAN.names:
         out[c] = leaves[c]
     return out
 
@@ -158,7 +159,7 @@ def leaves_of(doc: int, own: int, hashes: np.ndarray, keys: np.ndarray) -> tuple
     first = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | long[1:]])
     n, live, place, long = np.diff(np.r_[first, len(live)]), live[first], place[first], long[first]
     out = out[: len(first)]
-    out["doc"], out["own"], out["start"], out["n"], out["lead"] = doc, own, live, n, place - live
+    out["doc"], out["own"], out["start"], out["n"], out["lead"], out["more"] = doc, own, live, n, place - live, 0
     return out, np.where(long, whole[live], runs[place]), long, mix(whole[live] + np.uint64(0x9E3779B97F4A7C15) * whole[live + n - 1] + n.astype(np.uint64))
 
 
@@ -181,11 +182,18 @@ def suffixes(near: DataFrame, n_parts: int) -> DataFrame:
             if not held:
                 continue
             leaves, prefix, long, same, at = (np.concatenate([h[i] for h in held]) for i in range(5))
-            order = np.lexsort((leaves["doc"], same))
-            s, doc = same[order], leaves["doc"][order]
-            first = np.r_[True, s[1:] != s[:-1]] if len(s) else np.empty(0, bool)
-            again = np.empty(len(s), bool)
-            again[order] = doc > doc[first][np.cumsum(first) - 1] if len(s) else False
+            if not len(same):
+                continue
+            # one of those that a text repeats goes on; the others follow it when words are removed
+            order = np.lexsort((leaves["own"], leaves["doc"], same))
+            s, doc, own = same[order], leaves["doc"][order], leaves["own"][order]
+            first = np.r_[True, s[1:] != s[:-1]]
+            alone = first | np.r_[True, (doc[1:] != doc[:-1]) | (own[1:] != own[:-1])]
+            again = (doc > doc[first][np.cumsum(first) - 1])[alone]
+            i = np.flatnonzero(alone)
+            more, order = np.diff(np.r_[i, len(s)]) > 1, order[i]
+            leaves, prefix, long, at = leaves[order], prefix[order], long[order], at[order]
+            leaves["more"] = more
             turn += 1
             rows = span_row(turn % n_parts, spans_of(leaves[again]))
             prefix = np.where(long, mix(prefix + salt), prefix)
@@ -296,11 +304,11 @@ def settled(dealt: DataFrame, n_parts: int) -> DataFrame:
         if now is not None:
             yield dealt_batch(list(trees(held)))
 
-    return dealt.repartition(shuffles(dealt.sparkSession), "part").sortWithinPartitions("part").mapInArrow(run, DEALT)
+    return by_part(dealt).mapInArrow(run, DEALT)
 
 
 def earlier(near: DataFrame, n_leaves: int) -> DataFrame:
-    """doc_id, own, start and n of runs of windows (n of them from start) that also start in a smaller document."""
+    """doc_id, own, start and n of runs of windows (n of them from start) that also start in a smaller document; with more, their copies in the text do, too."""
     spark = near.sparkSession
     n_parts = max(shuffles(spark), -(-n_leaves // GROUP))
     found = written(settled(suffixes(near, n_parts), n_parts), "found")
@@ -312,9 +320,9 @@ def earlier(near: DataFrame, n_leaves: int) -> DataFrame:
         for batch in batches:
             for a in batch.column("a").to_pylist():
                 m = np.frombuffer(a, SPAN)
-                yield pa.record_batch([pa.array(m[c].copy()) for c in ("doc", "own", "start", "n")], ["doc_id", "own", "start", "n"])
+                yield pa.record_batch([*(pa.array(m[c].copy()) for c in ("doc", "own", "start", "n")), pa.array(m["more"] > 0)], ["doc_id", "own", "start", "n", "more"])
 
-    return found.where(F.col("kind") == PLAIN).select("a").mapInArrow(run, "doc_id long, own long, start int, n int")
+    return found.where(F.col("kind") == PLAIN).select("a").mapInArrow(run, "doc_id long, own long, start int, n int, more boolean")
 
 
 def shared_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, int]:
@@ -339,7 +347,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     that repeat an id are each judged against smaller ids alone. Without rows there is no row.
     """
     rows, firsts, near, n_leaves = shared_texts(docs)
-    places = earlier(near, n_leaves).groupBy("doc_id", "own").agg(F.collect_list(F.struct("start", "n")).alias("places"))
+    places = earlier(near, n_leaves).groupBy("doc_id", "own").agg(F.collect_list(F.struct("start", "n", "more")).alias("places"))
     changed = _cut(near.join(places, ["doc_id", "own"])).withColumnsRenamed({"doc_id": "_cd", "own": "_co"})
     firsts = firsts.join(changed, (F.col("_d") == F.col("_cd")) & (F.col("_o") == F.col("_co")), "left")
     # by document, not by text: copies of one text, however many, are rows of many keys
@@ -368,6 +376,12 @@ def _cut(rows: DataFrame) -> DataFrame:
                 cover = np.zeros(len(words) + WINDOW + 1, np.int64)
                 np.add.at(cover, at, 1)
                 np.add.at(cover, at + n + WINDOW - 1, -1)
+                more = np.flatnonzero(places.values.field("more").to_numpy(zero_copy_only=False))
+                if len(more):
+                    whole = runs_of(word_hashes().of(words), WINDOW)
+                    copies = np.flatnonzero(np.isin(whole, taken(whole, at[more], n[more])))
+                    np.add.at(cover, copies, 1)
+                    np.add.at(cover, copies + WINDOW, -1)
                 gone = np.cumsum(cover)[: len(words)] > 0
                 edges = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(np.int8))).reshape(-1, 2).tolist()
                 out[0].append(int(gone.sum()))

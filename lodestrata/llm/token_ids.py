@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import json
 import re
 
 import numpy as np
@@ -19,13 +20,31 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+# fixed values: the split pattern, and the steps of a vocabulary file that the short way follows
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": PATTERN}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+}
+
+
+def by_words(file: dict) -> bool:
+    """Whether a vocabulary file's ids of a text are those of its words in order, and its special tokens begin with `<|`."""
+    same = all(file.get(k) == v for k, v in STEPS.items())
+    return same and file["model"]["type"] == "BPE" and not file["model"].get("dropout") and all(t["content"].startswith("<|") for t in file["added_tokens"])
+
+
 class WordTokens(dict):
     """White-space separated word (bytes) to its ids as little-endian 32-bit bytes.
 
-    The vocabulary's normalizer and pre-tokenizer never join what white space separates, so a text's
+    The normalizer and pre-tokenizer of files of the STEPS never join what white space separates, so a text's
     ids are those of its words in order. Words of plain characters are cut by the file's own pattern
     and each part goes straight to the library's BPE model; any other word, or one that may hold a
-    special token, goes through the whole tokenizer. Up to `limit` words and parts are remembered.
+    special token, goes through the whole tokenizer. Up to `limit` words and parts are remembered. With any other
+    file each text goes through the whole tokenizer.
     """
 
     def __init__(self, path: str, limit: int = 500_000):
@@ -35,8 +54,8 @@ class WordTokens(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.limit, self.parts = self.tokenizer.model, limit, {}
-        # fixed values: the split pattern of the vocabulary file
-        self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        self.short = by_words(json.loads(self.tokenizer.to_str()))
+        self.pattern = regex.compile(PATTERN)
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in shown]
         self.shown = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
@@ -60,13 +79,16 @@ class WordTokens(dict):
         if PLAIN.match(word) and b"<|" not in word:
             ids = b"".join(map(self.part, self.pattern.findall(word.decode().lower())))
         else:
-            ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+            ids = self.whole(word)
         self[word] = ids
         return ids
 
+    def whole(self, text: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
     def encode(self, text: bytes) -> bytes:
         """All ids of a text as little-endian unsigned 32-bit bytes."""
-        return b"".join(map(self.__getitem__, text.split()))
+        return b"".join(map(self.__getitem__, text.split())) if self.short else self.whole(text)
 
 
 @functools.lru_cache(maxsize=1)

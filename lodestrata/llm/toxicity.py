@@ -5,8 +5,8 @@ of several widths run over all words of a text; the maximum of each over the tex
 into one logistic unit. Embeddings start from the log-odds of their features among training texts and all weights are then
 trained together by Adam; only the words under a maximum get a gradient.
 
-Training takes at most MAX_TRAIN labelled documents (those whose hashed ids come first, without a fifth of them), a documented
-bound. All labelled documents outside the held-out third that did not train calibrate the rejection threshold of each
+Training takes at most MAX_TRAIN labelled documents of at most MAX_CHARS characters (those whose hashed ids come first, without a
+fifth of them), a documented bound. All labelled documents outside the held-out third that did not train calibrate the rejection threshold of each
 language, by histograms of their scores. Every document is scored whole: long texts in
 steps that overlap by the widest filter. lang, source, ids and labels are no inputs of a score.
 """
@@ -27,6 +27,8 @@ from lodestrata.session import table
 MAX_TRAIN, BUCKETS, DIM, WIDTHS, FILTERS = 6000, 1 << 16, 16, (1, 2, 3), 8
 EPOCHS, STEPS, BATCH, RATE, SEED = 3, 120, 128, 0.01, 7
 MARGIN = max(WIDTHS) - 1
+#: Characters of all training texts together.
+MAX_CHARS = 1 << 26
 #: Bins of the histograms of scores.
 BINS = 10_000
 #: Words that are convolved at once.
@@ -92,11 +94,12 @@ class Net:
             for k in range(len(WIDTHS)):
                 # padding between texts gives windows that reach into the next one: a place of padding starts none
                 got = self.windows(projected, places, k)
-                got[places[: len(got)] == 0] = 0
-                top = np.maximum.reduceat(got, np.minimum(starts, len(got) - 1), axis=0) if len(got) else np.zeros((len(held), FILTERS), np.float32)
+                got[places[: len(got)] == 0] = -np.inf
+                top = np.maximum.reduceat(got, np.minimum(starts, len(got) - 1), axis=0) if len(got) else np.full((len(held), FILTERS), -np.inf, np.float32)
                 cols = slice(k * FILTERS, (k + 1) * FILTERS)
                 for j, (i, _, _) in enumerate(held):
                     best[i, cols] = np.maximum(best[i, cols], top[j])
+        best[np.isneginf(best)] = 0  # a text without words
         return np.maximum(best + self.c, 0) @ self.v + self.b[0]
 
     def scores(self, texts: list[list[bytes]]) -> np.ndarray:
@@ -220,15 +223,24 @@ def _with_lang(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), lang.alias("lang"))
 
 
-def learned(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple[Net | None, list[int]]:
-    """The net, and the ids it was trained on: labelled rows outside the held-out third, at most max_train ids."""
-    # a sort key of its own, so that which rows are taken does not depend on their order
+def learned(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_chars: int = MAX_CHARS) -> tuple[Net | None, list[int]]:
+    """The net, and the ids it was trained on: labelled rows outside the held-out third.
+
+    At most max_train texts with at most max_chars characters together come to the driver: those whose hashed ids, then texts,
+    come first; a text that no longer fits is left out. Rows that repeat an id and text count once.
+    """
     use = _known(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
+    found = _with_lang(docs).join(F.broadcast(use), "doc_id").withColumn("_h", F.xxhash64(F.coalesce("text", F.lit(""))))
+    heads = found.select("doc_id", "_h", F.length("text").alias("n")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "_h").limit(max_train)
+    chosen, size = [], 0
+    for r in heads.collect():
+        if size + (r.n or 0) <= max_chars:
+            chosen.append((r.doc_id, r["_h"]))
+            size += r.n or 0
+    wanted = docs.sparkSession.createDataFrame(chosen, "doc_id long, _h long")
     texts = []
-    for r in _with_lang(docs).join(F.broadcast(use), "doc_id").toLocalIterator():
+    for r in found.join(F.broadcast(wanted), ["doc_id", "_h"], "left_semi").dropDuplicates(["doc_id", "_h"]).toLocalIterator():
         texts.append((r.doc_id, zlib.crc32((r.text or "").encode()), words_of(r.text), r.toxic))
-        if len(texts) >= 2 * max_train:  # repeated ids can't make the sample unbounded
-            break
     texts = sorted((t for t in texts if zlib.crc32(b"c%d" % t[0]) % 5), key=lambda x: x[:2])  # a fifth only calibrates
     y = np.array([t[3] for t in texts], np.int64)
     if len({*y.tolist()}) < 2:
@@ -271,7 +283,11 @@ def scored(docs: DataFrame, net: Net | None, limits: dict) -> DataFrame:
 
 
 def cleared(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those that a net trained on their labels rejects."""
+    """docs without those that a net trained on their labels rejects, at the threshold of their language.
+
+    Null and empty texts are scored as texts without words. Repeated rows and ids are judged alike, labels of null or unknown
+    ids teach nothing, and with labels of one kind alone nothing is rejected. Columns may have any names.
+    """
     return scored(docs, *fit(docs, labels)).where("NOT rejected").select("row.*")
 
 

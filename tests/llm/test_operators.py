@@ -512,7 +512,7 @@ def test_quality_estimates_are_at_rest_and_keep_small_variances(spark):
     x[:180] += rng.normal(0, 1, (180, 6)) * [1, 1, 1, 1, 0.5, 1] + [1, 2, 0, 0, 0.5, 0]
     named = [f"x{i}" for i in range(6)]
     df = spark.createDataFrame([("a", *map(float, r), 264, 1365, 7) for r in x], "g string, " + ", ".join(f"{c} double" for c in named) + ", n_words long, word_chars long, n_lines long")
-    got = quality.estimates(df).head()
+    got = quality.estimates(written(df, "rows")).head()
     floor = np.array([4 / 1366, np.log1p(200 / 1366), np.log1p(20 / 8), np.log1p(160 / 265), np.log1p(20 / 1366), 0.5 / 265]) ** 2 / 12
     mu = np.median(x, axis=0)
     cov = np.diag(np.maximum((1.4826 * np.median(np.abs(x - mu), axis=0)) ** 2, floor))
@@ -608,6 +608,13 @@ def test_substring_dedup_of_a_common_passage(spark, partitions):
     assert got == brute_dedup(rows) and sum(n for _, n, _ in got.values()) > 5000
 
 
+def test_substring_dedup_of_texts_that_repeat_themselves(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join([f"x{i}"] * 3 + ["on", "he."] * rng.randint(5, 300) + [f"y{i}"] + ["is"] * rng.randint(0, 40) + ["on", "he."] * rng.randint(0, 20))) for i in rng.sample(range(999), 120)]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert got == brute_dedup(rows)
+
+
 def test_repeated_ids_are_judged_apart(spark):
     w = [f"w{i}" for i in range(40)]
     rows = [(1, " ".join(w[:20])), (2, " ".join(["a", "b", *w[3:20]])), (2, " ".join(w[:14] + [f"c{i}" for i in range(30)]))]
@@ -623,23 +630,23 @@ def test_nodes_of_the_trees_are_those_of_the_words():
     for i in range(300):
         lead, n = rng.randint(0, 7), 1
         n = rng.randint(1, lead + 1)
-        leaves.append((i % 40, 5, 10 * i, n, lead))
+        leaves.append((i % 40, 5, 10 * i, n, lead, 0))
         words.append([rng.randint(1, 2) if k % 3 == 0 else 1 for k in range(n + 12)])
     made = np.array(leaves, substring_dedup.LEAF)
     tree = substring_dedup.Subtree(made, np.array([x for w in words for x in w], np.uint64))
     for tree_, depth in (("right", 6), ("right", 9), ("right", 13), ("left", 3), ("left", 7), ("left", 0)):
         node, by = tree.nodes(tree_, depth), defaultdict(set)
-        for i, ((*_, lead), w) in enumerate(zip(leaves, words, strict=True)):
+        for i, ((*_, lead, _), w) in enumerate(zip(leaves, words, strict=True)):
             side = w[lead : lead + depth] if tree_ == "right" else w[:lead][::-1][:depth]
             if len(side) == depth:
                 by[tuple(side)].add(int(node[i]))
         assert all(len(v) == 1 for v in by.values()) and len(set().union(*by.values())) == len(by)
     least: dict = {}
-    for (doc, *_, n, lead), w in zip(leaves, words, strict=True):
+    for (doc, _, _, n, lead, _), w in zip(leaves, words, strict=True):
         for j in range(n):
             least[lead - j, tuple(w[j : j + 13])] = min(doc, least.get((lead - j, tuple(w[j : j + 13])), doc))
     gone = tree.removed()
-    for i, ((doc, *_, n, lead), w) in enumerate(zip(leaves, words, strict=True)):
+    for i, ((doc, _, _, n, lead, _), w) in enumerate(zip(leaves, words, strict=True)):
         assert [bool(gone[i, j]) for j in range(8)] == [j < n and doc > least[lead - j, tuple(w[j : j + 13])] for j in range(8)]
     assert sum(int(x["n"]) for x in tree.spans(gone)) == gone.sum()
 
