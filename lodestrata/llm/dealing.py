@@ -63,6 +63,15 @@ def packed(keys: np.ndarray, owners: np.ndarray, bands: np.ndarray, n_parts: int
         yield p, MARKS, b"", _bytes(common[i])
 
 
+def anywhere(n_parts: int) -> Iterator[int]:
+    """Parts for rows that only pass through: different ones for each row of a task, and for different tasks."""
+    from pyspark import TaskContext
+
+    seed = np.random.default_rng(TaskContext.get().partitionId())
+    while True:
+        yield int(seed.integers(n_parts))
+
+
 def dealt_batch(rows: list[tuple[int, int, bytes, bytes]]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) or [()] * 4
     kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import delete, small_or_shuffled, written
+from lodestrata.llm.common import delete, written
 
 #: Links that a task turns into a forest together, and children of a node there.
 HELD, FAN = 1 << 20, 16
@@ -61,19 +61,16 @@ def components(links: DataFrame) -> DataFrame:
     """
     held: list[str] = []
     ends: list[str] = []
-    tops: list[str] = []
     links = thinned(links)
     edges = written(links.union(links.select("b", "a")).distinct(), "edges", ends)
     labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "labels", held)
     while True:
         near = edges.join(labels, edges.b == labels.node).groupBy(F.col("a").alias("_n")).agg(F.min("comp").alias("_c"))
         step = labels.join(near, labels.node == near._n).select("node", F.least("comp", "_c").alias("_l"), F.col("comp").alias("old"))
-        step = written(step, "step", held)
-        over = step.where("_l <> node").select(F.col("node").alias("_t"), F.col("_l").alias("_tl")).join(step.select(F.col("_l").alias("_t")).distinct(), "_t", "left_semi")
-        over = small_or_shuffled(written(over, "over", tops))
+        over = step.where("_l <> node").select(F.col("node").alias("_t"), F.col("_l").alias("_tl"))
         nxt = written(step.join(over, step._l == over._t, "left").select("node", F.coalesce("_tl", "_l").alias("comp"), "old"), "labels", held)
         done = nxt.where("comp <> old").isEmpty()
         labels = nxt.select("node", "comp")
         if done:
-            delete(edges.sparkSession, ends + tops)
+            delete(edges.sparkSession, ends)
             return labels

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm.common import by_part, mix, runs_of, shuffles, slices, small_or_shuffled, text_bytes, word_hashes, written
-from lodestrata.llm.dealing import DEALT, PLAIN, dealt_batch, packed
+from lodestrata.llm.dealing import DEALT, PLAIN, anywhere, dealt_batch, packed
 from lodestrata.llm.dealing import told as told_keys
 from lodestrata.llm.graph import components
 from lodestrata.session import table
@@ -110,7 +110,7 @@ def deal(docs: DataFrame, n_parts: int) -> DataFrame:
     def run(batches):
         import xxhash
 
-        turn = 0
+        free = anywhere(n_parts)
         for batch in slices(batches, 1024, 4 << 20):
             rows, seen, keys, owners, bandof = [], set(), [], [], []
             for doc, data in zip(batch.column("doc_id").to_pylist(), text_bytes(batch), strict=True):
@@ -129,8 +129,7 @@ def deal(docs: DataFrame, n_parts: int) -> DataFrame:
                         bandof.append(np.full(len(e), band, np.int32))
                 mark = xxhash.xxh64_intdigest(data, 42)
                 rows.append((doc is not None, doc or 0, mark - (1 << 64) if mark >> 63 else mark, len(h), *fp, *full))
-            out = [(turn % n_parts, PLAIN, np.array(rows, np.int64).tobytes(), b"")] if rows else []
-            turn += 1
+            out = [(next(free), PLAIN, np.array(rows, np.int64).tobytes(), b"")] if rows else []
             if keys:
                 out += packed(np.concatenate(keys), np.concatenate(owners), np.concatenate(bandof), n_parts)
             yield dealt_batch(out)
@@ -178,36 +177,39 @@ def rarest(shared: DataFrame, sets: DataFrame) -> DataFrame:
     return lists.select("fp1", "band", "n", F.explode("first.key").alias("key"))
 
 
-def own_band(n: int) -> int:
-    return 0 if n < SMALL else 1 << (n.bit_length() - 1)
+def own_band(n: np.ndarray) -> np.ndarray:
+    return np.where(n < SMALL, 0, np.int64(1) << np.floor(np.log2(np.maximum(n, 1))).astype(np.int64))
+
+
+ROW = ("key", "band", "block", "size", "lead_n", "lead_fp", "fp1", "n")
 
 
 def pairs_of(rows: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b, band) of rows (key, band, block, size, lead, fp1, n): all of a small bucket; of a large one each
-    member with the bucket's smallest and with the one before in its block. Pairs whose sizes rule a link out, or that
-    meet in another band, are left out."""
+    """Candidate pairs (a, b, band) of rows (ROW): all of a small bucket; of a large one each member with the bucket's smallest
+    and with the one before in its block. Pairs whose sizes rule a link out, or that meet in another band, are left out."""
 
     def run(batches):
-        now, held = None, []
+        held = np.empty((len(ROW), 0), np.int64)  # the last rows, for pairs across batches
         for batch in batches:
-            out = [[], [], []]
-            for key, band, block, size, lead, fp, n in zip(*(batch.column(c).to_pylist() for c in ("key", "band", "block", "size", "lead", "fp1", "n")), strict=True):
-                if (key, band, block) != now:
-                    now, held = (key, band, block), []
-                partners = held if size <= BUCKET else [(lead["n"], lead["fp1"]), *held[-1:]]
-                if own_band(n) == band:  # in order of n, so n is the larger of each pair
-                    for m, other in dict.fromkeys(partners):
-                        if 4 * m >= 3 * n and fp != other:
-                            out[0].append(min(fp, other))
-                            out[1].append(max(fp, other))
-                            out[2].append(band)
-                if size > BUCKET:  # the last is enough
-                    held.clear()
-                held.append((n, fp))
-            yield pa.record_batch([pa.array(c, pa.int64()) for c in out], ["a", "b", "band"])
-
-    dealt = rows.repartition(shuffles(rows.sparkSession), "key", "band", "block").sortWithinPartitions("key", "band", "block", "n", "fp1")
-    return dealt.select("key", "band", "block", "size", "lead", "fp1", "n").mapInArrow(run, "a long, b long, band long").distinct()
+            new = held.shape[1]
+            held = np.concatenate([held, np.array([batch.column(c).to_numpy() for c in ROW])], axis=1)
+            key, band, block, size, lead_n, lead_fp, fp, n = held
+            larger = own_band(n) == band  # rows are in order of n, so a pair's later one is its larger
+            larger[:new] = False
+            found = []
+            for d in range(1, min(BUCKET, len(n))):
+                pair = larger[d:] & (key[d:] == key[:-d]) & (band[d:] == band[:-d]) & (block[d:] == block[:-d]) & (4 * n[:-d] >= 3 * n[d:]) & (fp[:-d] != fp[d:])
+                j = np.flatnonzero(pair if d == 1 else pair & (size[d:] <= BUCKET))
+                found.append((fp[j], fp[j + d], band[j]))
+            j = np.flatnonzero(larger & (size > BUCKET) & (4 * lead_n >= 3 * n) & (lead_fp != fp))
+            found.append((lead_fp[j], fp[j], band[j]))
+            one, two, bands_ = (np.concatenate([f[i] for f in found]) for i in range(3))
+            held = held[:, max(0, len(n) - BUCKET + 1) :].copy()
+            yield pa.record_batch([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two)), pa.array(bands_)], ["a", "b", "band"])
+
+    by = ("key", "band", "block")
+    dealt = rows.repartition(shuffles(rows.sparkSession), *by).sortWithinPartitions(*by, "n", "fp1")
+    return dealt.select(*ROW).mapInArrow(run, "a long, b long, band long").distinct()
 
 
 def near_pairs(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -393,6 +395,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = told.where("kind = 1").select("fp1", "key", "df", "band")
     rare = written(rarest(shared, sets), "rare")
     sizes = rare.groupBy("key", "band").agg(F.count("*").alias("size"), F.min(F.struct("n", "fp1")).alias("lead")).where("size > 1")
+    sizes = sizes.select("key", "band", "size", F.col("lead.n").alias("lead_n"), F.col("lead.fp1").alias("lead_fp"))
     block = F.when(F.col("size") > BLOCK, F.pmod(F.xxhash64("fp1"), F.ceil(F.col("size") / BLOCK))).otherwise(F.lit(0).cast("long"))
     members = written(rare.join(written(sizes, "sizes"), ["key", "band"]).withColumn("block", block), "members")
     pairs = written(pairs_of(members), "pairs")
@@ -401,7 +404,8 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     wanted = written(sets.join(wanted, "fp1", "left_semi").select("first.doc_id", "first.mark"), "wanted")
     tokens = written(token_sets(docs, wanted), "tokens")
     sketches = tokens.select("fp1", "n", F.explode("sketches").alias("s")).select("fp1", "n", F.col("s.band").alias("band"), F.col("s.words").alias("words"))
-    links = written(verified(near_pairs(pairs, sketches), tokens), "links")
+    near = written(near_pairs(pairs, sketches), "near")  # else each task would have a worker for either step
+    links = written(verified(near, tokens), "links")
     labels = components(links)
     for whole in (False, True):
         blocks = written(blocks_apart(members, labels), "blocks")

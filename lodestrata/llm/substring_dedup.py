@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm.common import by_part, mix, runs_of, shuffles, slices, text_bytes, word_hashes, written
-from lodestrata.llm.dealing import DEALT, HOT, KEYS, LOW, PLAIN, dealt_batch, dealt_rows, packed, split, told
+from lodestrata.llm.dealing import DEALT, HOT, KEYS, LOW, PLAIN, anywhere, dealt_batch, dealt_rows, packed, split, told
 from lodestrata.session import table
 
 WINDOW, RUN = 13, 6
@@ -42,6 +43,8 @@ MARK = np.dtype([("valid", "<i8"), ("doc_id", "<i8"), ("mark", "<i8"), ("own", "
 #: it stands for others of the same words in the text.
 LEAF = np.dtype([("doc", "<i8"), ("own", "<i8"), ("start", "<i4"), ("n", "u1"), ("lead", "u1"), ("more", "u1")])
 SPAN = np.dtype([("doc", "<i8"), ("own", "<i8"), ("start", "<i4"), ("n", "<i4"), ("more", "u1")])
+#: Spans of a row.
+SPANS = 1024
 #: Bytes of a word's hash that travel.
 WORD = 6
 #: Kind of dealt rows with windows of common anchors; they meet a second time.
@@ -73,7 +76,7 @@ def deal(docs: DataFrame, n_parts: int) -> DataFrame:
     def run(batches):
         import xxhash
 
-        turn = 0
+        free = anywhere(n_parts)
         for batch in slices(batches, 1024, 4 << 20):
             plain, seen, keys, owners = [], set(), [], []
             for doc, data in zip(batch.column("doc_id").to_pylist(), text_bytes(batch), strict=True):
@@ -86,8 +89,7 @@ def deal(docs: DataFrame, n_parts: int) -> DataFrame:
                     runs, at = anchors(word_hashes().of(words))
                     keys.append(np.unique(runs[at[np.r_[True, at[1:] != at[:-1]]]] & LOW))  # places never go back
                     owners.append(np.full(len(keys[-1]), own, np.int64))
-            rows = [(turn % n_parts, PLAIN, np.array(plain, MARK).tobytes(), b"")] if plain else []
-            turn += 1
+            rows = [(next(free), PLAIN, np.array(plain, MARK).tobytes(), b"")] if plain else []
             if keys:
                 k, o = np.concatenate(keys), np.concatenate(owners)
                 rows += packed(k, o, np.zeros(len(k), np.uint32), n_parts)
@@ -135,8 +137,8 @@ def leaf_rows(kind: int, leaves: np.ndarray, words: np.ndarray, prefix: np.ndarr
         yield p, kind, leaves[i].tobytes(), taken(words, ends[i] - n[i], n[i]).view(np.uint8).reshape(-1, 8)[:, :WORD].tobytes()
 
 
-def span_row(part: int, spans: np.ndarray) -> list[tuple[int, int, bytes, bytes]]:
-    return [(part, PLAIN, spans.tobytes(), b"")] if len(spans) else []
+def span_rows(parts: Iterator[int], spans: np.ndarray) -> list[tuple[int, int, bytes, bytes]]:
+    return [(next(parts), PLAIN, spans[lo : lo + SPANS].tobytes(), b"") for lo in range(0, len(spans), SPANS)]
 
 
 def spans_of(leaves: np.ndarray) -> np.ndarray:
@@ -169,8 +171,7 @@ def suffixes(near: DataFrame, n_parts: int) -> DataFrame:
     def run(batches):
         from pyspark import TaskContext
 
-        turn = TaskContext.get().partitionId()
-        salt = np.uint64(1 + turn % SALTS)
+        parts, salt = anywhere(n_parts), np.uint64(1 + TaskContext.get().partitionId() % SALTS)
         for batch in slices(batches, 1024, 4 << 20):
             held, base, side = [], 0, []
             for doc, own, data, keys in zip(batch.column("doc_id").to_pylist(), batch.column("own").to_pylist(), text_bytes(batch), batch.column("keys").to_pylist(), strict=True):
@@ -194,8 +195,7 @@ def suffixes(near: DataFrame, n_parts: int) -> DataFrame:
             more, order = np.diff(np.r_[i, len(s)]) > 1, order[i]
             leaves, prefix, long, at = leaves[order], prefix[order], long[order], at[order]
             leaves["more"] = more
-            turn += 1
-            rows = span_row(turn % n_parts, spans_of(leaves[again]))
+            rows = span_rows(parts, spans_of(leaves[again]))
             prefix = np.where(long, mix(prefix + salt), prefix)
             for kind, pick in ((KEYS, ~again & ~long), (AGAIN, ~again & long)):
                 i = np.flatnonzero(pick)
@@ -283,7 +283,7 @@ def settled(dealt: DataFrame, n_parts: int) -> DataFrame:
                 leaves, words = read_leaves(rows)
                 tree = Subtree(leaves, words)
                 gone = tree.removed()
-                yield from span_row(0, tree.spans(gone))
+                yield from span_rows(repeat(0), tree.spans(gone))
                 if kind == AGAIN:
                     left = np.flatnonzero(~gone[:, 0])  # one window a leaf
                     own = taken(words, left * WINDOW, np.full(len(left), WINDOW))
