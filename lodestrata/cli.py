@@ -1,6 +1,6 @@
 """Commands over the library: info, unpack, opcodes, disasm, lift, pack list and extract, asm, validate.
 
-Exit codes: 0 all well, 1 partly or nothing found, 2 the call was wrong.
+Results that may be large are written by the tasks; what is printed is small or comes row by row. Exit codes: 0 all well, 1 partly or nothing found, 2 the call was wrong.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ import argparse
 import sys
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,18 +47,18 @@ def _info(spark, args) -> int:
 
 
 def _unpack(spark, args) -> int:
-    from lodestrata.sources.overlay import read_files, unpacked
+    from lodestrata.sources.overlay import read_files, unpacked, write_blobs
 
-    out = Path(args.out)
-    out.mkdir(parents=True, exist_ok=True)
-    bad = 0
-    for r in unpacked(read_files(spark, args.path), args.seed).select("path", "bytecode", "error").toLocalIterator():
-        if r.error:
-            bad += 1
-            print(r.path, r.error, file=sys.stderr)
-        else:
-            (out / (Path(r.path).name + ".bin")).write_bytes(bytes(r.bytecode))
-    return int(bad > 0)
+    rows = unpacked(read_files(spark, args.path), args.seed).persist()
+    wrote = write_blobs(rows, args.out).persist()
+    bad = rows.where("error IS NOT NULL").select("path", "error").union(wrote.where("error IS NOT NULL").select("path", "error"))
+    for r in wrote.where("error IS NULL").toLocalIterator():
+        print(r.path, r.kind, r.place, sep="\t")
+    n = 0
+    for r in bad.toLocalIterator():
+        n += 1
+        print(r.path, r.error, file=sys.stderr)
+    return int(n > 0)
 
 
 def _find_opcodes(spark, args) -> int:
@@ -104,9 +105,11 @@ def _pack(spark, args) -> int:
     spark.dataSource.register(packs.PackSource)
     rows = spark.read.format("pack").option("payload", str(args.out is not None).lower()).load(args.path)
     if args.out is None:
-        for r in rows.orderBy("pack", "ordinal").select("pack", "name", "size").toLocalIterator():
-            print(r.pack, r.name, r.size, sep="\t")
-        return 0
+        n = 0
+        for r in packs.listing(rows, args.limit).orderBy("pack", "place").toLocalIterator():
+            n += 1
+            print(r.line if r.place else f"{r.pack}: {r.line}")
+        return int(n == 0)
     failed = packs.extract(rows, args.out).where("error IS NOT NULL").collect()
     for r in failed:
         print(r.name, r.error, file=sys.stderr)
@@ -122,10 +125,18 @@ def _asm(spark, args) -> int:
     if args.replace:
         old, new = (F.lit(bytearray(x.encode("latin-1"))) for x in args.replace)
         trace = rewrite.replace_literal(trace, old, new, args.limit)
+    if args.literals:
+        for r in rewrite.literal_report(trace, args.literals).orderBy("module_id", "place").toLocalIterator():
+            print(r.line if r.place else f"{r.module_id}: {r.line}")
+        return 0
     made = rewrite.written(trace, module_facts(tables))
     if args.out:
-        Path(args.out).write_bytes(bytes(made.head().content))
-        return 0
+        names = rewrite.write_modules(made, args.out)
+        n = 0
+        for r in names.toLocalIterator():
+            n += 1
+            print(r.module_id, r.place, sep="\t")
+        return int(n == 0)
     same = rewrite.round_trip(made, found).collect()
     for r in same:
         print(r.module_id, "identical" if r.identical else f"differs at {r.first_difference}")
@@ -133,13 +144,17 @@ def _asm(spark, args) -> int:
 
 
 def _validate(spark, args) -> int:
-    from lodestrata.operators.validate import report, stages
+    from lodestrata.operators.validate import passed, report, stages
 
     found, table, tables = _tables(spark, args)
-    rows = report(stages(found, tables, table)).collect()
-    for r in rows:
+    checked = stages(found, tables, table, args.deep).persist()
+    n = 0
+    for r in report(checked).orderBy("module_id").toLocalIterator():
+        n += 1
         print(*r, sep="\t")
-    return int(any(r.status != "PASS" for r in rows))
+    done = passed(checked).head()
+    print(f"{done.n_passed}/{done.n_modules} modules passed every stage they reached")
+    return int(done.n_passed < done.n_modules or not n)
 
 
 def parser() -> argparse.ArgumentParser:
@@ -166,11 +181,14 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("--calls")
     p = command("pack", _pack, "path")
     p.add_argument("--out")
+    p.add_argument("--limit", type=int, default=40)
     p = command("asm", _asm, "module", "opcodes")
     p.add_argument("--replace", nargs=2)
     p.add_argument("--limit", type=int)
+    p.add_argument("--literals", type=int)
     p.add_argument("--out")
-    command("validate", _validate, "module", "opcodes")
+    p = command("validate", _validate, "module", "opcodes")
+    p.add_argument("--deep", action="store_true")
     return top
 
 
@@ -178,10 +196,18 @@ def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     try:
         return args.f(local_session(), args)
-    except (FormatError, OSError, UnicodeError) as e:
+    except (FormatError, OSError, UnicodeError, AnalysisException) as e:
         print(e, file=sys.stderr)
         return 2
 
 
+def _alone(name: str):
+    """A command of its own: `lodestrata-unpack a b` is `lodestrata unpack a b`."""
+    return lambda: main([name, *sys.argv[1:]])
+
+
+unpack, disassemble, lift, validate, opcode_table, pack, assemble = map(_alone, ("unpack", "disasm", "lift", "validate", "opcodes", "pack", "asm"))
+
+
 if __name__ == "__main__":
     sys.exit(main())

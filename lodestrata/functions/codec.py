@@ -87,30 +87,53 @@ def rarest_byte(data: bytes) -> int:
     return min(range(256), key=lambda b: (data.count(b), b))
 
 
+def common_length(data: bytes, a: int, b: int, most: int) -> int:
+    """How many bytes from a and from b on agree, most at most; by doubling slices, then by halving them."""
+    most, n, step = min(most, len(data) - max(a, b)), 0, 16
+    while step:
+        step = min(step, most - n)
+        if step and data[a + n : a + n + step] == data[b + n : b + n + step]:
+            n, step = n + step, 2 * step
+        else:
+            step //= 2
+    return n
+
+
+def longest_match(data: bytes, at: int, places: list[int], window: int, most: int, enough: int = 64) -> tuple[int, int]:
+    """(length, distance) of the longest earlier copy of what begins at `at`, among ascending places within the window.
+
+    The newest of several is taken, and one of `enough` bytes ends the search.
+    """
+    best, distance = 0, 0
+    for there in reversed(places):
+        if at - there > window or best >= min(enough, len(data) - at, most):
+            break
+        # a longer copy has to agree where the best one ended
+        if data[there + best : there + best + 1] == data[at + best : at + best + 1] and (n := common_length(data, there, at, most)) > best:
+            best, distance = n, at - there
+    return best, distance
+
+
 def deflate(data: bytes, window: int = 1 << 16, least: int = 4, most: int = 4096) -> bytes:
-    """A greedy compressor for `inflate`: the newest earlier place of each 4-byte string is tried."""
+    """A greedy compressor for `inflate`: of all earlier places of a 3-byte string within the window, the longest copy."""
     escape = rarest_byte(data)
-    out, last, at = bytearray([escape]), {}, 0
+    out, known, at = bytearray([escape]), {}, 0
     while at < len(data):
-        key = data[at : at + least]
-        there = last.get(key) if len(key) == least else None
-        length = 0
-        if there is not None and at - there <= window:
-            while length < most and at + length < len(data) and data[there + length] == data[at + length]:
-                length += 1
+        length, distance = longest_match(data, at, known.get(data[at : at + 3], []), window, most) if at + least <= len(data) else (0, 0)
         if length >= least:
-            out += bytes([escape]) + encode_varint(length) + encode_varint(at - there)
+            out += bytes([escape]) + encode_varint(length) + encode_varint(distance)
         else:
             out += data[at : at + 1] + (b"\0" if data[at] == escape else b"")
             length = 1
-        for i in range(at, min(at + length, len(data) - least + 1)):
-            last[data[i : i + least]] = i
+        for i in range(at, min(at + length, len(data) - 2)):
+            known.setdefault(data[i : i + 3], []).append(i)
         at += length
     return bytes(out)
 
 
 def key_material(seed: int) -> bytes:
     """32 bytes by a small recurrence from a seed."""
+    # fixed values: factor, bound, and what stands for a value past the bound or of zero
     out, value = [], seed
     for _ in range(32):
         value = 3 * value

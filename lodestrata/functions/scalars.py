@@ -1,32 +1,82 @@
-"""Scalar expressions; all stay in the JVM."""
+"""Scalar expressions. All stay in the JVM but for counts of single characters, which are one pass in numpy there."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-def char_entropy(text: Column) -> Column:
-    """Shannon entropy of a string's characters in bits; 0 for the empty string.
+def _entropy(codes: np.ndarray) -> float:
+    n = np.unique(codes, return_counts=True)[1]
+    share = n / max(1, n.sum())
+    return float(-(share * np.log2(share)).sum()) if len(n) > 1 else 0.0
+
+
+@F.pandas_udf(T.DoubleType())
+def _char_entropy(text: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None else _entropy(np.frombuffer(x.encode("utf-32-le"), np.uint32)) for x in text], dtype="float64")
 
-    Sorted characters fall into runs, so one array sort gives the counts: no row leaves its partition.
-    """
-    chars = F.filter(F.split(text, ""), lambda x: x != "")
-    counts = F.transform(F.array_distinct(chars), lambda c: F.length(text) - F.length(F.replace(text, c, F.lit(""))))
-    total = F.length(text)
-    return F.aggregate(counts, F.lit(0.0), lambda acc, n: acc - n / total * F.log2(n / total))
+
+@F.pandas_udf(T.DoubleType())
+def _byte_entropy(data: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None else _entropy(np.frombuffer(x, np.uint8)) for x in data], dtype="float64")
+
+
+def char_entropy(text: Column) -> Column:
+    """Shannon entropy of a string's characters in bits; 0 for the empty string, null for null."""
+    return _char_entropy(text)
 
 
 def byte_entropy(data: Column) -> Column:
     """Shannon entropy of a binary value in bits a byte."""
-    return char_entropy(F.decode(data, "ISO-8859-1"))
+    return _byte_entropy(data)
 
 
 def rarest_symbol(text: Column, symbols: list[str]) -> Column:
-    """(symbol, n) of the least frequent of symbols; ties go to the first."""
-    each = [F.struct((F.length(text) - F.length(F.replace(text, F.lit(s), F.lit("")))).cast("long").alias("n"), F.lit(i).alias("i"), F.lit(s).alias("symbol")) for i, s in enumerate(symbols)]
-    least = F.array_min(F.array(*each))
-    return F.struct(least["symbol"].alias("symbol"), least["n"].alias("n"))
+    """(symbol, n) of the least frequent of symbols; ties go to the first, null text has none."""
+
+    @F.pandas_udf("symbol string, n long")
+    def least(texts: pd.Series) -> pd.DataFrame:
+        found = [(None, None) if x is None else min((x.count(s), i) for i, s in enumerate(symbols)) for x in texts]
+        return pd.DataFrame({"symbol": [None if i is None else symbols[i] for _, i in found], "n": pd.array([n for n, _ in found], "Int64")})
+
+    return least(text)
+
+
+def rarest_byte(data: Column) -> Column:
+    """(byte, n) of the least frequent byte value; ties go to the smallest."""
+
+    @F.pandas_udf("byte int, n long")
+    def least(values: pd.Series) -> pd.DataFrame:
+        counts = [np.bincount(np.frombuffer(x or b"", np.uint8), minlength=256) for x in values]
+        return pd.DataFrame({"byte": [int(n.argmin()) for n in counts], "n": [int(n.min()) for n in counts]})
+
+    return least(data)
+
+
+def percent(part: Column, whole: Column) -> Column:
+    """A share as text with one decimal; of nothing it is 100."""
+    return F.format_string("%.1f%%", F.when(whole == 0, 100.0).otherwise(100.0 * part / whole))
+
+
+def duration(seconds: Column) -> Column:
+    """Seconds as text: whole seconds, from 90 on whole minutes, from 5,400 on hours with one decimal."""
+    return F.when(seconds < 90, F.format_string("%ds", seconds.cast("long"))).when(seconds < 5400, F.format_string("%dm", (seconds / 60).cast("long"))).otherwise(F.format_string("%.1fh", seconds / 3600.0))
+
+
+def rate_and_rest(done: Column, total: Column, seconds: Column) -> Column:
+    """(rate, rest): work a second so far, and the seconds that what is left will take; 0 where neither is known."""
+    rate = F.when(seconds > 0, done / seconds).otherwise(0.0)
+    return F.struct(rate.alias("rate"), F.when(rate > 0, (total - done) / rate).otherwise(0.0).alias("rest"))
+
+
+def version_key(name: Column) -> Column:
+    """The numbers in a name, for an order in which 10 comes after 9; a name without any is 0."""
+    found = F.transform(F.regexp_extract_all(name, F.lit(r"\d+"), F.lit(0)), lambda x: x.cast("decimal(38,0)"))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(0).cast("decimal(38,0)")))
 
 
 def quote_literal(text: Column, limit: int = 60) -> Column:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestrata.functions.codec import decode_int
 from lodestrata.functions.scalars import quote_literal
 from lodestrata.sources.module import module_facts, table_of
 
@@ -63,7 +65,7 @@ def names(tables: DataFrame) -> DataFrame:
     """Everything that an operand can name: (_m, _nt, _no) -> _text."""
     one = lambda t, kind, text: table_of(tables, t).select(F.col("module_id").alias("_m"), F.lit(kind).alias("_nt"), F.col("ordinal").alias("_no"), text.alias("_text"))
     props = table_of(tables, "used_object_props")
-    own = table_of(tables, "properties").groupBy("module_id", F.col("class").alias("owner_text"), F.col("ordinal").alias("place")).agg(F.max("name").alias("member"))
+    own = table_of(tables, "properties").groupBy("module_id", F.col("class").alias("owner_text"), F.col("ordinal").alias("place")).agg(F.max_by("name", "nr").alias("member"))  # of classes of one name the last
     found = props.join(own, ["module_id", "owner_text", "place"], "left")
     member = F.concat(F.col("owner_text"), F.lit("::"), F.coalesce(F.nullif("name", F.lit("")), "member", F.concat(F.lit("prop["), F.col("place").cast("string"), F.lit("]"))))
     props = found.select(F.col("module_id").alias("_m"), F.lit("objprop").alias("_nt"), F.col("ordinal").alias("_no"), member.alias("_text"))
@@ -99,6 +101,53 @@ def _matches(needle: str) -> Column:
     return F.contains(F.lower("label"), F.lit(needle.lower()))
 
 
+def decode_span(code: bytes, table: dict[int, dict], start: int = 0, limit: int | None = None) -> list[tuple[int, int, str, list[int]]]:
+    """(offset, op, name, operands) from start on, up to the first RET.
+
+    An unknown operation is the last entry, named UNKNOWN_ and its number; an instruction that is cut off is left out.
+    """
+    out, at, end = [], start, len(code) if limit is None else min(len(code), start + limit)
+    while at < end:
+        op, args, nxt = code[at], [], at + 1
+        known = table.get(op)
+        if known is None:
+            return [*out, (at, op, f"UNKNOWN_{op:02X}", [])]
+        try:
+            while len(args) < known["operands"]:
+                value, nxt = decode_int(code, nxt)
+                args.append(value)
+        except IndexError:
+            return out
+        out.append((at, op, known["name"], args))
+        if known["name"] == "RET":
+            return out
+        at = nxt
+    return out
+
+
+def spans(bodies: DataFrame, opcodes: dict[int, dict]) -> DataFrame:
+    """module_id, function, idx, offset, op, name and operands of bodies (module_id, function, code), each decoded by itself up to its first RET."""
+    table = {int(k): v for k, v in opcodes.items()}
+
+    def run(batches):
+        for batch in batches:
+            rows = [(m, f, i, *x) for m, f, code in zip(*(batch.column(c).to_pylist() for c in ("module_id", "function", "code")), strict=True) for i, x in enumerate(decode_span(code or b"", table))]
+            kinds = {"module_id": pa.string(), "function": pa.int64(), "idx": pa.int64(), "offset": pa.int64(), "op": pa.int64(), "name": pa.string(), "operands": pa.list_(pa.int64())}
+            yield pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds.values())], list(kinds))
+
+    return bodies.select("module_id", "function", "code").mapInArrow(run, "module_id string, function long, idx long, offset long, op long, name string, operands array<long>")
+
+
+def bodies(tables: DataFrame, modules: DataFrame, first: int | None = None) -> DataFrame:
+    """module_id, function, declared and code of functions with bodies, in the order of their sources; only the first so many of each module if that is given."""
+    rows = collected(tables).where("body_end IS NOT NULL")
+    if first is not None:
+        place = F.row_number().over(Window.partitionBy("module_id").orderBy("source_order", "ordinal"))
+        rows = rows.withColumn("_place", place).where(F.col("_place") <= first)
+    code = F.substring("content", F.col("body_start").cast("int") + 1, (F.col("body_end") - F.col("body_start")).cast("int"))
+    return rows.join(modules.select("module_id", "content"), "module_id").select("module_id", F.col("ordinal").alias("function"), "declared", code.alias("code"))
+
+
 def find(tables: DataFrame, needle: str) -> DataFrame:
     """Functions whose label holds a text, in either case."""
     return table_of(tables, "functions").where(_matches(needle))

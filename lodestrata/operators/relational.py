@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -111,3 +112,28 @@ def tri_state(stages: DataFrame, by: list[str]) -> DataFrame:
 def stage_matrix(stages: DataFrame, title: str, names: list[str]) -> DataFrame:
     """One row a title with the number of passes of each stage."""
     return stages.groupBy(title).pivot("stage", names).agg(F.sum(F.coalesce(F.col("ok"), F.lit(False)).cast("long")))
+
+
+def first_lines(rows: DataFrame, by: list[str], order: str, line: str, limit: int, head: str = "%d entries") -> DataFrame:
+    """by, place and line: a head with the number of rows of each group, the first of them in order, and how many more there are."""
+    own = Window.partitionBy(*by)
+    numbered = rows.select(*by, F.row_number().over(own.orderBy(order)).alias("_i"), F.count("*").over(own).alias("_n"), F.col(line).alias("_line"))
+    some = numbered.where(F.col("_i") <= limit + 1)
+    text = F.when(F.col("_i") <= limit, F.col("_line")).otherwise(F.format_string("  ... %d more", F.col("_n") - limit))
+    lines = F.array(F.struct(F.col("_i").cast("long").alias("place"), text.alias("line")))
+    heads = F.when(F.col("_i") == 1, F.array(F.struct(F.lit(0).cast("long").alias("place"), F.format_string(head, "_n").alias("line")))).otherwise(F.array().cast("array<struct<place:bigint,line:string>>"))
+    return some.select(*by, F.explode(F.concat(heads, lines)).alias("x")).select(*by, "x.place", "x.line")
+
+
+def in_ranges(points: DataFrame, ranges: DataFrame, point: str, start: str, size: str, by: Sequence[str] = ()) -> DataFrame:
+    """points with the columns of the range [start, start + size) of the same `by` that holds each; a point in none is left out.
+
+    Points and ranges meet in cells of the widest range's size, of which a range covers two at most: an equi-join,
+    not a comparison of each with each.
+    """
+    wide = max(1, int(ranges.agg(F.max(size)).head()[0] or 1))
+    cell = lambda x: F.floor(x / wide)
+    cells = F.explode(F.sequence(cell(F.col(start)), cell(F.col(start) + F.col(size) - 1))).alias("_cell")
+    spread = ranges.where(F.col(size) > 0).select("*", cells)
+    inside = (F.col(point) >= F.col(start)) & (F.col(point) < F.col(start) + F.col(size))
+    return points.withColumn("_cell", cell(F.col(point))).join(spread, [*by, "_cell"]).where(inside).drop("_cell")

@@ -7,7 +7,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestrata.functions.codec import encode_int
+from lodestrata.functions.codec import FormatError, encode_int
+from lodestrata.functions.scalars import quote_literal
+from lodestrata.operators.relational import first_lines
+from lodestrata.sources.files import write_file
 
 
 def encode_string(value: bytes, dialect: str) -> bytes:
@@ -57,12 +60,39 @@ def written(trace: DataFrame, dialects: DataFrame) -> DataFrame:
     return rows.groupBy("module_id").agg(F.unhex(F.array_join(parts, "")).alias("content"))
 
 
+def write_modules(made: DataFrame, folder: str) -> DataFrame:
+    """Writes modules (module_id, content) below folder (a path or URI that all executors reach); module_id and place of each.
+
+    A name is that of the module's last part with a digest of all of it, so equal names do not meet.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"module_id": pdf["module_id"], "place": [write_file(folder, n, c) for n, c in zip(pdf["name"], pdf["content"], strict=True)]})
+
+    name = F.concat_ws("_", F.element_at(F.split("module_id", "/"), -1), F.substring(F.sha2("module_id", 256), 1, 8))
+    return made.select("module_id", F.concat(name, F.lit(".bin")).alias("name"), "content").mapInPandas(run, "module_id string, place string")
+
+
+#: Bytes that are compared at once in the search for the first difference.
+PIECE = 1 << 12
+
+
+def _first_difference(a: Column, b: Column) -> Column:
+    """The first place at which two binary values differ, the shorter one's length if one begins the other; pieces first, then bytes."""
+    most = F.greatest(F.octet_length(a), F.octet_length(b))
+    starts = F.sequence(F.lit(0), most, F.lit(PIECE))
+    differs = lambda at, n: ~F.substring(a, at + 1, F.lit(n)).eqNullSafe(F.substring(b, at + 1, F.lit(n)))
+    piece = F.element_at(F.filter(starts, lambda at: differs(at, PIECE)), 1)
+    places = F.sequence(piece, F.least(piece + PIECE - 1, most))
+    return F.element_at(F.filter(places, lambda at: differs(at, 1)), 1).cast("long")
+
+
 def round_trip(rewritten: DataFrame, modules: DataFrame) -> DataFrame:
-    """module_id, identical, and the first place that differs (null if none does)."""
-    pairs = modules.select("module_id", F.hex("content").alias("a")).join(rewritten.select("module_id", F.hex("content").alias("b")), "module_id", "left")
-    same = F.col("a") == F.col("b")
-    shared = F.length(F.regexp_extract(F.concat("a", F.lit("\n"), F.coalesce("b", F.lit(""))), r"^((?:..)*)[^\n]*\n\1", 1)) / 2
-    return pairs.select("module_id", F.coalesce(same, F.lit(False)).alias("identical"), F.when(~F.coalesce(same, F.lit(False)), shared.cast("long")).alias("first_difference"))
+    """module_id, identical, and the first place that differs (null if none does). A module that was not written differs from its first place on."""
+    pairs = modules.select("module_id", F.coalesce("content", F.unhex(F.lit(""))).alias("a")).join(rewritten.select("module_id", F.col("content").alias("b")), "module_id", "left")
+    same = F.coalesce(F.col("a") == F.col("b"), F.lit(False))
+    return pairs.select("module_id", same.alias("identical"), F.when(~same, _first_difference(F.col("a"), F.coalesce("b", F.unhex(F.lit(""))))).alias("first_difference"))
 
 
 def literals(trace: DataFrame) -> DataFrame:
@@ -80,8 +110,16 @@ def replace_literal(trace: DataFrame, old: Column, new: Column, most: int | None
     return rows.withColumn("bytes", F.when(F.col("_take") | ~missed, new).otherwise(F.col("bytes"))).drop("_take")
 
 
-def replace_instruction(trace: DataFrame, seq: int, op: int, operands: list[int]) -> DataFrame:
-    """trace with the instruction at seq replaced; another kind of entry there is an error."""
-    at = F.col("seq") == seq
-    fits = F.when(F.col("kind") == "op", F.lit(op).cast("long")).otherwise(F.raise_error(F.lit("not an instruction")).cast("long"))
-    return trace.withColumns({"op": F.when(at, fits).otherwise(F.col("op")), "operands": F.when(at, F.lit(operands).cast("array<long>")).otherwise(F.col("operands"))})
+def replace_instruction(trace: DataFrame, module_id: str, seq: int, op: int, operands: list[int]) -> DataFrame:
+    """trace with the instruction at seq of one module replaced; another kind of entry there, or none, is an error."""
+    here = (F.col("module_id") == module_id) & (F.col("seq") == seq)
+    found = trace.where(here).select("kind").head()
+    if found is None or found["kind"] != "op":
+        raise FormatError(f"{'no entry' if found is None else found['kind'] + ', not an instruction,'} at {seq} of {module_id}")
+    return trace.withColumns({"op": F.when(here, F.lit(op).cast("long")).otherwise(F.col("op")), "operands": F.when(here, F.lit(operands).cast("array<long>")).otherwise(F.col("operands"))})
+
+
+def literal_report(trace: DataFrame, limit: int = 20) -> DataFrame:
+    """module_id, place and line: how many literals a module has, the first of them, and how many more there are."""
+    rows = literals(trace).withColumn("line", F.format_string("  [%6d] %s", "seq", quote_literal(F.decode("literal", "ISO-8859-1"))))
+    return first_lines(rows, ["module_id"], "seq", "line", limit, "%d new-string fields")

@@ -5,43 +5,59 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.operators.disasm import resolved
+from lodestrata.operators.disasm import bodies, spans
 from lodestrata.operators.relational import stage_rows, tri_state
 from lodestrata.operators.rewrite import round_trip, written
 from lodestrata.sources.module import module_facts, table_of
 
-STAGES = ("unpack", "opcodes", "detect", "enums", "classes", "functions", "blocks", "tail", "disassembly", "write")
+# fixed values: the stages in their order
+STAGES = ("unpack", "dialect", "enums", "classes", "funcdefs", "opcodes", "blocks", "tail", "disasm", "rewrite")
+#: Bodies of a module that the disassembly is checked on, unless the check is deep.
+SAMPLE = 200
 
 
-def stages(modules: DataFrame, tables: DataFrame, opcodes: dict[int, dict]) -> DataFrame:
-    """module_id, stage and ok for modules (module_id, content); one that could not be read still has its rows."""
+def _counts(tables: DataFrame, name: str, alias: str, where: str = "true") -> DataFrame:
+    return table_of(tables, name).where(where).groupBy("module_id").agg(F.count("*").alias(alias))
+
+
+def summary(tables: DataFrame) -> DataFrame:
+    """One row a module: its facts, and how many enums, members, classes, class blocks, bodies, used names and parse errors it has."""
+    rows = module_facts(tables)
+    parts = [("enums", "enums"), ("enum_members", "enum_members"), ("classes", "classes"), ("parse_errors", "parse_errors")]
+    parts += [(t, t) for t in ("used_functions", "used_strings", "used_global_props", "used_object_props")]
+    counts = [_counts(tables, t, n) for t, n in parts]
+    counts += [_counts(tables, "functions", "bodies", "body_end IS NOT NULL"), _counts(tables, "sections", "blocks", "name LIKE 'class %'")]
+    for other in counts:
+        rows = rows.join(other, "module_id", "left")
+    return rows.fillna(0, [*(n for _, n in parts), "bodies", "blocks"])
+
+
+def stages(modules: DataFrame, tables: DataFrame, opcodes: dict[int, dict], deep: bool = False) -> DataFrame:
+    """module_id, stage and ok for modules (module_id, content); one that could not be read still has its rows.
+
+    The disassembly is checked on the first SAMPLE bodies of each module, or with deep on all of them.
+    """
     facts = module_facts(tables)
-    read = F.col("reached") != "nothing"
-    far = F.array_position(F.array(*map(F.lit, ("nothing", "head", "blocks", "tail"))), F.col("reached"))
-    n = lambda t, by="module_id": table_of(tables, t).groupBy(by).agg(F.count("*").alias(f"n_{t}"))
-    errors = table_of(tables, "parse_errors").groupBy("module_id").agg(F.count("*").alias("n_errors"))
-    bodies = table_of(tables, "functions").where("declared IS NOT NULL")
-    found = table_of(tables, "instructions").groupBy("module_id", F.col("function").alias("ordinal")).agg(F.count("*").alias("decoded"))
-    counts = bodies.join(found, ["module_id", "ordinal"], "left").groupBy("module_id").agg(F.bool_and(F.coalesce("decoded", F.lit(0)) == F.col("declared")).alias("counts_ok"))
-    names = resolved(tables, opcodes).where("role IS NOT NULL").groupBy("module_id").agg(F.bool_and(F.col("text").isNotNull()).alias("named"))
+    own = bodies(tables, modules, None if deep else SAMPLE)
+    decoded = spans(own, opcodes).where("name NOT LIKE 'UNKNOWN%'").groupBy("module_id", "function").agg(F.count("*").alias("n"))
+    exact = own.select("module_id", "function", "declared").join(decoded, ["module_id", "function"], "left").groupBy("module_id").agg(F.bool_and(F.coalesce("n", F.lit(0)) == F.col("declared")).alias("exact"))
     same = round_trip(written(table_of(tables, "trace"), facts.where("dialect IS NOT NULL")), modules).select("module_id", "identical")
-    rows = modules.select("module_id", F.col("content").isNotNull().alias("has")).join(facts, "module_id", "left")
-    for other in (n("enums"), n("classes"), errors, counts, names, same):
+    rows = modules.select("module_id", F.col("content").isNotNull().alias("has"))
+    for other in (summary(tables), exact, same):
         rows = rows.join(other, "module_id", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    best = F.array_max(F.transform("candidates", lambda c: F.struct(c["complete"], c["parsed"], c["end"], c["n_enums"])))
+    read, tail = F.coalesce(F.col("dialect").isNotNull(), F.lit(False)), F.col("reached") == "tail"
     ok = rows.select(
         "module_id",
         F.col("has").alias("unpack"),
+        F.when(F.col("has"), read).alias("dialect"),
+        F.when(read, F.col("enums") == F.col("n_enums")).alias("enums"),
+        F.when(read, F.coalesce(F.col("classes") == F.col("classes_declared"), F.lit(False))).alias("classes"),
+        F.when(read, F.coalesce(F.col("funcdefs_read") == F.col("funcdefs_declared"), F.lit(False))).alias("funcdefs"),
         F.lit(bool(opcodes)).alias("opcodes"),
-        read.alias("detect"),
-        F.when(read, zero("n_enums") == best["n_enums"]).alias("enums"),
-        F.when(read, zero("n_classes") == best["parsed"]).alias("classes"),
-        F.when(far >= 3, zero("n_errors") == 0).alias("functions"),
-        F.when(read, far >= 3).alias("blocks"),
-        F.when(far >= 3, far == 4).alias("tail"),
-        F.when(far == 4, F.coalesce("counts_ok", F.lit(True)) & F.coalesce("named", F.lit(True))).alias("disassembly"),
-        F.when(far == 4, F.col("identical")).alias("write"),
+        F.when(read & (F.col("blocks") > 0), F.col("blocks") == F.col("classes")).alias("blocks"),
+        F.when(read & F.col("reached").isin("blocks", "tail"), tail).alias("tail"),
+        F.when(read & tail, F.col("exact")).alias("disasm"),
+        F.when(read & tail, F.coalesce("identical", F.lit(False))).alias("rewrite"),
     )
     return stage_rows(ok, ["module_id"], list(STAGES))
 
@@ -51,3 +67,14 @@ def report(stage_table: DataFrame) -> DataFrame:
     cells = F.when(F.col("ok"), "ok").when(~F.col("ok"), "FAIL").otherwise("-")
     wide = stage_table.groupBy("module_id").pivot("stage", list(STAGES)).agg(F.first(cells))
     return wide.join(tri_state(stage_table, ["module_id"]), "module_id")
+
+
+def totals(stage_table: DataFrame) -> DataFrame:
+    """One row a stage: how many modules passed, failed and did not reach it."""
+    return stage_table.groupBy("stage").agg(F.count_if(F.col("ok")).alias("passed"), F.count_if(~F.col("ok")).alias("failed"), F.count_if(F.col("ok").isNull()).alias("not_reached"))
+
+
+def passed(stage_table: DataFrame) -> DataFrame:
+    """One row: how many modules passed every stage that they reached, of how many."""
+    each = stage_table.groupBy("module_id").agg(F.coalesce(F.bool_and("ok"), F.lit(True)).alias("ok"))
+    return each.agg(F.count_if("ok").alias("n_passed"), F.count("*").alias("n_modules"))

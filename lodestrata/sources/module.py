@@ -8,11 +8,10 @@ independent of each other, so they are what Spark spreads (`decoded`).
 
 from __future__ import annotations
 
-import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,10 +24,15 @@ SCRIPT_OBJECT = {OLD: 0x00100000, NEW: 0x00200000}
 TOKENS = {65: "bool", 68: "int", 69: "int8", 70: "int16", 71: "int64", 75: "uint", 76: "uint8", 77: "uint16", 78: "uint64", 79: "float", 80: "void", 92: "double"}
 IDENTIFIER = re.compile(rb"[A-Za-z_][A-Za-z0-9_]{0,63}\Z")
 RESYNC = 1 << 16
-DAMAGE = (FormatError, IndexError)
+#: What a walk takes for damage; types nested without end run into the last of them.
+DAMAGE = (FormatError, IndexError, RecursionError)
+#: Rows of a table that travel together.
+ROWS = 8192
 
-#: Columns of each table, all after module_id.
+#: Columns of each table, all after module_id and nr (the row's place in its table).
 TABLES = {
+    "modules": "dialect string, start long, size long, end long, reached string, error string, template_namespace boolean, n_enums long, classes_declared long, funcdefs_declared long, funcdefs_read long",
+    "candidates": "dialect string, start long, n_enums long, complete long, parsed long, end long",
     "strings": "ordinal long, value binary",
     "types": "ordinal long, kind string, name string, namespace string, owner long, text string",
     "data_types": "ordinal long, token long, type long, flags long, funcdef long, text string",
@@ -68,7 +72,7 @@ class Walk:
     def __init__(self, data: bytes, dialect: str, at: int = 0, operands: dict[int, int] | None = None, template_namespace: bool = True):
         self.data, self.dialect, self.at, self.operands, self.template_namespace = data, dialect, at, operands, template_namespace
         self.rows: dict[str, list[dict]] = {t: [] for t in TABLES}
-        self.tracing = True
+        self.tracing, self.classes_declared, self.funcdefs_declared, self.funcdefs_read = True, None, None, 0
         #: Numbers of the functions that back-references count.
         self.saved: list[int] = []
 
@@ -513,18 +517,22 @@ def score(c: dict) -> tuple:
     return c["complete"], c["parsed"], c["end"], c["n_enums"]
 
 
-def walk_module(data: bytes, head: dict, operands: dict[int, int] | None, template_namespace: bool) -> tuple[Walk, str, str | None]:
+def walk_module(data: bytes, head: dict, operands: dict[int, int] | None, template_namespace: bool, tracing: bool = True) -> tuple[Walk, str, str | None]:
     """The walk, how far it came ('tail', 'blocks' or 'head'), and why it ended early."""
     walk = Walk(data, head["dialect"], head["start"], operands, template_namespace)
+    walk.tracing = tracing
     walk.note("raw", raw=data[: head["start"]])
     reached = "head"
     try:
         read_head(walk, head["n_enums"])
-        for _ in range(walk.count(1 << 20, "classes")):
+        walk.classes_declared = walk.count(1 << 20, "classes")
+        for _ in range(walk.classes_declared):
             row = walk.declaration()
             walk.put("classes", **row, is_interface=bool(row["flags"] & SCRIPT_OBJECT[walk.dialect]) and row["size"] == 0, derived_from=None)
-        for _ in range(walk.count(1 << 20, "function definitions")):
+        walk.funcdefs_declared = walk.count(1 << 20, "function definitions")
+        for _ in range(walk.funcdefs_declared):
             walk.function("function definition")
+            walk.funcdefs_read += 1
         if operands is not None:
             walk.class_blocks()
             reached = "blocks"
@@ -535,24 +543,46 @@ def walk_module(data: bytes, head: dict, operands: dict[int, int] | None, templa
         return walk, reached, f"{type(e).__name__}: {e}"
 
 
-def decode(data: bytes, operands: dict[int, int] | None) -> tuple[Walk | None, dict]:
+def decode(data: bytes, operands: dict[int, int] | None, tracing: bool = True) -> tuple[Walk | None, dict]:
     """The best walk of a module and facts about it. Templates are read with a namespace first, then without one."""
     heads = candidates(data)
     best = max(heads, key=score, default=None)  # the first of equals
     if best is None or not best["parsed"]:
-        return None, {"reached": "nothing", "error": "no dialect reads the head", "candidates": heads}
-    tries = [(walk_module(data, best, operands, space), space) for space in (True, False)]
+        return None, {"reached": "nothing", "size": len(data), "error": "no dialect reads the head", "candidates": heads}
+    tries = [(walk_module(data, best, operands, space, tracing), space) for space in (True, False)]
     rank = lambda t: (t[0][1] == "tail", sum(s["name"].startswith("class ") for s in t[0][0].rows["sections"]), t[0][0].at)
     (walk, reached, error), space = tries[0] if tries[0][0][1] == "tail" or rank(tries[0]) >= rank(tries[1]) else tries[1]
-    return walk, {"dialect": best["dialect"], "start": best["start"], "size": len(data), "end": walk.at, "reached": reached, "error": error, "template_namespace": space, "candidates": heads}
+    facts = {"dialect": best["dialect"], "start": best["start"], "size": len(data), "end": walk.at, "reached": reached, "error": error}
+    return walk, facts | {"template_namespace": space, "n_enums": best["n_enums"], "classes_declared": walk.classes_declared, "funcdefs_declared": walk.funcdefs_declared, "funcdefs_read": walk.funcdefs_read, "candidates": heads}
 
 
-def literals(data: bytes, dialect: str | None = None) -> list[bytes]:
-    """Distinct plausible literals at any offset, in order."""
+def trace_of(data: bytes, operands: dict[int, int]) -> list[dict]:
+    """Every field of a module in order; an error unless the walk reached the module's end, for part of a trace would write part of a module."""
+    walk, facts = decode(data, operands)
+    if walk is None or facts["reached"] != "tail":
+        raise FormatError(f"no trace: the walk ended at {facts.get('end', 0)} of {len(data)} bytes ({facts['error']})")
+    return walk.rows["trace"]
+
+
+def peek(data: bytes) -> dict:
+    """What a module's first bytes say: debug flag, number of enums (if that is a small number) and the likely dialect."""
+    if len(data) < 3:
+        return {"no_debug": None, "enums": None, "dialect": None}
+    try:
+        enums, at = decode_int(data, 1)
+        after = data[at] if at < len(data) else None
+    except IndexError:
+        enums, after = None, None
+    dialect = OLD if after == 0x6E else NEW if after is not None and after % 2 == 0 else None
+    return {"no_debug": bool(data[0]), "enums": enums if enums is not None and 0 <= enums <= 4096 else None, "dialect": dialect}
+
+
+def literals_at(data: bytes, dialect: str | None = None) -> list[tuple[int, bytes]]:
+    """Distinct plausible literals with the offset at which each comes first, in order."""
     if dialect is None:
         best = max(candidates(data), key=score, default=None)
         dialect = best["dialect"] if best and best["parsed"] else NEW
-    out: dict[bytes, None] = {}
+    out: dict[bytes, int] = {}
     for at in range(len(data) - 1):
         try:
             if dialect == OLD:
@@ -565,40 +595,96 @@ def literals(data: bytes, dialect: str | None = None) -> list[bytes]:
                     continue
                 n >>= 1
         except IndexError:
-            break
+            continue
         if 1 <= n <= 512 and start + n <= len(data) and plausible_literal(raw := data[start : start + n]):
-            out.setdefault(raw)
-    return list(out)
+            out.setdefault(raw, at)
+    return [(at, raw) for raw, at in out.items()]
+
+
+def literals(data: bytes, dialect: str | None = None) -> list[bytes]:
+    """Distinct plausible literals at any offset, in order."""
+    return [raw for _, raw in literals_at(data, dialect)]
+
+
+def harvested(modules: DataFrame) -> DataFrame:
+    """module_id, nr, offset and literal: the distinct plausible literals at any offset of each module (module_id, content)."""
+
+    def run(batches):
+        for batch in batches:
+            for module, data in zip(*(batch.column(c).to_pylist() for c in ("module_id", "content")), strict=True):
+                found = literals_at(data or b"")
+                cols = [pa.array([module] * len(found), pa.string()), pa.array(range(len(found)), pa.int64()), pa.array([at for at, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())]
+                yield pa.record_batch(cols, ["module_id", "nr", "offset", "literal"])
 
+    return modules.select("module_id", "content").mapInArrow(run, "module_id string, nr long, offset long, literal binary")
 
-def decoded(modules: DataFrame, opcodes: dict[int, dict]) -> DataFrame:
-    """One row a table row of each module (module_id, content): module_id, table and the row as JSON.
 
-    A module is a task's work from end to end; `table` picks one table out. The decoded rows should be written once,
-    partitioned by table.
+def peeked(modules: DataFrame) -> DataFrame:
+    """module_id, no_debug, enums and dialect as the first bytes of each module tell them."""
+
+    def run(batches):
+        for batch in batches:
+            seen = [peek(x or b"") for x in batch.column("content").to_pylist()]
+            kinds = {"no_debug": pa.bool_(), "enums": pa.int64(), "dialect": pa.string()}
+            yield pa.record_batch([batch.column("module_id"), *(pa.array([x[c] for x in seen], k) for c, k in kinds.items())], ["module_id", *kinds])
+
+    return modules.select("module_id", F.substring("content", 1, 16).alias("content")).mapInArrow(run, "module_id string, no_debug boolean, enums long, dialect string")
+
+
+ARROW = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+
+
+def columns_of(table: str) -> list[tuple[str, str]]:
+    return [tuple(c.split()) for c in TABLES[table].split(", ")]
+
+
+def read_module(data: bytes | None, operands: dict[int, int], tracing: bool = True) -> dict[str, list[dict]]:
+    """The rows of every table of one module. Whatever goes wrong is told in its `modules` row, so one module ends no batch."""
+    try:
+        walk, facts = decode(data or b"", operands, tracing)
+    except Exception as e:
+        walk, facts = None, {"reached": "nothing", "size": len(data or b""), "error": f"{type(e).__name__}: {e}"}
+    return (walk.rows if walk else {}) | {"modules": [facts], "candidates": facts.get("candidates", [])}
+
+
+def decoded(modules: DataFrame, opcodes: dict[int, dict], only: Iterable[str] | None = None) -> DataFrame:
+    """One row a table row of each module (module_id, content): module_id, table, nr, and the row itself in the column of its table.
+
+    A module is a task's work from end to end. With only, nothing but these tables leaves the task, and fields are traced only if
+    `trace` is one. Every use of the result decodes again unless it is kept: `stored` writes it once, partitioned by table.
     """
     operands = {int(k): v["operands"] for k, v in opcodes.items()}
+    wanted = [t for t in TABLES if only is None or t in {"modules", *only}]
+    kinds = {t: pa.struct([(c, ARROW[k]) for c, k in columns_of(t)]) for t in wanted}
 
     def run(batches):
-        for pdf in batches:
-            for module, data in zip(pdf["module_id"], pdf["content"], strict=True):
-                walk, facts = decode(bytes(data), operands)
-                rows = [("modules", facts)] + [(t, r) for t, rs in (walk.rows.items() if walk else ()) for r in rs]
-                shown = lambda v: v.hex() if isinstance(v, bytes) else v
-                texts = [json.dumps({k: shown(v) for k, v in r.items()}) for _, r in rows]
-                yield pd.DataFrame({"module_id": module, "table": [t for t, _ in rows], "row": texts})
+        for batch in batches:
+            for module, data in zip(*(batch.column(c).to_pylist() for c in ("module_id", "content")), strict=True):
+                found = read_module(data, operands, "trace" in wanted)
+                for t in wanted:
+                    rows = found.get(t, [])
+                    for lo in range(0, len(rows), ROWS):
+                        part = rows[lo : lo + ROWS]
+                        n = len(part)
+                        own = pa.StructArray.from_arrays([pa.array([r.get(c) for r in part], ARROW[k]) for c, k in columns_of(t)], [c for c, _ in columns_of(t)])
+                        head = [pa.array([module] * n, pa.string()), pa.array([t] * n, pa.string()), pa.array(range(lo, lo + n), pa.int64())]
+                        yield pa.record_batch([*head, *(own if x == t else pa.nulls(n, kinds[x]) for x in wanted)], ["module_id", "table", "nr", *wanted])
+
+    shape = ", ".join(f"`{t}` struct<{', '.join(f'`{c}`: {k.replace("long", "bigint")}' for c, k in columns_of(t))}>" for t in wanted)
+    return modules.select("module_id", "content").mapInArrow(run, f"module_id string, `table` string, nr long, {shape}")
+
 
-    return modules.select("module_id", "content").mapInPandas(run, "module_id string, table string, row string")
+def stored(modules: DataFrame, opcodes: dict[int, dict], place: str, only: Iterable[str] | None = None) -> DataFrame:
+    """`decoded`, written once to place (a folder that all executors share), a part for each table: a table's reader reads no other."""
+    rows = decoded(modules, opcodes, only)
+    rows.write.partitionBy("table").mode("overwrite").parquet(place)
+    return modules.sparkSession.read.schema(rows.schema).parquet(place)
 
 
 def table_of(rows: DataFrame, name: str) -> DataFrame:
-    """A decoded table with typed columns; binary values come back from hexadecimal."""
-    shape = TABLES[name]
-    binary = [c.split()[0] for c in shape.split(", ") if c.endswith(" binary")]
-    own = rows.where(F.col("table") == name).select("module_id", F.from_json("row", shape.replace(" binary", " string")).alias("r")).select("module_id", "r.*")
-    return own.withColumns({c: F.unhex(c) for c in binary}) if binary else own
+    """A decoded table: module_id, its columns, and nr (the row's place in it)."""
+    return rows.where(F.col("table") == name).select("module_id", f"{name}.*", "nr")
 
 
 def module_facts(rows: DataFrame) -> DataFrame:
-    shape = "dialect string, start long, size long, end long, reached string, error string, template_namespace boolean, candidates array<struct<dialect:string,start:long,n_enums:long,complete:long,parsed:long,end:long>>"
-    return rows.where("table = 'modules'").select("module_id", F.from_json("row", shape).alias("r")).select("module_id", "r.*")
+    return table_of(rows, "modules").drop("nr")

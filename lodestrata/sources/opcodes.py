@@ -6,7 +6,12 @@ import json
 import re
 import struct
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from lodestrata.functions.codec import FormatError
+from lodestrata.operators.relational import in_ranges
 
 #: fixed values: operand count and size in words of each operand type of the format
 TYPES = {
@@ -98,3 +103,56 @@ def from_json(text: str) -> dict[int, dict]:
 
 def to_json(table: dict[int, dict]) -> str:
     return json.dumps({"count": len(table), "table": {str(k): v for k, v in sorted(table.items())}}, indent=1)
+
+
+def _each(files: DataFrame, read, shape: str) -> DataFrame:
+    """A row for each tuple that read makes of a file's bytes, after its path; a file that cannot be read has one row, with the error last."""
+    kinds = {"long": pa.int64(), "string": pa.string()}
+    columns = [c.split() for c in shape.split(", ")]
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for path, data in zip(*(batch.column(c).to_pylist() for c in ("path", "content")), strict=True):
+                try:
+                    rows += [(path, *x, None) for x in read(data or b"")]
+                except (FormatError, struct.error, IndexError) as e:
+                    rows.append((path, *[None] * (len(columns) - 2), str(e) or type(e).__name__))
+            yield pa.record_batch([pa.array([r[i] for r in rows], kinds[k]) for i, (_, k) in enumerate(columns)], [c for c, _ in columns])
+
+    return files.select("path", "content").mapInArrow(run, shape)
+
+
+def tables(files: DataFrame) -> DataFrame:
+    """path, op, name, type, stackInc, operands, dwords of the opcode table of each file (path, content), or an error."""
+    columns = ("name", "type", "stackInc", "operands", "dwords")
+    return _each(files, lambda data: [(op, *(x[c] for c in columns)) for op, x in find(data).items()], "path string, op long, name string, type long, stackInc long, operands long, dwords long, error string")
+
+
+def section_tables(files: DataFrame) -> DataFrame:
+    """path, base, rva, size and place in the file of each section of each file (path, content), or an error."""
+
+    def read(data):
+        base, found = sections(data)
+        return [(base, *x) for x in found]
+
+    return _each(files, read, "path string, base long, rva long, size long, place long, error string")
+
+
+def located(addresses: DataFrame, found: DataFrame) -> DataFrame:
+    """addresses (path, address) with at: the place in the file that each stands for; those in no section are left out.
+
+    found has the sections of `section_tables`; the range join runs within each file.
+    """
+    own = found.where("error IS NULL").select(F.col("path").alias("_p"), "base", "rva", "size", "place")
+    reach = own.groupBy("_p").agg(F.first("base").alias("base"))
+    points = addresses.join(reach, addresses.path == reach["_p"]).select(*addresses.columns, (F.col("address") - F.col("base")).alias("_x"), F.col("path").alias("_f"))
+    ranges = own.select(F.col("_p").alias("_f"), "rva", "size", "place")
+    return in_ranges(points, ranges, "_x", "rva", "size", ["_f"]).select(*addresses.columns, (F.col("place") + F.col("_x") - F.col("rva")).alias("at"))
+
+
+def strings_at(places: DataFrame, files: DataFrame, most: int = 32) -> DataFrame:
+    """places (path, at) with text: the bytes from there to the next NUL, as Latin-1; null if none comes within `most`."""
+    both = places.join(files.select("path", "content"), "path")
+    raw = F.decode(F.substring("content", F.col("at").cast("int") + 1, F.lit(most)), "ISO-8859-1")
+    return both.select(*places.columns, F.nullif(F.regexp_extract(raw, r"^([^\x00]+)\x00", 1), F.lit("")).alias("text"))

@@ -26,7 +26,7 @@ def test_entry_works_without_the_optional_subpackage(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
 
 
-@pytest.mark.parametrize("name", sorted(k for k in e.oracle_sql() if k.startswith("q")))
+@pytest.mark.parametrize("name", sorted(k for k in e.oracle_sql() if k[0] in "qf"))
 def test_query_matches_its_sql(spark, name):
     import duckdb
 

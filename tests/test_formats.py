@@ -39,6 +39,21 @@ def test_blobs_come_back_and_damage_shows():
     assert codec.key_material(0x11)[:7].hex() == "33050f2d050f2d"
 
 
+def test_the_longest_copy_is_taken():
+    data = b"abcdX" + b"abcdefgY" + b"abcdQ" + b"abcdefgh"
+    assert codec.longest_match(data, 18, [0, 5, 13], 1 << 16, 4096) == (7, 13)
+    assert codec.longest_match(data, 18, [0, 5, 13], 12, 4096) == (4, 5) and codec.longest_match(data, 18, [], 99, 99) == (0, 0)
+    assert codec.longest_match(b"x" * 300, 100, list(range(100)), 1 << 16, 4096) == (200, 1)
+    assert codec.longest_match(b"abcabc", 3, [0], 99, 2) == (2, 3)
+    rng = random.Random(7)
+    for _ in range(200):
+        data = bytes(rng.choices(b"ab", k=40))
+        at = rng.randrange(1, 40)
+        want = max(next((n for n in range(len(data) - at, -1, -1) if data[i : i + n] == data[at : at + n]), 0) for i in range(at))
+        assert codec.longest_match(data, at, list(range(at)), 99, 99)[0] == want
+    assert len(codec.deflate(data * 20)) < len(data) * 3
+
+
 def test_aes_without_padding(spark):
     key, iv = bytes(range(32)), bytes(16)
     df = spark.createDataFrame([(bytearray(b"0123456789abcdef" * 3), bytearray(key), bytearray(iv))], "d binary, k binary, iv binary")
@@ -111,6 +126,40 @@ def test_packs(spark, tmp_path):
     assert packs.from_files(overlay.read_files(spark, str(tmp_path / "in"))).count() == 3
 
 
+def test_pack_reports(spark):
+    rows = spark.createDataFrame([("p", i, f"n{i}", bytearray(b"x" * i)) for i in range(5)], "pack string, ordinal int, name string, data binary").withColumn("size", F.octet_length("data").cast("long"))
+    rows = rows.withColumn("data", F.when(F.col("ordinal") > 2, packs.seal(F.col("data"), F.lit(bytearray(32)))).otherwise(F.col("data")))
+    assert tuple(packs.counted(rows).head()) == ("p", 5, 2, 1, 10, 7)
+    lines = [r.line for r in packs.listing(rows, 2).orderBy("place").collect()]
+    assert lines[0] == "5 entries" and lines[-1] == "  ... 3 more" and len(lines) == 4
+    twice = spark.createDataFrame([("n0", bytearray(b"a")), ("n0", bytearray(b"b"))], "name string, new_data binary")
+    with pytest.raises(Exception, match="two replacements"):
+        packs.replaced(rows, twice, F.lit(bytearray(32))).collect()
+    once = twice.limit(1).union(twice.limit(1))
+    assert packs.replaced(rows, once, F.lit(bytearray(32))).count() == 5
+
+
+def test_blobs_of_equal_names_do_not_meet(spark, tmp_path):
+    rows = spark.createDataFrame([(f"file:/{d}/game.exe", bytearray(d.encode()), bytearray(b"c"), None) for d in ("a", "b")], "path string, bytecode binary, compressed binary, embedded binary")
+    wrote = overlay.write_blobs(rows, str(tmp_path / "out")).collect()
+    assert len({r.place for r in wrote}) == 4 and all(r.error is None for r in wrote)
+    assert sorted(p.read_bytes() for p in (tmp_path / "out").glob("*_bytecode.bin")) == [b"a", b"b"]
+
+
+def test_opcode_tables_as_rows(spark):
+    from lodestrata.plans.samples import opcode_image
+    from lodestrata.sources import opcodes
+
+    files = spark.createDataFrame([("a", bytearray(opcode_image([f"Op{i}" for i in range(12)], [1] * 12))), ("bad", bytearray(b"MZ"))], "path string, content binary")
+    got = opcodes.tables(files).collect()
+    assert [r.name for r in got if r.path == "a"] == [f"Op{i}" for i in range(12)] and [r.error is None for r in got if r.path == "bad"] == [False]
+    parts = opcodes.section_tables(files)
+    asked = spark.createDataFrame([("a", 0x401000), ("a", 0x401200), ("a", 0x400FFF), ("bad", 5)], "path string, address long")
+    places = opcodes.located(asked, parts)
+    assert {r.address: r.at for r in places.collect()} == {0x401000: 0x200, 0x401200: 0x400}
+    assert {r.at: r.text for r in opcodes.strings_at(places, files).collect()} == {0x200: None, 0x400: "Zero"}
+
+
 @pytest.mark.parametrize("raw", [b"nope", pack_bytes([("a", b"b")]) + b"x", pack_bytes([("a", b"bcd")])[:-1]])
 def test_bad_packs(raw):
     with pytest.raises(codec.FormatError):

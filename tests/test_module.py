@@ -159,6 +159,63 @@ def test_rewriting_is_exact(tables, modules):
         rewrite.replace_literal(trace, F.lit(bytearray(b"absent")), F.lit(bytearray(b"x"))).collect()
 
 
+def test_edits_reach_one_module(tables):
+    trace = module.table_of(tables, "trace")
+    seq = trace.where("module_id = 'len2' AND kind = 'op'").agg(F.min("seq")).head()[0]
+    after = rewrite.replace_instruction(trace, "len2", seq, 12, [5]).where(F.col("seq") == seq)
+    assert {r.module_id: (r.op, r.operands) for r in after.collect()}["len2"] == (12, [5])
+    changed = rewrite.replace_instruction(trace, "len2", seq, 12, [5]).exceptAll(trace).count()
+    assert changed == 1
+    for module_id, at in (("len2", 0), ("len2", 10**6), ("absent", seq)):
+        with pytest.raises(FormatError):
+            rewrite.replace_instruction(trace, module_id, at, 1, [0])
+
+
+def test_first_differences_of_long_modules(spark):
+    data = bytes(range(256)) * 2000
+    at = [0, 1, 4095, 4096, 300_000, len(data) - 1]
+    rows = [(str(i), bytearray(data), bytearray(data[:i] + b"\xaa\xbb"[data[i] == 0xAA :][:1] + data[i + 1 :])) for i in at]
+    rows += [("same", bytearray(data), bytearray(data)), ("short", bytearray(data), bytearray(data[:9])), ("long", bytearray(data[:4096]), bytearray(data[:4097])), ("none", bytearray(b"ab"), None), ("empty", bytearray(), bytearray())]
+    df = spark.createDataFrame(rows, "module_id string, content binary, b binary")
+    got = {r.module_id: (r.identical, r.first_difference) for r in rewrite.round_trip(df.select("module_id", F.col("b").alias("content")), df.select("module_id", "content")).collect()}
+    assert got == {str(i): (False, i) for i in at} | {"same": (True, None), "short": (False, 9), "long": (False, 4096), "none": (False, 0), "empty": (True, None)}
+
+
+def test_spans_stop_where_they_should(spark):
+    table = {1: {"name": "RET", "operands": 1}, 2: {"name": "STR", "operands": 1}}
+    assert disasm.decode_span(b"\x02\x05\x01\x00\x02\x05", table) == [(0, 2, "STR", [5]), (2, 1, "RET", [0])]
+    assert disasm.decode_span(b"\x02\x05\xee\x00", table) == [(0, 2, "STR", [5]), (2, 0xEE, "UNKNOWN_EE", [])]
+    assert disasm.decode_span(b"\x02\x05\x02\x40", table) == [(0, 2, "STR", [5])] and disasm.decode_span(b"", table) == []
+    assert disasm.decode_span(b"\x02\x05\x02\x06\x01\x00", table, 2, 1) == [(2, 2, "STR", [6])]
+    rows = spark.createDataFrame([("m", 0, bytearray(b"\x01\x00")), ("m", 1, None)], "module_id string, function long, code binary")
+    assert [tuple(r) for r in disasm.spans(rows, table).collect()] == [("m", 0, 0, 0, 1, "RET", [0])]
+
+
+def test_traces_are_whole_or_an_error():
+    ops = {k: v["operands"] for k, v in OPS.items()}
+    assert module.trace_of(sample(module.NEW), ops)[0]["kind"] == "raw"
+    for bad in (sample(module.NEW)[:-1], b"\0\1\2", b""):
+        with pytest.raises(FormatError):
+            module.trace_of(bad, ops)
+    assert module.peek(sample(module.OLD)) == {"no_debug": False, "enums": 1, "dialect": module.OLD} and module.peek(b"")["enums"] is None
+
+
+def test_tables_are_typed_and_stored_by_name(spark, modules, tmp_path):
+    made = module.stored(modules, OPS, str(tmp_path / "t"), ["functions", "properties"])
+    assert {p.name for p in (tmp_path / "t").iterdir() if p.is_dir()} == {"table=functions", "table=properties", "table=modules"}
+    own = module.table_of(made, "properties")
+    assert own.schema["type"].dataType.simpleString() == "bigint" and own.where("module_id = 'len2'").orderBy("nr").select("name").collect()[0][0] == "x"
+    plan = module.table_of(made, "properties")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "table" in plan
+
+
+def test_of_classes_of_one_name_the_last_counts(spark):
+    rows = [("m", "used_object_props", 0, {"ordinal": 0, "owner_text": "K", "name": None, "place": 0}), ("m", "properties", 0, {"class": "K", "ordinal": 0, "name": "zz"}), ("m", "properties", 1, {"class": "K", "ordinal": 0, "name": "aa"})]
+    shape = ", ".join(f"`{t}` struct<{', '.join(f'`{c}`: {k.replace("long", "bigint")}' for c, k in module.columns_of(t))}>" for t in module.TABLES)
+    made = spark.createDataFrame([(m, t, n, *(x if t == c else None for c in module.TABLES)) for m, t, n, x in rows], f"module_id string, `table` string, nr long, {shape}")
+    assert [r._text for r in disasm.names(made).where("_nt = 'objprop'").collect()] == ["K::aa"]
+
+
 def test_opcode_tables_are_found():
     names = [b"Zero", *(b"Op%d" % i for i in range(12)), b"Last"]
     at, places, blob = 0x400, [], b""

@@ -5,7 +5,10 @@ from test_module import OPS, modules, sample, tables  # noqa: F401
 
 from lodestrata import cli
 from lodestrata.functions.strings import candidates, fresh_by_harvester, string_decrypt, string_encrypt, string_key
-from lodestrata.operators.validate import STAGES, report, stages
+from lodestrata.functions.codec import encode_int
+from lodestrata.operators import validate
+from lodestrata.operators.disasm import bodies
+from lodestrata.operators.validate import STAGES, passed, report, stages, summary, totals
 from lodestrata.sources import module
 
 
@@ -13,11 +16,36 @@ def test_stages_and_status(modules, tables):  # noqa: F811
     rows = stages(modules, tables, OPS)
     got = {(r.module_id, r.stage): r.ok for r in rows.collect()}
     assert len(got) == 3 * len(STAGES)
-    assert got["junk", "detect"] is False and got["junk", "tail"] is None
-    assert got["len2", "write"] and got["tagged", "tail"] and got["len2", "classes"]
-    assert got["len2", "disassembly"] is False  # one call is out of range
+    assert got["junk", "unpack"] and got["junk", "dialect"] is False and got["junk", "tail"] is None
+    assert all(got[m, s] for m in ("len2", "tagged") for s in STAGES)
     status = {r.module_id: r.status for r in report(rows).collect()}
-    assert status == {"junk": "FAIL", "len2": "FAIL", "tagged": "FAIL"}
+    assert status == {"junk": "FAIL", "len2": "PASS", "tagged": "PASS"}
+    assert tuple(passed(rows).head()) == (2, 3)
+    assert {r.stage: (r.passed, r.failed, r.not_reached) for r in totals(rows).collect()}["tail"] == (2, 0, 1)
+    counts = {r.module_id: (r.enum_members, r.bodies, r.classes) for r in summary(tables).where("dialect IS NOT NULL").collect()}
+    assert set(counts.values()) == {(2, 3, 2)}
+
+
+def test_a_sample_of_bodies_is_checked(modules, tables, monkeypatch):  # noqa: F811
+    monkeypatch.setattr(validate, "SAMPLE", 1)
+    own = bodies(tables, modules, 1)
+    assert own.count() == 2 and bodies(tables, modules).count() == 6
+    assert stages(modules, tables, OPS, deep=True).where("stage = 'disasm' AND ok").count() == 2
+
+
+def test_one_bad_module_ends_no_batch(spark, monkeypatch):
+    def failing(data, operands, tracing=True, real=module.decode):
+        if data.startswith(b"boom"):
+            raise MemoryError("too large")
+        return real(data, operands, tracing)
+
+    monkeypatch.setattr(module, "decode", failing)
+    found = module.read_module(b"boom", {})
+    assert found["modules"][0]["reached"] == "nothing" and "MemoryError" in found["modules"][0]["error"]
+    deep = sample(module.OLD)[:1] + encode_int(1) + b"nXoops"
+    rows = [("deep", bytearray(deep)), ("none", None), ("good", bytearray(sample(module.NEW)))]
+    made = module.decoded(spark.createDataFrame(rows, "module_id string, content binary"), OPS, ["functions"])
+    assert {r.module_id: r.reached for r in module.module_facts(made).collect()} == {"deep": "nothing", "none": "nothing", "good": "tail"}
 
 
 def test_harvest(spark):
@@ -37,8 +65,14 @@ def test_commands(tmp_path, capsys, spark):
     assert cli.main(["asm", *at]) == 0 and "identical" in capsys.readouterr().out
     assert cli.main(["lift", *at, "--calls", "print"]) == 0 and "void <global>::main()" in capsys.readouterr().out
     assert cli.main(["disasm", *at, "-f", "nothing"]) == 1
-    assert cli.main(["validate", *at]) == 1
+    assert cli.main(["validate", *at]) == 0 and "1/1 modules" in capsys.readouterr().out
     assert cli.main(["opcodes", str(tmp_path / "absent"), "x"]) == 2
+    assert cli.main(["lift", str(tmp_path / "absent"), at[1]]) == 2
+    assert cli.main(["asm", *at, "--out", str(tmp_path / "made")]) == 0
+    assert [p.read_bytes() for p in (tmp_path / "made").iterdir()] == [sample(module.NEW)]
+    capsys.readouterr()
+    assert cli.main(["asm", *at, "--literals", "3"]) == 0 and " more" in capsys.readouterr().out
+    assert cli.main(["disasm", *at, "--json", str(tmp_path / "json")]) == 0 and list((tmp_path / "json").glob("*.json"))
     assert F is not None
 
 
