@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import re
 import tempfile
 import uuid
@@ -120,45 +119,27 @@ def text_bytes(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
-class WordHashes(dict):
-    """Word to 64-bit hash, remembered for up to `limit` words."""
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """A 64-bit hash of each word. Hashing anew is faster than remembering, and takes no memory."""
+    import xxhash
 
-    def __init__(self, limit: int = 200_000):
-        super().__init__()
-        import xxhash
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
-        self.hash, self.limit = xxhash.xxh3_64_intdigest, limit
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        v = self[word] = self.hash(word)
-        return v
+_kept: list = []
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
-
-_in_use: list = []
-
-
-def sole(cache):
-    """cache, after emptying the one used before: a worker remembers words for one operator at a time."""
-    if not _in_use or _in_use[0] is not cache:
-        for other in _in_use:
-            other.clear()
-        _in_use[:] = [cache]
+def kept(cache):
+    """cache, which this worker keeps between tasks until another operator's task runs in it."""
+    if not any(x is cache for x in _kept):
+        _kept.append(cache)
     return cache
 
 
-@functools.lru_cache(maxsize=1)
-def _word_hashes() -> WordHashes:
-    return WordHashes(300_000)
-
-
-def word_hashes() -> WordHashes:
-    """The worker's own, kept between tasks."""
-    return sole(_word_hashes())
+def forget() -> None:
+    """Empties what other operators have kept in this worker."""
+    for cache in _kept:
+        cache.clear()
 
 
 def mix(h: np.ndarray) -> np.ndarray:

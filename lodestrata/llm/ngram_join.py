@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import by_part, mix, runs_of, shuffles, slices, small_or_shuffled, text_bytes, word_hashes, written
+from lodestrata.llm.common import by_part, forget, mix, runs_of, shuffles, slices, small_or_shuffled, text_bytes, word_hashes, written
 from lodestrata.llm.dealing import DEALT, PLAIN, anywhere, dealt_batch, packed
 from lodestrata.llm.dealing import told as told_keys
 from lodestrata.llm.graph import components
@@ -47,7 +47,7 @@ SALT = np.uint64(0xD6E8FEB86659FD93)
 def shingles(data: bytes) -> np.ndarray:
     """Distinct shingle hashes of a text, ascending."""
     words = data.lower().split()
-    hashes = word_hashes().of(words)
+    hashes = word_hashes(words)
     if len(words) < WIDTH:
         return mix(runs_of(hashes, len(words)) ^ np.uint64(len(words))) if words else np.empty(0, np.uint64)
     return np.unique(runs_of(hashes, WIDTH))
@@ -111,6 +111,7 @@ def deal(docs: DataFrame, n_parts: int) -> DataFrame:
         import xxhash
 
         free = anywhere(n_parts)
+        forget()
         for batch in slices(batches, 1024, 4 << 20):
             rows, seen, keys, owners, bandof = [], set(), [], [], []
             for doc, data in zip(batch.column("doc_id").to_pylist(), text_bytes(batch), strict=True):

@@ -136,7 +136,11 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
 
 
 def sequences(docs: DataFrame, placement: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
-    """sequence_id and the ids of each packed sequence, for docs whose doc_ids are unique."""
+    """sequence_id and the ids of each packed sequence, for docs whose doc_ids are unique and not null.
+
+    Null text is empty. A row with a null doc_id has no place and is left out; rows that repeat one would each take its place. An empty
+    placement gives no rows.
+    """
     path = path or vocabulary()
 
     def encode(batches):

@@ -55,7 +55,7 @@ def counts(data: bytes) -> tuple[int, ...]:
             again += line in seen
             seen.add(line)
     repeat = 0
-    h = runs_of(word_hashes().of(words), WINDOW)
+    h = runs_of(word_hashes(words), WINDOW)
     if len(h) > 1:
         order = np.argsort(h, kind="stable")
         s = h[order]

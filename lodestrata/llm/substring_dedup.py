@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import by_part, mix, runs_of, shuffles, slices, text_bytes, word_hashes, written
+from lodestrata.llm.common import by_part, forget, mix, runs_of, shuffles, slices, text_bytes, word_hashes, written
 from lodestrata.llm.dealing import DEALT, HOT, KEYS, LOW, PLAIN, anywhere, dealt_batch, dealt_rows, packed, split, told
 from lodestrata.session import table
 
@@ -77,6 +77,7 @@ def deal(docs: DataFrame, n_parts: int) -> DataFrame:
         import xxhash
 
         free = anywhere(n_parts)
+        forget()
         for batch in slices(batches, 1024, 4 << 20):
             plain, seen, keys, owners = [], set(), [], []
             for doc, data in zip(batch.column("doc_id").to_pylist(), text_bytes(batch), strict=True):
@@ -86,7 +87,7 @@ def deal(docs: DataFrame, n_parts: int) -> DataFrame:
                 plain.append((doc is not None, doc or 0, signed(xxhash.xxh64_intdigest(data, 42)), own, len(words), digest.hexdigest().encode()))
                 if doc is not None and len(words) >= WINDOW and own not in seen:
                     seen.add(own)
-                    runs, at = anchors(word_hashes().of(words))
+                    runs, at = anchors(word_hashes(words))
                     keys.append(np.unique(runs[at[np.r_[True, at[1:] != at[:-1]]]] & LOW))  # places never go back
                     owners.append(np.full(len(keys[-1]), own, np.int64))
             rows = [(next(free), PLAIN, np.array(plain, MARK).tobytes(), b"")] if plain else []
@@ -175,7 +176,7 @@ def suffixes(near: DataFrame, n_parts: int) -> DataFrame:
         for batch in slices(batches, 1024, 4 << 20):
             held, base, side = [], 0, []
             for doc, own, data, keys in zip(batch.column("doc_id").to_pylist(), batch.column("own").to_pylist(), text_bytes(batch), batch.column("keys").to_pylist(), strict=True):
-                hashes = word_hashes().of(data.split())
+                hashes = word_hashes(data.split())
                 leaves, prefix, long, same = leaves_of(doc, own, hashes, np.array(keys, np.int64))
                 held.append((leaves, prefix, long, same, leaves["start"] + np.int64(base)))
                 side.append(hashes)
@@ -378,7 +379,7 @@ def _cut(rows: DataFrame) -> DataFrame:
                 np.add.at(cover, at + n + WINDOW - 1, -1)
                 more = np.flatnonzero(places.values.field("more").to_numpy(zero_copy_only=False))
                 if len(more):
-                    whole = runs_of(word_hashes().of(words), WINDOW)
+                    whole = runs_of(word_hashes(words), WINDOW)
                     copies = np.flatnonzero(np.isin(whole, taken(whole, at[more], n[more])))
                     np.add.at(cover, copies, 1)
                     np.add.at(cover, copies + WINDOW, -1)

@@ -5,10 +5,11 @@ from __future__ import annotations
 import functools
 import json
 import re
+import struct
 
 import numpy as np
 
-from lodestrata.llm.common import sole
+from lodestrata.llm.common import kept
 
 #: Words of these characters alone take the short way: nothing in them is changed by NFC, and lower-casing is per character.
 PLAIN = re.compile(rb"(?:[!-~]|\xc2[\xa1-\xbf]|\xc3[\x80-\xbf])+\Z")
@@ -47,7 +48,7 @@ class WordTokens(dict):
     file each text goes through the whole tokenizer.
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 300_000):
         super().__init__()
         import regex
         from tokenizers import Tokenizer
@@ -70,13 +71,19 @@ class WordTokens(dict):
             if len(self.parts) >= self.limit:
                 self.parts.clear()
             shown = text if text.isascii() else "".join(map(self.shown.__getitem__, text.encode()))
-            ids = self.parts[text] = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+            ids = self.parts[text] = self.of(shown)
         return ids
 
+    def of(self, shown: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(shown)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= self.limit:
             super().clear()
-        if PLAIN.match(word) and b"<|" not in word:
+        if word.isalpha():  # ASCII letters alone: one part, not worth a place among the parts
+            ids = self.of(word.decode().lower())
+        elif PLAIN.match(word) and b"<|" not in word:
             ids = b"".join(map(self.part, self.pattern.findall(word.decode().lower())))
         else:
             ids = self.whole(word)
@@ -98,4 +105,4 @@ def _word_tokens(path: str) -> WordTokens:
 
 def word_tokens(path: str) -> WordTokens:
     """The worker's own: Spark keeps Python workers between tasks, and with them what words they remember."""
-    return sole(_word_tokens(path))
+    return kept(_word_tokens(path))

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestrata.llm.common import ALNUM, slices, written
+from lodestrata.llm.common import ALNUM, forget, slices, written
 from lodestrata.session import table
 
 MAX_TRAIN, BUCKETS, DIM, WIDTHS, FILTERS = 6000, 1 << 16, 16, (1, 2, 3), 8
@@ -80,21 +80,22 @@ class Net:
                 n += pieces[at][2] - pieces[at][1]
                 at += 1
             known: dict[bytes, int] = {}
-            places = []
+            places, own = [], []
             for i, lo, hi in held:
+                own += [True] * (hi - lo) + [False] * (min(hi + MARGIN, len(texts[i])) - hi + MARGIN)
                 places += [known.setdefault(w, len(known) + 1) for w in texts[i][lo : hi + MARGIN]]
                 places += [0] * MARGIN
             rows = np.zeros((len(known) + 1, DIM), np.float32)
             if known:
                 f = features([*known])
                 rows[1:] = self.e[f[:, 0]] + self.e[f[:, 1]] + self.e[f[:, 2]] + self.e[f[:, 3]]
-            projected, places = rows @ self.w, np.array(places, np.int32)
+            projected, places, own = rows @ self.w, np.array(places, np.int32), np.array(own, bool)
             ends = np.cumsum([min(hi + MARGIN, len(texts[i])) - lo + MARGIN for i, lo, hi in held])
             starts = np.r_[0, ends[:-1]]
             for k in range(len(WIDTHS)):
-                # padding between texts gives windows that reach into the next one: a place of padding starts none
+                # no window starts in the padding, nor in the words of the next step of a text
                 got = self.windows(projected, places, k)
-                got[places[: len(got)] == 0] = -np.inf
+                got[~own[: len(got)]] = -np.inf
                 top = np.maximum.reduceat(got, np.minimum(starts, len(got) - 1), axis=0) if len(got) else np.full((len(held), FILTERS), -np.inf, np.float32)
                 cols = slice(k * FILTERS, (k + 1) * FILTERS)
                 for j, (i, _, _) in enumerate(held):
@@ -230,7 +231,8 @@ def learned(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_
     come first; a text that no longer fits is left out. Rows that repeat an id and text count once.
     """
     use = _known(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    found = _with_lang(docs).join(F.broadcast(use), "doc_id").withColumn("_h", F.xxhash64(F.coalesce("text", F.lit(""))))
+    found = _with_lang(docs).join(F.broadcast(use), "doc_id").select("doc_id", "text", "toxic", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h"))
+    found = written(found, "labelled")  # one pass over all texts
     heads = found.select("doc_id", "_h", F.length("text").alias("n")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "_h").limit(max_train)
     chosen, size = [], 0
     for r in heads.collect():
@@ -271,6 +273,7 @@ def scored(docs: DataFrame, net: Net | None, limits: dict) -> DataFrame:
 
     def run(batches):
         model = known.value
+        forget()
         for batch in slices(batches):
             raw = batch.column("text").to_pylist()
             s = model.scores([words_of(x) for x in raw]) if model and raw else np.zeros(len(raw))

@@ -62,7 +62,7 @@ def odd(spark):
     """Repeated rows, repeated and null ids, nulls everywhere, and columns that clash with those operators make."""
     base = [(1, "password = abcdefghijkl1 " + "w " * 30, "en", "s", 3), (1, "password = abcdefghijkl1 " + "w " * 30, "en", "s", 3), (1, "other text of this id", None, None, None), (None, None, None, None, None), (None, "x y z " * 20, "de", "s", 1), (None, "x y z " * 20, "de", "s", 1)]
     df = spark.createDataFrame(base, DOCS)
-    clash = ["score", "row", "mark", "spans", "n_hit", "rejected", "kind", "comp", "best", "hits", "owner", "items", "piece", "first", "keys", "places", "number", "g", "key", "base", "all"]
+    clash = ["score", "row", "mark", "spans", "n_hit", "rejected", "kind", "comp", "best", "hits", "owner", "items", "piece", "first", "keys", "places", "number", "g", "key", "base", "all", "_mark", "_d", "_m", "_h", "_spans", "_new", "_doc", "_text", "_wide", "_key", "runs", "size", "block", "own", "part", "_cd", "_co", "_o", "hot", "start", "toxic"]
     return df.select("*", *(F.lit("clash").alias(c) for c in clash))
 
 
@@ -113,6 +113,72 @@ def test_toxicity_scores_do_not_depend_on_steps(monkeypatch):
     assert abs(net.scores(texts) - whole).max() < 1e-5
 
 
+def plain_score(net, words):
+    """The net's score of a word list by loops over words, widths and filters."""
+    import numpy as np
+
+    hidden = []
+    for k, width in enumerate(toxicity.WIDTHS):
+        first = sum(toxicity.WIDTHS[:k])
+        for q in range(toxicity.FILTERS):
+            best = None
+            for i in range(len(words)):
+                total = 0.0
+                for j in range(width):
+                    if i + j < len(words):
+                        e = sum(net.e[b].astype(float) for b in toxicity.features([words[i + j]])[0])
+                        total += float(e @ net.w[:, (first + j) * toxicity.FILTERS + q].astype(float))
+                best = total if best is None else max(best, total)
+            hidden.append(max(0.0, (best or 0.0) + float(net.c[k * toxicity.FILTERS + q])))
+    return 1 / (1 + np.exp(-(np.array(hidden) @ net.v.astype(float) + float(net.b[0]))))
+
+
+@pytest.mark.parametrize("bias", [-0.3, 0.0, 0.1, 2.0])
+def test_toxicity_scores_are_those_of_the_definition(bias, monkeypatch):
+    net = toxicity.Net()
+    net.c[:] = bias
+    texts = [toxicity.words_of(t) for t in ("", "one", "vile words", "A b c d E f", "x y", None, "the end of it all, of it")]
+    want = [plain_score(net, t) for t in texts]
+    assert abs(net.scores(texts) - want).max() < 1e-5
+    assert abs(net.scores(texts[::-1])[::-1] - want).max() < 1e-5
+    monkeypatch.setattr(toxicity, "STEP", 2)
+    assert abs(net.scores(texts) - want).max() < 1e-5
+    assert max(abs(net.scores([t])[0] - w) for t, w in zip(texts, want, strict=True)) < 1e-5
+
+
+def test_toxicity_query_is_its_net_by_loops(spark, odd):
+    """Hard rows through a trained net: every row's score is that of the definition."""
+    rng = random.Random(6)
+    plain = ["".join(rng.choices("abcdef", k=4)) for _ in range(60)]
+    rows = [(100 + i, " ".join(rng.choices(plain, k=9) + ["vilest", "scorn"] * (i % 3 == 0)), "en", "s", None) for i in range(90)]
+    df = spark.createDataFrame(rows, DOCS).unionByName(odd, allowMissingColumns=True).unionByName(spark.createDataFrame([(1, "vilest " * 4000, "en", "s", 1)], DOCS), allowMissingColumns=True)
+    labels = spark.createDataFrame([(100 + i, 1, int(i % 3 == 0)) for i in range(90)] + [(None, None, 1), (1, 0, None)], "doc_id long, quality int, toxic int")
+    net, limits = toxicity.fit(df, labels)
+    got = toxicity.scored(df, net, limits).select("row.doc_id", "row.text", "score", "rejected").collect()
+    assert net is not None and len(got) == 97
+    for r in {(r.doc_id, r.text): r for r in got if len(r.text or "") < 500}.values():
+        assert abs(r.score - plain_score(net, toxicity.words_of(r.text))) < 1e-5
+    assert {r.rejected for r in got if (r.text or "").startswith("vilest")} == {True}
+    assert toxicity.cleared(df, labels).columns == df.columns
+
+
+def test_toxicity_sample_is_bounded(spark):
+    rows = [(i % 40, f"w{i} " * (1 + i % 50), "en", "s", None) for i in range(400)] * 2
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    seen = []
+
+    def train(texts, y, real=toxicity.train):
+        seen.append((len(texts), sum(len(w) + 1 for t in texts for w in t)))
+        return real(texts, y)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(toxicity, "train", train)
+        for most, chars in ((30, 10**6), (30, 500)):
+            toxicity.learned(spark.createDataFrame(rows, DOCS).repartition(3), labels, most, chars)
+            toxicity.learned(spark.createDataFrame(rows[::-1], DOCS).repartition(5), labels, most, chars)
+    assert seen[0] == seen[1] and seen[0][0] <= 30 and (len(seen) < 3 or seen[2] == seen[3] and seen[2][1] <= 500)
+
+
 def test_toxicity_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(1, 1, 0), (None, None, None)], "doc_id long, quality int, toxic int")
     assert {r.score for r in toxicity.scored(odd, *toxicity.fit(odd, labels)).select("score").collect()} == {0.0}
@@ -526,6 +592,33 @@ def test_quality_estimates_are_at_rest_and_keep_small_variances(spark):
     assert np.allclose(np.diag(found), np.diag(cov), rtol=0.1) and abs(np.linalg.slogdet(found)[1] - np.linalg.slogdet(cov)[1]) < 0.1
 
 
+def test_quality_estimates_reach_the_least_determinant(spark):
+    """Against all subsets of three quarters of a small group."""
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 1, (16, 6)) * [1, 0.5, 2, 1, 1, 0.3]
+    x[:4] += 12
+    named = [f"x{i}" for i in range(6)]
+    df = spark.createDataFrame([("a", *map(float, r), 264, 1365, 7) for r in x], "g string, " + ", ".join(f"{c} double" for c in named) + ", n_words long, word_chars long, n_lines long")
+    got = quality.estimates(written(df, "rows")).head()
+    det = lambda i: np.linalg.slogdet(np.cov(x[list(i)].T, bias=True))[1]
+    best = min(itertools.combinations(range(16), 12), key=det)
+    cov = np.linalg.inv(np.array(got.prec).reshape(6, 6))
+    assert set(best) == set(range(4, 16)) and abs(np.linalg.slogdet(cov)[1] - det(best)) < 0.3
+    assert np.abs(np.array(got.mu) - x[list(best)].mean(axis=0)).max() < 0.05
+
+
+def test_groups_meet_their_numbers_also_when_they_are_many(spark):
+    rows = spark.createDataFrame([("hot", i) for i in range(50)] + [(f"g{i % 7}", i) for i in range(21)] + [("unknown", 1), (None, 2)], "g string, v int")
+    groups = written(spark.createDataFrame([("hot", True, 1.0)] + [(f"g{i}", False, 2.0) for i in range(7)], "g string, hot boolean, x double"), "groups")
+    for how, n in (("inner", 71), ("left", 73)):
+        few, many = (sorted(map(str, quality.on_group(rows, groups, how=how, small=k).select("g", "v", "x").collect())) for k in (100, 2))
+        assert few == many and len(few) == n
+
+
 def brute_spans(t):
     t, out = t or "", []
     a = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
@@ -651,6 +744,87 @@ def test_nodes_of_the_trees_are_those_of_the_words():
     assert sum(int(x["n"]) for x in tree.spans(gone)) == gone.sum()
 
 
+def test_masks_of_long_texts_and_overlaps(spark):
+    text = "é𝄞 " + "token = abcdefghijklmno " * 3000 + "token=secret=abcdefabcdefabcdef0123 𝄞 end"
+    rows = [(1, text, "en", "s", len(text)), (2, None, "en", "s", None), (3, "nothing 𝄞", "en", "s", 9)]
+    got = {r.doc_id: r for r in secrets.redacted(spark.createDataFrame(rows, DOCS)).collect()}
+    spans = sorted((a, b) for a, _, b in brute_spans(text))
+    out, at = "", 0
+    for a, b in spans:
+        if a >= at:
+            out += text[at:a] + "[SECRET]"
+        at = max(at, b)
+    assert got[1].text == out + text[at:] and got[1].n_chars == len(out + text[at:])
+    assert (got[2].text, got[2].n_chars, got[3].text, got[3].n_chars) == (None, None, "nothing 𝄞", 9)
+
+
+def test_ties_of_repeated_rows_have_a_rule(spark):
+    rows = [(1, "a b c d e f", "en", "s", 5), (1, "a b c d e f", "de", "s", 5), (1, "a b c d e f", None, "s", 5), (2, "a b c d e f", "en", "s", 5)]
+    kept = {tuple(r) for p in (1, 3) for order in (1, -1) for r in ngram_join.one_of_each(spark.createDataFrame(rows[::order], DOCS).repartition(p)).collect()}
+    assert kept == {(1, "a b c d e f", "de", "s", 5)}
+
+
+def test_scratch_goes(spark):
+    from pathlib import Path
+
+    from lodestrata.llm import common
+
+    held: list[str] = []
+    first = written(spark.range(3), "one", held)
+    at = Path(held[0].removeprefix("file://"))
+    assert at.exists()
+    second = written(first.where("id > 0"), "two", held)
+    assert not at.exists() and second.count() == 2
+    own, common._made[:] = list(common._made), [held[0]]
+    common.release(spark)
+    assert not Path(held[0].removeprefix("file://")).exists() and not common._made
+    common._made[:] = [x for x in own if x != held[0]]
+
+
+def test_pipeline_is_brute_force_stage_by_stage(spark, tmp_path):
+    """run() on a small hard table: what each stage keeps is told by definitions, but for the first, whose net is taken as it is."""
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    rows = [(d, t, lang, source, None if t is None else len(t)) for d, t, lang, source, _ in corpus(4, 120)]
+    vile = " ".join(["vilest", "scornful"] * 6)
+    rows = [(d, f"{t} {vile}" if i % 9 == 0 and t else t, *r) for i, (d, t, *r) in enumerate(rows)]
+    rows = [(d, f"{t} password = abcdefghijkl{d}" if i % 11 == 5 and t else t, *r) for i, (d, t, *r) in enumerate(rows)]
+    items = [(i, " ".join((rows[7 * i + 5][1] or "").split()[:14])) for i in range(4)] + [(9, None)]
+    labels = [(d, 1, int(bool(t) and "vilest" in t)) for d, t, *_ in rows]
+    for name, made, shape in (("documents", rows, DOCS), ("benchmark", items, "item_id long, text string"), ("labels", labels, "doc_id long, quality int, toxic int")):
+        spark.createDataFrame(made, shape).repartition(3).write.parquet(str(tmp_path / f"{name}.parquet"))
+    kept = {r[0]: tuple(r) for r in corpus_pipeline.clear_toxic(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path)).collect()}
+    assert all(kept[d] == tuple(r) for d, *r2 in rows if d in kept for r in [(d, *r2)]) and sum(d in kept for d, _, bad in labels if bad) <= 1 and sum(d not in kept for d, _, bad in labels if not bad) <= 3
+    least = smallest_reachable(shingle_sets(kept.values()))
+    kept = {d: r for d, r in kept.items() if least[d] == d}
+    wins = {w for _, t in items if t for w in windows_of(t)[1]}
+    kept = {d: r for d, r in kept.items() if not any(tuple(windows_of(r[1])[0][i : i + len(w)]) == w for w in wins for i in range(len(windows_of(r[1])[0]) - len(w) + 1))}
+    masked = {}
+    for d, r in kept.items():
+        out, at = "", 0
+        for a, _, b in brute_spans(r[1]):
+            if a >= at:
+                out += r[1][at:a] + "[SECRET]"
+            at = max(at, b)
+        masked[d] = out + (r[1] or "")[at:]
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = written(stage(spark, docs, str(tmp_path)), name)
+    assert {r.doc_id: r.text or "" for r in docs.collect()} == masked
+    placed, bins = defaultdict(list), defaultdict(list)
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        placed[r.doc_id].append((r.piece, r.start, r.length, r.ids_crc32))
+        bins[r.sequence_id].append((r.offset, r.length))
+    assert set(placed) == set(masked)
+    for d, t in masked.items():
+        ids = ids_of(t, 0)
+        assert sorted(placed[d]) == [(i // 2048, i, len(ids[i : i + 2048]), crc(ids[i : i + 2048])) for i in range(0, len(ids), 2048)]
+    for places in bins.values():
+        ends = [0, *(o + n for o, n in sorted(places))]
+        assert [o for o, _ in sorted(places)] == ends[:-1] and ends[-1] <= 2048
+
+
 def test_pipeline_stages_keep_the_columns(spark):
     import corpus_pipeline
 
