@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -166,8 +167,11 @@ def leaves_of(doc: int, own: int, hashes: np.ndarray, keys: np.ndarray) -> tuple
     return out, np.where(long, whole[live], runs[place]), long, mix(whole[live] + np.uint64(0x9E3779B97F4A7C15) * whole[live + n - 1] + n.astype(np.uint64))
 
 
-def suffixes(near: DataFrame, n_parts: int) -> DataFrame:
-    """Leaves dealt out by their group (kind KEYS), and spans that repeat a smaller document of their batch (PLAIN)."""
+def suffixes(near: DataFrame, n_parts: int, settle: bool = True) -> DataFrame:
+    """Leaves dealt out by their group (kinds KEYS and, of common anchors, AGAIN), and spans that repeat a smaller document of their batch (PLAIN).
+
+    Without settle every leaf is dealt out, common ones by their window.
+    """
 
     def run(batches):
         from pyspark import TaskContext
@@ -186,6 +190,10 @@ def suffixes(near: DataFrame, n_parts: int) -> DataFrame:
             leaves, prefix, long, same, at = (np.concatenate([h[i] for h in held]) for i in range(5))
             if not len(same):
                 continue
+            if not settle:
+                words = taken(np.concatenate(side), at, leaves["n"].astype(np.int64) + WINDOW - 1)
+                yield dealt_batch(list(leaf_rows(KEYS, leaves, words, prefix, n_parts)))
+                continue
             # one of those that a text repeats goes on; the others follow it when words are removed
             order = np.lexsort((leaves["own"], leaves["doc"], same))
             s, doc, own = same[order], leaves["doc"][order], leaves["own"][order]
@@ -395,6 +403,133 @@ def _cut(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "own", "text", "places").mapInArrow(run, "doc_id long, own long, n_removed long, kept string, removed array<struct<start:int,stop:int>>")
 
 
+def nodes_of(near: DataFrame, n_leaves: int) -> DataFrame:
+    """node, doc_id, own and start: the windows below each pair of nodes that has more than one."""
+    n_parts = max(shuffles(near.sparkSession), -(-n_leaves // GROUP))
+
+    def of(part, rows):
+        tree, first = Subtree(*read_leaves(rows)), part << 40
+        for i, number, pair in tree.windows():
+            _, at, n = np.unique(pair, return_inverse=True, return_counts=True)
+            i, number, own = i[n[at] > 1], number[n[at] > 1], tree.leaves[i[n[at] > 1]]
+            cols = [first + at[n[at] > 1], own["doc"].copy(), own["own"].copy(), own["start"] + number]
+            first += len(n)
+            yield pa.record_batch([pa.array(c.astype(np.int64)) for c in cols], ["node", "doc_id", "own", "start"])
+
+    def run(batches):
+        now, held = None, []
+        for part, _, a, c in dealt_rows(batches):
+            if part != now and held:
+                yield from of(now, held)
+                held = []
+            now = part
+            held.append((a, c))
+        if held:
+            yield from of(now, held)
+
+    return by_part(suffixes(near, n_parts, settle=False)).mapInArrow(run, "node long, doc_id long, own long, start long")
+
+
+def followed(near: DataFrame, rows: DataFrame, depth: int, step: int) -> DataFrame:
+    """rows (node, doc_id, own, start) with the word before (a number of its own where a text begins) and up to `step` words from `depth` on."""
+
+    def run(batches):
+        for batch in slices(batches):
+            out: list[list] = [[] for _ in range(6)]
+            for doc, own, data, places in zip(batch.column("doc_id").to_pylist(), batch.column("own").to_pylist(), text_bytes(batch), batch.column("places"), strict=True):
+                hashes = word_hashes(data.split())
+                raw = hashes.view(np.uint8).reshape(-1, 8)[:, :WORD].tobytes()
+                node, start = (places.values.field(c).to_numpy() for c in ("node", "start"))
+                begin = int(mix(np.array([own], np.int64).view(np.uint64))[0])
+                left = [int(hashes[x - 1]) if x else begin for x in start.tolist()]
+                words = [raw[WORD * (x + depth) : WORD * (x + depth + step)] for x in start.tolist()]
+                for column, v in zip(out, (node.tolist(), [doc] * len(node), [own] * len(node), start.tolist(), map(signed, left), words), strict=True):
+                    column.extend(v)
+            kinds = [pa.int64()] * 5 + [pa.binary()]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["node", "doc_id", "own", "start", "left", "words"])
+
+    lists = rows.groupBy("doc_id", "own").agg(F.collect_list(F.struct("node", "start")).alias("places"))  # no more than a text has words
+    return near.join(lists, ["doc_id", "own"]).select("doc_id", "own", "text", "places").mapInArrow(run, "node long, doc_id long, own long, start long, left long, words binary")
+
+
+def ended(rows: DataFrame, depth: int, step: int) -> DataFrame:
+    """n_words, n, doc_id and start (of the first occurrence) of the maximal repeats that end within the `step` words that were read.
+
+    Leaves come in the order of their words, node by node, and the nodes below are told by a stack of those that are open, so
+    memory does not grow with a node's leaves.
+    """
+
+    def joined(a, b):
+        return (a[0] + b[0], min(a[1], b[1]), max(a[2], b[2]), min(a[3], b[3]), max(a[4], b[4]), min(a[5], b[5]))
+
+    def closed(stack, leaf, down_to):
+        """The leaf's node as far up as down_to, and what ends on the way."""
+        found = []
+        while stack and stack[-1][0] > down_to:
+            common, sums = stack.pop()
+            leaf = joined(sums, leaf)
+            if common < step and leaf[1] < leaf[2] and leaf[3] < leaf[4]:
+                found.append((depth + common, leaf[0], *leaf[5]))
+        return leaf, found
+
+    def run(batches):
+        now, stack, last, before = None, [], None, b""
+        for batch in batches:
+            out = []
+            for node, doc, own, start, left, words in zip(*(batch.column(c).to_pylist() for c in ("node", "doc_id", "own", "start", "left", "words")), strict=True):
+                if node != now:
+                    out += closed(stack, last, -1)[1]
+                    now, stack = node, []
+                else:
+                    common = shared_words(before, words)
+                    last, found = closed(stack, last, common)
+                    out += found
+                    if stack and stack[-1][0] == common:
+                        stack[-1] = (common, joined(stack[-1][1], last))
+                    else:
+                        stack.append((common, last))
+                last, before = (1, left, left, own, own, (doc, start)), words
+            yield pa.record_batch([pa.array([r[i] for r in out], pa.int64()) for i in range(4)], ["n_words", "n", "doc_id", "start"])
+        out = closed(stack, last, -1)[1]
+        yield pa.record_batch([pa.array([r[i] for r in out], pa.int64()) for i in range(4)], ["n_words", "n", "doc_id", "start"])
+
+    by_node = rows.repartition(shuffles(rows.sparkSession), "node").sortWithinPartitions("node", "words", "doc_id", "own", "start")
+    return by_node.select("node", "doc_id", "own", "start", "left", "words").mapInArrow(run, "n_words long, n long, doc_id long, start long")
+
+
+def shared_words(a: bytes, b: bytes) -> int:
+    n = min(len(a), len(b)) // WORD
+    if a[: n * WORD] == b[: n * WORD]:
+        return n
+    x, y = (np.frombuffer(v, np.uint8)[: n * WORD].reshape(-1, WORD) for v in (a, b))
+    return int((x != y).any(axis=1).argmax())
+
+
+def repeats(docs: DataFrame, step: int = 32) -> DataFrame:
+    """n_words, n, doc_id and start (word) of every maximal repeat of at least WINDOW words that different texts share.
+
+    A maximal repeat is a sequence of words whose n occurrences are not all preceded by one word, nor all followed by one; the
+    first occurrence stands for all. Texts of equal words are one text, that of the smallest id; null texts and rows with null
+    ids have no part. Nodes of WINDOW words come from the trees; what is alike beyond them is read on in growing steps, and only
+    where a repeat may begin: where the word before differs. A node's leaves meet in one task, which holds its open nodes alone.
+    """
+    _, _, near, n_leaves = shared_texts(docs)
+    out, depth = [], WINDOW
+    now = written(nodes_of(near, n_leaves), "nodes")
+    varied = [F.count("*").alias("c"), F.min("left").alias("lo"), F.max("left").alias("hi")]
+    while not now.isEmpty():
+        rows = written(followed(near, now, depth, step), "followed")
+        begin = rows.groupBy("node").agg(*varied).where("c > 1 AND lo < hi").select("node")
+        rows = written(rows.join(begin, "node", "left_semi"), "begin")
+        out.append(written(ended(rows, depth, step), "repeats"))
+        alike = rows.where(F.octet_length("words") == step * WORD).groupBy("node", "words").agg(*varied).where("c > 1 AND lo < hi").select("node", "words")
+        now = rows.join(alike, ["node", "words"], "left_semi").select(F.xxhash64("node", "words").alias("node"), "doc_id", "own", "start")
+        now, depth, step = written(now, "nodes"), depth + step, min(2 * step, 1024)
+    if not out:
+        return docs.sparkSession.createDataFrame([], "n_words long, n long, doc_id long, start long")
+    return reduce(DataFrame.unionByName, out)
+
+
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole `documents`."""
     return deduplicated(table(spark, sf_dir, "documents")).drop("removed")

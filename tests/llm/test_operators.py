@@ -708,6 +708,46 @@ def test_substring_dedup_of_texts_that_repeat_themselves(spark):
     assert got == brute_dedup(rows)
 
 
+def brute_repeats(rows, least=13):
+    """n_words, n, and the first place of each maximal repeat of different texts, by sorted suffixes."""
+    texts: dict = {}
+    for d, t in sorted(rows):
+        texts.setdefault(tuple(WORD.findall(t or "")), d)
+    places = sorted(((w[i:], d, i, w) for w, d in texts.items() for i in range(len(w))), key=lambda x: x[0])
+    common = [next((k for k, (x, y) in enumerate(zip(a[0], b[0], strict=False)) if x != y), min(len(a[0]), len(b[0]))) for a, b in zip(places, places[1:], strict=False)]
+    out = set()
+    for i, n in enumerate(common):
+        lo = hi = i
+        while lo > 0 and common[lo - 1] >= n:
+            lo -= 1
+        while hi + 1 < len(common) and common[hi + 1] >= n:
+            hi += 1
+        of = places[lo : hi + 2]
+        before = {w[k - 1] if k else (d,) for _, d, k, w in of}
+        if n >= least and len(before) > 1 and len({d for _, d, *_ in of}) > 1:
+            out.add((n, len(of), *min((d, k) for _, d, k, _ in of)))
+    return out
+
+
+@pytest.mark.parametrize("step", [1, 3, 32])
+def test_maximal_repeats_are_one_each(spark, step):
+    rng = random.Random(step)
+    passages = [[f"p{k}_{rng.randrange(40)}" for _ in range(n)] for k, n in enumerate((14, 30, 90, 200))]
+    rows = []
+    for i in rng.sample(range(500), 60):
+        w = []
+        for _ in range(rng.randint(1, 4)):
+            own = rng.choice(passages)
+            lo = rng.choice([0, 0, rng.randrange(len(own))])
+            w += [f"x{rng.randrange(9999)}" for _ in range(rng.choice([0, 1, 20]))] + own[lo : rng.choice([len(own), rng.randrange(len(own) + 1)])]
+        rows.append((i, " ".join(w)))
+    rows += [(600, rows[0][1]), (601, "on he. " * 40), (602, "a " + "on he. " * 30), (None, rows[1][1]), (603, None)]
+    got = [tuple(r) for r in substring_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), step).collect()]
+    want = brute_repeats([r for r in rows if r[0] is not None])
+    assert len(got) == len(set(got)) and set(got) == want and max(n for n, *_ in want) > 60
+    assert substring_dedup.repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 def test_repeated_ids_are_judged_apart(spark):
     w = [f"w{i}" for i in range(40)]
     rows = [(1, " ".join(w[:20])), (2, " ".join(["a", "b", *w[3:20]])), (2, " ".join(w[:14] + [f"c{i}" for i in range(30)]))]
