@@ -355,7 +355,24 @@ def union_of_sources(spark: SparkSession, d: str) -> DataFrame:
     return union_in_order(parts)
 
 
-@query("q21_loops")
+@query(
+    "q21_loops",
+    """
+    WITH RECURSIVE e AS (SELECT user_id AS u, event_type AS a, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b, event_id FROM events),
+    g AS MATERIALIZED (SELECT u, a, b, min(event_id) AS s FROM e WHERE b IS NOT NULL GROUP BY u, a, b),
+    entry AS (SELECT u, arg_min(a, s) AS r FROM g GROUP BY u),
+    reach AS (SELECT u, r AS n FROM entry UNION SELECT reach.u, g.b FROM reach JOIN g ON g.u = reach.u AND g.a = reach.n),
+    cut AS (SELECT entry.u, x.n AS x, r AS n FROM entry JOIN reach x USING (u) WHERE r <> x.n UNION SELECT cut.u, x, g.b FROM cut JOIN g ON g.u = cut.u AND g.a = cut.n WHERE g.b <> x),
+    dom AS MATERIALIZED (SELECT r.u, x.n AS x, r.n FROM reach r JOIN reach x USING (u) WHERE x.n = r.n OR NOT EXISTS (SELECT 1 FROM cut WHERE cut.u = r.u AND cut.x = x.n AND cut.n = r.n)),
+    depth AS (SELECT u, n, count(*) AS k FROM dom GROUP BY u, n),
+    nearest AS (SELECT dom.u, dom.n, arg_max(x, k) AS idom FROM dom JOIN depth ON depth.u = dom.u AND depth.n = dom.x WHERE x <> dom.n GROUP BY dom.u, dom.n),
+    back AS (SELECT g.u, g.b AS h, g.a FROM g JOIN dom ON dom.u = g.u AND dom.x = g.b AND dom.n = g.a),
+    body AS (SELECT u, h, a AS n FROM back UNION SELECT body.u, h, g.a FROM body JOIN g ON g.u = body.u AND g.b = body.n JOIN reach ON reach.u = g.u AND reach.n = g.a WHERE body.n <> h),
+    sizes AS (SELECT u, h, count(*) AS k FROM (SELECT u, h, n FROM body UNION SELECT u, h, h FROM back) GROUP BY u, h)
+    SELECT reach.u AS user_id, reach.n AS node, coalesce(idom, reach.n) AS idom, sizes.k IS NOT NULL AS is_header, coalesce(sizes.k, 0) AS loop_size
+    FROM reach LEFT JOIN nearest ON nearest.u = reach.u AND nearest.n = reach.n LEFT JOIN sizes ON sizes.u = reach.u AND sizes.h = reach.n
+    """,
+)
 def loops(spark: SparkSession, d: str) -> DataFrame:
     """Immediate dominators and loop headers of each user's graph of event types."""
     events = table(spark, d, "events").select("user_id", "ts", "event_id", "event_type")
