@@ -10,11 +10,11 @@ from pyspark.sql import types as T
 
 from lodestrata.functions.bytes import deflated, inflated, integer_bytes, integer_of
 from lodestrata.functions.scalars import byte_entropy, duration, percent, rarest_byte, rate_and_rest, version_key
-from lodestrata.functions.strings import string_decrypt, string_encrypt, string_key
+from lodestrata.functions.strings import candidates, fresh_by_harvester, string_decrypt, string_encrypt, string_key
 from lodestrata.operators import disasm, lift, rewrite, validate
 from lodestrata.operators.relational import first_lines, in_ranges
 from lodestrata.plans.base import query
-from lodestrata.plans.samples import OPS, executables, modules, opcode_images
+from lodestrata.plans.samples import FLOW, OPS, executables, flow_modules, modules, opcode_images
 from lodestrata.session import table
 from lodestrata.sources import opcodes, overlay, packs
 from lodestrata.sources.module import decoded, harvested, module_facts, peeked, table_of
@@ -643,3 +643,58 @@ def some_orders(spark: SparkSession, d: str) -> DataFrame:
     return first_lines(rows, ["o_custkey"], "o_orderkey", "line", 3)
 
 
+
+
+@query(
+    "f52_forms",
+    """
+    WITH s AS (SELECT s_suppkey AS k, s_suppkey % 6 AS form, [6, 4, 5, 4, 2, 3][s_suppkey % 6 + 1] AS n FROM supplier),
+    b AS (SELECT *, CASE form WHEN 0 THEN ['    if (v1 == ' || k || ') {', '        v1 = 2;', '    } else {', '        v1 = 1;', '    }', '    return;']
+        WHEN 1 THEN ['    if (v1 == ' || k || ') {', '        v1 = 1;', '    }', '    return;'] WHEN 2 THEN ['    while (v1 < ' || k || ') {', '        v1++;', '    }', '    return;']
+        WHEN 3 THEN ['    do {', '        v1++;', '    } while (v1 < ' || k || ');', '    return;'] WHEN 4 THEN ['    while (true) {', '        v1++;', '    }']
+        ELSE ['    switch (v1) { /* jump table */ }', '    v1 = ' || k || ';', '    return;'] END AS lines FROM s)
+    SELECT 's' || k AS module_id, n::BIGINT AS instructions, '// ' || n || ' instructions, 0 passthrough, 0 stack residue' || chr(10) || 'void <global>::form()' || chr(10) || '{' || chr(10) || array_to_string(lines, chr(10)) || chr(10) || '}' AS text,
+        [4, 3, 3, 2, 1, 2][form + 1]::BIGINT AS blocks, 0::BIGINT AS gotos FROM b
+    """,
+)
+def forms(spark: SparkSession, d: str) -> DataFrame:
+    """Branches, loops and a switch told from jumps."""
+    return lift.lifted(decoded(flow_modules(spark, d), FLOW, _NAMED), FLOW).select("module_id", "instructions", "text", "blocks", "gotos")
+
+
+@query(
+    "f53_labels",
+    """
+    WITH j AS (SELECT s_suppkey AS k, unnest(CASE s_suppkey % 6 WHEN 0 THEN [1, 3] WHEN 1 THEN [1] WHEN 2 THEN [1, 3] WHEN 3 THEN [2] WHEN 4 THEN [1] ELSE [] END) AS idx,
+        unnest(CASE s_suppkey % 6 WHEN 0 THEN [4, 5] WHEN 1 THEN [3] WHEN 2 THEN [4, 0] WHEN 3 THEN [0] WHEN 4 THEN [0] ELSE [] END) AS target FROM supplier)
+    SELECT 's' || k AS module_id, idx::BIGINT AS idx, target::BIGINT AS target, 'L' || (row_number() OVER (PARTITION BY k ORDER BY idx) - 1) AS label FROM j
+    """,
+)
+def jump_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Jumps with their targets, and labels in the order in which they are first referred to."""
+    rows = disasm.resolved(decoded(flow_modules(spark, d), FLOW, _NAMED), FLOW)
+    return rows.where("role = 'jump'").select("module_id", "idx", "target", F.col("text").alias("label"))
+
+
+@query(
+    "f54_harvesters",
+    r"""
+    WITH l AS (SELECT conv_id, turn, role || '-' || turn AS v FROM conversations), w AS (SELECT *, lead(v, 1) OVER o AS b, lead(v, 2) OVER o AS c, lead(v, 3) OVER o AS d FROM l WINDOW o AS (PARTITION BY conv_id ORDER BY turn)),
+    u AS (SELECT v, 1 AS p FROM l UNION ALL SELECT v || chr(0) || b, 3 FROM w WHERE b IS NOT NULL UNION ALL SELECT v || chr(0) || b || chr(0) || c, 3 FROM w WHERE c IS NOT NULL
+        UNION ALL SELECT v || chr(0) || b || chr(0) || c || chr(0) || d, 3 FROM w WHERE d IS NOT NULL UNION ALL SELECT unnest(regexp_extract_all(text, '[\x20-\x7E]{4,}')), 4 FROM conversations),
+    f AS (SELECT v, min(p) AS p FROM u WHERE v IS NOT NULL GROUP BY v)
+    SELECT ['literal', 'core', 'run', 'printable'][p] AS harvester, count(*) AS n_fresh FROM f GROUP BY p
+    """,
+)
+def harvesters(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct strings by the harvester that has them first: literals, their cores, joined neighbours, printable runs."""
+    rows = table(spark, d, "conversations")
+    literals = rows.select(F.col("conv_id").alias("module_id"), F.col("turn").alias("ordinal"), F.concat_ws("-", "role", F.col("turn").cast("string")).alias("text"))
+    return fresh_by_harvester(candidates(literals, rows.select(F.encode("text", "UTF-8").alias("content"))))
+
+
+@query("f55_trace", f"WITH {MODULES}, {CODE} SELECT module_id, count(*) AS n_ops, count(DISTINCT signature) AS n_counts FROM code GROUP BY module_id")
+def trace(spark: SparkSession, d: str) -> DataFrame:
+    """Instructions and bodies in the trace of each module that could be read."""
+    rows = table_of(_tables(spark, d, "trace"), "trace")
+    return rows.groupBy("module_id").agg(F.count_if(F.col("kind") == "op").alias("n_ops"), F.count_if(F.col("kind") == "opcount").alias("n_counts")).where("n_ops > 0")

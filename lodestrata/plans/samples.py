@@ -17,7 +17,12 @@ OPS = {
     0: {"name": "CALLSYS", "operands": 1}, 1: {"name": "RET", "operands": 1}, 2: {"name": "STR", "operands": 1},
     3: {"name": "SetV4", "operands": 2}, 4: {"name": "ADDi", "operands": 3}, 5: {"name": "CpyVtoR4", "operands": 1},
 }
-OP = {x["name"]: op for op, x in OPS.items()}
+#: Of functions whose flow has one form each.
+FLOW = {
+    0: {"name": "CMPIi", "operands": 2}, 1: {"name": "RET", "operands": 1}, 2: {"name": "JZ", "operands": 1}, 3: {"name": "SetV4", "operands": 2},
+    4: {"name": "JNZ", "operands": 1}, 5: {"name": "JMP", "operands": 1}, 6: {"name": "JNS", "operands": 1}, 7: {"name": "JS", "operands": 1}, 8: {"name": "IncVi", "operands": 1}, 9: {"name": "JMPP", "operands": 1},
+}
+OP, FLOW_OP = ({x["name"]: op for op, x in table.items()} for table in (OPS, FLOW))
 NONE = encode_int(0)
 
 
@@ -50,8 +55,8 @@ class Writer:
         head = self.text(name) + self.primitive(returns) + self.many([self.primitive(p) for p in params])
         return head + lists + encode_int(kind) + lists + (owner + b"\0" if owner else b"\0" + self.text(""))
 
-    def function(self, name: str, returns: int, params: list[int], code: list[tuple], owner: bytes | None = None) -> bytes:
-        body = self.many([bytes([OP.get(n, 0xEE)]) + b"".join(map(encode_int, a)) for n, *a in code]) + encode_int(4)
+    def function(self, name: str, returns: int, params: list[int], code: list[tuple], owner: bytes | None = None, ops: dict[str, int] = OP) -> bytes:
+        body = self.many([bytes([ops.get(n, 0xEE)]) + b"".join(map(encode_int, a)) for n, *a in code]) + encode_int(4)
         head = b"f" + self.signature(name, returns, params, 1, owner)
         return head + b"\0" + body if self.new else head + body + NONE + NONE + b"\0"
 
@@ -96,6 +101,36 @@ def modules(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("module_id", name).groupBy("module_id").applyInPandas(one, "module_id string, nation int, content binary")
 
 
+def flow_code(form: int, k: int) -> list[tuple]:
+    """A branch of two arms, one of one arm, a loop tested first, one tested last, one without end, a switch."""
+    return [
+        [("CMPIi", 1, k), ("JZ", 2), ("SetV4", 1, 1), ("JMP", 1), ("SetV4", 1, 2), ("RET", 0)],
+        [("CMPIi", 1, k), ("JNZ", 1), ("SetV4", 1, 1), ("RET", 0)],
+        [("CMPIi", 1, k), ("JNS", 2), ("IncVi", 1), ("JMP", -4), ("RET", 0)],
+        [("IncVi", 1), ("CMPIi", 1, k), ("JS", -3), ("RET", 0)],
+        [("IncVi", 1), ("JMP", -2)],
+        [("JMPP", 1), ("SetV4", 1, k), ("RET", 0)],
+    ][form]
+
+
+def flow_modules(spark: SparkSession, d: str) -> DataFrame:
+    """module_id and content: a module for each supplier, with one function whose flow has the form of its key."""
+
+    def content(k: int) -> bytes:
+        w = Writer(module.NEW if k % 2 else module.OLD)
+        head = b"\0" + w.many([w.declared("E", module.ENUM, 4) + w.many([w.text("e") + struct.pack(">i", 1)])])
+        head += w.many([w.declared("C", module.SCRIPT_OBJECT[module.NEW if w.new else module.OLD], 8)]) + NONE
+        block = b"\0" + NONE + b"\0" + NONE + NONE + NONE + NONE
+        form = w.function("form", 80, [], flow_code(k % 6, k), ops=FLOW_OP)
+        return head + block + NONE + NONE + w.many([form]) + NONE * 8
+
+    @F.pandas_udf("binary")
+    def made(key: pd.Series) -> pd.Series:
+        return pd.Series([content(k) for k in key.tolist()])
+
+    return table(spark, d, "supplier").select(F.format_string("s%d", "s_suppkey").alias("module_id"), made("s_suppkey").alias("content"))
+
+
 def executables(spark: SparkSession, d: str) -> DataFrame:
     """path and content: for each nation a stub with an encrypted container of its name under a seed of its own; every sixth is cut short."""
 
