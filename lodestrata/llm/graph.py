@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import delete, written
+from lodestrata.llm.common import delete, small_or_shuffled, written
 
 #: Links that a task turns into a forest together, and children of a node there.
 HELD, FAN = 1 << 20, 16
@@ -56,9 +56,10 @@ def components(links: DataFrame) -> DataFrame:
     """node and comp (the smallest node it reaches) for every node of links (a, b).
 
     Each round gives a node the smallest label around it and then its label's label, so chains shrink by
-    half. Every round's labels are a written table. Only labels that have a smaller one themselves are looked up, so the label of
-    a large component, which is its own, is no key of a join. Without links there are no rows.
+    half. Every round's labels are a written table. Only labels that have a smaller one themselves are looked up, in a table of
+    each once, so the label of a large component is no key of a shuffle. Without links there are no rows.
     """
+    spark = links.sparkSession
     held: list[str] = []
     ends: list[str] = []
     links = thinned(links)
@@ -67,10 +68,15 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         near = edges.join(labels, edges.b == labels.node).groupBy(F.col("a").alias("_n")).agg(F.min("comp").alias("_c"))
         step = labels.join(near, labels.node == near._n).select("node", F.least("comp", "_c").alias("_l"), F.col("comp").alias("old"))
-        over = step.where("_l <> node").select(F.col("node").alias("_t"), F.col("_l").alias("_tl"))
-        nxt = written(step.join(over, step._l == over._t, "left").select("node", F.coalesce("_tl", "_l").alias("comp"), "old"), "labels", held)
-        done = nxt.where("comp <> old").isEmpty()
+        now: list[str] = []
+        over: list[str] = []
+        step = written(step, "step", now)
+        delete(spark, held)
+        tops = step.where("_l <> node").select(F.col("node").alias("_t"), F.col("_l").alias("_tl")).join(step.select(F.col("_l").alias("_t")).distinct(), "_t", "left_semi")
+        tops = small_or_shuffled(written(tops, "tops", over))
+        held = now + over
+        nxt = step.join(tops, step._l == F.col("_t"), "left").select("node", F.coalesce("_tl", "_l").alias("comp"), "old")
         labels = nxt.select("node", "comp")
-        if done:
-            delete(edges.sparkSession, ends)
+        if nxt.where("comp <> old").isEmpty():
+            delete(spark, ends)
             return labels

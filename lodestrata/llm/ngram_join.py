@@ -337,7 +337,7 @@ def _by_blocks(rows: DataFrame) -> DataFrame:
 
 
 def pairs_apart(blocks: DataFrame, sketches: DataFrame, most: int | None = None) -> DataFrame:
-    """Pairs (a, b) still apart whose sketches keep the bound; of a pair of blocks with more than `most` a row only its key, band, p and q.
+    """Pairs (a, b) still apart whose sketches keep the bound, with their key, band, p and q; of a pair of blocks with more than `most` a row these alone.
 
     Without most, a forest of such pairs: those that would join what the ones before leave apart.
     """
@@ -356,7 +356,7 @@ def pairs_apart(blocks: DataFrame, sketches: DataFrame, most: int | None = None)
                 yield pa.record_batch([pa.array([x], pa.int64()) for x in (None, None, key, band, p, q)], ["a", "b", "key", "band", "p", "q"])
             elif found:
                 i, j = apart.fp[np.array(found)].T
-                cols = [pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j)), *[pa.nulls(len(i), pa.int64())] * 4]
+                cols = [pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j)), *(pa.array(np.full(len(i), x)) for x in (key, band, p, q))]
                 yield pa.record_batch(cols, ["a", "b", "key", "band", "p", "q"])
 
     rows = blocks.join(sketches.select("fp1", "band", "words"), ["fp1", "band"])
@@ -408,19 +408,24 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     near = written(near_pairs(pairs, sketches), "near")  # else each task would have a worker for either step
     links = written(verified(near, tokens), "links")
     labels = components(links)
-    for whole in (False, True):
-        blocks = written(blocks_apart(members, labels), "blocks")
-        if blocks.isEmpty():
-            break
-        apart = written(pairs_apart(blocks, sketches, MOST if whole else None), "apart")
-        late = verified(apart.where("a IS NOT NULL").select("a", "b").distinct(), tokens)
-        if whole:
-            many = small_or_shuffled(written(apart.where("a IS NULL").select("key", "band", "p", "q"), "many"))
-            late = late.union(links_apart(blocks.join(many, ["key", "band", "p", "q"]), sketches, tokens))
-        late = written(late, "late")
+    blocks = written(blocks_apart(members, labels), "blocks")
+    if not blocks.isEmpty():
+        by = ["key", "band", "p", "q"]
+        apart = written(pairs_apart(blocks, sketches), "apart")
+        late = written(verified(apart.select("a", "b").distinct(), tokens), "late")
+        # a pair of blocks without compatible pairs, or whose forest holds, has nothing more to give
+        again = small_or_shuffled(written(apart.join(late, ["a", "b"], "left_anti").select(*by).distinct(), "again"))
         if not late.isEmpty():
             links = links.union(late)
             labels = components(links)
+        blocks = blocks.join(again, by, "left_semi").join(labels.select(F.col("node").alias("fp1"), F.col("comp").alias("now")), "fp1", "left")
+        blocks = written(blocks.withColumn("comp", F.coalesce("now", "comp")).drop("now"), "blocks")
+        apart = written(pairs_apart(blocks, sketches, MOST), "apart")
+        many = small_or_shuffled(written(apart.where("a IS NULL").select(*by), "many"))
+        late = verified(apart.where("a IS NOT NULL").select("a", "b").distinct(), tokens)
+        late = written(late.union(links_apart(blocks.join(many, by, "left_semi"), sketches, tokens)), "late")
+        if not late.isEmpty():
+            labels = components(links.union(late))
     known = sets.join(labels.select(F.col("node").alias("fp1"), "comp"), "fp1", "left").withColumn("comp", F.coalesce("comp", "fp1"))
     # copies of one set and sets linked: the smallest member of each class
     best = known.groupBy("comp").agg(F.min("first").alias("best"))
