@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 #: Rows that one step of a worker handles together; bounds memory where texts are long.
 SLICE_ROWS = 512
 SLICE_BYTES = 4 << 20
+#: Bytes that Spark hands to a worker, and a worker takes in, at once.
+BATCH_BYTES = 8 << 20
 
 #: Bytes that are not word bytes of `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` become blanks, A-Z lower case.
 ALNUM = bytes(
@@ -102,6 +104,14 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def in_batches(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema) in batches of BATCH_BYTES or what the session says, whatever the rows hold; the session keeps that limit."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(limit, None) is None:
+        df.sparkSession.conf.set(limit, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in steps of at most so many rows and, but for a single long row, so many bytes."""
     for batch in batches:
@@ -114,9 +124,22 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, size: int
             at += n
 
 
-def text_bytes(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
+def with_rows(docs: DataFrame, *columns: str) -> DataFrame:
+    """docs as one column `row`, and beside it as strings those of columns that are not strings there, or null ones for what is not there."""
+    have = dict(docs.dtypes)
+    more = [F.col(c).cast("string").alias(c) if c in have else F.lit(None).cast("string").alias(c) for c in columns if have.get(c) != "string"]
+    return docs.select(F.struct("*").alias("row"), *more)
+
+
+def of_rows(batch: pa.RecordBatch, column: str) -> pa.Array:
+    """A column of `with_rows`."""
+    return batch.column(column) if column in batch.schema.names else batch.column("row").field(column)
+
+
+def text_bytes(batch: pa.RecordBatch | pa.Array, column: str = "text") -> list[bytes]:
     """The UTF-8 of a string column; null is empty."""
-    return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
+    strings = batch.column(column) if isinstance(batch, pa.RecordBatch) else batch
+    return [x or b"" for x in strings.cast(pa.binary()).to_pylist()]
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:

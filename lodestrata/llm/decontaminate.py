@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestrata.llm.common import ALNUM, slices, text_bytes, written
+from lodestrata.llm.common import ALNUM, in_batches, of_rows, slices, text_bytes, with_rows, written
 from lodestrata.session import table
 
 WINDOW = 10
@@ -102,22 +102,22 @@ def matches(docs: DataFrame, benchmark: DataFrame, max_windows: int = MAX_WINDOW
             matcher = Matcher(known.value)
             for batch in slices(batches):
                 rows = [[] for _ in range(4)]
-                raw = batch.column("text").to_pylist()
-                for text, data in zip(raw, text_bytes(batch), strict=True):
+                texts = of_rows(batch, "text")
+                for text, data in zip(texts.to_pylist(), text_bytes(texts), strict=True):
                     words = data.translate(ALNUM).split()
                     spans, items = matcher.scan(words)
                     for column, v in zip(rows, (len(words), sum(b - a for a, b in spans), sorted(items), [{"start": a, "stop": b} for a, b in original_spans(text or "", spans)]), strict=True):
                         column.append(v)
                 kinds = (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))
-                yield pa.record_batch([batch.column("row"), batch.column("text"), *(pa.array(c, k) for c, k in zip(rows, kinds, strict=True))], ["row", "text", "n_words", "n_hit", "items", "spans"])
+                yield pa.record_batch([batch.column("row"), *(pa.array(c, k) for c, k in zip(rows, kinds, strict=True))], ["row", "n_words", "n_hit", "items", "spans"])
 
         if out is None:
-            source = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
+            source = with_rows(docs, "text")
             more = T.StructType.fromDDL("n_words long, n_hit long, items array<string>, spans array<struct<start:long,stop:long>>")
-            out = source.mapInArrow(scan, T.StructType([*source.schema.fields, *more.fields]))
+            out = in_batches(source, scan, T.StructType([source.schema["row"], *more.fields]))
         elif held:
-            out = _again(written(out, "hits"), known)  # one automaton at a time in a worker
-    return out
+            out = _again(written(out.withColumn("text", F.col("row.text").cast("string")), "hits"), known).drop("text")  # one automaton at a time in a worker
+    return out.select("row", F.col("row.text").cast("string").alias("text"), "n_words", "n_hit", "items", "spans")
 
 
 def _again(before: DataFrame, known) -> DataFrame:

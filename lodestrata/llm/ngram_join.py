@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import by_part, forget, mix, runs_of, shuffles, slices, small_or_shuffled, text_bytes, word_hashes, written
+from lodestrata.llm.common import by_part, forget, in_batches, mix, runs_of, shuffles, slices, small_or_shuffled, text_bytes, word_hashes, written
 from lodestrata.llm.dealing import DEALT, PLAIN, anywhere, dealt_batch, packed
 from lodestrata.llm.dealing import told as told_keys
 from lodestrata.llm.graph import components
@@ -136,7 +136,7 @@ def deal(docs: DataFrame, n_parts: int) -> DataFrame:
             yield dealt_batch(out)
 
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return source.mapInArrow(run, DEALT)
+    return in_batches(source, run, DEALT)
 
 
 def tell(dealt: DataFrame) -> DataFrame:
@@ -158,7 +158,7 @@ def tell(dealt: DataFrame) -> DataFrame:
                 fps, band, keys, df = x
                 yield emit(1, {"fp1": pa.array(fps), "key": pa.array(keys), "df": pa.array(df), "band": pa.array(band)}, len(keys))
 
-    return by_part(dealt).mapInArrow(run, TOLD)
+    return in_batches(by_part(dealt), run, TOLD)
 
 
 def rarest(shared: DataFrame, sets: DataFrame) -> DataFrame:
@@ -248,7 +248,7 @@ def token_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     wanted = wanted.select(F.col("doc_id").alias("_d"), F.col("mark").alias("_m"))
     wanted = small_or_shuffled(wanted)
     own = source.join(wanted, source.doc_id.eqNullSafe(wanted._d) & (source.mark == wanted._m), "left_semi")
-    return own.select("text").mapInArrow(run, "fp1 long, n long, tokens binary, sketches array<struct<band:long,words:binary>>").dropDuplicates(["fp1"])
+    return in_batches(own.select("text"), run, "fp1 long, n long, tokens binary, sketches array<struct<band:long,words:binary>>").dropDuplicates(["fp1"])
 
 
 def linked(one: bytes, two: bytes) -> bool:
@@ -269,7 +269,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     tokens = sets.select("fp1", "tokens")
     both = pairs.join(tokens.withColumnsRenamed({"fp1": "a", "tokens": "ta"}), "a").join(tokens.withColumnsRenamed({"fp1": "b", "tokens": "tb"}), "b")
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return in_batches(both.select("a", "b", "ta", "tb"), run, "a long, b long")
 
 
 def blocks_apart(members: DataFrame, labels: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import slices, text_bytes, written
+from lodestrata.llm.common import in_batches, slices, text_bytes, written
 from lodestrata.llm.token_ids import vocabulary, word_tokens
 from lodestrata.session import table
 
@@ -93,7 +93,7 @@ def cut(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_
             yield pa.record_batch([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "part", "number"])
 
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return source.mapInArrow(pieces, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, number long")
+    return in_batches(source, pieces, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, number long")
 
 
 def placed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:

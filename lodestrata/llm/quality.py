@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import SMALL_ROWS, runs_of, slices, text_bytes, word_hashes, written
+from lodestrata.llm.common import SMALL_ROWS, in_batches, runs_of, slices, text_bytes, word_hashes, written
 from lodestrata.session import table
 
 WINDOW, H, LEAST = 8, 0.75, 200
@@ -80,7 +80,7 @@ def counted(docs: DataFrame) -> DataFrame:
 
     own = lambda c: F.col(c).cast("string").alias(c) if c in docs.columns else F.lit(None).cast("string").alias(c)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *map(own, ("text", "lang", "source")))
-    return source.mapInArrow(run, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in NAMES))
+    return in_batches(source, run, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in NAMES))
 
 
 def vector() -> list[Column]:

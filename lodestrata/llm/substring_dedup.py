@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import by_part, forget, mix, runs_of, shuffles, slices, text_bytes, word_hashes, written
+from lodestrata.llm.common import by_part, forget, in_batches, mix, runs_of, shuffles, slices, text_bytes, word_hashes, written
 from lodestrata.llm.dealing import DEALT, HOT, KEYS, LOW, PLAIN, anywhere, dealt_batch, dealt_rows, packed, split, told
 from lodestrata.session import table
 
@@ -98,7 +98,7 @@ def deal(docs: DataFrame, n_parts: int) -> DataFrame:
             yield dealt_batch(rows)
 
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return source.mapInArrow(run, DEALT)
+    return in_batches(source, run, DEALT)
 
 
 TOLD = "kind int, doc_id long, mark long, own long, n_words long, sha string, key long"
@@ -122,7 +122,7 @@ def tell(dealt: DataFrame) -> DataFrame:
                 owners, _, keys, n = x
                 yield emit(1, len(keys), own=pa.array(owners), key=pa.array(np.where(n >= HOT, keys | LONG, keys)))
 
-    return by_part(dealt).mapInArrow(run, TOLD)
+    return in_batches(by_part(dealt), run, TOLD)
 
 
 def taken(words: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -212,7 +212,7 @@ def suffixes(near: DataFrame, n_parts: int, settle: bool = True) -> DataFrame:
                 rows += leaf_rows(kind, leaves[i], words, prefix[i], n_parts)
             yield dealt_batch(rows)
 
-    return near.select("doc_id", "own", "text", "keys").mapInArrow(run, DEALT)
+    return in_batches(near.select("doc_id", "own", "text", "keys"), run, DEALT)
 
 
 def ordered(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -313,7 +313,7 @@ def settled(dealt: DataFrame, n_parts: int) -> DataFrame:
         if now is not None:
             yield dealt_batch(list(trees(held)))
 
-    return by_part(dealt).mapInArrow(run, DEALT)
+    return in_batches(by_part(dealt), run, DEALT)
 
 
 def earlier(near: DataFrame, n_leaves: int) -> DataFrame:
@@ -400,7 +400,7 @@ def _cut(rows: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))
             yield pa.record_batch([batch.column("doc_id"), batch.column("own"), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], ["doc_id", "own", "n_removed", "kept", "removed"])
 
-    return rows.select("doc_id", "own", "text", "places").mapInArrow(run, "doc_id long, own long, n_removed long, kept string, removed array<struct<start:int,stop:int>>")
+    return in_batches(rows.select("doc_id", "own", "text", "places"), run, "doc_id long, own long, n_removed long, kept string, removed array<struct<start:int,stop:int>>")
 
 
 def nodes_of(near: DataFrame, n_leaves: int) -> DataFrame:
@@ -427,7 +427,7 @@ def nodes_of(near: DataFrame, n_leaves: int) -> DataFrame:
         if held:
             yield from of(now, held)
 
-    return by_part(suffixes(near, n_parts, settle=False)).mapInArrow(run, "node long, doc_id long, own long, start long")
+    return in_batches(by_part(suffixes(near, n_parts, settle=False)), run, "node long, doc_id long, own long, start long")
 
 
 def followed(near: DataFrame, rows: DataFrame, depth: int, step: int) -> DataFrame:
@@ -449,7 +449,7 @@ def followed(near: DataFrame, rows: DataFrame, depth: int, step: int) -> DataFra
             yield pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["node", "doc_id", "own", "start", "left", "words"])
 
     lists = rows.groupBy("doc_id", "own").agg(F.collect_list(F.struct("node", "start")).alias("places"))  # no more than a text has words
-    return near.join(lists, ["doc_id", "own"]).select("doc_id", "own", "text", "places").mapInArrow(run, "node long, doc_id long, own long, start long, left long, words binary")
+    return in_batches(near.join(lists, ["doc_id", "own"]).select("doc_id", "own", "text", "places"), run, "node long, doc_id long, own long, start long, left long, words binary")
 
 
 def ended(rows: DataFrame, depth: int, step: int) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import filesystem, scratch, slices, text_bytes, written
+from lodestrata.llm.common import filesystem, in_batches, scratch, slices, text_bytes, written
 from lodestrata.llm.token_ids import vocabulary, word_tokens
 from lodestrata.session import table
 
@@ -158,7 +158,7 @@ def write_shards(docs: DataFrame, folder: str, path: str | None = None, end_id:
 
     ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     ordered = ordered.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return ordered.mapInArrow(write, "shard long, path string, n_docs long, n_ids long")
+    return in_batches(ordered, write, "shard long, path string, n_docs long, n_ids long")
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:

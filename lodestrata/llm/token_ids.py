@@ -66,6 +66,8 @@ class WordTokens(dict):
         self.parts.clear()
 
     def part(self, text: str) -> bytes:
+        if text.isascii() and text.isalpha():
+            return self[text.encode()]
         ids = self.parts.get(text)
         if ids is None:
             if len(self.parts) >= self.limit:
@@ -81,7 +83,7 @@ class WordTokens(dict):
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= self.limit:
             super().clear()
-        if word.isalpha():  # ASCII letters alone: one part, not worth a place among the parts
+        if word.isalpha():  # ASCII letters alone are one part
             ids = self.of(word.decode().lower())
         elif PLAIN.match(word) and b"<|" not in word:
             ids = b"".join(map(self.part, self.pattern.findall(word.decode().lower())))

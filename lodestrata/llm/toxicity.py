@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestrata.llm.common import ALNUM, forget, slices, written
+from lodestrata.llm.common import ALNUM, forget, in_batches, of_rows, slices, with_rows, written
 from lodestrata.session import table
 
 MAX_TRAIN, BUCKETS, DIM, WIDTHS, FILTERS = 6000, 1 << 16, 16, (1, 2, 3), 8
@@ -275,14 +275,13 @@ def scored(docs: DataFrame, net: Net | None, limits: dict) -> DataFrame:
         model = known.value
         forget()
         for batch in slices(batches):
-            raw = batch.column("text").to_pylist()
+            raw = of_rows(batch, "text").to_pylist()
             s = model.scores([words_of(x) for x in raw]) if model and raw else np.zeros(len(raw))
-            cut = np.array([limits.get(x, limits[""]) for x in batch.column("lang").to_pylist()])
+            cut = np.array([limits.get(x, limits[""]) for x in of_rows(batch, "lang").to_pylist()])
             yield pa.record_batch([batch.column("row"), pa.array(s, pa.float64()), pa.array(s >= cut, pa.bool_())], ["row", "score", "rejected"])
 
-    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    source = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"), lang.alias("lang"))
-    return source.mapInArrow(run, T.StructType([source.schema["row"], T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]))
+    source = with_rows(docs, "text", "lang")
+    return in_batches(source, run, T.StructType([source.schema["row"], T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]))
 
 
 def cleared(docs: DataFrame, labels: DataFrame) -> DataFrame:
