@@ -84,6 +84,22 @@ def small_or_shuffled(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: A key with more than this share of all rows is hot; there are at most 1 / HOT of them.
+HOT = 1e-3
+
+
+def meet(rows: DataFrame, groups: DataFrame, by: list[str], how: str = "inner", small: int = SMALL_ROWS) -> DataFrame:
+    """rows with the columns of groups (a written table of by, hot and more): by a broadcast if groups are few, else of the hot ones alone.
+
+    So no hot key's rows are dealt out by the key. A key is hot or not in all its rows of groups, and never null in them.
+    """
+    if groups.limit(small + 1).count() <= small:
+        return rows.join(F.broadcast(groups), by, how)
+    hot = F.broadcast(groups.where("hot"))
+    cold = rows.join(F.broadcast(groups.where("hot").select(*by).distinct()), by, "left_anti").join(groups.where("NOT hot"), by, how)
+    return rows.join(hot, by).unionByName(cold)
+
+
 def shuffles(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

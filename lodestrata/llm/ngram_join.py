@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import by_part, forget, in_batches, mix, runs_of, shuffles, slices, small_or_shuffled, text_bytes, word_hashes, written
+from lodestrata.llm.common import HOT, by_part, forget, in_batches, meet, mix, runs_of, shuffles, slices, small_or_shuffled, text_bytes, word_hashes, written
 from lodestrata.llm.dealing import DEALT, PLAIN, anywhere, dealt_batch, packed
 from lodestrata.llm.dealing import told as told_keys
 from lodestrata.llm.graph import components
@@ -391,7 +391,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = told.where("kind = 0").select("doc_id", "mark", "n", "fp1", "fp2", "full0", "full1")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark"))
     # full0 and full1 are 0 on those rows of a set that repeat within a batch
-    sets = rows.where("n > 0").groupBy("fp1", "fp2").agg(F.first("n").alias("n"), F.max("full0").alias("full0"), F.max("full1").alias("full1"), first.alias("first"))
+    sets = rows.where("n > 0").groupBy("fp1", "fp2").agg(F.first("n").alias("n"), F.max("full0").alias("full0"), F.max("full1").alias("full1"), first.alias("first"), F.count("*").alias("copies"))
     sets = written(sets, "sets")
     shared = told.where("kind = 1").select("fp1", "key", "df", "band")
     rare = written(rarest(shared, sets), "rare")
@@ -426,16 +426,19 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         late = written(late.union(links_apart(blocks.join(many, by, "left_semi"), sketches, tokens)), "late")
         if not late.isEmpty():
             labels = components(links.union(late))
-    known = sets.join(labels.select(F.col("node").alias("fp1"), "comp"), "fp1", "left").withColumn("comp", F.coalesce("comp", "fp1"))
-    # copies of one set and sets linked: the smallest member of each class
-    best = known.groupBy("comp").agg(F.min("first").alias("best"))
-    return rows, known.join(best, "comp").select("fp1", "fp2", "comp", "best")
+    # copies of one set and sets linked: the smallest member of each class. The largest classes and sets of most copies meet no shuffle by their key
+    labels = written(labels.select(F.col("node").alias("fp1"), "comp"), "classes")
+    linked_ = sets.join(labels, "fp1")
+    best = small_or_shuffled(written(linked_.groupBy("comp").agg(F.min("first").alias("best")), "best"))
+    alone = sets.join(labels, "fp1", "left_anti").withColumns({"comp": F.col("fp1"), "best": F.col("first")})
+    known = linked_.join(best, "comp").unionByName(alone).select("fp1", "fp2", "comp", "best", (F.col("copies") > rows.count() * HOT).alias("hot"))
+    return rows, written(known, "known")
 
 
 def joined(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of each row, with its mark and its class's first member."""
     rows, known = classes(docs)
-    out = rows.select("doc_id", "mark", "n", "fp1", "fp2").join(known, ["fp1", "fp2"], "left")
+    out = meet(rows.select("doc_id", "mark", "n", "fp1", "fp2"), known, ["fp1", "fp2"], "left", 10_000)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("best").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("component_id"), "mark", "best")
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import SMALL_ROWS, in_batches, runs_of, slices, text_bytes, word_hashes, written
+from lodestrata.llm.common import HOT, in_batches, meet, runs_of, slices, text_bytes, word_hashes, written
 from lodestrata.session import table
 
 WINDOW, H, LEAST = 8, 0.75, 200
@@ -36,8 +36,6 @@ P = 6
 REST = 1e-3
 #: Steps of every start, before the best goes on.
 FIRST = 2
-#: A group with more than this share of all rows is hot; there are at most 1 / HOT of them.
-HOT = 1e-3
 
 
 def counts(data: bytes) -> tuple[int, ...]:
@@ -103,18 +101,6 @@ def _floors(n: Column, chars: Column, lines: Column) -> Column:
     return F.array(*(x * x / 12 for x in steps))
 
 
-def on_group(rows: DataFrame, groups: DataFrame, by: str = "g", how: str = "inner", small: int = SMALL_ROWS) -> DataFrame:
-    """rows with the columns of groups (a written table of by, hot and more): by a broadcast if groups are few, else of the hot ones alone.
-
-    So no hot group's rows are dealt out by the group. A group is hot or not in all its rows of groups.
-    """
-    if groups.limit(small + 1).count() <= small:
-        return rows.join(F.broadcast(groups), by, how)
-    hot = rows.join(F.broadcast(groups.where("hot").select(by).distinct()), by, "left_semi").join(F.broadcast(groups.where("hot")), by)
-    cold = rows.join(F.broadcast(groups.where("hot").select(by).distinct()), by, "left_anti").join(groups.where("NOT hot"), by, how)
-    return hot.unionByName(cold)
-
-
 def _groups(rows: DataFrame) -> DataFrame:
     """rows with g: the language and source, the language, or nothing, whichever has LEAST usable rows first."""
     fine = F.concat_ws("\x01", F.lit("s"), F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit("")))
@@ -124,7 +110,7 @@ def _groups(rows: DataFrame) -> DataFrame:
     pooled = sizes.where(F.col("n") < LEAST).groupBy("_l").agg(F.sum("n").alias("m"))
     g = F.when(F.col("n") >= LEAST, F.col("_s")).when(F.col("m") >= LEAST, F.col("_l")).otherwise("")
     names = sizes.join(pooled, "_l", "left").select("_s", g.alias("g"), (F.col("n") > total * HOT).alias("hot"))
-    return on_group(rows, written(names, "names"), "_s", "left").withColumn("g", F.coalesce("g", F.lit(""))).drop("_s", "_l", "hot")
+    return meet(rows, written(names, "names"), ["_s"], "left").withColumn("g", F.coalesce("g", F.lit(""))).drop("_s", "_l", "hot")
 
 
 def _distance() -> Column:
@@ -199,9 +185,9 @@ def _level(d2: Column) -> Column:
 def _step(rows: DataFrame, now: DataFrame, held: list[str]) -> DataFrame:
     """now after a concentration step of each group and start, with `falls`: whether its determinant fell."""
     by = ["g", "start"]
-    cut = on_group(rows, now).groupBy(*by).agg(F.percentile(_level(_distance()), F.lit(H)).alias("cut"))
+    cut = meet(rows, now, ["g"]).groupBy(*by).agg(F.percentile(_level(_distance()), F.lit(H)).alias("cut"))
     near = written(now.join(cut, by), "cut")
-    core = on_group(rows, near).where(_level(_distance()) <= F.col("cut"))
+    core = meet(rows, near, ["g"]).where(_level(_distance()) <= F.col("cut"))
     x = [F.col(c) for c in _X]
     sums = core.groupBy(*by).agg(F.count("*").alias("n"), _sums(x).alias("s"), _products(x).alias("q"), F.first("floor").alias("floor"), F.first("hot").alias("hot"))
     new = _rows(sums, _estimate).select(*by, F.struct("mu", "prec", "det").alias("new"))
@@ -218,10 +204,10 @@ def estimates(rows: DataFrame, chance: float = CHANCE) -> DataFrame:
     mid = rows.groupBy("g").agg(middles, _floors(*map(half, ("n_words", "word_chars", "n_lines"))).alias("floor"), (F.count("*") > total * HOT).alias("hot"))
     mid = written(mid, "mid")
     off = [F.col(c) - F.get("mu", F.lit(i)) for i, c in enumerate(_X)]
-    spread = on_group(rows, mid).groupBy("g").agg(F.array(*(half(F.round(F.abs(x), _ROUNDED)) for x in off)).alias("mad"))
+    spread = meet(rows, mid, ["g"]).groupBy("g").agg(F.array(*(half(F.round(F.abs(x), _ROUNDED)) for x in off)).alias("mad"))
     sd = F.transform(F.arrays_zip("mad", "floor"), lambda x: F.sqrt(F.greatest((1.4826 * x["mad"]) ** 2, x["floor"])))
     mid = written(mid.join(spread, "g").withColumn("sd", sd).drop("mad"), "spread")
-    z = on_group(rows, mid).withColumns({f"z{i}": x / F.get("sd", F.lit(i)) for i, x in enumerate(off)})
+    z = meet(rows, mid, ["g"]).withColumns({f"z{i}": x / F.get("sd", F.lit(i)) for i, x in enumerate(off)})
     z = z.withColumn("norm", F.sqrt(sum((F.col(f"z{i}") ** 2 for i in range(P)), F.lit(1e-12))))
     t, k = [F.tanh(f"z{i}") for i in range(P)], [F.col(f"z{i}") / F.col("norm") for i in range(P)]
     sums = z.groupBy("g").agg(F.count("*").alias("n"), _sums(t).alias("t"), _products(t).alias("tt"), _products(k).alias("kk"))
@@ -236,7 +222,7 @@ def estimates(rows: DataFrame, chance: float = CHANCE) -> DataFrame:
         now = _step(rows, now, held)
         falls = bool(now.agg(F.max("falls")).head()[0])
         now = now.drop("falls")
-    own = on_group(rows, now).groupBy("g").agg(F.count("*").alias("n"), *(F.exp(F.percentile(_level(_distance()), F.lit(q))).alias(c) for q, c in ((0.5, "half"), (0.75, "upper"))))
+    own = meet(rows, now, ["g"]).groupBy("g").agg(F.count("*").alias("n"), *(F.exp(F.percentile(_level(_distance()), F.lit(q))).alias(c) for q, c in ((0.5, "half"), (0.75, "upper"))))
     bound = (F.col("half") + (F.col("upper") - F.col("half")) / math.log(2) * F.log(F.col("n") / (2 * chance))) / F.col("scale")
     return now.select("g", "hot", "mu", "prec").join(own.withColumn("scale", F.greatest(F.col("half") / MEDIAN, F.lit(1e-9))).select("g", "scale", bound.alias("bound")), "g")
 
@@ -251,7 +237,7 @@ def judged(docs: DataFrame, chance: float = CHANCE) -> DataFrame:
     rows = _groups(written(counted(docs).withColumn("base_failed", failed), "counts"))
     rows = written(rows.select("doc_id", *NAMES, "base_failed", "g", *(x.alias(f"x{i}") for i, x in enumerate(vector()))), "vectors")
     known = written(estimates(rows.where("NOT base_failed"), chance), "mcd")
-    out = on_group(rows, known, how="left").withColumn("distance", _distance() / F.col("scale"))
+    out = meet(rows, known, ["g"], "left").withColumn("distance", _distance() / F.col("scale"))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= F.col("bound"), F.lit(True))
     return out.select("doc_id", *NAMES, "base_failed", "distance", kept.alias("kept"))
 

@@ -612,10 +612,12 @@ def test_quality_estimates_reach_the_least_determinant(spark):
 
 
 def test_groups_meet_their_numbers_also_when_they_are_many(spark):
+    from lodestrata.llm import common
+
     rows = spark.createDataFrame([("hot", i) for i in range(50)] + [(f"g{i % 7}", i) for i in range(21)] + [("unknown", 1), (None, 2)], "g string, v int")
     groups = written(spark.createDataFrame([("hot", True, 1.0)] + [(f"g{i}", False, 2.0) for i in range(7)], "g string, hot boolean, x double"), "groups")
     for how, n in (("inner", 71), ("left", 73)):
-        few, many = (sorted(map(str, quality.on_group(rows, groups, how=how, small=k).select("g", "v", "x").collect())) for k in (100, 2))
+        few, many = (sorted(map(str, common.meet(rows, groups, ["g"], how, k).select("g", "v", "x").collect())) for k in (100, 2))
         assert few == many and len(few) == n
 
 
