@@ -334,8 +334,11 @@ def earlier(near: DataFrame, n_leaves: int) -> DataFrame:
     return found.where(F.col("kind") == PLAIN).select("a").mapInArrow(run, "doc_id long, own long, start int, n int, more boolean")
 
 
-def shared_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, int]:
-    """Document rows; of each text its smallest document (first, own); the texts that share anchors with others (doc_id, own, text, keys); and about how many leaves they have."""
+def shared_texts(docs: DataFrame, deal=deal) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """Document rows; of each text its smallest document (first, own); the texts that share anchors with others (doc_id, own, text, keys); and about how many leaves they have.
+
+    deal tells what a text's anchors are.
+    """
     kinds = written(tell(deal(docs, 3 * shuffles(docs.sparkSession))), "told")
     rows = kinds.where("kind = 0").select("doc_id", "mark", "own", "n_words", "sha")
     shared = kinds.where("kind = 1").select("own", "key")
