@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import chat, decontaminate, ngram_join, packing, quality, secrets, substring_dedup, suffix_array, token_files, toxicity, urls
+from lodestrata.llm import chat, decontaminate, ngram_join, packing, quality, secrets, spelling, substring_dedup, suffix_array, token_files, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -24,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_secrets": secrets.op9,
         "op10_substring_dedup": substring_dedup.op10,
         "op11_suffix_array": suffix_array.op11,
+        "op12_spelling": spelling.op12,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -37,4 +38,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_urls": urls.OP6_SQL,
         "op9_secrets": secrets.OP9_SQL,
         "op11_suffix_array": suffix_array.OP11_SQL,
+        "op12_spelling": spelling.OP12_SQL,
     }
