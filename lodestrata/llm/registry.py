@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import chat, decontaminate, ngram_join, packing, quality, secrets, spelling, substring_dedup, suffix_array, token_files, toxicity, urls
+from lodestrata.llm import chat, decontaminate, filter_audit, ngram_join, packing, quality, secrets, spelling, substring_dedup, suffix_array, token_files, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -25,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_substring_dedup": substring_dedup.op10,
         "op11_suffix_array": suffix_array.op11,
         "op12_spelling": spelling.op12,
+        "op13_filter_audit": filter_audit.op13,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -39,4 +40,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_secrets": secrets.OP9_SQL,
         "op11_suffix_array": suffix_array.OP11_SQL,
         "op12_spelling": spelling.OP12_SQL,
+        "op13_filter_audit": filter_audit.OP13_SQL,
     }
