@@ -261,18 +261,18 @@ def ordered(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     names, m, width = list(distinct), len(distinct), 8 * SHALLOW
     head = np.frombuffer(b"".join([s[:width].ljust(width, b"\0") for s in names]), np.uint8).reshape(m, width)
     order, first = multikey(head.view(">u8").astype(np.uint64))
-    length = np.fromiter(map(len, names), np.int64, m)
-    near = head[order]
-    differ = near[1:] != near[:-1]
-    common = np.zeros(m, np.int64)
-    common[1:] = np.minimum(differ.argmax(axis=1), np.minimum(length[order[1:]], length[order[:-1]]))
-    begin = np.flatnonzero(first)
+    begin, inner = np.flatnonzero(first), []
     for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), m], strict=True):
         if hi - lo > 1:
             group = order[lo:hi]
-            inner, shared = blind_trie([names[i] for i in group.tolist()])
-            order[lo:hi] = group[inner]
-            common[lo + 1 : hi] = shared[1:]
+            by, shared = blind_trie([names[i] for i in group.tolist()])
+            order[lo:hi] = group[by]
+            inner.append((lo + 1, hi, shared[1:]))
+    length, near = np.fromiter(map(len, names), np.int64, m)[order], head[order]
+    common = np.zeros(m, np.int64)
+    common[1:] = np.minimum((near[1:] != near[:-1]).argmax(axis=1), np.minimum(length[1:], length[:-1]))
+    for lo, hi, shared in inner:
+        common[lo:hi] = shared
     place = np.empty(m, np.int64)
     place[order] = np.arange(m)
     return place[np.fromiter(map(distinct.__getitem__, strings), np.int64, len(strings))], common
