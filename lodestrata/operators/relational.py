@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.sources.scratch import kept
+
 
 def ordinal_lookup(refs: DataFrame, target: DataFrame, ref: str, key: str) -> DataFrame:
     """refs with target's columns; null where the ordinal is out of range."""
@@ -125,15 +128,60 @@ def first_lines(rows: DataFrame, by: list[str], order: str, line: str, limit: in
     return some.select(*by, F.explode(F.concat(heads, lines)).alias("x")).select(*by, "x.place", "x.line")
 
 
+#: Sizes of cells are powers of two up to this one.
+TOP_CELL = 62
+
+
+def dyadic_cells(ranges: DataFrame, start: str, size: str) -> DataFrame:
+    """ranges with _level and _cell: [start, start + size) cut into aligned cells of 2^level numbers, at most two of a level.
+
+    On each level what is left begins at the first boundary at or after start and ends at the last one at or before the end;
+    an odd boundary is where a cell has no sibling in the range, so that it is taken here and not on the next level.
+    """
+    lo, hi = f"(- shiftright(- {start}, k))", f"shiftright({start} + {size}, k)"
+    left = f"IF({lo} < {hi} AND {lo} % 2 <> 0, array(named_struct('_level', k, '_cell', {lo})), array())"
+    right = f"IF({lo} < {hi} AND {hi} % 2 <> 0, array(named_struct('_level', k, '_cell', {hi} - 1)), array())"
+    top = f"least({TOP_CELL}, cast(log2({size}) AS INT) + 1)"
+    wide = ranges.where(F.col(size) > 0).withColumns({start: F.col(start).cast("long"), size: F.col(size).cast("long")})
+    return wide.select("*", F.inline(F.expr(f"flatten(transform(sequence(0, {top}), k -> concat({left}, {right})))")))
+
+
 def in_ranges(points: DataFrame, ranges: DataFrame, point: str, start: str, size: str, by: Sequence[str] = ()) -> DataFrame:
-    """points with the columns of the range [start, start + size) of the same `by` that holds each; a point in none is left out.
+    """points with the columns of each range [start, start + size) of the same `by` that holds them; a point in none is left out.
+
+    Coordinates are whole numbers. A range stands in at most 2 log2(size) dyadic cells, which it fills, and a point looks up one cell
+    on each level that ranges use: an equi-join whose matches are the results themselves, however wide any range is.
+    Null points and ranges, and ranges of no size, match nothing. A cell that very many points ask for is split by skew handling of the join.
+    """
+    cells = dyadic_cells(ranges, start, size)
+    levels = F.broadcast(cells.select("_level").distinct())  # at most TOP_CELL + 1 rows
+    asked = points.select("*", F.explode(F.sequence(F.lit(0), F.lit(TOP_CELL))).alias("_level")).join(levels, "_level")
+    asked = asked.withColumn("_cell", F.expr(f"shiftright(cast({point} AS BIGINT), _level)"))
+    return asked.join(cells, [*by, "_level", "_cell"]).drop("_level", "_cell")
+
+
+def globally_ranked(rows: DataFrame, order: dict[str, Column], name: str = "place", parts: int | None = None) -> DataFrame:
+    """rows with name: one more than the number of rows before each in order (new columns by name), as rank() has it.
 
-    Points and ranges meet in cells of the widest range's size, of which a range covers two at most: an equi-join,
-    not a comparison of each with each.
+    No task sees all rows: rows are counted by their distinct keys, keys are dealt out in ranges, each range sums its counts, and only the
+    sums of the ranges, one a part, are added up outside. Nulls come first. Rows of one key, however many, are never brought together.
     """
-    wide = max(1, int(ranges.agg(F.max(size)).head()[0] or 1))
-    cell = lambda x: F.floor(x / wide)
-    cells = F.explode(F.sequence(cell(F.col(start)), cell(F.col(start) + F.col(size) - 1))).alias("_cell")
-    spread = ranges.where(F.col(size) > 0).select("*", cells)
-    inside = (F.col(point) >= F.col(start)) & (F.col(point) < F.col(start) + F.col(size))
-    return points.withColumn("_cell", cell(F.col(point))).join(spread, [*by, "_cell"]).where(inside).drop("_cell")
+    spark = rows.sparkSession
+    keyed, keys = rows.withColumns(order), list(order)
+    n = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    counts = keyed.groupBy(*keys).agg(F.count("*").alias("_n")).repartitionByRange(n, *(F.col(k).asc_nulls_first() for k in keys))
+    # written, for its parts must stay as they are while their sums are made
+    counts = kept(counts.withColumn("_part", F.spark_partition_id()), "keys")
+    sums = sorted(counts.groupBy("_part").agg(F.sum("_n")).collect())  # one number a part
+    before = accumulate((n for _, n in sums), initial=0)
+    firsts = spark.createDataFrame([(part, b) for (part, _), b in zip(sums, before, strict=False)], "_part int, _before long")
+    own = Window.partitionBy("_part").orderBy(*(F.col(k).asc_nulls_first() for k in keys)).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = counts.join(F.broadcast(firsts), "_part").select(*keys, (F.col("_before") + F.coalesce(F.sum("_n").over(own), F.lit(0)) + 1).alias(name))
+    renamed = ranked.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [keyed[k].eqNullSafe(renamed[f"_k_{k}"]) for k in keys])
+    return keyed.join(renamed, same).drop(*(f"_k_{k}" for k in keys))
+
+
+def ordered_slice(rows: DataFrame, order: dict[str, Column], start: int, stop: int, name: str = "place") -> DataFrame:
+    """Rows of the places from start up to stop (exclusive, from 1) in a global order, with their places; all of one key share the first of theirs."""
+    return globally_ranked(rows, order, name).where((F.col(name) >= start) & (F.col(name) < stop))

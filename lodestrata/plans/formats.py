@@ -12,11 +12,12 @@ from lodestrata.functions.bytes import deflated, inflated, integer_bytes, intege
 from lodestrata.functions.scalars import byte_entropy, duration, percent, rarest_byte, rate_and_rest, version_key
 from lodestrata.functions.strings import candidates, fresh_by_harvester, string_decrypt, string_encrypt, string_key
 from lodestrata.operators import disasm, lift, rewrite, validate
-from lodestrata.operators.relational import first_lines, in_ranges
+from lodestrata.operators.relational import first_lines, globally_ranked, in_ranges, ordered_slice
 from lodestrata.plans.base import query
 from lodestrata.plans.samples import FLOW, OPS, executables, flow_modules, modules, opcode_images
 from lodestrata.session import table
 from lodestrata.sources import opcodes, overlay, packs
+from lodestrata.sources.scratch import place
 from lodestrata.sources.module import decoded, harvested, module_facts, peeked, table_of
 
 #: The rows that make modules, which of these can be read (whole: to the end), and the strings of each.
@@ -403,6 +404,35 @@ def pack_entries(spark: SparkSession, d: str) -> DataFrame:
     return _packed(spark, d).select("pack", "ordinal", "name", "size", F.sha2("data", 256).alias("sha"))
 
 
+def _in_folder(spark: SparkSession, d: str, split: int) -> tuple[str, DataFrame]:
+    """A folder with a pack for each seventh part of the conversations and role, written by the sink, and its reader."""
+    folder = place(spark, "packs")
+    rows = table(spark, d, "conversations").select(
+        F.format_string("%s/p%d.pack", "role", F.col("conv_id") % 7).alias("pack"), (F.col("conv_id") * 1000 + F.col("turn")).alias("ordinal"),
+        F.format_string("%d/%d", "conv_id", "turn").alias("name"), F.encode("text", "UTF-8").alias("data"),
+    )
+    packs.register(spark)
+    packs.packed_rows(rows).write.format("pack").mode("append").save(folder)
+    return folder, spark.read.format("pack").option("splitBytes", split).load(folder)
+
+
+_FOLDER = "SELECT role || '/p' || (conv_id % 7) || '.pack' AS pack, row_number() OVER (PARTITION BY role, conv_id % 7 ORDER BY conv_id, turn) - 1 AS ordinal, conv_id || '/' || turn AS name, coalesce(text, '') AS text FROM conversations"
+
+
+@query("f59_pack_sink", f"SELECT pack, CAST(ordinal AS INTEGER) AS ordinal, name, octet_length(encode(text))::BIGINT AS size, sha256(text) AS sha FROM ({_FOLDER})")
+def pack_sink(spark: SparkSession, d: str) -> DataFrame:
+    """Packs written to a folder by the sink and read again in parts of 16 KB."""
+    folder, rows = _in_folder(spark, d, 1 << 14)
+    return rows.select(F.substring_index("pack", "/", -2).alias("pack"), "ordinal", "name", "size", F.sha2("data", 256).alias("sha"))
+
+
+@query("f60_pack_pushdown", f"SELECT pack, CAST(ordinal AS INTEGER) AS ordinal, name, sha256(text) AS sha FROM ({_FOLDER}) WHERE name LIKE '1%' AND ordinal < 20 AND octet_length(encode(text)) > 60")
+def pack_pushdown(spark: SparkSession, d: str) -> DataFrame:
+    """Of those packs the entries that conditions on the directory leave; the data of others is not read."""
+    rows = _in_folder(spark, d, 1 << 20)[1].where(F.col("name").startswith("1") & (F.col("ordinal") < 20) & (F.col("size") > 60))
+    return rows.select(F.substring_index("pack", "/", -2).alias("pack"), "ordinal", "name", F.sha2("data", 256).alias("sha"))
+
+
 def _key(role: Column) -> Column:
     return F.unhex(F.sha2(role, 256))
 
@@ -576,12 +606,36 @@ def progress(spark: SparkSession, d: str) -> DataFrame:
 )
 def versions(spark: SparkSession, d: str) -> DataFrame:
     """Names in the order of the numbers in them."""
-    from pyspark.sql import Window
+    rows = globally_ranked(table(spark, d, "part"), {"key": version_key(F.format_string("v%d.0%d-rc", "p_size", "p_partkey"))})
+    return rows.select("p_partkey", F.array_join(F.transform("key", lambda x: x.cast("string")), ".").alias("version"), "place")
+
+
+@query(
+    "f56_nested_ranges",
+    """
+    WITH s AS (SELECT s_suppkey, s_suppkey * 29 - 700 AS lo, CASE WHEN s_suppkey % 10 = 0 THEN 1000000 WHEN s_suppkey % 3 = 0 THEN (s_suppkey * s_suppkey) % 9000 ELSE s_suppkey % 64 END AS n FROM supplier)
+    SELECT s_suppkey, count(*) AS n_orders, min(o_orderkey) AS first, max(o_orderkey) AS last FROM s JOIN orders ON o_orderkey - 300 >= lo AND o_orderkey - 300 < lo + n GROUP BY s_suppkey
+    """,
+)
+def nested_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Points in ranges of all widths, some of which hold nearly everything; no plan of comparisons depends on the widest."""
+    s = F.col("s_suppkey")
+    wide = F.when(s % 10 == 0, F.lit(1000000)).when(s % 3 == 0, (s * s) % 9000).otherwise(s % 64)
+    spans_ = table(spark, d, "supplier").select("s_suppkey", (s * 29 - 700).alias("lo"), wide.alias("n"))
+    points = table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") - 300).alias("at"))
+    return in_ranges(points, spans_, "at", "lo", "n").groupBy("s_suppkey").agg(F.count("*").alias("n_orders"), F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last"))
+
+
+@query("f57_line_ranks", "SELECT l_orderkey, l_linenumber, rank() OVER (ORDER BY l_quantity DESC, l_returnflag) AS place FROM lineitem")
+def line_ranks(spark: SparkSession, d: str) -> DataFrame:
+    """Few keys that thousands of rows share, ranked over all rows."""
+    return globally_ranked(table(spark, d, "lineitem"), {"most": -F.col("l_quantity"), "flag": F.col("l_returnflag")}).select("l_orderkey", "l_linenumber", "place")
+
 
-    key = version_key(F.format_string("v%d.0%d-rc", "p_size", "p_partkey"))
-    shown = F.array_join(F.transform(key, lambda x: x.cast("string")), ".")
-    # one small table; the order is over all of it by nature
-    return table(spark, d, "part").select("p_partkey", shown.alias("version"), F.rank().over(Window.orderBy(key)).cast("long").alias("place"))
+@query("f58_page_of_orders", "SELECT o_orderkey, o_totalprice, place FROM (SELECT *, rank() OVER (ORDER BY o_totalprice, o_orderkey) AS place FROM orders) WHERE place >= 101 AND place < 151")
+def page_of_orders(spark: SparkSession, d: str) -> DataFrame:
+    """Places 101 to 150 of a global order."""
+    return ordered_slice(table(spark, d, "orders"), {"price": F.col("o_totalprice"), "key": F.col("o_orderkey")}, 101, 151).select("o_orderkey", "o_totalprice", "place")
 
 
 @F.pandas_udf(T.StringType())
