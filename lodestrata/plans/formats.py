@@ -16,7 +16,7 @@ from lodestrata.operators.relational import first_lines, globally_ranked, in_ran
 from lodestrata.plans.base import query
 from lodestrata.plans.samples import FLOW, OPS, executables, flow_modules, modules, opcode_images
 from lodestrata.session import table
-from lodestrata.sources import opcodes, overlay, packs
+from lodestrata.sources import opcodes, overlay, packs, sink
 from lodestrata.sources.scratch import place
 from lodestrata.sources.module import decoded, harvested, module_facts, peeked, table_of
 
@@ -413,7 +413,7 @@ def _in_folder(spark: SparkSession, d: str, split: int) -> tuple[str, DataFrame]
     )
     packs.register(spark)
     packs.packed_rows(rows).write.format("pack").mode("append").save(folder)
-    return folder, spark.read.format("pack").option("splitBytes", split).load(folder)
+    return folder, packs.load(spark, folder, split)
 
 
 _FOLDER = "SELECT role || '/p' || (conv_id % 7) || '.pack' AS pack, row_number() OVER (PARTITION BY role, conv_id % 7 ORDER BY conv_id, turn) - 1 AS ordinal, conv_id || '/' || turn AS name, coalesce(text, '') AS text FROM conversations"
@@ -433,6 +433,17 @@ def pack_pushdown(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.substring_index("pack", "/", -2).alias("pack"), "ordinal", "name", F.sha2("data", 256).alias("sha"))
 
 
+@query("f61_files_sink", f"SELECT pack || '/' || name AS path, octet_length(encode(text))::BIGINT AS size, sha256(text) AS sha FROM ({_FOLDER})")
+def files_sink(spark: SparkSession, d: str) -> DataFrame:
+    """Entries of those packs extracted to a file each, all or none, and read as files."""
+    folder = place(spark, "files")
+    sink.register(spark)
+    names = F.concat_ws("/", F.substring_index("pack", "/", -2), "name").alias("name")
+    _in_folder(spark, d, 1 << 20)[1].select(names, "data").write.format("files").mode("append").save(folder)
+    rows = overlay.read_files(spark, f"{folder}/*/*/*/*")
+    return rows.select(F.substring_index("path", "/", -4).alias("path"), F.octet_length("content").cast("long").alias("size"), F.sha2("content", 256).alias("sha"))
+
+
 def _key(role: Column) -> Column:
     return F.unhex(F.sha2(role, 256))
 
