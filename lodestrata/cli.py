@@ -25,11 +25,12 @@ def _modules(spark, path: str) -> DataFrame:
 
 
 def _tables(spark, args) -> tuple[DataFrame, dict, DataFrame]:
-    from lodestrata.sources.module import decoded
+    from lodestrata.sources.module import stored
+    from lodestrata.sources.scratch import place
 
     table = _opcodes(args.opcodes)
     found = _modules(spark, args.module)
-    return found, table, decoded(found, table).persist()
+    return found, table, stored(found, table, place(spark, "tables"))
 
 
 def _opcodes(path: str) -> dict:

@@ -14,22 +14,17 @@ from lodestrata.sources.module import module_facts, table_of
 STAGES = ("unpack", "dialect", "enums", "classes", "funcdefs", "opcodes", "blocks", "tail", "disasm", "rewrite")
 #: Bodies of a module that the disassembly is checked on, unless the check is deep.
 SAMPLE = 200
-
-
-def _counts(tables: DataFrame, name: str, alias: str, where: str = "true") -> DataFrame:
-    return table_of(tables, name).where(where).groupBy("module_id").agg(F.count("*").alias(alias))
+#: Tables that `summary` counts; of the first two some rows alone.
+COUNTED = ("functions", "sections", "enums", "enum_members", "classes", "parse_errors", "used_functions", "used_strings", "used_global_props", "used_object_props")
 
 
 def summary(tables: DataFrame) -> DataFrame:
-    """One row a module: its facts, and how many enums, members, classes, class blocks, bodies, used names and parse errors it has."""
-    rows = module_facts(tables)
-    parts = [("enums", "enums"), ("enum_members", "enum_members"), ("classes", "classes"), ("parse_errors", "parse_errors")]
-    parts += [(t, t) for t in ("used_functions", "used_strings", "used_global_props", "used_object_props")]
-    counts = [_counts(tables, t, n) for t, n in parts]
-    counts += [_counts(tables, "functions", "bodies", "body_end IS NOT NULL"), _counts(tables, "sections", "blocks", "name LIKE 'class %'")]
-    for other in counts:
-        rows = rows.join(other, "module_id", "left")
-    return rows.fillna(0, [*(n for _, n in parts), "bodies", "blocks"])
+    """One row a module: its facts, and how many enums, members, classes, class blocks, bodies, used names and parse errors it has; one pass counts all."""
+    of = lambda name, more=F.lit(True): F.count_if((F.col("table") == name) & more)
+    counts = {n: of(n) for n in COUNTED[2:]}
+    counts |= {"bodies": of("functions", F.col("functions.body_end").isNotNull()), "blocks": of("sections", F.col("sections.name").startswith("class "))}
+    own = tables.where(F.col("table").isin(*COUNTED)).groupBy("module_id").agg(*(c.alias(n) for n, c in counts.items()))
+    return module_facts(tables).join(own, "module_id", "left").fillna(0, list(counts))
 
 
 def stages(modules: DataFrame, tables: DataFrame, opcodes: dict[int, dict], deep: bool = False) -> DataFrame:

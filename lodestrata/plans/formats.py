@@ -17,8 +17,8 @@ from lodestrata.plans.base import query
 from lodestrata.plans.samples import FLOW, OPS, executables, flow_modules, modules, opcode_images
 from lodestrata.session import table
 from lodestrata.sources import opcodes, overlay, packs, sink
-from lodestrata.sources.scratch import place
-from lodestrata.sources.module import decoded, harvested, module_facts, peeked, table_of
+from lodestrata.sources.module import harvested, module_facts, peeked, stored, table_of
+from lodestrata.sources.scratch import kept, place
 
 #: The rows that make modules, which of these can be read (whole: to the end), and the strings of each.
 MODULES = """
@@ -37,8 +37,18 @@ CODE = """
 CALLED = "['<global>::print', '<global>::note', NULL][i % 3 + 1]"
 
 
+def _stored(made: DataFrame, ops: dict[int, dict], *only: str) -> DataFrame:
+    """Tables of modules, decoded once; whoever reads one of them reads no other."""
+    return stored(made, ops, place(made.sparkSession, "tables"), only or None)
+
+
 def _tables(spark: SparkSession, d: str, *only: str) -> DataFrame:
-    return decoded(modules(spark, d), OPS, only)
+    return _stored(modules(spark, d), OPS, *only)
+
+
+def _made(spark: SparkSession, d: str) -> DataFrame:
+    """The modules, written once for queries that also need their bytes."""
+    return kept(modules(spark, d), "modules")
 
 
 def _signed(tables: DataFrame) -> DataFrame:
@@ -96,8 +106,9 @@ def instructions(spark: SparkSession, d: str) -> DataFrame:
 @query("f06_spans", f"WITH {MODULES}, {CODE} SELECT module_id, signature, CAST(idx AS BIGINT) AS idx, name, operands FROM code")
 def spans(spark: SparkSession, d: str) -> DataFrame:
     """The same by spans: each body is decoded by itself, so bodies of one module are spread."""
-    t = _tables(spark, d, "functions", "global_properties")
-    rows = disasm.spans(disasm.bodies(t, modules(spark, d)), OPS).join(_signed(t), ["module_id", "function"])
+    made = _made(spark, d)
+    t = _stored(made, OPS, "functions", "global_properties")
+    rows = disasm.spans(disasm.bodies(t, made), OPS).join(_signed(t), ["module_id", "function"])
     return rows.select("module_id", "signature", "idx", "name", _joined(F.col("operands")).alias("operands"))
 
 
@@ -190,9 +201,10 @@ def listing(spark: SparkSession, d: str) -> DataFrame:
 @query("f15_round_trip", f"WITH {MODULES} SELECT module_id, true AS identical, CAST(NULL AS BIGINT) AS first_difference FROM whole")
 def round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Modules written from their traces, byte for byte."""
-    t = _tables(spark, d, "trace")
+    made = _made(spark, d)
+    t = _stored(made, OPS, "trace")
     facts = module_facts(t).where("reached = 'tail'").select("module_id", "dialect")
-    return rewrite.round_trip(rewrite.written(table_of(t, "trace"), facts), modules(spark, d).join(facts, "module_id", "left_semi"))
+    return rewrite.round_trip(rewrite.written(table_of(t, "trace"), facts), made.join(facts, "module_id", "left_semi"))
 
 
 @query(
@@ -201,8 +213,8 @@ def round_trip(spark: SparkSession, d: str) -> DataFrame:
 )
 def first_difference(spark: SparkSession, d: str) -> DataFrame:
     """Modules against others that differ in one byte."""
-    rows = modules(spark, d)
-    t = decoded(rows, OPS, ["classes"])
+    rows = _made(spark, d)
+    t = _stored(rows, OPS, "classes")
     n = table_of(t, "classes").groupBy("module_id").agg(F.count("*").alias("n")).join(module_facts(t).where("reached = 'tail'"), "module_id", "left_semi")
     at = F.when(F.col("n") % 2 == 0, 0).otherwise(9)
     other = F.concat(F.substring("content", F.lit(1), at), F.unhex(F.lit("FF")), F.substring("content", at + 2, F.octet_length("content")))
@@ -220,7 +232,7 @@ def renamed(spark: SparkSession, d: str) -> DataFrame:
     facts = module_facts(t).where("reached = 'tail'").select("module_id", "dialect")
     trace = table_of(t, "trace").join(facts, "module_id", "left_semi")
     trace = rewrite.replace_literal(trace, F.lit(bytearray(b"main")), F.lit(bytearray(b"a_longer_name")))
-    again = decoded(rewrite.written(trace, facts), OPS, ["functions"])
+    again = _stored(rewrite.written(trace, facts), OPS, "functions")
     return table_of(again, "functions").where("owner IS NULL AND body_end IS NOT NULL").select("module_id", "signature")
 
 
@@ -239,7 +251,7 @@ def edited(spark: SparkSession, d: str) -> DataFrame:
     first = trace.where(F.col("kind") == "op").where(F.col("op") == 3).agg(F.min(F.struct("module_id", "seq")).alias("x")).head()["x"]
     if first is not None:
         trace = rewrite.replace_instruction(trace, first["module_id"], first["seq"], 3, [2, 777])
-    again = decoded(rewrite.written(trace, facts), OPS, ["functions", "instructions"])
+    again = _stored(rewrite.written(trace, facts), OPS, "functions", "instructions")
     rows = table_of(again, "instructions").join(F.broadcast(disasm.dimension(spark, OPS)), "op").join(_signed(again), ["module_id", "function"])
     return rows.select("module_id", "signature", "idx", "name", _joined(F.col("operands")).alias("operands"))
 
@@ -269,8 +281,8 @@ _STATES = f"""{MODULES}, every AS (SELECT DISTINCT module_id, nation FROM rows_)
 
 
 def _stages(spark: SparkSession, d: str) -> DataFrame:
-    made = modules(spark, d)
-    return validate.stages(made.select("module_id", "content"), decoded(made, OPS), OPS)
+    made = _made(spark, d)
+    return validate.stages(made.select("module_id", "content"), _stored(made, OPS), OPS)
 
 
 @query("f20_stages", f"WITH {_STATES} SELECT module_id, stage, ok FROM states JOIN marks USING (state)")
@@ -311,7 +323,7 @@ def status(spark: SparkSession, d: str) -> DataFrame:
 def summary(spark: SparkSession, d: str) -> DataFrame:
     """Counts of each module, those of enum members and parse errors among them."""
     columns = ("enums", "enum_members", "classes", "bodies", "blocks", "parse_errors", "used_functions", "used_strings", "used_object_props")
-    return validate.summary(decoded(modules(spark, d), OPS)).where("dialect IS NOT NULL").select("module_id", *columns)
+    return validate.summary(_tables(spark, d, *validate.COUNTED)).where("dialect IS NOT NULL").select("module_id", *columns)
 
 
 @query(
@@ -724,7 +736,7 @@ def some_orders(spark: SparkSession, d: str) -> DataFrame:
 )
 def forms(spark: SparkSession, d: str) -> DataFrame:
     """Branches, loops and a switch told from jumps."""
-    return lift.lifted(decoded(flow_modules(spark, d), FLOW, _NAMED), FLOW).select("module_id", "instructions", "text", "blocks", "gotos")
+    return lift.lifted(_stored(flow_modules(spark, d), FLOW, *_NAMED), FLOW).select("module_id", "instructions", "text", "blocks", "gotos")
 
 
 @query(
@@ -737,7 +749,7 @@ def forms(spark: SparkSession, d: str) -> DataFrame:
 )
 def jump_labels(spark: SparkSession, d: str) -> DataFrame:
     """Jumps with their targets, and labels in the order in which they are first referred to."""
-    rows = disasm.resolved(decoded(flow_modules(spark, d), FLOW, _NAMED), FLOW)
+    rows = disasm.resolved(_stored(flow_modules(spark, d), FLOW, *_NAMED), FLOW)
     return rows.where("role = 'jump'").select("module_id", "idx", "target", F.col("text").alias("label"))
 
 
