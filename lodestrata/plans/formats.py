@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestrata.functions import tables
 from lodestrata.functions.bytes import deflated, inflated, integer_bytes, integer_of
 from lodestrata.functions.scalars import byte_entropy, duration, percent, rarest_byte, rate_and_rest, version_key
 from lodestrata.functions.strings import candidates, fresh_by_harvester, string_decrypt, string_encrypt, string_key
@@ -775,3 +777,33 @@ def trace(spark: SparkSession, d: str) -> DataFrame:
     """Instructions and bodies in the trace of each module that could be read."""
     rows = table_of(_tables(spark, d, "trace"), "trace")
     return rows.groupBy("module_id").agg(F.count_if(F.col("kind") == "op").alias("n_ops"), F.count_if(F.col("kind") == "opcount").alias("n_counts")).where("n_ops > 0")
+
+
+@query(
+    "f62_runs_in_sql",
+    r"""
+    SELECT doc_id, generate_subscripts(r, 1) - 1 AS seq, length(unnest(r)) AS n, sha256(unnest(r)) AS sha FROM (SELECT doc_id, regexp_extract_all(text, '[\x20-\x7E]{24,}') AS r FROM documents)
+    """,
+)
+def runs_in_sql(spark: SparkSession, d: str) -> DataFrame:
+    """Printable runs of texts that come in chunks of 1,000 bytes, by a table function in SQL."""
+    tables.register(spark)
+    data = F.encode("text", "UTF-8")
+    cut = F.explode(F.sequence(F.lit(0), F.floor(F.octet_length(data) / 1000).cast("int")))
+    chunks = table(spark, d, "documents").select("doc_id", cut.alias("chunk"), data.alias("data")).select("doc_id", "chunk", F.substring("data", F.col("chunk") * 1000 + 1, F.lit(1000)).alias("data"))
+    sql = """
+        SELECT doc_id, seq, length(run) AS n, sha2(run, 256) AS sha
+        FROM printable_runs(rows => TABLE(SELECT doc_id, chunk, data FROM {chunks}) PARTITION BY doc_id ORDER BY chunk, least => 24)
+    """
+    return spark.sql(sql, chunks=chunks)
+
+
+@query("f63_instructions_in_sql", f"WITH {MODULES}, {CODE} SELECT module_id, signature, CAST(idx AS BIGINT) AS idx, name, operands FROM code")
+def instructions_in_sql(spark: SparkSession, d: str) -> DataFrame:
+    """Bodies decoded by a table function in SQL."""
+    tables.register(spark)
+    made = _made(spark, d)
+    t = _stored(made, OPS, "functions", "global_properties")
+    code = disasm.bodies(t, made).join(_signed(t), ["module_id", "function"]).select("module_id", "signature", "code")
+    sql = "SELECT module_id, signature, idx, name, concat_ws(' ', transform(operands, x -> string(x))) AS operands FROM instructions(rows => TABLE(SELECT * FROM {code}), opcodes => {ops})"
+    return spark.sql(sql, code=code, ops=json.dumps(OPS))
