@@ -79,6 +79,26 @@ def version_key(name: Column) -> Column:
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(0).cast("decimal(38,0)")))
 
 
+def frame_slot(slot: Column, method: Column, n_params: Column) -> Column:
+    """The name of a frame slot: s below zero, then this in methods, then a for parameters, then v."""
+    first = method.cast("int")
+    named = lambda kind, n: F.concat(F.lit(kind), n.cast("string"))
+    return F.when(slot < 0, named("s", -slot)).when(method & (slot == 0), "this").when((slot >= first) & (slot < first + n_params), named("a", slot - first)).otherwise(named("v", slot))
+
+
+def opposite(condition: Column) -> Column:
+    """The opposite of a condition: a plain comparison turns its sign, a negation goes, all else gets one."""
+    parts = lambda i: F.regexp_extract(condition, r"(?U)^(\S+) (==|!=|<=|>=|<|>) (\S+)\z", i)
+    turned = F.element_at(F.create_map(*(F.lit(x) for pair in (("==", "!="), ("<", ">="), (">", "<=")) for a, b in (pair, pair[::-1]) for x in (a, b))), parts(2))
+    inner = F.substring(condition, F.lit(3), F.length(condition) - 3)
+    return (
+        F.when(parts(2) != "", F.concat_ws(" ", parts(1), turned, parts(3)))
+        .when(F.startswith(condition, F.lit("!(")) & F.endswith(condition, F.lit(")")), inner)
+        .when(F.startswith(condition, F.lit("!")), F.substring(condition, F.lit(2), F.length(condition)))
+        .otherwise(F.concat(F.lit("!("), condition, F.lit(")")))
+    )
+
+
 def quote_literal(text: Column, limit: int = 60) -> Column:
     """A literal for display: cut at limit, with backslash, quote, NUL and line feed escaped."""
     out = F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit("..."))).otherwise(text)

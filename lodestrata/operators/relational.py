@@ -8,8 +8,9 @@ from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lodestrata.sources.scratch import kept
+from lodestrata.sources.scratch import kept, place
 
 
 def ordinal_lookup(refs: DataFrame, target: DataFrame, ref: str, key: str) -> DataFrame:
@@ -100,6 +101,28 @@ def bounded_reach(edges: DataFrame, depth: int) -> DataFrame:
     return found.groupBy("src", "node").agg(F.min("depth").alias("depth"))
 
 
+def closure(edges: DataFrame, depth: int, sources: DataFrame | None = None) -> DataFrame:
+    """(src, node, depth): nodes that each source (column src; else every src) reaches within depth steps, with the fewest, for any depth.
+
+    A step joins the nodes that the last one found with the edges and lets go of what is known. What it finds is written as one more part
+    of a table, so that the plan of a step is the same at every depth. It ends where a step finds nothing new. Null ends lead nowhere.
+    """
+    spark = edges.sparkSession
+    pairs = kept(edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct(), "edges")
+    at, first = place(spark, "reached"), pairs if sources is None else pairs.join(sources.select("src").distinct(), "src", "left_semi")
+    front = first.select("src", F.col("dst").alias("node"))
+    shape = T.StructType([*front.schema.fields, T.StructField("depth", T.LongType())])
+    found = lambda: spark.read.schema(shape).parquet(at)
+    for k in range(1, depth + 1):
+        front.write.parquet(f"{at}/depth={k}")
+        front = found().where(F.col("depth") == k).select("src", "node")
+        if front.isEmpty():
+            break
+        ahead = front.join(pairs.select(F.col("src").alias("node"), "dst"), "node").select("src", F.col("dst").alias("node")).distinct()
+        front = ahead.join(found().select("src", "node"), ["src", "node"], "left_anti")
+    return found()
+
+
 def stage_rows(rows: DataFrame, by: list[str], stages: list[str]) -> DataFrame:
     """Long form (.., stage, ok) of boolean columns; null is a stage that was not reached."""
     each = F.explode(F.array(*(F.struct(F.lit(s).alias("stage"), F.col(s).alias("ok")) for s in stages)))

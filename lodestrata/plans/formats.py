@@ -4,17 +4,15 @@ from __future__ import annotations
 
 import json
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from lodestrata.functions import tables
+from lodestrata.functions import tables, variants
 from lodestrata.functions.bytes import deflated, inflated, integer_bytes, integer_of
-from lodestrata.functions.scalars import byte_entropy, duration, percent, rarest_byte, rate_and_rest, version_key
+from lodestrata.functions.scalars import byte_entropy, duration, frame_slot, opposite, percent, rarest_byte, rate_and_rest, version_key
 from lodestrata.functions.strings import candidates, fresh_by_harvester, string_decrypt, string_encrypt, string_key
-from lodestrata.operators import disasm, lift, rewrite, validate
-from lodestrata.operators.relational import first_lines, globally_ranked, in_ranges, ordered_slice
+from lodestrata.operators import catalog, disasm, lift, rewrite, sketches, validate
+from lodestrata.operators.relational import closure, first_lines, globally_ranked, in_ranges, ordered_slice
 from lodestrata.plans.base import query
 from lodestrata.plans.samples import FLOW, OPS, executables, flow_modules, modules, opcode_images
 from lodestrata.session import table
@@ -396,12 +394,12 @@ def integers(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("l_orderkey", "l_linenumber", integer_of("raw").alias("value"), F.octet_length("raw").cast("long").alias("width"))
 
 
-@query("f31_blobs", "SELECT conv_id, turn, octet_length(encode(text))::BIGINT AS size, sha256(text) AS sha, length(text) >= 400 AS shorter FROM conversations WHERE length(text) >= 400 OR length(text) < 50")
+@query("f31_blobs", "SELECT conv_id, turn, octet_length(encode(coalesce(text, '')))::BIGINT AS size, sha256(coalesce(text, '')) AS sha, CASE WHEN length(text) >= 400 THEN true END AS shorter FROM conversations")
 def blobs(spark: SparkSession, d: str) -> DataFrame:
-    """Texts compressed and expanded again; long ones get shorter, as their words repeat."""
-    rows = table(spark, d, "conversations").where((F.length("text") >= 400) | (F.length("text") < 50))
-    rows = rows.withColumn("raw", F.encode("text", "UTF-8")).withColumn("blob", deflated("raw")).withColumn("back", inflated("blob"))
-    return rows.select("conv_id", "turn", F.octet_length("back").cast("long").alias("size"), F.sha2("back", 256).alias("sha"), ((F.length("text") >= 400) & (F.octet_length("blob") < F.octet_length("raw"))).alias("shorter"))
+    """Texts compressed and expanded again; long ones get shorter, as their words repeat. Of others it is not told."""
+    rows = table(spark, d, "conversations")
+    rows = rows.withColumn("raw", F.encode(F.coalesce("text", F.lit("")), "UTF-8")).withColumn("blob", deflated("raw")).withColumn("back", inflated("blob"))
+    return rows.select("conv_id", "turn", F.octet_length("back").cast("long").alias("size"), F.sha2("back", 256).alias("sha"), F.when(F.length("text") >= 400, F.octet_length("blob") < F.octet_length("raw")).alias("shorter"))
 
 
 def _packed(spark: SparkSession, d: str) -> DataFrame:
@@ -663,11 +661,6 @@ def page_of_orders(spark: SparkSession, d: str) -> DataFrame:
     return ordered_slice(table(spark, d, "orders"), {"price": F.col("o_totalprice"), "key": F.col("o_orderkey")}, 101, 151).select("o_orderkey", "o_totalprice", "place")
 
 
-@F.pandas_udf(T.StringType())
-def _negated(condition: pd.Series) -> pd.Series:
-    return condition.map(lift.negated)
-
-
 @query(
     "f48_negated",
     """
@@ -679,12 +672,7 @@ def negations(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("n_nationkey")
     sign = F.get(F.array(*map(F.lit, ("==", "!=", "<", ">=", ">", "<="))), k % 6)
     text = F.when(k % 4 == 0, F.concat(F.lit("v"), k, F.lit(" "), sign, F.lit(" 5"))).when(k % 4 == 1, F.concat(F.lit("!x"), k)).when(k % 4 == 2, F.concat(F.lit("f(a, "), k, F.lit(")"))).otherwise(F.concat(F.lit("!(a b"), k, F.lit(")")))
-    return table(spark, d, "nation").select(k.alias("k"), _negated(text).alias("negated"))
-
-
-@F.pandas_udf(T.StringType())
-def _slot(slot: pd.Series, method: pd.Series, params: pd.Series) -> pd.Series:
-    return pd.Series([lift.slot_name(int(s), bool(m), int(p)) for s, m, p in zip(slot, method, params, strict=True)])
+    return table(spark, d, "nation").select(k.alias("k"), opposite(text).alias("negated"))
 
 
 @query(
@@ -696,7 +684,7 @@ def _slot(slot: pd.Series, method: pd.Series, params: pd.Series) -> pd.Series:
 )
 def slots(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("s_suppkey")
-    return table(spark, d, "supplier").select(k.alias("k"), _slot(k % 7 - 2, k % 2 == 1, k % 3).alias("name"))
+    return table(spark, d, "supplier").select(k.alias("k"), frame_slot(k % 7 - 2, k % 2 == 1, k % 3).alias("name"))
 
 
 @query(
@@ -807,3 +795,72 @@ def instructions_in_sql(spark: SparkSession, d: str) -> DataFrame:
     code = disasm.bodies(t, made).join(_signed(t), ["module_id", "function"]).select("module_id", "signature", "code")
     sql = "SELECT module_id, signature, idx, name, concat_ws(' ', transform(operands, x -> string(x))) AS operands FROM instructions(rows => TABLE(SELECT * FROM {code}), opcodes => {ops})"
     return spark.sql(sql, code=code, ops=json.dumps(OPS))
+
+
+@query(
+    "f64_bucketed_lookups",
+    """
+    WITH refs AS (SELECT l_orderkey, l_linenumber, l_partkey + (l_linenumber % 3) * 700 AS ref FROM lineitem), s AS (SELECT DISTINCT s_suppkey AS k FROM supplier), p AS (SELECT p_partkey AS k FROM part), o AS (SELECT o_orderkey AS k FROM orders)
+    SELECT ref, count(*) AS n, ref IN (SELECT k FROM s) AS in_supplier, ref IN (SELECT k FROM p) AS in_part, ref IN (SELECT k FROM o) AS in_orders FROM refs GROUP BY ref
+    """,
+)
+def bucketed_lookups(spark: SparkSession, d: str) -> DataFrame:
+    """Ordinals looked up in three tables and counted, with no exchange once all lie by their keys."""
+    refs = table(spark, d, "lineitem").select((F.col("l_partkey") + (F.col("l_linenumber") % 3) * 700).alias("ref"))
+    targets = {f"in_{t}": catalog.bucketed(table(spark, d, t).select(F.col(k).cast("long").alias("k")), ["k"], t) for t, k in (("supplier", "s_suppkey"), ("part", "p_partkey"), ("orders", "o_orderkey"))}
+    found = catalog.lookups(catalog.bucketed(refs, ["ref"], "refs"), targets, "ref", "k")
+    return found.groupBy("ref", *targets).agg(F.count("*").alias("n"))
+
+
+@query(
+    "f65_closure",
+    """
+    WITH RECURSIVE e AS (SELECT DISTINCT o_custkey % 300 AS a, (o_custkey % 300 * 7 + o_orderkey % 2) % 300 AS b FROM orders),
+    r AS (SELECT a, b, 1 AS k FROM e WHERE a < 20 UNION SELECT r.a, e.b, r.k + 1 FROM r JOIN e ON r.b = e.a WHERE r.k < 50)
+    SELECT a AS src, b AS node, CAST(min(k) AS BIGINT) AS depth FROM r GROUP BY a, b
+    """,
+)
+def reached(spark: SparkSession, d: str) -> DataFrame:
+    """What nodes reach in up to 50 steps of a graph that is full of cycles."""
+    key = F.col("o_custkey") % 300
+    edges = table(spark, d, "orders").select(key.alias("src"), ((key * 7 + F.col("o_orderkey") % 2) % 300).alias("dst"))
+    return closure(edges, 50, edges.where("src < 20"))
+
+
+@query(
+    "f66_sketches",
+    """
+    SELECT l_returnflag, l_linestatus, year, count(*) AS n, CAST(round(sum(l_quantity)) AS BIGINT) AS quantity, true AS near_hll, true AS near_theta, true AS near_median
+    FROM (SELECT *, CAST(year(l_shipdate) AS INTEGER) AS year FROM lineitem)
+    GROUP BY GROUPING SETS ((l_returnflag, l_linestatus, year), (l_returnflag, l_linestatus), (l_returnflag), ())
+    """,
+)
+def sketched(spark: SparkSession, d: str) -> DataFrame:
+    """Exact counts and sketches by month, merged upwards; estimates are held against exact values of each group."""
+    names = ["l_returnflag", "l_linestatus", "year"]
+    sets = [names, names[:2], names[:1], []]
+    rows = table(spark, d, "lineitem").select("l_returnflag", "l_linestatus", F.year("l_shipdate").alias("year"), F.month("l_shipdate").alias("month"), "l_orderkey", "l_quantity", "l_extendedprice")
+    fine = sketches.states(rows.withColumn("price", F.col("l_extendedprice")), [*names, "month"], F.col("l_orderkey"), F.col("price"))
+    quantity = rows.groupingSets([[F.col(c) for c in s] for s in sets], *names).agg(
+        F.round(F.sum("l_quantity")).cast("long").alias("quantity"), F.count_distinct("l_orderkey").alias("orders"), F.percentile("l_extendedprice", F.array(F.lit(0.47), F.lit(0.53))).alias("middle"), F.count("*").alias("rows_"),
+    )
+    found = sketches.told(sketches.merged(fine, sets, names), [0.5])
+    same = [found[c].eqNullSafe(quantity[c]) for c in names]
+    near = lambda x, share: F.abs(F.col(x) - F.col("orders")) <= F.greatest(F.lit(1.0), share * F.col("orders"))
+    median = F.col("quantiles")[0].between(F.col("middle")[0], F.col("middle")[1]) | (F.col("rows_") < 30)
+    return found.join(quantity, same[0] & same[1] & same[2]).select(*(found[c] for c in names), "n", "quantity", near("distinct_hll", 0.05).alias("near_hll"), near("distinct_theta", 0.06).alias("near_theta"), median.alias("near_median"))
+
+
+@query(
+    "f67_variants",
+    """
+    SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) % 10 AS digit, count(*) AS n, min(CAST(json_extract(props, '$.k') AS BIGINT)) AS least, sum(CAST(json_extract(props, '$.k') AS BIGINT))::BIGINT AS total, 0::BIGINT AS errors, 'BIGINT' AS kinds
+    FROM events GROUP BY ALL
+    """,
+)
+def variant_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Events by a path into their properties, which are kept as shredded variants."""
+    rows = variants.shredded(variants.with_variant(table(spark, d, "events"), "props", "v"), "events")
+    rows = rows.withColumn("k", variants.at(F.col("v"), "$.k", "bigint"))
+    kinds = F.array_join(F.array_sort(F.collect_set(F.schema_of_variant(variants.at(F.col("v"), "$.k", "variant")))), ",")
+    return rows.groupBy("event_type", (F.col("k") % 10).alias("digit")).agg(F.count("*").alias("n"), F.min("k").alias("least"), F.sum("k").alias("total"), F.count_if("v_error").alias("errors"), kinds.alias("kinds"))
