@@ -19,6 +19,7 @@ from lodestrata.session import table
 from lodestrata.sources import opcodes, overlay, packs, sink
 from lodestrata.sources.module import harvested, module_facts, peeked, stored, table_of
 from lodestrata.sources.scratch import kept, place
+from lodestrata.streaming import sessions
 
 #: The rows that make modules, which of these can be read (whole: to the end), and the strings of each.
 MODULES = """
@@ -864,3 +865,27 @@ def variant_paths(spark: SparkSession, d: str) -> DataFrame:
     rows = rows.withColumn("k", variants.at(F.col("v"), "$.k", "bigint"))
     kinds = F.array_join(F.array_sort(F.collect_set(F.schema_of_variant(variants.at(F.col("v"), "$.k", "variant")))), ",")
     return rows.groupBy("event_type", (F.col("k") % 10).alias("digit")).agg(F.count("*").alias("n"), F.min("k").alias("least"), F.sum("k").alias("total"), F.count_if("v_error").alias("errors"), kinds.alias("kinds"))
+
+
+@query(
+    "f68_stream_sessions",
+    """
+    WITH e AS (SELECT user_id AS key, epoch_us(ts) AS t, value FROM events), m AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY key ORDER BY t) < 21600000000 THEN 0 ELSE 1 END AS f FROM e),
+    s AS (SELECT *, sum(f) OVER (PARTITION BY key ORDER BY t) AS s FROM m), g AS (SELECT key, min(t) AS start, max(t) AS last, count(*) AS n, CAST(round(sum(value) * 100) AS BIGINT) AS cents FROM s GROUP BY key, s)
+    SELECT * FROM g WHERE last // 1000 + 21600000 <= (SELECT max(t) // 1000 - 3600000 FROM e)
+    """,
+)
+def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Events replayed as a stream of four batches: sessions with a gap of six hours that the watermark has closed."""
+    sessions.prepared(spark)
+    rows = table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), "value")
+    source, out = place(spark, "replay"), place(spark, "sessions")
+    first, last = rows.agg(F.min("ts"), F.max("ts")).head()
+    for i in range(4):  # one after another, since the source takes files by their age
+        lo, hi = first + (last - first) * i / 4, first + (last - first) * (i + 1) / 4
+        rows.where((F.col("ts") >= lo) & ((F.col("ts") < hi) if i < 3 else F.lit(True))).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    told = sessions.of_stream(stream, 6 * 3600, 3600).writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state")
+    told.trigger(availableNow=True).start().awaitTermination()
+    done = spark.read.schema(sessions.SESSION).parquet(out)
+    return done.select("key", F.unix_micros("start").alias("start"), F.unix_micros("last").alias("last"), "n", F.round(F.col("total") * 100).cast("long").alias("cents"))
