@@ -163,8 +163,8 @@ found AS ({" UNION ALL ".join(_places(k, p) for k, p in enumerate((_A, ACCESS, H
 held AS (SELECT doc_id, source, kind, CAST(stop AS BIGINT) stop, CAST(stop - length(m) AS BIGINT) start, CASE WHEN kind = 0 THEN regexp_extract(m, '{_A}', 2) ELSE m END v FROM found
     WHERE CASE kind WHEN 0 THEN length(regexp_extract(m, '{_A}', 2)) >= 12 WHEN 1 THEN length(m) >= 18 WHEN 2 THEN true
           ELSE regexp_matches(m, '[0-9]') AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[A-Z]') END),
-owners AS (SELECT v, count(DISTINCT source) n FROM held GROUP BY v),
-spans AS (SELECT h.* FROM held h JOIN owners USING (v) WHERE kind < 3 OR (owners.n <= {MAX_OWNERS} AND NOT EXISTS (
+owners AS (SELECT v, count(DISTINCT source) n, count(DISTINCT doc_id) copies FROM held GROUP BY v),
+spans AS (SELECT h.* FROM held h JOIN owners USING (v) WHERE kind < 3 OR (owners.n <= {MAX_OWNERS} AND owners.copies <= {MAX_REPOSITORIES} AND NOT EXISTS (
     SELECT 1 FROM held b WHERE b.doc_id = h.doc_id AND b.kind < 3 AND b.start < h.stop AND b.stop > h.start))),
 shown AS (SELECT doc_id, kind, start, ['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || start || ':' || stop s FROM spans),
 lists AS (SELECT doc_id, count(*) FILTER (kind = 0) a, count(*) FILTER (kind = 1) b, count(*) FILTER (kind = 2) c,

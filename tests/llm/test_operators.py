@@ -665,6 +665,28 @@ def test_secrets_copied_through_one_owner_are_not_live(spark):
     assert masked[900] == "mine [SECRET] here" and all(masked[i] == f"text {i} {hot} end" for i in range(300))
 
 
+def test_secrets_sql_tells_owned_and_copied_tokens_alike(spark, tmp_path):
+    """The query's own SQL over bare tokens of one to three owners and one to thirty documents."""
+    import duckdb
+
+    rng = random.Random(12)
+    token = lambda: "aB3" + "".join(rng.choices("ghijkXYZ0123", k=27))
+    rows, seen = [], 0
+    for owners in (1, 2, 3):
+        for copies in (1, 2, 9, 10, 11, 30):
+            own = token()
+            for i in range(copies):
+                seen += 1
+                rows.append((seen, f"text {seen} {own} end" + (" password = abcdefghijkl1" if i % 2 else ""), "en", f"s{i % owners}", 0))
+    rows += [(seen + 1, None, "en", "s0", 0), (seen + 2, "", "en", "s1", 0), (seen + 3, f"secret: {token()} x", "en", "s1", 0)]
+    spark.createDataFrame(rows, DOCS).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    want = duckdb.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'") or duckdb.sql(secrets.OP9_SQL)
+    got = secrets.op9(spark, str(tmp_path)).select(*want.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall())
+    # of three owners only tokens of one or two copies have at most two owners
+    assert sum("owned" in r.spans for r in got) == 2 * (1 + 2 + 9 + 10) + 1 + 2
+
+
 def brute_dedup(rows):
     words = {d: WORD.findall(t or "") for d, t, *_ in rows}
     least = {}
