@@ -10,8 +10,11 @@ rounded distances, then sums), both combined before the shuffle, and rows meet t
 number of large groups if there are too many, so a group may be of any size. Rows whose squared
 Mahalanobis distance is beyond the group's own bound are rejected: from its median and upper quartile over all rows,
 which up to a quarter of junk cannot move far, the exponential tail of a chi-squared variable is carried on to where CHANCE
-rows of the group are to be expected. Groups of fewer than LEAST rows are pooled by language, and what is still too
-small with all the rest.
+rows of the group (with PRIOR more) are to be expected.
+
+Nothing switches with a group's size. Estimates are made for each language and source, each language, and all rows; a language's centre,
+covariance and quartiles then count as its rows and those of all as PRIOR rows, and those of a language and source as its rows
+against PRIOR rows of its language. So large groups are judged by themselves, and a lone text by its language.
 """
 
 from __future__ import annotations
@@ -26,7 +29,9 @@ from pyspark.sql import functions as F
 from lodestrata.llm.common import HOT, in_batches, meet, runs_of, slices, text_bytes, word_hashes, written
 from lodestrata.session import table
 
-WINDOW, H, LEAST = 8, 0.75, 200
+WINDOW, H = 8, 0.75
+#: How many rows what stands above a group counts for: about as many as six dimensions need.
+PRIOR = 40
 MIN_WORDS, MAX_REPEAT = 20, 30
 #: Distances are scaled by their median over that of a chi-squared variable with 6 degrees. CHANCE: expected false rejections in a group.
 MEDIAN, CHANCE = 5.348, 0.01
@@ -101,16 +106,15 @@ def _floors(n: Column, chars: Column, lines: Column) -> Column:
     return F.array(*(x * x / 12 for x in steps))
 
 
-def _groups(rows: DataFrame) -> DataFrame:
-    """rows with g: the language and source, the language, or nothing, whichever has LEAST usable rows first."""
+def _named(rows: DataFrame) -> DataFrame:
+    """rows with s, the name of their language and source, and l, that of their language."""
     fine = F.concat_ws("\x01", F.lit("s"), F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit("")))
-    rows = rows.withColumns({"_s": fine, "_l": F.concat_ws("\x01", F.lit("l"), F.coalesce("lang", F.lit("")))})
-    sizes = written(rows.where("NOT base_failed").groupBy("_s", "_l").agg(F.count("*").alias("n")), "sizes")
-    total = sizes.agg(F.sum("n")).head()[0] or 0
-    pooled = sizes.where(F.col("n") < LEAST).groupBy("_l").agg(F.sum("n").alias("m"))
-    g = F.when(F.col("n") >= LEAST, F.col("_s")).when(F.col("m") >= LEAST, F.col("_l")).otherwise("")
-    names = sizes.join(pooled, "_l", "left").select("_s", g.alias("g"), (F.col("n") > total * HOT).alias("hot"))
-    return meet(rows, written(names, "names"), ["_s"], "left").withColumn("g", F.coalesce("g", F.lit(""))).drop("_s", "_l", "hot")
+    return rows.withColumns({"s": fine, "l": F.concat_ws("\x01", F.lit("l"), F.coalesce("lang", F.lit("")))})
+
+
+def _levels() -> Column:
+    """What a row counts in: its language and source, its language, and all."""
+    return F.explode(F.array("s", "l", F.lit(""))).alias("g")
 
 
 def _distance() -> Column:
@@ -196,12 +200,12 @@ def _step(rows: DataFrame, now: DataFrame, held: list[str]) -> DataFrame:
     return written(both.withColumns(picked).drop("new"), "estimates", held)
 
 
-def estimates(rows: DataFrame, chance: float = CHANCE) -> DataFrame:
-    """g, hot, mu, prec, scale and bound of every group of rows (a written table: g, x0.., n_words, word_chars, n_lines)."""
+def estimates(rows: DataFrame, levels: int = 1) -> DataFrame:
+    """g, size, hot, mu and prec of every group of rows (g, x0.., n_words, word_chars, n_lines), in each of which a row comes so many times."""
     half = lambda c: F.percentile(c, F.lit(0.5))
-    total = rows.count()
+    total = rows.count() / levels
     middles = F.array(*(half(F.round(c, _ROUNDED)) for c in _X)).alias("mu")
-    mid = rows.groupBy("g").agg(middles, _floors(*map(half, ("n_words", "word_chars", "n_lines"))).alias("floor"), (F.count("*") > total * HOT).alias("hot"))
+    mid = rows.groupBy("g").agg(middles, _floors(*map(half, ("n_words", "word_chars", "n_lines"))).alias("floor"), F.count("*").alias("size"), (F.count("*") > total * HOT).alias("hot"))
     mid = written(mid, "mid")
     off = [F.col(c) - F.get("mu", F.lit(i)) for i, c in enumerate(_X)]
     spread = meet(rows, mid, ["g"]).groupBy("g").agg(F.array(*(half(F.round(F.abs(x), _ROUNDED)) for x in off)).alias("mad"))
@@ -222,9 +226,61 @@ def estimates(rows: DataFrame, chance: float = CHANCE) -> DataFrame:
         now = _step(rows, now, held)
         falls = bool(now.agg(F.max("falls")).head()[0])
         now = now.drop("falls")
-    own = meet(rows, now, ["g"]).groupBy("g").agg(F.count("*").alias("n"), *(F.exp(F.percentile(_level(_distance()), F.lit(q))).alias(c) for q, c in ((0.5, "half"), (0.75, "upper"))))
-    bound = (F.col("half") + (F.col("upper") - F.col("half")) / math.log(2) * F.log(F.col("n") / (2 * chance))) / F.col("scale")
-    return now.select("g", "hot", "mu", "prec").join(own.withColumn("scale", F.greatest(F.col("half") / MEDIAN, F.lit(1e-9))).select("g", "scale", bound.alias("bound")), "g")
+    return now.select("g", "hot", "mu", "prec").join(mid.select("g", "size"), "g")
+
+
+KNOWN = "s string, l string, size long, hot boolean, mu array<double>, prec array<double>"
+
+
+def _weight(size: int | None) -> float:
+    return (size or 0) / ((size or 0) + PRIOR)
+
+
+def shrunk(groups: DataFrame, found: DataFrame) -> DataFrame:
+    """KNOWN rows of groups (s, l, size, hot): own estimates and those above, by their rows. One row of found, that of all, goes with the tasks."""
+    top = found.where("g = ''").select("mu", "prec").head()
+    own = found.select(F.col("g").alias("s"), "mu", "prec")
+    langs = written(found.where("g LIKE 'l%'").select(F.col("g").alias("l"), "hot", F.struct("size", "mu", "prec").alias("lang")), "languages")
+    rows = meet(groups.withColumnRenamed("hot", "large").join(own, "s", "left"), langs, ["l"], "left").drop("hot")
+
+    def blend(batches):
+        square = lambda prec: np.linalg.inv(np.array(prec).reshape(P, P))
+        names = [c.split()[0] for c in KNOWN.split(", ")]
+        for batch in batches:
+            made = []
+            for r in batch.to_pylist():
+                mu, cov = np.array(top.mu), square(top.prec)
+                for size, m, prec in ((r["lang"]["size"], r["lang"]["mu"], r["lang"]["prec"]) if r["lang"] else (0, None, None), (r["size"], r["mu"], r["prec"])):
+                    w = _weight(size) if m is not None else 0.0
+                    mu, cov = ((1 - w) * mu + w * np.array(m), (1 - w) * cov + w * square(prec)) if w else (mu, cov)
+                made.append((r["s"], r["l"], r["size"], r["large"], mu.tolist(), np.linalg.inv(cov).ravel().tolist()))
+            many = pa.list_(pa.float64())
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.bool_(), many, many)
+            yield pa.record_batch([pa.array([x[i] for x in made], k) for i, k in enumerate(kinds)], names)
+
+    return rows.where(F.lit(top is not None)).mapInArrow(blend, KNOWN)
+
+
+def bounds(rows: DataFrame, known: DataFrame, chance: float = CHANCE) -> DataFrame:
+    """known with scale and bound, from the quartiles of distances of rows in each group and above it."""
+    each = meet(rows.drop("l"), known, ["s"]).select("s", "l", _level(_distance()).alias("level")).select(_levels(), "level")
+    quartiles = each.groupBy("g").agg(F.count("*").alias("n"), *(F.percentile("level", F.lit(q)).alias(c) for q, c in ((0.5, "half"), (0.75, "upper"))))
+    quartiles = written(quartiles, "quartiles")
+    top = quartiles.where("g = ''").head()
+    langs = written(quartiles.where("g LIKE 'l%'").select(F.col("g").alias("l"), F.lit(False).alias("hot"), F.struct("n", "half", "upper").alias("lang")), "languages")
+    own = quartiles.select(F.col("g").alias("s"), F.struct("n", "half", "upper").alias("own"))
+    out = meet(known.withColumnRenamed("hot", "large").join(own, "s", "left"), langs, ["l"], "left").drop("hot").withColumnRenamed("large", "hot")
+    share = lambda c: F.coalesce(F.col(f"{c}.n") / (F.col(f"{c}.n") + PRIOR), F.lit(0.0))
+
+    def value(c: str) -> Column:
+        above = F.lit(float(top[c]) if top else None)
+        for level in ("lang", "own"):
+            above = (1 - share(level)) * above + share(level) * F.coalesce(F.col(f"{level}.{c}"), F.lit(0.0))
+        return F.exp(above)
+
+    out = out.withColumns({"half": value("half"), "upper": value("upper")}).withColumn("scale", F.greatest(F.col("half") / MEDIAN, F.lit(1e-9)))
+    bound = F.col("half") + (F.col("upper") - F.col("half")) / math.log(2) * F.log((F.col("size") + PRIOR) / (2 * chance))
+    return out.select("s", "hot", "mu", "prec", "scale", (bound / F.col("scale")).alias("bound"))
 
 
 def judged(docs: DataFrame, chance: float = CHANCE) -> DataFrame:
@@ -234,10 +290,14 @@ def judged(docs: DataFrame, chance: float = CHANCE) -> DataFrame:
     part in the estimates. With too few rows for any estimate nothing is rejected but by the base rule.
     """
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
-    rows = _groups(written(counted(docs).withColumn("base_failed", failed), "counts"))
-    rows = written(rows.select("doc_id", *NAMES, "base_failed", "g", *(x.alias(f"x{i}") for i, x in enumerate(vector()))), "vectors")
-    known = written(estimates(rows.where("NOT base_failed"), chance), "mcd")
-    out = meet(rows, known, ["g"], "left").withColumn("distance", _distance() / F.col("scale"))
+    rows = _named(written(counted(docs).withColumn("base_failed", failed), "counts"))
+    rows = written(rows.select("doc_id", *NAMES, "base_failed", "s", "l", *(x.alias(f"x{i}") for i, x in enumerate(vector()))), "vectors")
+    usable, total = rows.where("NOT base_failed"), rows.count()
+    groups = rows.groupBy("s", "l").agg(F.count_if(~F.col("base_failed")).alias("size"), (F.count("*") > total * HOT).alias("hot"))
+    found = written(estimates(usable.select(_levels(), *_X, "n_words", "word_chars", "n_lines"), 3), "mcd")
+    known = written(shrunk(groups, found), "shrunk")
+    known = written(bounds(usable, known, chance), "bounds")
+    out = meet(rows, known, ["s"], "left").withColumn("distance", _distance() / F.col("scale"))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= F.col("bound"), F.lit(True))
     return out.select("doc_id", *NAMES, "base_failed", "distance", kept.alias("kept"))
 

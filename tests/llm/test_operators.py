@@ -611,6 +611,46 @@ def test_quality_estimates_reach_the_least_determinant(spark):
     assert np.abs(np.array(got.mu) - x[list(best)].mean(axis=0)).max() < 0.05
 
 
+def test_quality_of_small_groups_leans_on_their_language(spark):
+    """Estimates and bounds against the formula: rows of a group against PRIOR rows of what stands above it; and sources of one text each."""
+    import math
+
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    named, eye = [f"x{i}" for i in range(6)], np.eye(6).ravel().tolist()
+    groups = [("s\x01en\x01big", "l\x01en", 400, False), ("s\x01en\x01one", "l\x01en", 1, False), ("s\x01de\x01nil", "l\x01de", 0, False)]
+    found = [("", 401, True, [0.0] * 6, eye), ("l\x01en", 401, True, [1.0] * 6, (np.eye(6) / 2).ravel().tolist()), ("s\x01en\x01big", 400, True, [2.0] * 6, (np.eye(6) / 4).ravel().tolist()), ("s\x01en\x01one", 1, False, [50.0] * 6, (np.eye(6) / 9).ravel().tolist())]
+    df = written(spark.createDataFrame(groups, "s string, l string, size long, hot boolean"), "groups")
+    mcd = written(spark.createDataFrame(found, "g string, size long, hot boolean, mu array<double>, prec array<double>"), "mcd")
+    known = written(quality.shrunk(df, mcd), "shrunk")
+    got, w = {r.s[-3:]: r for r in known.collect()}, lambda n: n / (n + quality.PRIOR)
+    lang = [w(401) * 1.0, (1 - w(401)) * 1 + w(401) * 2]
+    for name, n, mu, var in (("big", 400, 2.0, 4.0), ("one", 1, 50.0, 9.0)):
+        assert np.allclose(got[name].mu, (1 - w(n)) * lang[0] + w(n) * mu)
+        assert np.allclose(np.linalg.inv(np.array(got[name].prec).reshape(6, 6)), np.eye(6) * ((1 - w(n)) * lang[1] + w(n) * var))
+    assert np.allclose(got["nil"].mu, 0) and len(got) == 3
+    x = rng.normal(0, 1, (401, 6))
+    rows = written(spark.createDataFrame([(groups[int(i == 400)][0], "l\x01en", *map(float, r)) for i, r in enumerate(x)], "s string, l string, " + ", ".join(f"{c} double" for c in named)), "rows")
+    levels = {name: [] for name in ("big", "one")}
+    for i, r in enumerate(x):
+        g = got["one" if i == 400 else "big"]
+        d = r - np.array(g.mu)
+        levels["one" if i == 400 else "big"].append(round(math.log(d @ np.array(g.prec).reshape(6, 6) @ d + 1e-6), 2))
+    every = levels["big"] + levels["one"]
+    for r in quality.bounds(rows, known).where("s <> 's\x01de\x01nil'").collect():
+        name = r.s[-3:]
+        n = len(levels[name])
+        half, upper = (math.exp((1 - w(n)) * np.quantile(every, q) + w(n) * np.quantile(levels[name], q)) for q in (0.5, 0.75))
+        scale = half / quality.MEDIAN
+        assert abs(r.scale / scale - 1) < 0.02 and abs(r.bound / ((half + (upper - half) / math.log(2) * math.log((n + quality.PRIOR) / (2 * quality.CHANCE))) / scale) - 1) < 0.02
+    rng = random.Random(11)
+    clean = [(i, "\n".join(prose(rng)), "en", f"only{i}", 0) for i in range(300)]
+    junk = [(1000 + i, " ".join(w + "###$$$" for w in t.split()), "en", f"junk{i}", 0) for i, (_, t, *_) in enumerate(clean[:10])]
+    kept = {r.doc_id for r in quality.judged(spark.createDataFrame(clean + junk, DOCS)).where("kept").collect()}
+    assert kept <= {*range(300)} and len(kept) >= 295
+
+
 def test_groups_meet_their_numbers_also_when_they_are_many(spark):
     from lodestrata.llm import common
 
