@@ -14,7 +14,7 @@ from lodestrata.functions.strings import candidates, fresh_by_harvester, string_
 from lodestrata.operators import catalog, disasm, lift, rewrite, sketches, validate
 from lodestrata.operators.relational import closure, first_lines, globally_ranked, in_ranges, ordered_slice
 from lodestrata.plans.base import query
-from lodestrata.plans.samples import FLOW, OPS, executables, flow_modules, modules, opcode_images
+from lodestrata.plans.samples import FLOW, NAMING, OPS, executables, flow_modules, modules, naming_modules, opcode_images
 from lodestrata.session import table
 from lodestrata.sources import opcodes, overlay, packs, sink
 from lodestrata.sources.module import harvested, module_facts, peeked, stored, table_of
@@ -889,3 +889,48 @@ def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
     told.trigger(availableNow=True).start().awaitTermination()
     done = spark.read.schema(sessions.SESSION).parquet(out)
     return done.select("key", F.unix_micros("start").alias("start"), F.unix_micros("last").alias("last"), "n", F.round(F.col("total") * 100).cast("long").alias("cents"))
+
+
+#: Suppliers' modules that name things in every way: made is whether a constructor is known, pointer what PGA names, one and two the properties.
+_NAMINGS = """
+    n AS (SELECT s_suppkey AS k, s_suppkey // 2 AS p, s_suppkey % 2 = 1 AS newer, 'g' || s_suppkey AS g FROM supplier),
+    m AS (SELECT *, 'n' || k AS module_id, p % 4 IN (1, 2) AS made, CASE WHEN newer THEN [g, '"s' || k || '"', NULL][p % 3 + 1] WHEN p % 2 = 0 THEN g END AS pointer,
+        CASE WHEN newer THEN 'last' || k ELSE 'named' END AS one, CASE WHEN newer THEN 'prop[7]' ELSE 'other' END AS two FROM n),
+    texts AS (SELECT k, module_id, '// 16 instructions, 1 passthrough, ' || CASE WHEN made THEN 0 ELSE 1 END || ' stack residue' || chr(10) || 'void <global>::naming()' || chr(10) || '{' || chr(10) || '    v3 = C(' || CASE WHEN made THEN '' || k ELSE '' END || ');' || chr(10)
+        || '    v2 = this.' || two || ';' || chr(10) || '    v3.' || one || ' = v2;' || chr(10) || '    v4 = ' || g || ';' || chr(10) || '    /* Strange ' || k || ' */' || chr(10) || '    return;' || chr(10) || '}' AS text FROM m)
+"""
+
+
+@query(
+    "f69_named_operands",
+    f"""
+    WITH {_NAMINGS}, each AS (SELECT module_id, unnest([
+        {{'idx': 2, 'name': 'ALLOC', 'place': 0, 'text': 'C'}}, {{'idx': 2, 'name': 'ALLOC', 'place': 1, 'text': ['<no constructor>', 'C::$beh0', '<global>::note', NULL][p % 4 + 1]}}, {{'idx': 3, 'name': 'PGA', 'place': 0, 'text': pointer}},
+        {{'idx': 4, 'name': 'ADDSi', 'place': 0, 'text': 'C::' || one}}, {{'idx': 4, 'name': 'ADDSi', 'place': 1, 'text': 'int'}}, {{'idx': 6, 'name': 'LoadThisR', 'place': 0, 'text': 'C::' || two}}, {{'idx': 6, 'name': 'LoadThisR', 'place': 1, 'text': 'int'}},
+        {{'idx': 8, 'name': 'LoadVObjR', 'place': 1, 'text': 'C::' || one}}, {{'idx': 8, 'name': 'LoadVObjR', 'place': 2, 'text': 'int'}}, {{'idx': 10, 'name': 'CpyGtoV4', 'place': 1, 'text': g}}, {{'idx': 11, 'name': 'TYPEID', 'place': 0, 'text': 'int'}}, {{'idx': 13, 'name': 'FREE', 'place': 1, 'text': 'C'}}
+    ]) AS x FROM m) SELECT module_id, x.idx::BIGINT AS idx, x.name AS name, x.place::INTEGER AS place, x.text AS text FROM each
+    """,
+)
+def named_operands(spark: SparkSession, d: str) -> DataFrame:
+    """Operands of every role in both dialects: constructors counted from one, pointers to globals or strings, properties by name or, by two joins, by place in the last class of their name."""
+    return disasm.resolved(_stored(naming_modules(spark, d), NAMING, *_NAMED), NAMING).where("role IS NOT NULL").select("module_id", "idx", "name", "place", "text")
+
+
+@query("f70_lifted_files", f"WITH {_NAMINGS} SELECT module_id, text, CASE WHEN made THEN 0 ELSE 1 END::BIGINT AS residue, 1::BIGINT AS passthrough FROM m JOIN texts USING (module_id, k)")
+def lifted_files(spark: SparkSession, d: str) -> DataFrame:
+    """Modules written as files, read as files, decoded, lifted, and their texts written as JSON and read again."""
+    folder, out = place(spark, "modules"), place(spark, "texts")
+    sink.register(spark)
+    naming_modules(spark, d).select(F.concat("module_id", F.lit(".bin")).alias("name"), F.col("content").alias("data")).write.format("files").mode("append").save(folder)
+    found = overlay.read_files(spark, f"{folder}/*.bin").select(F.regexp_extract("path", r"([^/]+)\.bin$", 1).alias("module_id"), "content")
+    lift.lifted(_stored(found, NAMING, *_NAMED), NAMING).write.json(out)
+    return spark.read.schema(lift.RESULT).json(out).select("module_id", "text", "residue", "passthrough")
+
+
+@query("f71_first_texts", f"WITH {_NAMINGS} SELECT module_id, text FROM (SELECT *, row_number() OVER (ORDER BY module_id) AS i FROM texts) WHERE i <= 25")
+def first_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The first 25 texts in the order of modules and functions; only their functions are lifted."""
+    tables_ = _stored(naming_modules(spark, d), NAMING, *_NAMED)
+    own = table_of(tables_, "functions").where("body_end IS NOT NULL").select("module_id", "ordinal")
+    some = ordered_slice(own, {"m": F.col("module_id"), "o": F.col("ordinal")}, 1, 26)
+    return lift.lifted(tables_, NAMING, some).select("module_id", "text")

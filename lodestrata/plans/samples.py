@@ -22,7 +22,13 @@ FLOW = {
     0: {"name": "CMPIi", "operands": 2}, 1: {"name": "RET", "operands": 1}, 2: {"name": "JZ", "operands": 1}, 3: {"name": "SetV4", "operands": 2},
     4: {"name": "JNZ", "operands": 1}, 5: {"name": "JMP", "operands": 1}, 6: {"name": "JNS", "operands": 1}, 7: {"name": "JS", "operands": 1}, 8: {"name": "IncVi", "operands": 1}, 9: {"name": "JMPP", "operands": 1},
 }
-OP, FLOW_OP = ({x["name"]: op for op, x in table.items()} for table in (OPS, FLOW))
+#: Of functions whose operands name something in every way there is, and one operation that nobody knows.
+NAMING = {
+    0: {"name": "PshC4", "operands": 1}, 1: {"name": "RET", "operands": 1}, 2: {"name": "PSF", "operands": 1}, 3: {"name": "ALLOC", "operands": 2}, 4: {"name": "PGA", "operands": 1},
+    5: {"name": "ADDSi", "operands": 2}, 6: {"name": "PopPtr", "operands": 0}, 7: {"name": "LoadThisR", "operands": 2}, 8: {"name": "RDR4", "operands": 1}, 9: {"name": "LoadVObjR", "operands": 3},
+    10: {"name": "WRTV4", "operands": 1}, 11: {"name": "CpyGtoV4", "operands": 2}, 12: {"name": "TYPEID", "operands": 1}, 13: {"name": "FREE", "operands": 2}, 14: {"name": "Strange", "operands": 1},
+}
+OP, FLOW_OP, NAMING_OP = ({x["name"]: op for op, x in table.items()} for table in (OPS, FLOW, NAMING))
 NONE = encode_int(0)
 
 
@@ -131,6 +137,37 @@ def flow_modules(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "supplier").select(F.format_string("s%d", "s_suppkey").alias("module_id"), made("s_suppkey").alias("content"))
 
 
+def naming_modules(spark: SparkSession, d: str) -> DataFrame:
+    """module_id and content: a module for each supplier with two classes of one name and a function that names a constructor, a global or
+    string, properties by name or by place, types and type ids; some of these do not exist."""
+
+    def content(k: int) -> bytes:
+        w = Writer(module.NEW if k % 2 else module.OLD)
+        p = k // 2
+        # older modules count globals, newer ones strings and globals in turn
+        pointer, there = ((1, 0, 3)[p % 3], 1) if w.new else (p % 2, 0)
+        code = [
+            ("PshC4", k), ("PSF", 3), ("ALLOC", 0, p % 4), ("PGA", pointer), ("ADDSi", 0, 0), ("PopPtr",), ("LoadThisR", 1, 0), ("RDR4", 2),
+            ("LoadVObjR", 3, 0, 0), ("WRTV4", 2), ("CpyGtoV4", 4, there), ("TYPEID", 0), ("PopPtr",), ("FREE", 3, 0), ("Strange", k), ("RET", 0),
+        ]
+        out = b"\0" + w.many([w.declared("E", module.ENUM, 4) + w.many([w.text("e") + struct.pack(">i", 1)])])
+        out += w.many([w.declared("C", module.SCRIPT_OBJECT[module.NEW if w.new else module.OLD], 8)] * 2) + NONE
+        out += (b"\0" + NONE + b"\0" + NONE + NONE + NONE) * 2
+        for last in ("first", f"last{k}"):
+            out += w.many([w.text(n) + w.primitive(68) + encode_int(i) for i, n in enumerate(("x", last))])
+        out += NONE + NONE + w.many([w.function("naming", 80, [], code, ops=NAMING_OP)]) + NONE + NONE
+        out += w.many([w.named("C")]) + w.many([w.primitive(68)])
+        out += w.many([b"a" + w.signature("$beh0", 80, [68], 0, w.named("C")), b"a" + w.signature("note", 80, [68], 0, None)])
+        out += w.many([w.text(f"g{k}") + w.text("") + w.primitive(68) + b"\1"]) + w.many([w.text(f"s{k}")])
+        return out + w.many([w.named("C") + (encode_int(place) if w.new else w.text(name)) for place, name in ((1, "named"), (7, "other"))])
+
+    @F.pandas_udf("binary")
+    def made(key: pd.Series) -> pd.Series:
+        return pd.Series([content(k) for k in key.tolist()])
+
+    return table(spark, d, "supplier").select(F.format_string("n%d", "s_suppkey").alias("module_id"), made("s_suppkey").alias("content"))
+
+
 def executables(spark: SparkSession, d: str) -> DataFrame:
     """path and content: for each nation a stub with an encrypted container of its name under a seed of its own; every sixth is cut short."""
 
