@@ -140,6 +140,7 @@ def stage_matrix(stages: DataFrame, title: str, names: list[str]) -> DataFrame:
     return stages.groupBy(title).pivot("stage", names).agg(F.sum(F.coalesce(F.col("ok"), F.lit(False)).cast("long")))
 
 
+# fixed values: wording of the lines "entries" and "more", which readers of the commands' reports look for
 def first_lines(rows: DataFrame, by: list[str], order: str, line: str, limit: int, head: str = "%d entries") -> DataFrame:
     """by, place and line: a head with the number of rows of each group, the first of them in order, and how many more there are."""
     own = Window.partitionBy(*by)

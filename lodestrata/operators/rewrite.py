@@ -119,6 +119,7 @@ def replace_instruction(trace: DataFrame, module_id: str, seq: int, op: int, ope
     return trace.withColumns({"op": F.when(here, F.lit(op).cast("long")).otherwise(F.col("op")), "operands": F.when(here, F.lit(operands).cast("array<long>")).otherwise(F.col("operands"))})
 
 
+# fixed values: width of places and the words "new-string fields", as in first_lines
 def literal_report(trace: DataFrame, limit: int = 20) -> DataFrame:
     """module_id, place and line: how many literals a module has, the first of them, and how many more there are."""
     rows = literals(trace).withColumn("line", F.format_string("  [%6d] %s", "seq", quote_literal(F.decode("literal", "ISO-8859-1"))))
