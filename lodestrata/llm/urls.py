@@ -8,7 +8,7 @@ highest that still accepts KEEP of the held-out accepted URLs.
 
 Counts cover all pages. They are kept by distinct n-gram, and every distinct URL is scored once, by a join of its
 n-grams with their scores: a broadcast of those that more than a HOT share of all have, a shuffle for the rest, so that no n-gram's
-rows meet in one task. Scores are summed as whole billionths, so their order doesn't matter.
+rows meet in one task. Pages get their URL's score without meeting by a very common URL, and those without a URL meet none. Scores are summed as whole billionths, so their order doesn't matter.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import shuffles, written
+from lodestrata.llm.common import HOT as HOT_URL
+from lodestrata.llm.common import SMALL_ROWS, meet, shuffles, written
 from lodestrata.session import table
 
 ORDER, D, BINS, KEEP = 4, 2.0, 10_000, 0.97
@@ -104,7 +105,7 @@ def threshold(scores: DataFrame) -> float:
     return best["bin"] / BINS if best else 0.0
 
 
-def judged(pages: DataFrame, rules=RULES) -> DataFrame:
+def judged(pages: DataFrame, rules=RULES, small: int = SMALL_ROWS) -> DataFrame:
     """page_id, host, path, rule and verdict of each row of pages; a null URL scores 0.
 
     Rows that repeat stay; null page_ids stay; without pages there are no rows.
@@ -113,7 +114,13 @@ def judged(pages: DataFrame, rules=RULES) -> DataFrame:
     at = threshold(scores)
     host, path = parts(F.col("url"))
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), host.alias("host"), path.alias("path"))
-    rows = rows.withColumn("_rule", ruled(F.col("host"), F.col("path"), rules)).join(scores.select("url", "score"), "url", "left")
+    rows = rows.withColumn("_rule", ruled(F.col("host"), F.col("path"), rules))
+    total = scores.agg(F.sum("n")).head()[0] or 0
+    # a digest stands for the URL, so that what is broadcast is small whatever its length
+    known = scores.select(F.unhex(F.sha2("url", 256)).alias("_u"), "score", (F.col("n") > total * HOT_URL).alias("hot"))
+    rows = rows.withColumn("_u", F.unhex(F.sha2("url", 256)))
+    without = rows.where("url IS NULL").withColumn("score", F.lit(None).cast("double"))
+    rows = meet(rows.where("url IS NOT NULL"), known, ["_u"], "left", small).drop("hot").unionByName(without)
     own = F.when(F.coalesce("score", F.lit(0.0)) >= at, "allow").otherwise("block")
     return rows.select("page_id", "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce("_rule.verdict", own).alias("verdict"), F.coalesce("score", F.lit(0.0)).alias("score"))
 

@@ -528,6 +528,14 @@ def brute_counts(t):
     return len(w), sum(map(len, w)), sum(x in "#*$%&|<>" for x in t), dup, len(cover)
 
 
+def test_common_urls_and_null_ones_meet_no_key(spark):
+    rows = [(i, f"https://a{i % 40}.{('org', 'net', 'com')[i % 3]}/{('fr', 'de')[i % 2]}/p{i % 90}") for i in range(300)]
+    rows += [(1000 + i, "https://common.net/front") for i in range(900)] + [(3000 + i, None) for i in range(200)]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    whole, split = (sorted(map(str, urls.judged(df, small=n).collect())) for n in (urls.SMALL_ROWS, 0))
+    assert whole == split and len(split) == len(rows)
+
+
 def test_quality_counts_and_outliers(spark, docs, rows, odd, none):
     got = {r.doc_id: r for r in quality.judged(docs).collect()}
     for d, t, *_ in rows:
