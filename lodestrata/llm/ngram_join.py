@@ -284,8 +284,8 @@ def blocks_apart(members: DataFrame, labels: DataFrame) -> DataFrame:
     tops = each.groupBy("key", "band").agg(F.max(F.struct("c", "w", "comp")).alias("top"), F.sum("c").alias("c"), F.sum("w").alias("w"), F.count("*").alias("k")).where("k > 1")
     blocks = lambda c, w: F.ceil(F.greatest(c / BLOCK, w / WEIGHT))
     one = blocks(F.col("c"), F.col("w")) == 1
-    tops = tops.select("key", "band", F.when(~one, F.col("top.comp")).alias("main"), F.when(one, 1).otherwise(blocks(F.col("c") - F.col("top.c"), F.col("w") - F.col("top.w"))).alias("minor"), F.when(one, 0).otherwise(blocks(F.col("top.c"), F.col("top.w"))).alias("major"))
-    now = now.join(small_or_shuffled(written(tops, "tops")), ["key", "band"])
+    tops = tops.select("key", "band", F.when(~one, F.col("top.comp")).alias("main"), F.when(one, 1).otherwise(blocks(F.col("c") - F.col("top.c"), F.col("w") - F.col("top.w"))).alias("minor"), F.when(one, 0).otherwise(blocks(F.col("top.c"), F.col("top.w"))).alias("major"), (F.col("c") > large.count() * HOT).alias("hot"))
+    now = meet(now, written(tops, "tops"), ["key", "band"]).drop("hot")
     is_main = F.coalesce(F.col("comp") == F.col("main"), F.lit(False))
     own = F.when(is_main, F.col("minor") + F.pmod(F.xxhash64("fp1"), "major")).otherwise(F.pmod(F.xxhash64("fp1"), "minor"))
     others = F.sequence(F.lit(0).cast("long"), F.when(is_main, F.col("minor")).otherwise(F.col("minor") + F.col("major")) - 1)
@@ -398,7 +398,8 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sizes = rare.groupBy("key", "band").agg(F.count("*").alias("size"), F.min(F.struct("n", "fp1")).alias("lead")).where("size > 1")
     sizes = sizes.select("key", "band", "size", F.col("lead.n").alias("lead_n"), F.col("lead.fp1").alias("lead_fp"))
     block = F.when(F.col("size") > BLOCK, F.pmod(F.xxhash64("fp1"), F.ceil(F.col("size") / BLOCK))).otherwise(F.lit(0).cast("long"))
-    members = written(rare.join(written(sizes, "sizes"), ["key", "band"]).withColumn("block", block), "members")
+    sizes = written(sizes.withColumn("hot", F.col("size") > rare.count() * HOT), "sizes")
+    members = written(meet(rare, sizes, ["key", "band"]).drop("hot").withColumn("block", block), "members")
     pairs = written(pairs_of(members), "pairs")
     in_large = members.where(F.col("size") > BUCKET).select("fp1")
     wanted = pairs.select(F.col("a").alias("fp1")).union(pairs.select("b")).union(in_large).distinct()
@@ -429,9 +430,10 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # copies of one set and sets linked: the smallest member of each class. The largest classes and sets of most copies meet no shuffle by their key
     labels = written(labels.select(F.col("node").alias("fp1"), "comp"), "classes")
     linked_ = sets.join(labels, "fp1")
-    best = small_or_shuffled(written(linked_.groupBy("comp").agg(F.min("first").alias("best")), "best"))
+    best = linked_.groupBy("comp").agg(F.min("first").alias("best"), (F.count("*") > labels.count() * HOT).alias("hot"))
+    linked_ = meet(linked_, written(best, "best"), ["comp"]).drop("hot")
     alone = sets.join(labels, "fp1", "left_anti").withColumns({"comp": F.col("fp1"), "best": F.col("first")})
-    known = linked_.join(best, "comp").unionByName(alone).select("fp1", "fp2", "comp", "best", (F.col("copies") > rows.count() * HOT).alias("hot"))
+    known = linked_.unionByName(alone).select("fp1", "fp2", "comp", "best", (F.col("copies") > rows.count() * HOT).alias("hot"))
     return rows, written(known, "known")
 
 
