@@ -13,6 +13,7 @@ another; hits are merged by document.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestrata.llm.common import ALNUM, in_batches, of_rows, slices, text_bytes, with_rows, written
+from lodestrata.llm.common import ALNUM, forget, in_batches, kept, of_rows, slices, text_bytes, with_rows, written
 from lodestrata.session import table
 
 WINDOW = 10
@@ -88,6 +89,17 @@ def blocks(benchmark: DataFrame, max_windows: int = MAX_WINDOWS, width: int = WI
     yield held
 
 
+_matchers: dict[str, Matcher] = {}
+
+
+def _matcher(block: str, known) -> Matcher:
+    """The automaton of a block of items: built once by a worker, which holds one at a time."""
+    if block not in _matchers:
+        forget()
+        kept(_matchers)[block] = Matcher(known.value)
+    return _matchers[block]
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """row (all columns of docs), text, n_words, n_hit, items (sorted strings) and character spans of each document.
 
@@ -96,10 +108,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, max_windows: int = MAX_WINDOW
     """
     out, spark = None, docs.sparkSession
     for held in blocks(benchmark, max_windows):
-        known = spark.sparkContext.broadcast(held)
+        known, block = spark.sparkContext.broadcast(held), uuid.uuid4().hex
 
-        def scan(batches, known=known):
-            matcher = Matcher(known.value)
+        def scan(batches, known=known, block=block):
+            matcher = _matcher(block, known)
             for batch in slices(batches):
                 rows = [[] for _ in range(4)]
                 texts = of_rows(batch, "text")
@@ -116,15 +128,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, max_windows: int = MAX_WINDOW
             more = T.StructType.fromDDL("n_words long, n_hit long, items array<string>, spans array<struct<start:long,stop:long>>")
             out = in_batches(source, scan, T.StructType([source.schema["row"], *more.fields]))
         elif held:
-            out = _again(written(out.withColumn("text", F.col("row.text").cast("string")), "hits"), known).drop("text")  # one automaton at a time in a worker
+            out = _again(written(out.withColumn("text", F.col("row.text").cast("string")), "hits"), block, known).drop("text")  # one automaton at a time in a worker
     return out.select("row", F.col("row.text").cast("string").alias("text"), "n_words", "n_hit", "items", "spans")
 
 
-def _again(before: DataFrame, known) -> DataFrame:
+def _again(before: DataFrame, block: str, known) -> DataFrame:
     """Adds a further block's hits to rows that hold earlier ones."""
 
     def scan(batches):
-        matcher = Matcher(known.value)
+        matcher = _matcher(block, known)
         for batch in slices(batches):
             rows = batch.to_pylist()
             for r in rows:
