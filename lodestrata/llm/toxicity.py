@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestrata.llm.common import ALNUM, forget, in_batches, of_rows, slices, with_rows, written
+from lodestrata.llm.common import ALNUM, SMALL_ROWS, forget, in_batches, of_rows, slices, with_rows, written
 from lodestrata.session import table
 
 MAX_TRAIN, BUCKETS, DIM, WIDTHS, FILTERS = 6000, 1 << 16, 16, (1, 2, 3), 8
@@ -184,12 +184,16 @@ def train(texts: list[list[bytes]], labels: np.ndarray, seed: int = SEED) -> Net
     return net
 
 
+#: A threshold of a language stays between these, however few of its texts decide it.
+LOWEST, HIGHEST = 0.3, 0.9
+
+
 def _best(bins: list[int], good: list[int], bad: list[int]) -> float:
     """The score with the best F1, between two bins that hold rows; bins descend."""
     hit, n = np.cumsum(bad), np.cumsum(np.add(good, bad))
     i = int((2 * hit / (n + max(1, hit[-1]))).argmax())
     low = (bins[i] + bins[i + 1] + 1) / 2 if i + 1 < len(bins) else bins[i]
-    return min(0.9, max(0.3, low / BINS))
+    return min(HIGHEST, max(LOWEST, low / BINS))
 
 
 def thresholds(rows: DataFrame, least: int = 20) -> dict:
@@ -256,10 +260,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple
     if net is None:
         return None, {"": 0.7}
     trained = docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long")
-    rest = _known(labels).join(F.broadcast(trained), "doc_id", "left_anti")
-    # scores are joined with labels, not texts: no text is shuffled
-    source = _with_lang(docs).where("doc_id IS NOT NULL").where(~held_out(F.col("doc_id")))
-    scores = scored(source.join(F.broadcast(trained), "doc_id", "left_anti"), net, {"": 1.0}).select("row.doc_id", "row.lang", "score")
+    rest = written(_known(labels).join(F.broadcast(trained), "doc_id", "left_anti"), "rest")
+    source = _with_lang(docs).where("doc_id IS NOT NULL").where(~held_out(F.col("doc_id"))).join(F.broadcast(trained), "doc_id", "left_anti")
+    if rest.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:  # else texts without a label are scored, too, since no text is shuffled
+        source = source.join(F.broadcast(rest.select("doc_id")), "doc_id", "left_semi")
+    scores = scored(source, net, {"": 1.0}).select("row.doc_id", "row.lang", "score")
     return net, thresholds(scores.join(rest, "doc_id"))
 
 
