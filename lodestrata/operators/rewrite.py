@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestrata.functions.codec import FormatError, encode_int
+from lodestrata.functions.codec import encode_int
 from lodestrata.functions.scalars import quote_literal
 from lodestrata.operators.relational import first_lines
 from lodestrata.sources.files import write_file
@@ -110,13 +110,29 @@ def replace_literal(trace: DataFrame, old: Column, new: Column, most: int | None
     return rows.withColumn("bytes", F.when(F.col("_take") | ~missed, new).otherwise(F.col("bytes"))).drop("_take")
 
 
+def replace_instructions(trace: DataFrame, edits: DataFrame) -> DataFrame:
+    """trace with the instructions at the places of edits (module_id, seq, op, operands) replaced, by a join.
+
+    When the result is read, an edit where no instruction is, and two edits of one place, are errors; edits with a null place do nothing.
+    """
+    place = ["module_id", "seq"]
+    new = edits.select("module_id", F.col("seq").cast("long").alias("seq"), F.col("op").cast("long").alias("_op"), F.col("operands").cast("array<long>").alias("_operands"))
+    new = new.where("module_id IS NOT NULL AND seq IS NOT NULL").groupBy(*place).agg(F.count("*").alias("_n"), F.first("_op").alias("_op"), F.first("_operands").alias("_operands"))
+    kinds = trace.select(*place, "kind")
+    what = F.when(F.col("_n") > 1, "two edits").when(F.col("kind").isNull(), "no entry").otherwise(F.concat("kind", F.lit(", not an instruction,")))
+    bad = (F.col("_n") > 1) | F.coalesce(F.col("kind") != "op", F.lit(True))
+    said = F.raise_error(F.concat(what, F.lit(" at "), F.col("seq").cast("string"), F.lit(" of "), F.col("module_id"))).cast("boolean")
+    # no row passes this condition: it tells of edits that fit nowhere
+    misfits = new.join(kinds, place, "left").where(F.when(bad, said).otherwise(F.lit(False))).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in trace.schema))
+    hit = F.col("_n").isNotNull()
+    rows = trace.join(new, place, "left").withColumns({"op": F.when(hit, F.col("_op")).otherwise(F.col("op")), "operands": F.when(hit, F.col("_operands")).otherwise(F.col("operands"))})
+    return rows.select(*trace.columns).unionByName(misfits)
+
+
 def replace_instruction(trace: DataFrame, module_id: str, seq: int, op: int, operands: list[int]) -> DataFrame:
-    """trace with the instruction at seq of one module replaced; another kind of entry there, or none, is an error."""
-    here = (F.col("module_id") == module_id) & (F.col("seq") == seq)
-    found = trace.where(here).select("kind").head()
-    if found is None or found["kind"] != "op":
-        raise FormatError(f"{'no entry' if found is None else found['kind'] + ', not an instruction,'} at {seq} of {module_id}")
-    return trace.withColumns({"op": F.when(here, F.lit(op).cast("long")).otherwise(F.col("op")), "operands": F.when(here, F.lit(operands).cast("array<long>")).otherwise(F.col("operands"))})
+    """trace with the instruction at seq of one module replaced."""
+    edit = trace.sparkSession.createDataFrame([(module_id, seq, op, operands)], "module_id string, seq long, op long, operands array<long>")
+    return replace_instructions(trace, edit)
 
 
 # fixed values: width of places and the words "new-string fields", as in first_lines

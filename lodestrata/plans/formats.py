@@ -249,9 +249,8 @@ def edited(spark: SparkSession, d: str) -> DataFrame:
     t = _tables(spark, d, "trace")
     facts = module_facts(t).where("reached = 'tail'").select("module_id", "dialect")
     trace = table_of(t, "trace").join(facts, "module_id", "left_semi")
-    first = trace.where(F.col("kind") == "op").where(F.col("op") == 3).agg(F.min(F.struct("module_id", "seq")).alias("x")).head()["x"]
-    if first is not None:
-        trace = rewrite.replace_instruction(trace, first["module_id"], first["seq"], 3, [2, 777])
+    first = trace.where(F.col("kind") == "op").where(F.col("op") == 3).agg(F.min(F.struct("module_id", "seq")).alias("x"))
+    trace = rewrite.replace_instructions(trace, first.selectExpr("x.module_id", "x.seq", "3 AS op", "array(2, 777) AS operands"))
     again = _stored(rewrite.written(trace, facts), OPS, "functions", "instructions")
     rows = table_of(again, "instructions").join(F.broadcast(disasm.dimension(spark, OPS)), "op").join(_signed(again), ["module_id", "function"])
     return rows.select("module_id", "signature", "idx", "name", _joined(F.col("operands")).alias("operands"))
@@ -934,3 +933,79 @@ def first_texts(spark: SparkSession, d: str) -> DataFrame:
     own = table_of(tables_, "functions").where("body_end IS NOT NULL").select("module_id", "ordinal")
     some = ordered_slice(own, {"m": F.col("module_id"), "o": F.col("ordinal")}, 1, 26)
     return lift.lifted(tables_, NAMING, some).select("module_id", "text")
+
+
+@query(
+    "f72_unpacked_files",
+    """
+    WITH s AS (SELECT 's' || s_suppkey AS stem, s_suppkey % 6 = 5 AS cut, repeat(s_name || ' ', 40) AS text FROM supplier)
+    SELECT stem, 'bytecode.bin' AS ending, octet_length(encode(text))::BIGINT AS size, sha256(text) AS sha, NULL AS error FROM s WHERE NOT cut
+    UNION ALL SELECT stem, 'embedded.pack', 3, sha256('EMB'), NULL FROM s WHERE NOT cut UNION ALL SELECT stem, NULL, NULL, NULL, 'no trailer' FROM s WHERE cut
+    """,
+)
+def unpacked_files(spark: SparkSession, d: str) -> DataFrame:
+    """Executables written as files and read as files, unpacked, and their blobs written all or none and read again; those that are cut short have a reason."""
+    sink.register(spark)
+    folder, out = place(spark, "executables"), place(spark, "blobs")
+    executables(spark, d, "supplier").select(F.col("path").alias("name"), F.col("content").alias("data")).write.format("files").mode("append").save(folder)
+    rows = kept(overlay.unpacked(overlay.read_files(spark, f"{folder}/*.exe")), "unpacked")
+    overlay.blobs(rows).select("name", "data").write.format("files").mode("append").save(out)
+    name = F.element_at(F.split("path", "/"), -1)
+    found = overlay.read_files(spark, f"{out}/*").select(F.split(name, "_")[0].alias("stem"), F.split(name, "_")[2].alias("ending"), "content")
+    found = found.where("ending <> 'compressed.bin'").select("stem", "ending", F.octet_length("content").cast("long").alias("size"), F.sha2("content", 256).alias("sha"), F.lit(None).cast("string").alias("error"))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("ending", "string"), ("size", "long"), ("sha", "string"))]
+    return found.unionByName(rows.where("error IS NOT NULL").select(F.split(name, r"\.")[0].alias("stem"), *none, "error"))
+
+
+@query(
+    "f73_checked_packs",
+    f"""
+    WITH e AS (SELECT *, max(ordinal) OVER (PARTITION BY pack) AS last, CAST(substring(pack, 2) AS BIGINT) % 3 AS how FROM ({_ENTRIES})),
+    t AS (SELECT pack, how, last, 16 + sum(16 + octet_length(encode(name)) + coalesce(size, 0)) AS total FROM e GROUP BY ALL)
+    SELECT pack, CAST(ordinal AS INTEGER) AS ordinal, name, sha256(coalesce(text, '')) AS sha, NULL AS error FROM e WHERE how = 0 OR (how = 1 AND ordinal < last)
+    UNION ALL SELECT pack, CAST(last AS INTEGER), NULL, NULL, 'entry ' || last || ': ' || 'it would end at ' || total || ' of ' || (total - 1) || ' bytes' FROM t WHERE how = 1
+    UNION ALL SELECT pack, 0, NULL, NULL, 'not a pack' FROM t WHERE how = 2
+    """,
+)
+def checked_packs(spark: SparkSession, d: str) -> DataFrame:
+    """Packs of which a third lacks its last byte and a third its first: entries up to the fault, and what it is, in place of an error of the job."""
+    rows = table(spark, d, "conversations").select(F.format_string("c%d", "conv_id").alias("pack"), F.col("turn").alias("ordinal"), F.format_string("%d/%s", "turn", "role").alias("name"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"))
+    how, size = F.substring("pack", 2, 20).cast("long") % 3, F.octet_length("content")
+    content = F.when(how == 0, F.col("content")).when(how == 1, F.substring("content", F.lit(1), size - 1)).otherwise(F.substring("content", F.lit(2), size))
+    found = packs.checked(packs.built(rows).select(F.col("pack").alias("path"), content.alias("content")))
+    return found.select("pack", "ordinal", "name", F.sha2("data", 256).alias("sha"), "error")
+
+
+@query(
+    "f74_edited_everywhere",
+    f"""
+    WITH {MODULES}, {CODE} SELECT module_id, signature, CAST(idx AS BIGINT) AS idx, name, CASE WHEN name = 'SetV4' THEN '2 ' || (CAST(split_part(operands, ' ', 2) AS BIGINT) + 1000) ELSE operands END AS operands FROM code SEMI JOIN whole USING (module_id)
+    """,
+)
+def edited_everywhere(spark: SparkSession, d: str) -> DataFrame:
+    """An instruction of every function replaced by one join of the trace with a table of edits; modules are written and decoded again."""
+    t = _tables(spark, d, "trace")
+    facts = module_facts(t).where("reached = 'tail'").select("module_id", "dialect")
+    trace = table_of(t, "trace").join(facts, "module_id", "left_semi")
+    edits = trace.where("kind = 'op' AND op = 3").selectExpr("module_id", "seq", "op", "array(operands[0], operands[1] + 1000) AS operands")
+    again = _stored(rewrite.written(rewrite.replace_instructions(trace, edits), facts), OPS, "functions", "instructions")
+    rows = table_of(again, "instructions").join(F.broadcast(disasm.dimension(spark, OPS)), "op").join(_signed(again), ["module_id", "function"])
+    return rows.select("module_id", "signature", "idx", "name", _joined(F.col("operands")).alias("operands"))
+
+
+@query(
+    "f75_opcode_files",
+    """
+    WITH o AS (SELECT s_suppkey AS r, unnest(range(0, 10 + s_suppkey % 5)) AS op FROM supplier)
+    SELECT 'r' || r || '.json' AS path, op, 'R' || r || 'Op' || op AS name, op % 20 + 1 AS type, -op AS "stackInc", [0, 1, 1, 1, 2, 1, 2, 3, 2, 2, 1, 2, 3, 2, 2, 2, 2, 2, 3, 3][op % 20 + 1]::BIGINT AS operands,
+        [1, 1, 1, 2, 2, 3, 3, 2, 3, 2, 1, 2, 3, 2, 2, 4, 3, 2, 3, 3][op % 20 + 1]::BIGINT AS dwords FROM o
+    """,
+)
+def opcode_files(spark: SparkSession, d: str) -> DataFrame:
+    """Tables of operations found in executables, written as a JSON file each, all or none, and read again."""
+    sink.register(spark)
+    folder = place(spark, "opcodes")
+    made = opcodes.as_json(opcodes.tables(opcode_images(spark, d, "supplier", "s_suppkey")))
+    made.select(F.regexp_replace("path", r"exe$", "json").alias("name"), F.encode("json", "UTF-8").alias("data")).write.format("files").mode("append").save(folder)
+    rows = opcodes.from_json_files(overlay.read_files(spark, f"{folder}/*.json"))
+    return rows.select(F.element_at(F.split("path", "/"), -1).alias("path"), "op", "name", "type", "stackInc", "operands", "dwords")

@@ -168,8 +168,8 @@ def naming_modules(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "supplier").select(F.format_string("n%d", "s_suppkey").alias("module_id"), made("s_suppkey").alias("content"))
 
 
-def executables(spark: SparkSession, d: str) -> DataFrame:
-    """path and content: for each nation a stub with an encrypted container of its name under a seed of its own; every sixth is cut short."""
+def executables(spark: SparkSession, d: str, of: str = "nation") -> DataFrame:
+    """path and content: for each row of a table a stub with an encrypted container of its name under a seed of its own; every sixth is cut short."""
 
     @F.pandas_udf("plain binary, key binary")
     def container(key: pd.Series, name: pd.Series) -> pd.DataFrame:
@@ -181,14 +181,15 @@ def executables(spark: SparkSession, d: str) -> DataFrame:
             rows.append((plain + b"\0" * (-len(plain) % 16), key_of_seed(17 if k % 2 else k % 255 + 1)))
         return pd.DataFrame(rows, columns=["plain", "key"])
 
-    rows = table(spark, d, "nation").select("n_nationkey", container("n_nationkey", "n_name").alias("c"))
+    key = f"{of[0]}_{of}key" if of == "nation" else f"{of[0]}_{of[:4]}key"
+    rows = table(spark, d, of).select(F.col(key).alias("k"), container(key, f"{of[0]}_name").alias("c"))
     sealed = F.aes_encrypt("c.plain", F.col("c.key"), F.lit("CBC"), F.lit("PKCS"), F.substring("c.key", 1, 16))
     text = F.substring(sealed, F.lit(17), F.octet_length("c.plain"))
     stub = F.unhex(F.concat(F.lit("4D5A"), F.repeat(F.lit("90"), 510)))
     end = F.concat(F.lit(TRAILER), F.unhex(F.lit("00")), F.unhex(F.lit("00020000")))
     whole = F.concat(stub, F.lit(b"3 EMB"), text, end)
-    content = F.when(F.col("n_nationkey") % 6 == 5, F.substring(whole, 1, 300)).otherwise(whole)
-    return rows.select(F.format_string("n%d.exe", "n_nationkey").alias("path"), content.alias("content"))
+    content = F.when(F.col("k") % 6 == 5, F.substring(whole, 1, 300)).otherwise(whole)
+    return rows.select(F.format_string(f"{of[0]}%d.exe", "k").alias("path"), content.alias("content"))
 
 
 def opcode_image(names: list[str], kinds: list[int]) -> bytes:
@@ -207,11 +208,11 @@ def opcode_image(names: list[str], kinds: list[int]) -> bytes:
     return (head + section).ljust(raw + 0x200, b"\0") + blob + rows + b"\0" * 64
 
 
-def opcode_images(spark: SparkSession, d: str) -> DataFrame:
-    """path and content: an executable for each region, with one operation more than the region before."""
+def opcode_images(spark: SparkSession, d: str, of: str = "region", key: str = "r_regionkey") -> DataFrame:
+    """path and content: an executable for each row of a table, with one operation more than the key before, and ten again after five of them."""
 
     @F.pandas_udf("binary")
-    def image(key: pd.Series) -> pd.Series:
-        return pd.Series([opcode_image([f"R{r}Op{i}" for i in range(10 + r)], [i % 20 + 1 for i in range(10 + r)]) for r in key.tolist()])
+    def image(keys: pd.Series) -> pd.Series:
+        return pd.Series([opcode_image([f"R{r}Op{i}" for i in range(10 + r % 5)], [i % 20 + 1 for i in range(10 + r % 5)]) for r in keys.tolist()])
 
-    return table(spark, d, "region").select(F.format_string("r%d.exe", "r_regionkey").alias("path"), image("r_regionkey").alias("content"))
+    return table(spark, d, of).select(F.format_string("r%d.exe", key).alias("path"), image(key).alias("content"))

@@ -129,6 +129,26 @@ def tables(files: DataFrame) -> DataFrame:
     return _each(files, lambda data: [(op, *(x[c] for c in columns)) for op, x in find(data).items()], "path string, op long, name string, type long, stackInc long, operands long, dwords long, error string")
 
 
+#: What a table of operations is as JSON: see to_json.
+AS_JSON = "count int, table map<string, struct<name: string, type: bigint, stackInc: bigint, operands: bigint, dwords: bigint>>"
+
+
+def as_json(found: DataFrame) -> DataFrame:
+    """path, and json with the operations of `tables` for that path; one without operations, or with an error, has none."""
+    columns = ("name", "type", "stackInc", "operands", "dwords")
+    rows = found.where("op IS NOT NULL").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("op", F.struct(*columns).alias("x")))).alias("t"))
+    table = F.map_from_entries(F.transform("t", lambda e: F.struct(e["op"].cast("string"), e["x"])))
+    return rows.select("path", F.to_json(F.struct(F.size("t").alias("count"), table.alias("table"))).alias("json"))
+
+
+def from_json_files(files: DataFrame) -> DataFrame:
+    """The rows of `tables` for files (path, content) that `as_json` or to_json made; one that does not hold such JSON has one row, with an error."""
+    held = F.from_json(F.decode("content", "UTF-8"), AS_JSON)
+    rows = files.select("path", held.alias("h")).select("path", F.explode_outer("h.table").alias("op", "x"))
+    error = F.when(F.col("op").isNull(), F.lit("no table of operations"))
+    return rows.select("path", F.col("op").cast("long").alias("op"), "x.name", "x.type", "x.stackInc", "x.operands", "x.dwords", error.alias("error"))
+
+
 def section_tables(files: DataFrame) -> DataFrame:
     """path, base, rva, size and place in the file of each section of each file (path, content), or an error."""
 

@@ -126,6 +126,32 @@ def test_packs(spark, tmp_path):
     assert packs.from_files(overlay.read_files(spark, str(tmp_path / "in"))).count() == 3
 
 
+def test_faults_of_packs_are_rows(spark):
+    raw = pack_bytes([("a", b"hello"), ("b", b""), ("c", b"bye")])
+    bad = {"whole": raw, "short": raw[:-1], "tail": raw + b"x", "empty": b"", "null": None, "head": raw[1:], "record": raw[:-20] + b"?" + raw[-19:], "version": raw[:4] + b"\2" + raw[5:]}
+    files = spark.createDataFrame([(k, None if v is None else bytearray(v)) for k, v in bad.items()], "path string, content binary")
+    rows = packs.checked(files).collect()
+    names = {k: [r.name for r in rows if r.pack == k and r.error is None] for k in bad}
+    assert names == {"whole": ["a", "b", "c"], "short": ["a", "b"], "tail": ["a", "b", "c"], "empty": [], "null": [], "head": [], "record": ["a", "b"], "version": []}
+    assert {r.pack: r.ordinal for r in rows if r.error} == {"short": 2, "tail": 3, "empty": 0, "null": 0, "head": 0, "record": 2, "version": 0}
+    assert packs.checked(files.limit(0)).count() == 0
+    with pytest.raises(Exception, match="short: entry 2"):
+        packs.from_files(files.where("path IN ('whole', 'short')")).collect()
+
+
+def test_tables_of_operations_as_json(spark):
+    from lodestrata.sources import opcodes
+
+    table = {3: {"name": "a\"b", "type": 1, "stackInc": -2, "operands": 1, "dwords": 2}, 11: {"name": "op11", "type": 2, "stackInc": 0, "operands": 0, "dwords": 1}}
+    found = spark.createDataFrame([("x", k, *v.values(), None) for k, v in reversed(table.items())] + [("bad", *[None] * 6, "no table")], "path string, op long, name string, type long, stackInc long, operands long, dwords long, error string")
+    made = opcodes.as_json(found).collect()
+    assert [r.path for r in made] == ["x"] and opcodes.from_json(made[0].json) == table
+    files = spark.createDataFrame([("x", bytearray(opcodes.to_json(table).encode())), ("y", bytearray(b"{")), ("z", None)], "path string, content binary")
+    rows = opcodes.from_json_files(files).collect()
+    assert {r.op: {c: r[c] for c in table[3]} for r in rows if r.path == "x"} == table
+    assert sorted((r.path, r.op, r.error) for r in rows if r.path != "x") == [("y", None, "no table of operations"), ("z", None, "no table of operations")]
+
+
 def test_pack_reports(spark):
     rows = spark.createDataFrame([("p", i, f"n{i}", bytearray(b"x" * i)) for i in range(5)], "pack string, ordinal int, name string, data binary").withColumn("size", F.octet_length("data").cast("long"))
     rows = rows.withColumn("data", F.when(F.col("ordinal") > 2, packs.seal(F.col("data"), F.lit(bytearray(32)))).otherwise(F.col("data")))

@@ -167,8 +167,21 @@ def test_edits_reach_one_module(tables):
     changed = rewrite.replace_instruction(trace, "len2", seq, 12, [5]).exceptAll(trace).count()
     assert changed == 1
     for module_id, at in (("len2", 0), ("len2", 10**6), ("absent", seq)):
-        with pytest.raises(FormatError):
-            rewrite.replace_instruction(trace, module_id, at, 1, [0])
+        with pytest.raises(Exception, match=f"no entry at {at} of absent|no entry at 1000000|, not an instruction, at 0 of len2"):
+            rewrite.replace_instruction(trace, module_id, at, 1, [0]).collect()
+
+
+def test_edits_are_a_table(spark, tables):
+    trace = module.table_of(tables, "trace")
+    firsts = trace.where("kind = 'op'").groupBy("module_id").agg(F.min("seq").alias("seq"))
+    edits = firsts.select("module_id", "seq", F.lit(12).alias("op"), F.array(F.lit(5)).alias("operands"))
+    after = rewrite.replace_instructions(trace, edits)
+    assert after.columns == trace.columns and after.count() == trace.count()
+    assert {(r.op, tuple(r.operands)) for r in after.join(firsts, ["module_id", "seq"]).collect()} == {(12, (5,))}
+    nowhere = edits.withColumn("seq", F.lit(None).cast("long"))
+    assert after.exceptAll(trace).count() == firsts.count() and rewrite.replace_instructions(trace, nowhere).exceptAll(trace).count() == 0
+    with pytest.raises(Exception, match="two edits at"):
+        rewrite.replace_instructions(trace, edits.union(edits)).collect()
 
 
 def test_first_differences_of_long_modules(spark):
