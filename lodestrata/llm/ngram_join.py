@@ -8,7 +8,8 @@ with a Jaccard similarity of at least 3/4 differ in at most D = (|A| + |B|) / 7
 1. Sketch words are dealt out by their value (packed, one row a batch and partition), and each task counts in
    how many different sets each of its words occurs. Sets that hold more than D words of their own have no
    partner and are done; those are nearly all.
-2. Others join on their D + 1 rarest words (pigeonhole: two sets that agree in k - D parts share one of those).
+2. Others join on their D + 1 rarest words (pigeonhole: two sets that agree in k - D parts share one of those). Words that
+   the same sets hold have one key, so that a pair of near copies meets once and not in each word.
    Small buckets give all their pairs; large ones link each member to the smallest and to the one before in its block. Of the
    pairs only those go on whose fine sketches (a bit of parity for each of many parts) differ in D bits at most.
 3. Pairs are verified on whole sets; components are built from the links. In large buckets that hold several
@@ -29,11 +30,12 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrata.llm.common import HOT, by_part, forget, in_batches, meet, mix, runs_of, shuffles, slices, small_or_shuffled, text_bytes, word_hashes, written
 from lodestrata.llm.dealing import DEALT, PLAIN, anywhere, dealt_batch, packed
+from lodestrata.llm.dealing import HOT as COMMON
 from lodestrata.llm.dealing import told as told_keys
 from lodestrata.llm.graph import components
 from lodestrata.session import table
@@ -41,6 +43,8 @@ from lodestrata.session import table
 WIDTH, SMALL, BUCKET = 5, 64, 8
 #: Rows and shingles of a block of a large bucket, and compatible pairs a row that a pair of blocks lists at most.
 BLOCK, WEIGHT, MOST = 512, 1 << 19, 1
+#: Shares of a task's rows by which pairs of blocks are dealt out.
+SHARES = 8
 SALT = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -101,7 +105,7 @@ def fingerprint(hashes: np.ndarray) -> tuple[int, int]:
 
 
 DOC = ["valid", "doc_id", "mark", "n", "fp1", "fp2", "full0", "full1"]
-TOLD = "kind int, doc_id long, mark long, n long, fp1 long, fp2 long, full0 long, full1 long, key long, df long, band long"
+TOLD = "kind int, doc_id long, mark long, n long, fp1 long, fp2 long, full0 long, full1 long, key long, df long, band long, count long"
 
 
 def deal(docs: DataFrame, n_parts: int) -> DataFrame:
@@ -139,8 +143,24 @@ def deal(docs: DataFrame, n_parts: int) -> DataFrame:
     return in_batches(source, run, DEALT)
 
 
+def alike(fps: np.ndarray, bands: np.ndarray, keys: np.ndarray, df: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of words with all their sets: set, band, key, df and number of words, one row for those words of a set that the same sets hold."""
+    if not len(keys):
+        return fps, bands, keys, df, df
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    owners = mix(np.add.reduceat(mix(fps.view(np.uint64) ^ SALT), first)).view(np.int64)
+    keys = np.where(df < COMMON, np.repeat(owners, np.diff(np.r_[first, len(keys)])), keys)
+    order = np.lexsort((keys, bands, fps))
+    fps, bands, keys, df = (c[order] for c in (fps, bands, keys, df))
+    first = np.flatnonzero(np.r_[True, (fps[1:] != fps[:-1]) | (bands[1:] != bands[:-1]) | (keys[1:] != keys[:-1])])
+    return fps[first], bands[first], keys[first], df[first], np.diff(np.r_[first, len(keys)])
+
+
 def tell(dealt: DataFrame) -> DataFrame:
-    """Document rows, and of each part the words that more than one set holds, with that number."""
+    """Document rows, and of each part how many words (count) each set shares with the same other sets.
+
+    key stands for those sets and df is their number; of a common word, whose sets are not known together, key is the word.
+    """
 
     def emit(kind: int, cols: dict, n: int) -> pa.RecordBatch:
         names = [x.split()[0] for x in TOLD.split(", ")]
@@ -155,14 +175,18 @@ def tell(dealt: DataFrame) -> DataFrame:
                 cols["doc_id"] = pa.array(m[:, 1], mask=m[:, 0] == 0)
                 yield emit(0, cols, len(m))
             else:
-                fps, band, keys, df = x
-                yield emit(1, {"fp1": pa.array(fps), "key": pa.array(keys), "df": pa.array(df), "band": pa.array(band)}, len(keys))
+                cols = dict(zip(("fp1", "band", "key", "df", "count"), map(pa.array, alike(*x)), strict=True))
+                yield emit(1, cols, len(cols["key"]))
 
     return in_batches(by_part(dealt), run, TOLD)
 
 
 def rarest(shared: DataFrame, sets: DataFrame) -> DataFrame:
-    """key, band, fp1 of the D + 1 rarest words of every set that may have a partner, where two sets share it."""
+    """key, band, fp1, n of the D + 1 rarest words of every set that may have a partner, where two sets share it.
+
+    Words that the same sets hold have one key and follow each other in the order of words, which is by df and key: so that a
+    set's words of one key count together, and the key stands for all of them.
+    """
     n, low = F.col("n"), F.col("band")
     wide = F.floor(4 * n / 3)
     own = F.when(low == 0, F.lit(SMALL - 1)).otherwise(2 * low - 1)
@@ -170,12 +194,13 @@ def rarest(shared: DataFrame, sets: DataFrame) -> DataFrame:
     most = F.when(is_own, F.greatest(F.least(wide, own), n)).otherwise(wide)
     d = F.floor((n + most) / 7)
     full = F.when(is_own, F.col("full0")).otherwise(F.col("full1"))
-    # dealt out by set once: the lists and the join with sets both keep to it
-    lists = shared.repartition(shuffles(shared.sparkSession), "fp1").groupBy("fp1", "band").agg(F.collect_set(F.struct("df", "key")).alias("held"))
-    lists = lists.join(sets.select("fp1", "n", "full0", "full1"), "fp1").withColumns({"most": d, "alone": full - F.size("held")})
-    lists = lists.where(F.col("alone") <= F.col("most"))
-    lists = lists.withColumn("first", F.slice(F.array_sort("held"), F.lit(1), F.greatest(F.col("most") + 1 - F.col("alone"), F.lit(0)).cast("int")))
-    return lists.select("fp1", "band", "n", F.explode("first.key").alias("key"))
+    # dealt out by set once: the counts, their sums and the join with sets all keep to it
+    words = shared.repartition(shuffles(shared.sparkSession), "fp1").groupBy("fp1", "band", "df", "key")
+    words = words.agg(F.when(F.col("df") < COMMON, F.sum("count")).otherwise(1).alias("count"))  # a common word may be told of a set twice
+    own = Window.partitionBy("fp1", "band")
+    words = words.withColumns({"held": F.sum("count").over(own), "before": F.sum("count").over(own.orderBy("df", "key")) - F.col("count")})
+    words = words.join(sets.select("fp1", "n", "full0", "full1"), "fp1").withColumns({"most": d, "alone": full - F.col("held")})
+    return words.where((F.col("alone") <= F.col("most")) & (F.col("before") + F.col("alone") <= F.col("most"))).select("fp1", "band", "n", "key")
 
 
 def own_band(n: np.ndarray) -> np.ndarray:
@@ -257,6 +282,11 @@ def linked(one: bytes, two: bytes) -> bool:
     return 100 * both >= 75 * (len(x) + len(y) - both)
 
 
+def only(sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Those of sets that wanted (fp1) names: if they are few, the others meet no shuffle."""
+    return sets.join(small_or_shuffled(written(wanted.select("fp1").distinct(), "ends")), "fp1", "left_semi")
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of pairs (a, b) whose whole sets have a Jaccard similarity of at least 3/4."""
 
@@ -267,7 +297,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(linked(x, y))
             yield pa.record_batch([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    tokens = sets.select("fp1", "tokens")
+    tokens = only(sets.select("fp1", "tokens"), pairs.select(F.col("a").alias("fp1")).union(pairs.select("b")))
     both = pairs.join(tokens.withColumnsRenamed({"fp1": "a", "tokens": "ta"}), "a").join(tokens.withColumnsRenamed({"fp1": "b", "tokens": "tb"}), "b")
     return in_batches(both.select("a", "b", "ta", "tb"), run, "a long, b long")
 
@@ -277,6 +307,9 @@ def blocks_apart(members: DataFrame, labels: DataFrame) -> DataFrame:
 
     The bucket's largest component needs no comparison with itself: its blocks only meet those of all others, which also
     meet each other. Blocks are cut by rows and shingles, so that no pair of them is large.
+
+    deal says which pairs of blocks go to a task together: those of buckets with the same largest component, in SHARES shares of a
+    task's rows. They hold much the same sets, whose sketches then lie side by side and compress.
     """
     large = members.where(F.col("size") > BUCKET).select("key", "band", "fp1", "n")
     now = large.join(labels.withColumnRenamed("node", "fp1"), "fp1", "left").withColumn("comp", F.coalesce("comp", "fp1"))
@@ -284,13 +317,20 @@ def blocks_apart(members: DataFrame, labels: DataFrame) -> DataFrame:
     tops = each.groupBy("key", "band").agg(F.max(F.struct("c", "w", "comp")).alias("top"), F.sum("c").alias("c"), F.sum("w").alias("w"), F.count("*").alias("k")).where("k > 1")
     blocks = lambda c, w: F.ceil(F.greatest(c / BLOCK, w / WEIGHT))
     one = blocks(F.col("c"), F.col("w")) == 1
-    tops = tops.select("key", "band", F.when(~one, F.col("top.comp")).alias("main"), F.when(one, 1).otherwise(blocks(F.col("c") - F.col("top.c"), F.col("w") - F.col("top.w"))).alias("minor"), F.when(one, 0).otherwise(blocks(F.col("top.c"), F.col("top.w"))).alias("major"), (F.col("c") > large.count() * HOT).alias("hot"))
+    tops = tops.select("key", "band", F.col("top.comp").alias("family"), F.col("top.c").alias("top_c"), "c", F.when(~one, F.col("top.comp")).alias("main"), F.when(one, 1).otherwise(blocks(F.col("c") - F.col("top.c"), F.col("w") - F.col("top.w"))).alias("minor"), F.when(one, 0).otherwise(blocks(F.col("top.c"), F.col("top.w"))).alias("major"), (F.col("c") > large.count() * HOT).alias("hot"))
+    made = F.when(F.col("major") == 0, F.col("c")).otherwise((F.col("c") - F.col("top_c")) * (F.col("minor") + F.col("major")) + F.col("top_c") * F.col("minor"))
+    tops = written(tops.withColumn("made", made).drop("c", "top_c"), "tops")
+    share = max(1, (tops.agg(F.sum("made")).first()[0] or 0) // (SHARES * shuffles(members.sparkSession)))
+    families = tops.groupBy("band", "family").agg(F.ceil(F.sum("made") / share).alias("shares"), (F.count("*") > tops.count() * HOT).alias("hot"))
+    tops = meet(tops.withColumnRenamed("hot", "hot_key"), written(families, "families"), ["band", "family"]).drop("hot").withColumnRenamed("hot_key", "hot")
     now = meet(now, written(tops, "tops"), ["key", "band"]).drop("hot")
     is_main = F.coalesce(F.col("comp") == F.col("main"), F.lit(False))
     own = F.when(is_main, F.col("minor") + F.pmod(F.xxhash64("fp1"), "major")).otherwise(F.pmod(F.xxhash64("fp1"), "minor"))
     others = F.sequence(F.lit(0).cast("long"), F.when(is_main, F.col("minor")).otherwise(F.col("minor") + F.col("major")) - 1)
     now = now.withColumn("block", own).withColumn("other", F.explode(others))
-    return now.select("key", "band", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "fp1", "n", "comp")
+    now = now.withColumns({"p": F.least("block", "other"), "q": F.greatest("block", "other")})
+    deal = F.xxhash64("band", "family", F.pmod(F.xxhash64("key", "p", "q"), "shares"))
+    return now.select("key", "band", "p", "q", "block", "fp1", "n", "comp", deal.alias("deal"))
 
 
 class Apart:
@@ -333,7 +373,7 @@ def grouped(batches, columns: tuple[str, ...]) -> Iterator[tuple[tuple, list[tup
 
 def _by_blocks(rows: DataFrame) -> DataFrame:
     by = ("key", "band", "p", "q")
-    return rows.repartition(shuffles(rows.sparkSession), *by).sortWithinPartitions(*by, "fp1")
+    return rows.repartition(shuffles(rows.sparkSession), "deal").sortWithinPartitions(*by, "fp1")
 
 
 def pairs_apart(blocks: DataFrame, sketches: DataFrame, most: int | None = None) -> DataFrame:
@@ -376,6 +416,7 @@ def links_apart(blocks: DataFrame, sketches: DataFrame, tokens: DataFrame) -> Da
                     out[1].append(max(rows[i][1], rows[j][1]))
             yield pa.record_batch([pa.array(c, pa.int64()) for c in out], ["a", "b"])
 
+    sketches, tokens = only(sketches, blocks), only(tokens, blocks)
     rows = blocks.join(sketches.select("fp1", "band", "words"), ["fp1", "band"]).join(tokens.select("fp1", "tokens"), "fp1")
     return _by_blocks(rows).select("key", "band", "p", "q", "block", "fp1", "n", "comp", "words", "tokens").mapInArrow(run, "a long, b long")
 
@@ -393,7 +434,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # full0 and full1 are 0 on those rows of a set that repeat within a batch
     sets = rows.where("n > 0").groupBy("fp1", "fp2").agg(F.first("n").alias("n"), F.max("full0").alias("full0"), F.max("full1").alias("full1"), first.alias("first"), F.count("*").alias("copies"))
     sets = written(sets, "sets")
-    shared = told.where("kind = 1").select("fp1", "key", "df", "band")
+    shared = told.where("kind = 1").select("fp1", "key", "df", "band", "count")
     rare = written(rarest(shared, sets), "rare")
     sizes = rare.groupBy("key", "band").agg(F.count("*").alias("size"), F.min(F.struct("n", "fp1")).alias("lead")).where("size > 1")
     sizes = sizes.select("key", "band", "size", F.col("lead.n").alias("lead_n"), F.col("lead.fp1").alias("lead_fp"))
@@ -424,7 +465,9 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         apart = written(pairs_apart(blocks, sketches, MOST), "apart")
         many = small_or_shuffled(written(apart.where("a IS NULL").select(*by), "many"))
         late = verified(apart.where("a IS NOT NULL").select("a", "b").distinct(), tokens)
-        late = written(late.union(links_apart(blocks.join(many, by, "left_semi"), sketches, tokens)), "late")
+        if not many.isEmpty():
+            late = late.union(links_apart(blocks.join(many, by, "left_semi"), sketches, tokens))
+        late = written(late, "late")
         if not late.isEmpty():
             labels = components(links.union(late))
     # copies of one set and sets linked: the smallest member of each class. The largest classes and sets of most copies meet no shuffle by their key

@@ -275,6 +275,41 @@ def test_blocks_of_a_bucket_are_small(spark):
     assert made.count() < 2 * 6000  # the large component is not compared with itself
 
 
+def test_words_of_the_same_sets_are_one_key(spark):
+    """Pairs of near copies share nearly all words, by which they need not meet again and again."""
+    rng = random.Random(21)
+    rows = []
+    for i in range(40):
+        w = [f"p{i}_{k}" for k in range(300)]
+        rows += [(2 * i, " ".join(w), None, None, None), (2 * i + 1, " ".join(w[:-1] + [f"x{rng.random()}"]), None, None, None)]
+    docs = spark.createDataFrame(rows, DOCS)
+    told = written(ngram_join.tell(ngram_join.deal(docs, 12)), "told")
+    sets = told.where("kind = 0").select("fp1", "n", "full0", "full1")
+    rare = ngram_join.rarest(told.where("kind = 1"), sets).collect()
+    assert {r.fp1 for r in rare} == {r.fp1 for r in sets.collect()}
+    assert len(rare) <= 2 * len(rows)  # one a set and band; by single words about a hundred
+    got = {r.doc_id: r.component_id for r in ngram_join.joined(docs).collect()}
+    assert got == {d: d - d % 2 for d in got} and len(got) == 80
+
+
+def test_blocks_of_alike_buckets_go_together(spark):
+    """Of 64 families with 40 buckets each, a set's rows reach few tasks, and rows of one pair of blocks a single one."""
+    members = spark.range(64 * 40 * 12).selectExpr("id div 12 key", "64L band", "(id div 480) * 1000 + id % 12 fp1", "70L n", "12L size")
+    labels = spark.range(64 * 6).selectExpr("(id div 6) * 1000 + id % 6 node", "(id div 6) * 1000 comp")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        made = ngram_join._by_blocks(written(ngram_join.blocks_apart(members, labels), "blocks")).selectExpr("*", "spark_partition_id() task").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    tasks, whole = defaultdict(set), defaultdict(set)
+    for r in made:
+        tasks[r.fp1].add(r.task)
+        whole[r.key, r.p, r.q].add(r.task)
+    assert len(made) == 64 * 40 * 12 and max(map(len, whole.values())) == 1
+    assert max(map(len, tasks.values())) <= 2 * ngram_join.SHARES
+
+
 def test_common_keys_are_told_alike():
     import numpy as np
 
