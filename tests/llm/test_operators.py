@@ -179,6 +179,35 @@ def test_toxicity_sample_is_bounded(spark):
     assert seen[0] == seen[1] and seen[0][0] <= 30 and (len(seen) < 3 or seen[2] == seen[3] and seen[2][1] <= 500)
 
 
+def test_toxicity_sample_comes_as_words_by_few_jobs(spark):
+    """The driver's work does not grow with the partitions, and a text's words are not held one by one."""
+    rows = [(i, f"W{i % 7}, é-x " * (1 + i % 50) + ("Vile" if i % 2 else ""), "en", "s", None) for i in range(200)] + [(200, None, None, None, None), (201, "", "", "", 0)]
+    df, labels = spark.createDataFrame(rows, DOCS), spark.createDataFrame([(i, 1, i % 2) for i in range(202)], "doc_id long, quality int, toxic int")
+    jobs, seen, own = [], [], {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(toxicity, "train", lambda texts, y: seen.append(texts) or toxicity.Net())
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+            for n in (3, 40):
+                spark.conf.set("spark.sql.shuffle.partitions", str(n))
+                spark.sparkContext.setJobGroup(f"learned in {n}", "")
+                _, ids = toxicity.learned(df, labels)
+                jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"learned in {n}")))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in own.items():
+            spark.conf.set(k, v)
+    assert 0 < jobs[0] == jobs[1]
+    of = {i: toxicity.words_of(text) for i, text, *_ in rows}
+    for texts in seen:
+        assert [[*t] for t in texts] == [of[i] for i in ids] and not any(isinstance(t, list) for t in texts)
+    y = [i % 2 for i in ids]
+    import numpy as np
+
+    one, two = (toxicity.train(texts, np.array(y)) for texts in (seen[0], [of[i] for i in ids]))
+    assert all((getattr(one, k) == getattr(two, k)).all() for k in "ewcvb")
+
+
 def test_toxicity_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(1, 1, 0), (None, None, None)], "doc_id long, quality int, toxic int")
     assert {r.score for r in toxicity.scored(odd, *toxicity.fit(odd, labels)).select("score").collect()} == {0.0}
